@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact, neardup, packing, quality, token_files, toxicity
+from tidemark.llm import bpe, exact, langid, licences, neardup, packing, quality, token_files, toolcalls, toxicity
 from tidemark.llm.support import new_folder
 from tidemark.session import table
 
@@ -62,11 +62,50 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "pages"), langid.fit_text(table(spark, sf_dir, "documents")))
+    return found.select("page_id", "lang", F.round("probability", 6).alias("probability"), "text_lang", "declared", "suffix", "host")
+
+
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licences.scan(docs, licences.fit(docs))
+    families = F.array_join(F.array_sort(F.array_distinct("matches.family")), ",")
+    return found.select("doc_id", "n_paragraphs", families.alias("families"), F.size("matches").alias("n_matches"), F.round(F.array_max("matches.p"), 6).alias("probability"))
+
+
+def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.from_turns(table(spark, sf_dir, "conversations"))
+    placed = toolcalls.lines(toolcalls.levels(toolcalls.link(calls, results)), toolcalls.ANSWER)
+    return placed.select("conv_id", "call_id", "seq", "level", "result_seq", "n_calls", "n_results", "valid", F.md5("line").alias("line_md5"))
+
+
+OP9_SQL = """
+WITH calls AS (
+  SELECT conv_id, turn, min(coalesce(text, '')) AS said, count(*) AS n_calls
+  FROM conversations WHERE role = 'user' GROUP BY conv_id, turn),
+results AS (
+  SELECT conv_id, turn, min(text) AS content, count(*) AS n_results
+  FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn)
+SELECT c.conv_id, 'call_' || c.turn AS call_id, c.turn AS seq, 0 AS level, r.turn AS result_seq, c.n_calls,
+       coalesce(r.n_results, 0) AS n_results, true AS valid,
+       md5('{"arguments":{"n_words":' || len(regexp_split_to_array(trim(c.said), '[ \t\n\x0B\f\r]+')) || ',"text":' || to_json(c.said) || ',"turn":' || c.turn
+           || '},"call_id":"call_' || c.turn || '","name":"answer","problems":[],"result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}') AS line_md5
+FROM calls c LEFT JOIN results r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1
+"""
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=CAPACITY)
     return packing.pack(pieces, CAPACITY, order=("doc_id", "piece"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_token_files": op2_token_files,
@@ -74,6 +113,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op6_quality": op6_quality,
+    "op7_language": op7_language,
+    "op8_licences": op8_licences,
+    "op9_tool_calls": op9_tool_calls,
     "op10_packing": op10_packing,
+    "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
+ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op9_tool_calls": OP9_SQL}
