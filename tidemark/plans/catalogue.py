@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import basics, core, domain, scalars, windows  # noqa: F401
+from tidemark.plans import basics, core, domain, feeds, scalars, windows  # noqa: F401
 from tidemark.plans.base import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "dom_published_index"
