@@ -233,3 +233,18 @@ def stream_session(spark, sf_dir):
 def stream_static_join(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
     return table(spark, sf_dir, "events").join(c, "user_id").groupBy("c_mktsegment", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("sink_append", I + "SELECT item_id FROM items WHERE k < 10 UNION ALL SELECT item_id FROM items WHERE k BETWEEN 5 AND 20")
+def sink_append(spark, sf_dir):
+    """An append keeps repeated rows; ``sinks.append`` writes it."""
+    rows = items(spark, sf_dir).select("item_id", "k")
+    return rows.where("k < 10").unionByName(rows.where("k BETWEEN 5 AND 20")).select("item_id")
+
+
+@query("sink_csv", I + """SELECT item_id, CASE WHEN k % 2 = 0 THEN '"' || source || ',' || k || '"' ELSE source END || ',' || CASE WHEN k % 3 = 0 THEN '' ELSE k::VARCHAR END AS line FROM items""")
+def sink_csv(spark, sf_dir):
+    """The lines that ``sinks.csv`` writes: quotes only where needed, null is empty."""
+    name = F.when(F.col("k") % 2 == 0, F.concat_ws(",", "source", F.col("k").cast("string"))).otherwise(F.col("source"))
+    row = F.struct(name.alias("name"), F.when(F.col("k") % 3 != 0, F.col("k")).alias("k"))
+    return items(spark, sf_dir).select("item_id", F.to_csv(row, {"nullValue": ""}).alias("line"))
