@@ -13,7 +13,7 @@ from tidemark.session import table
 I = with_sql(ITEMS_SQL)  # noqa: E741
 
 
-def _docs(name, sql, expr, **more):
+def _docs(name, sql, expr):
     """One column over all documents."""
 
     def run(spark, sf_dir):
