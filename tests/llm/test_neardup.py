@@ -45,9 +45,10 @@ def near_rows(seed, groups=6, copies=25, words=60):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("seed,small", [(1, 32), (2, 4)])
-def test_components_are_brute_force(spark, monkeypatch, seed, small):
+@pytest.mark.parametrize("seed,small,rare", [(1, 32, 64), (2, 4, 64), (3, 4, 1), (4, 4, 3)])
+def test_components_are_brute_force(spark, monkeypatch, seed, small, rare):
     monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "RARE", rare)
     rows = near_rows(seed)
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, size int, node string")
     got = sorted(tuple(x) for x in neardup.near_duplicates(docs).collect())

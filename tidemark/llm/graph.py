@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.support import cut
+from tidemark.llm.support import cut_small
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,23 +16,27 @@ def components(edges: DataFrame) -> DataFrame:
     and the expected number of nodes falls by a constant factor in any graph, so rounds grow as the
     logarithm of the nodes. The rounds' maps are then composed backwards.
     """
-    edges = cut(edges.where("a <> b").select("a", "b").distinct())
+    edges = cut_small(edges.where("a <> b").select("a", "b").distinct())
     maps: list[DataFrame] = []
     while not edges.isEmpty():
-        turn = len(maps)
-        order = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        best = both.groupBy("a").agg(F.min(order("b")).alias("m"))
-        step = cut(best.select(F.col("a").alias("node"), F.least(order("a"), F.col("m"))["n"].alias("to")))
+        step = _step(edges, len(maps))
         maps.append(step)
         left = step.select(F.col("node").alias("a"), F.col("to").alias("x"))
         right = step.select(F.col("node").alias("b"), F.col("to").alias("y"))
         moved = edges.join(left, "a").join(right, "b").where("x <> y")
-        edges = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        edges = cut_small(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     labels = maps[-1].select("node", F.col("to").alias("root"))
     for step in reversed(maps[:-1]):
         later = labels.select(F.col("node").alias("to"), F.col("root"))
         labels = step.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
-    return cut(labels)
+    return labels
+
+
+def _step(edges: DataFrame, turn: int) -> DataFrame:
+    """(node, to): where each node goes."""
+    order = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("n"))
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    best = both.groupBy("a").agg(F.min(order("b")).alias("m"))
+    return best.select(F.col("a").alias("node"), F.least(order("a"), F.col("m"))["n"].alias("to"))

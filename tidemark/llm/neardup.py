@@ -8,10 +8,11 @@
    similarity has the posterior Beta(m + 1, n - m + 1); a pair is dropped once the posterior
    probability of reaching the threshold is below ``miss``. Survivors are checked on full sets.
 4. Within a bucket no pairs are listed but these: every member with the bucket's first member;
-   then, once components are known, members of different components. In buckets of more than
-   ``SMALL`` members a bound keeps those few: grams of x that no other candidate has are missing
-   from any partner y, so |x & y| <= |x| - own(x), which leaves x only partners of a certain size;
-   members are met by classes of size. The bound is exact: no link is lost to it.
+   then the members that the links so far do not join. In buckets of more than
+   ``SMALL`` members these are few too: pairs that share a gram which at most ``RARE`` candidates
+   have are found by that gram; in all other pairs such grams of x are missing from y, so
+   |x & y| <= |x| - rare(x), which leaves x only partners of a certain size, or none; members are
+   met by classes of size. Neither loses a link.
 
 Defined results: texts without words have an empty set and are linked with nothing; texts with
 fewer words than ``n`` have their whole sequence as one gram; null counts as empty; rows that
@@ -32,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
-from tidemark.llm.support import Words, cut, mix64, ngram_hashes, ship, slices, text_bytes
+from tidemark.llm.support import Words, cut, cut_small, mix64, ngram_hashes, ship, slices, text_bytes
 
 BANDS, ROWS, BATCH = 24, 4, 16
 MISS = 1e-6
-SMALL = 32
+SMALL, RARE = 32, 64
+#: Shares that the copies of one set are dealt to.
+SALTS = 64
 #: Classes of size: a factor of 1.05 each.
 SIZE_STEP = math.log(1.05)
 
@@ -158,57 +161,76 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     docs = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     signed = cut(docs.mapInArrow(_signed(n, count), f"id {kind}, size long, digest binary, signed binary"))
     usable = signed.where("id is not null and size > 0")
-    classes = cut(usable.groupBy("digest").agg(F.min("id").alias("node")))
-    first = usable.join(classes, (usable.digest == classes.digest) & (usable.id == classes.node)).select("node", usable.digest, "size", "signed")
-    nodes = cut(first.dropDuplicates(["node", "digest"]))
+    classes = usable.groupBy("digest").agg(F.min("id").alias("node"))
+    first = usable.join(classes.withColumnRenamed("node", "id"), ["digest", "id"], "left_semi").withColumnRenamed("id", "node")
+    nodes = cut_small(first.dropDuplicates(["node", "digest"]))
 
     band = [F.xxhash64(F.lit(i), F.expr(f"substring(signed, {4 * rows * i + 1}, {4 * rows})")) for i in range(bands)]
     banded = nodes.select("node", "size", F.explode(F.array(*band)).alias("key"))
-    shared = cut(banded.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key", "first"))
-    members = cut(banded.join(shared, "key").select("key", "first", "node", "size"))
+    shared = banded.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key", "first")
+    members = cut_small(banded.join(shared, "key").select("key", "first", "node", "size"))
 
     wanted = members.select("node").distinct()
-    texts = docs.join(wanted, docs.id == wanted.node, "left_semi")
+    texts = docs.join(wanted.withColumnRenamed("node", "id"), "id", "left_semi")
     sets = texts.mapInArrow(_sets(n), f"node {kind}, digest binary, grams binary")
-    sets = cut(sets.dropDuplicates(["node", "digest"]).join(nodes.select("node", "digest"), ["node", "digest"], "left_semi").select("node", "grams"))
+    sets = cut_small(sets.dropDuplicates(["node", "digest"]).join(nodes.select("node", "digest"), ["node", "digest"], "left_semi").select("node", "grams"))
 
     def links(pairs: DataFrame) -> DataFrame:
         near = _two(nodes, pairs, s="signed", z="size").where(100 * F.least("za", "zb") >= percent * F.greatest("za", "zb"))
         alive = near.mapInArrow(_prune(t, count, miss), f"a {kind}, b {kind}")
-        return cut(_two(sets, alive, g="grams").mapInArrow(_verify(percent), f"a {kind}, b {kind}"))
+        return cut_small(_two(sets, alive, g="grams").mapInArrow(_verify(percent), f"a {kind}, b {kind}"))
 
     found = links(members.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
-    again = usable.join(classes, "digest").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
-    twice = usable.join(classes, "digest").join(again.select("id", "a"), "id").select("a", F.col("node").alias("b")).where("a <> b")
-    found = found.unionByName(twice.distinct())
-    rest = _remaining(members, components(found), sets, percent)
-    root = components(found.unionByName(links(rest)))
+    salted = usable.select("id", "size", "digest", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    known = salted.select("digest", "salt").distinct().join(classes, "digest")
+    placed = salted.join(known, ["digest", "salt"]).select("id", "size", "node")
+    again = placed.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("id", "a")
+    twice = placed.join(again, "id").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    rest = links(_remaining(members, _towards(found), sets, percent))
+    root = components(found.unionByName(rest).unionByName(twice))
     low = root.groupBy("root").agg(F.min("node").alias("component_id"))
-    named = root.join(low, "root").select("node", "component_id")
-    named = cut(classes.join(named, "node", "left").select("digest", F.coalesce("component_id", "node").alias("component_id")))
-    some = usable.select("id", "size", "digest").join(named, "digest").select("id", "size", "component_id")
+    named = cut_small(root.join(low, "root").select("node", "component_id"))
+    some = placed.join(named, "node", "left").select("id", "size", F.coalesce("component_id", "node").alias("component_id"))
     none = signed.where("id is null or size = 0").select("id", "size", F.col("id").alias("component_id"))
     return some.unionByName(none).select(F.col("id").alias(id_column), F.col("size").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _towards(links: DataFrame) -> DataFrame:
+    """(node, root): a node that two steps along links to ever smaller neighbours lead to. Equal
+    roots are in one component; the others may be or not."""
+    step = links.groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("to"))
+    onward = step.select(F.col("node").alias("to"), F.col("to").alias("root"))
+    return step.join(onward, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
+
+
 def _remaining(members: DataFrame, root: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of candidates that are in different components yet, and may be linked."""
     placed = members.join(root, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
     per = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    keys = cut(per.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("all"), F.count("*").alias("roots")).where("roots > 1").drop("roots"))
-    open_ = cut(placed.join(keys, "key"))
+    keys = per.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("all"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    open_ = cut_small(placed.join(keys, "key"))
     large = open_.where(F.col("all") > SMALL)
 
-    # grams that one candidate of the large buckets has alone
-    grams = sets.join(large.select("node").distinct(), "node", "left_semi").mapInArrow(_one_by_one, f"node {dict(sets.dtypes)['node']}, gram long")
-    own = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+    # grams that at most RARE candidates of the large buckets have
+    kind = dict(sets.dtypes)["node"]
+    inside = large.select("node", "root", "size").distinct()
+    grams = sets.join(inside.select("node"), "node", "left_semi").mapInArrow(_one_by_one, f"node {kind}, gram long")
+    rare = grams.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") <= RARE)
+    rare = cut_small(grams.join(rare, "gram"))
+    own = rare.groupBy("node").agg(F.count("*").alias("own"))
+    one = rare.where("n > 1").select("gram", "node").join(inside, "node").select("gram", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("za"))
+    two = one.select("gram", F.col("a").alias("b"), F.col("ra").alias("rb"), F.col("za").alias("zb"))
+    close = 100 * F.least("za", "zb") >= percent * F.greatest("za", "zb")
+    sharing = one.join(two, "gram").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & close).select("a", "b")
     least = percent / 100
     most = F.floor((F.col("size") - F.coalesce("own", F.lit(0))) * ((1 + least) / least) + 1e-6) - F.col("size")
-    large = cut(large.join(own, "node", "left").select("key", "node", "size", "root", "main", most.alias("most")).where(100 * F.col("most") >= percent * F.col("size")))
+    bounded = large.join(own, "node", "left").select("key", "node", "size", "root", "main", most.alias("most")).where(100 * F.col("most") >= percent * F.col("size"))
+    buckets = large.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # one per band at most
+    large = cut_small(bounded.join(buckets, "node"))
 
     def met(one: DataFrame, two: DataFrame, on: list[str], more) -> DataFrame:
-        left = one.select(*[c for c in on if c in one.columns], F.col("node").alias("x"), F.col("root").alias("rx"), F.col("size").alias("zx"), *(F.col(c).alias(f"{c}x") for c in ["most"] if c in one.columns))
-        right = two.select(*on, F.col("node").alias("y"), F.col("root").alias("ry"), F.col("size").alias("zy"), (F.col("root") == F.col("main")).alias("in_main"), *(F.col(c).alias(f"{c}y") for c in ["most"] if c in two.columns))
+        left = one.select(*[c for c in on if c in one.columns], F.col("node").alias("x"), F.col("root").alias("rx"), F.col("size").alias("zx"), *(F.col(c).alias(f"{c}x") for c in ["most", "keys"] if c in one.columns))
+        right = two.select(*on, F.col("node").alias("y"), F.col("root").alias("ry"), F.col("size").alias("zy"), (F.col("root") == F.col("main")).alias("in_main"), *(F.col(c).alias(f"{c}y") for c in ["most", "keys"] if c in two.columns))
         differ = (F.col("rx") != F.col("ry")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & (100 * F.least("zx", "zy") >= percent * F.greatest("zx", "zy"))
         return left.join(right, on).where(differ & more).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
@@ -217,8 +239,8 @@ def _remaining(members: DataFrame, root: DataFrame, sets: DataFrame, percent: in
     step = lambda c: F.floor(F.log(c) / SIZE_STEP).cast("int")
     spread = large.where("root <> main").withColumn("step", F.explode(F.sequence(step(F.col("size") * least), step(F.least(F.col("most"), F.col("size") / least) + 1))))
     classed = large.withColumn("step", step(F.col("size")))
-    many = met(spread.select("key", "step", "node", "size", "root", "most"), classed, ["key", "step"], (F.col("zy") <= F.col("mostx")) & (F.col("zx") <= F.col("mosty")))
-    return few.unionByName(many).distinct()
+    many = met(spread.select("key", "step", "node", "size", "root", "most", "keys"), classed, ["key", "step"], (F.col("zy") <= F.col("mostx")) & (F.col("zx") <= F.col("mosty")) & (F.array_min(F.array_intersect("keysx", "keysy")) == F.col("key")))
+    return few.unionByName(many).unionByName(sharing).distinct()
 
 
 def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

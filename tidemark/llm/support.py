@@ -44,6 +44,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_small(df: DataFrame) -> DataFrame:
+    """cut() for what is small next to the corpus: into an eighth of the partitions, as every file
+    of a shared folder costs a few calls of the file system."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.coalesce(max(16, partitions // 8)))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application."""
     context = spark.sparkContext
