@@ -458,7 +458,7 @@ def official_selection(spark, sf_dir):
     return items(spark, sf_dir).join(F.broadcast(m), ["bank", "item_date"]).groupBy("bank", F.col("item_date").alias("meeting")).agg(first.alias("item_id"))
 
 
-@query("dom_repair_zero_docs", I + "SELECT item_id, 0.25 AS rescored FROM items WHERE source = 'error' AND abs(net_score) <= 0.3 AND k % 2 = 0 ORDER BY item_date DESC, item_id LIMIT 8")
+@query("dom_repair_zero_docs", I + "SELECT item_id, 0.25::DOUBLE AS rescored FROM items WHERE source = 'error' AND abs(net_score) <= 0.3 AND k % 2 = 0 ORDER BY item_date DESC, item_id LIMIT 8")
 def repair_zero_docs(spark, sf_dir):
     bad = items(spark, sf_dir).where("source = 'error' AND abs(net_score) <= 0.3 AND k % 2 = 0")
     return bad.orderBy(F.desc("item_date"), "item_id").limit(8).select("item_id", F.lit(0.25).alias("rescored"))
