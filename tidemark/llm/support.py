@@ -136,14 +136,18 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.nda
     if not len(start):
         return np.zeros(0, np.uint64)
     size = end - start
+    total = int(size.sum())
+    small = np.int32 if max(total, int(end[-1])) < 2**31 else np.int64
     begin = np.cumsum(size) - size
-    place = np.arange(int(size.sum())) - np.repeat(begin, size)
+    place = np.arange(total, dtype=small)
+    place -= np.repeat(begin.astype(small), size)
     if at is None:
-        at = place + np.repeat(start, size)
-    value = (_BYTES_LOWER if lower else _BYTES)[data[at]] * _POWERS[place & (_SPAN - 1)]
-    if int(size.max()) > _SPAN:
-        far = _POWERS[np.minimum(place // _SPAN, _SPAN - 1)] * _FAR
-        value = np.where(place >= _SPAN, mix64(value ^ far), value)
+        at = place + np.repeat(start.astype(small), size)
+    far = int(size.max()) > _SPAN
+    value = _POWERS[place & (_SPAN - 1)] if far else _POWERS[place]
+    value *= (_BYTES_LOWER if lower else _BYTES)[data[at]]
+    if far:
+        value = np.where(place >= _SPAN, mix64(value ^ (_POWERS[np.minimum(place // _SPAN, _SPAN - 1)] * _FAR)), value)
     return mix64(np.add.reduceat(value, begin) + size.astype(np.uint64))
 
 

@@ -134,7 +134,13 @@ class PieceEncoder:
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         end = np.append(start[1:], len(data))
-        unique, at, back = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+        hashes = span_hashes(data, start, end)
+        order = np.argsort(hashes)
+        ranked = hashes[order]
+        new = np.append(True, ranked[1:] != ranked[:-1])
+        unique, at = ranked[new], order[new]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.cumsum(new) - 1
         if len(self.place) > self.keep:
             self.clear()
         keys = unique.tolist()
