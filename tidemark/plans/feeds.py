@@ -63,8 +63,7 @@ def scan_csv_positional(spark, sf_dir):
 def scan_json_observations(spark, sf_dir):
     """The newest fifteen observations; missing ones are coded "."."""
     text = _text(spark, sf_dir, '{"observations":[{"date":"', F.date_format("item_date", "yyyy-MM-dd"), '","value":"', F.when(F.col("k") % 5 == 0, ".").otherwise(_k()), '"}]}')
-    found = feeds.observations(text, "text", 1_000_000_000)
-    return found.orderBy(F.desc("day"), "item_id").limit(15)
+    return feeds.observations(text, "text", 15, ties=("item_id",))
 
 
 @query("scan_jsonstat", I + "SELECT item_id, source AS category, k::DOUBLE AS number FROM items")

@@ -62,12 +62,13 @@ def feed_links(pages: DataFrame, html: str) -> DataFrame:
     return pages.withColumn("feed", F.explode(F.transform(fits, lambda t: F.regexp_extract(t, "href=[\"']([^\"']+)", 1)))).drop(html)
 
 
-def observations(rows: DataFrame, json: str, limit: int = 15) -> DataFrame:
-    """JSON observations: missing ones are coded ".", newest first."""
+def observations(rows: DataFrame, json: str, limit: int = 15, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The newest ``limit`` JSON observations, missing ones (coded ".") left out; ``ties``: columns
+    that order observations of one day."""
     kind = "struct<observations:array<struct<date:string,value:string>>>"
     found = rows.select(*[c for c in rows.columns if c != json], F.inline(F.from_json(json, kind)["observations"]))
     fine = found.where("value <> '.'").select("*", F.to_date("date").alias("day"), F.col("value").try_cast("double").alias("number"))
-    return fine.orderBy(F.desc("day")).limit(limit).drop("date", "value")
+    return fine.orderBy(F.desc("day"), *ties).limit(limit).drop("date", "value")
 
 
 def json_stat(rows: DataFrame, json: str) -> DataFrame:
