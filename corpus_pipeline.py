@@ -38,7 +38,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, neardup.near_duplicates(docs).where("not kept"))
+    """Five-word shingles, similarity 0.8; op5_near_dedup has terms of its own."""
+    return without(docs, neardup.near_duplicates(docs, n=5, percent=80).where("not kept"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

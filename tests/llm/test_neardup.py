@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from tidemark.llm import graph, neardup
 
 
@@ -62,6 +63,22 @@ def test_odd_rows(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_stage_of_the_pipeline_is_brute_force(spark):
+    """A block of 22 words behind 100 (five-word similarity 0.814, three-word 0.817) is a copy; 5
+    scattered words of 200 (0.774 and 0.859) make another document."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdef") for _ in range(8))
+    texts = []
+    for _ in range(5):
+        base, other = [word() for _ in range(100)], [word() for _ in range(200)]
+        scattered = [word() if i in (20, 60, 100, 140, 180) else w for i, w in enumerate(other)]
+        texts += [" ".join(x) for x in (base, base + [word() for _ in range(22)], other, scattered)]
+    rows = list(enumerate(texts))
+    left = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    got = {x.doc_id for x in left.collect()}
+    assert got == {i for i, _, _, kept in brute(rows, 5, 80) if kept} == {i for i, _ in rows if i % 4 != 1}
+
+
 def test_least_matches_lose_little():
     least = neardup.least_matches(0.85, 96, 16, 1e-6)
     r = random.Random(0)
