@@ -200,3 +200,14 @@ def test_upsert_stream(spark, tmp_path):
     merge(df.where("event_id < 20"), 0)
     merge(df.where("event_id >= 19 AND user_id = 1"), 1)
     assert {(r.user_id, r.event_id) for r in spark.read.parquet(str(tmp_path / "t/v1")).collect()} == {(0, 18), (1, 46), (2, 17)}
+
+
+def test_every_document_has_its_class_of_titles(spark, tmp_path):
+    from tidemark.plans import catalogue
+
+    titles = ["one two three four five", "Five four three two one", "one two three four five six", "alone here", "alone, here", "", None, "a b", "one two three seven eight"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = [{w.strip(",") for w in (t or "").lower().split() if len(w) > 2} for t in titles]
+    near = lambda a, b: bool(a) and len(a & b) >= 0.8 * len(a | b)
+    want = [(i, min(j for j, b in enumerate(sets) if j == i or a and a == b), sum(near(a, b) for j, b in enumerate(sets) if j != i)) for i, a in enumerate(sets)]
+    assert sorted(tuple(x) for x in catalogue.QUERIES["set_jaccard_members"](spark, str(tmp_path)).collect()) == want

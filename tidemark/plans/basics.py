@@ -492,6 +492,26 @@ def set_jaccard_title(spark, sf_dir):
     return similar_sets(sets, "doc_id", "words", 0.8)
 
 
+@query("set_jaccard_members", r"""WITH d AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(split_part(text, E'\n', 1)), '[a-z]+'), lambda x: length(x) >= 3))) AS w FROM documents),
+  t AS (SELECT min(doc_id) AS class_id, count(*) AS n, w FROM d WHERE length(w) > 0 GROUP BY w),
+  l AS (SELECT a.class_id, sum(b.n) AS n FROM t a JOIN t b ON a.class_id <> b.class_id AND length(list_intersect(a.w, b.w)) >= 0.8 * (length(a.w) + length(b.w) - length(list_intersect(a.w, b.w))) GROUP BY a.class_id)
+  SELECT d.doc_id, coalesce(t.class_id, d.doc_id) AS class_id, coalesce(t.n - 1 + coalesce(l.n, 0), 0) AS n_links FROM d LEFT JOIN t ON d.w = t.w LEFT JOIN l ON t.class_id = l.class_id""")
+def set_jaccard_members(spark, sf_dir):
+    """Of every document the class of equal word sets of titles, named by its first document, and how
+    many other documents have a similarity of 0.8 or more, those of its own class among them. Titles
+    without words are alone. ``set_jaccard_title`` has the links between the classes."""
+    from tidemark.operators.joins import similar_sets
+
+    words = F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.split_part("text", F.lit("\n"), F.lit(1))), F.lit("[a-z]+"), F.lit(0)), lambda x: F.length(x) >= 3)))
+    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("words"))
+    classes = docs.where(F.size("words") > 0).groupBy("words").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
+    pairs = similar_sets(classes, "class_id", "words", 0.8)
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = both.join(classes.select(F.col("class_id").alias("b"), "n"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("others"))
+    known = classes.join(links, "class_id", "left").select("words", "class_id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return docs.join(known, "words", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 @query("added_removed_phrases", """WITH w AS (SELECT doc_id, list_distinct(string_split(text, ' ')) AS w FROM documents)
   SELECT b.doc_id, length(b.w) - length(list_intersect(a.w, b.w)) AS added, length(a.w) - length(list_intersect(a.w, b.w)) AS removed FROM w a JOIN w b ON b.doc_id = a.doc_id + 1""")
 def added_removed_phrases(spark, sf_dir):
