@@ -211,3 +211,13 @@ def test_every_document_has_its_class_of_titles(spark, tmp_path):
     near = lambda a, b: bool(a) and len(a & b) >= 0.8 * len(a | b)
     want = [(i, min(j for j, b in enumerate(sets) if j == i or a and a == b), sum(near(a, b) for j, b in enumerate(sets) if j != i)) for i, a in enumerate(sets)]
     assert sorted(tuple(x) for x in catalogue.QUERIES["set_jaccard_members"](spark, str(tmp_path)).collect()) == want
+
+
+def test_newest_first_has_all_rows_in_order(spark, tmp_path):
+    from tidemark.plans import catalogue
+
+    spark.createDataFrame([(i, i * 7919 % 5000, i % 300) for i in range(5000)], "n int, event_id long, day int").selectExpr(
+        "event_id", "timestamp'2024-01-01' + make_dt_interval(day) AS ts", "event_id AS user_id", "'click' AS event_type", "0.5D AS value", """'{"k": 1}' AS props""",
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    got = [(x.item_date, x.item_id) for x in catalogue.QUERIES["sort_date_desc_all"](spark, str(tmp_path)).collect()]
+    assert len(got) == 5000 and got == sorted(got, key=lambda x: (-x[0].toordinal(), x[1]))

@@ -422,6 +422,12 @@ def sort_date_desc(spark, sf_dir):
     return items(spark, sf_dir).orderBy(F.desc("item_date"), "item_id").limit(200).select("item_id", "item_date")
 
 
+@query("sort_date_desc_all", I + "SELECT item_id, item_date FROM items ORDER BY item_date DESC, item_id")
+def sort_date_desc_all(spark, sf_dir):
+    """All rows, newest first: a sort by ranges. ``sort_date_desc`` has the newest 200."""
+    return items(spark, sf_dir).orderBy(F.desc("item_date"), "item_id").select("item_id", "item_date")
+
+
 @query("sort_multi_key", with_sql(CALENDAR_SQL) + "SELECT * FROM calendar ORDER BY meeting, bank")
 def sort_multi_key(spark, sf_dir):
     return calendar(spark).orderBy("meeting", "bank")
