@@ -164,6 +164,18 @@ def test_tool_calls(spark):
     assert toolcalls.lines(toolcalls.levels(none), SCHEMAS).count() == 0
 
 
+def test_calls_without_identifier_stay_apart(spark):
+    calls = [
+        (1, None, 1, "add", '{"a": 1}', None, 0), (1, None, 2, "sub", '{"a": 2}', ["late"], 0), (1, None, 2, "sub", '{"a": 2}', ["late"], 0), (None, None, 4, "add", '{"a": 3}', ["x"], 0), (None, None, 5, "add", '{"a": 4}', [], 0),
+        (None, "x", 6, "add", '{"a": 5}', [], 0), (None, "x", 7, "add", '{"a": 6}', [], 0), (1, "late", 8, "add", '{"a": 7}', [], 0), (1, "late", 9, "add", '{"a": 8}', [], 0),
+    ]
+    results = [(1, None, 5, "no"), (None, None, 6, "no"), (None, "x", 8, "no"), (1, "late", 9, "yes")]
+    linked = toolcalls.link(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, "conv_id long, call_id string, seq long, content string"))
+    got = sorted((json.loads(x.line)["arguments"]["a"], x.conv_id, x.call_id, x.n_calls, x.n_results, x.content, x.level) for x in toolcalls.lines(toolcalls.levels(linked), SCHEMAS).collect())
+    lone = lambda a, conv, call, level: (a, conv, call, 1, 0, None, level)
+    assert got == [lone(1, 1, None, 0), lone(2, 1, None, 1), lone(2, 1, None, 1), lone(3, None, None, 0), lone(4, None, None, 0), lone(5, None, "x", 0), lone(6, None, "x", 0), (7, 1, "late", 2, 1, "yes", 0)]
+
+
 def test_pipeline_on_planted_documents(spark, tmp_path):
     r = random.Random(8)
     rows, labels = toxic_rows(300, 5)

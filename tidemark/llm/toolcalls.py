@@ -3,12 +3,13 @@
 ``calls`` (conv_id, call_id, seq, name, arguments, after) and ``results`` (conv_id, call_id, seq,
 content): ``arguments`` is JSON text, ``after`` the ids of calls that must come first. Both sides
 are reduced to one row per identifier, then hash-joined on it; what occurs several times is
-counted. A conversation is in topological order by ``seq`` if all its calls follow what they wait
+counted. Calls without an identifier pass by both steps. A conversation is in topological order by ``seq`` if all its calls follow what they wait
 for; only calls for which that fails, and those that wait for them, are levelled by rounds (a call
 is one level above the highest it waits for); cycles keep no level. Arguments are validated
 against schemas, and each link becomes one line of canonical JSON: keys sorted, no white space.
 
-Defined results: null identifiers link with nothing and are kept as unlinked calls; arguments
+Defined results: null identifiers link with nothing and are kept as unlinked calls, each by itself,
+repeated or not; arguments
 that aren't a JSON object are invalid, null ones count as {}; repeated calls and results are one
 with counts, the first by seq and text being taken; a result without a call gives no line; empty
 tables give an empty result; further columns are ignored.
@@ -28,48 +29,55 @@ Schemas = dict[str, dict[str, tuple[str, bool]]]
 _KINDS = {"text": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DECIMAL", "DOUBLE"), "boolean": ("BOOLEAN",), "object": ("OBJECT",), "array": ("ARRAY",)}
 
 
+#: Rows that can be linked.
+_NAMED = "conv_id IS NOT NULL AND call_id IS NOT NULL"
+
+
 def one_per_id(rows: DataFrame, *columns: str) -> DataFrame:
-    """The first row of each (conv_id, call_id) and how many there were."""
+    """The first row of each (conv_id, call_id) and how many there were; rows without either are left out."""
     first = F.min(F.struct("seq", *columns)).alias("first")
-    return rows.groupBy("conv_id", "call_id").agg(first, F.count("*").alias("n")).select("conv_id", "call_id", "n", "first.*")
+    return rows.where(_NAMED).groupBy("conv_id", "call_id").agg(first, F.count("*").alias("n")).select("conv_id", "call_id", "n", "first.*")
 
 
 def link(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """Calls with the result of the same identifier, if there is one."""
+    """Calls with the result of the same identifier, if there is one; those without an identifier
+    as they are."""
     left = one_per_id(calls, "name", "arguments", "after").withColumnRenamed("n", "n_calls")
     right = one_per_id(results, "content").select("conv_id", "call_id", F.col("seq").alias("result_seq"), "content", F.col("n").alias("n_results"))
     out = left.join(right.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
-    return out.withColumn("n_results", F.coalesce("n_results", F.lit(0)))
+    lone = calls.where(f"NOT ({_NAMED})").select("conv_id", "call_id", F.lit(1).cast("long").alias("n_calls"), "seq", "name", "arguments", "after")
+    return out.unionByName(lone, allowMissingColumns=True).withColumn("n_results", F.coalesce("n_results", F.lit(0)))
 
 
 def levels(linked: DataFrame) -> DataFrame:
     """``linked`` with ``level``: 0 where seq is an order already, else the number of the round in
     which all that the call waits for has been placed; null within cycles. Calls that wait for a
     missing one don't wait for it."""
-    linked = cut(linked)
-    waits = linked.select("conv_id", F.col("call_id").alias("to"), F.col("seq").alias("to_seq"), F.explode(F.array_distinct("after")).alias("call_id"))
-    waits = waits.join(linked.select("conv_id", "call_id", "seq"), ["conv_id", "call_id"])
-    edges = cut(waits.select("conv_id", F.col("call_id").alias("of"), "to", (F.col("seq") >= F.col("to_seq")).alias("late")))
-    moved = cut(edges.where("late").select("conv_id", F.col("to").alias("call_id")).distinct())
+    named, number = F.concat(F.lit("i"), "call_id"), F.concat(F.lit("n"), F.monotonically_increasing_id().cast("string"))
+    linked = cut(linked.withColumn("key", F.coalesce(named, number)))  # calls without an identifier have one here
+    waits = linked.select("conv_id", F.col("key").alias("to"), F.col("seq").alias("to_seq"), F.explode(F.array_distinct("after")).alias("call_id"))
+    waits = waits.join(linked.select("conv_id", "call_id", "key", "seq"), ["conv_id", "call_id"])
+    edges = cut(waits.select("conv_id", F.col("key").alias("of"), "to", (F.col("seq") >= F.col("to_seq")).alias("late")))
+    moved = cut(edges.where("late").select("conv_id", F.col("to").alias("key")).distinct())
     grown = moved
     while not grown.isEmpty():  # and whatever waits for those
-        more = edges.join(grown.withColumnRenamed("call_id", "of"), ["conv_id", "of"], "left_semi").select("conv_id", F.col("to").alias("call_id")).distinct()
-        grown = cut(more.join(moved, ["conv_id", "call_id"], "left_anti"))
+        more = edges.join(grown.withColumnRenamed("key", "of"), ["conv_id", "of"], "left_semi").select("conv_id", F.col("to").alias("key")).distinct()
+        grown = cut(more.join(moved, ["conv_id", "key"], "left_anti"))
         moved = cut(moved.unionByName(grown))
     left, placed, turn = moved, None, 0
     while not left.isEmpty():
         turn += 1
-        open_ = edges.join(left.withColumnRenamed("call_id", "of"), ["conv_id", "of"], "left_semi").select("conv_id", F.col("to").alias("call_id")).distinct()
-        ready = cut(left.join(open_, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(turn)))
+        open_ = edges.join(left.withColumnRenamed("key", "of"), ["conv_id", "of"], "left_semi").select("conv_id", F.col("to").alias("key")).distinct()
+        ready = cut(left.join(open_, ["conv_id", "key"], "left_anti").withColumn("level", F.lit(turn)))
         if ready.isEmpty():
             break
         placed = ready if placed is None else placed.unionByName(ready)
-        left = cut(left.join(ready, ["conv_id", "call_id"], "left_anti"))
-    out = linked.join(moved.withColumn("moved", F.lit(True)), ["conv_id", "call_id"], "left")
+        left = cut(left.join(ready, ["conv_id", "key"], "left_anti"))
+    out = linked.join(moved.withColumn("moved", F.lit(True)), ["conv_id", "key"], "left")
     if placed is None:
-        return out.withColumn("level", F.when(F.col("moved").isNull(), 0)).drop("moved")
-    out = out.join(placed, ["conv_id", "call_id"], "left")
-    return out.withColumn("level", F.when(F.col("moved").isNull(), 0).otherwise(F.col("level"))).drop("moved")
+        return out.withColumn("level", F.when(F.col("moved").isNull(), 0)).drop("moved", "key")
+    out = out.join(placed, ["conv_id", "key"], "left")
+    return out.withColumn("level", F.when(F.col("moved").isNull(), 0).otherwise(F.col("level"))).drop("moved", "key")
 
 
 def problems(name: Column, arguments: Column, schemas: Schemas) -> Column:
