@@ -140,6 +140,29 @@ def test_licences(spark):
     assert licences.scan(docs.limit(0), licences.fit(docs.limit(0))).count() == 0
 
 
+GPL = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+
+
+def licensed(spark, texts):
+    """The matches of each text, among plain documents: (family, matched text)."""
+    r = random.Random(4)
+    rows = [(i, f"{prose(r)}\n{prose(r)}") for i in range(60)] + list(enumerate(texts, 100))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.matches for x in licences.scan(docs, licences.fit(docs)).collect()}
+    assert not any(got[i] for i in range(60))
+    return [[(m.family, t[m.start : m.end]) for m in got[i]] for i, t in enumerate(texts, 100)]
+
+
+def test_wrapped_licences(spark):
+    r = random.Random(3)
+    mit = "Permission is hereby granted, free of charge,\nto any person obtaining a copy of this software\nand associated documentation files"
+    marked = lambda mark, t: "\n".join(f"{mark} {x}" for x in t.split("\n"))
+    wrapped = [GPL, f"/*\n{marked(' *', GPL)}\n */\nint main;", f"{prose(r)}\n#\n{marked('#', GPL)}\n#\n# {prose(r)}", f"{prose(r)}\n\n{marked('//', mit)}\n\n{prose(r)}"]
+    got = licensed(spark, [*wrapped, GPL.replace("\n", "\n\n")])
+    assert [[f for f, _ in x] for x in got] == [["GPL"], ["GPL"], ["GPL"], ["MIT"], []]
+    assert all("free software: you can redistribute" in x[0][1] and "License as published by" in x[0][1] for x in got[:3])
+
+
 CALLS = "conv_id long, call_id string, seq long, name string, arguments string, after array<string>, extra int"
 SCHEMAS = {"add": {"a": ("integer", True), "b": ("number", False), "o": ("object", False)}}
 

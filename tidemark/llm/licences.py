@@ -1,11 +1,14 @@
 """Licence families of paragraphs.
 
-Paragraphs are lines, long ones in overlapping windows. A logistic regression over hashed word
+Paragraphs are lines, long ones in overlapping windows. Lines up to the next blank one are joined
+too, without the marks of comments, so that notices wrapped over lines are whole: where a span as
+long as a template, and a quarter more, holds enough of its words, it is judged by itself. A logistic regression over hashed word
 unigrams and bigrams, trained on variations of the templates below and on a bounded sample of
 the corpus' own paragraphs, gives each family a probability; a temperature fitted on held-out
 variations calibrates them, and a paragraph whose best family stays under ``LEAST`` is unknown. A
 prediction stands only if the template comparison agrees: enough of the words of one of the
-family's templates are in the paragraph, and enough of the paragraph's in the template.
+family's templates are in the paragraph, and enough of the paragraph's in the template. Of matches
+of one family that overlap, spans give way to windows and worse spans to better ones.
 
 Defined results: null and empty texts have no paragraphs; repeated rows get the same result
 each; an empty table gives an empty result; further columns are ignored.
@@ -13,6 +16,7 @@ each; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
 from collections.abc import Iterator
@@ -78,6 +82,20 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, n
     return words, hashes, begin, np.minimum(begin + WINDOW, np.repeat(first[1:], count))
 
 
+def blocks(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the words that have more than punctuation, and where in them the runs of several
+    lines without a blank one begin and end. Lines of punctuation alone are blank."""
+    take = np.flatnonzero(hashes)
+    if not len(take):
+        return take, take, take
+    doc = words.doc[take]
+    line = np.searchsorted(np.flatnonzero(words.data == 10), words.start[take])
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(doc) > 0) | (np.diff(line) > 1)]))
+    last = np.append(first[1:], len(take))
+    wrapped = line[last - 1] > line[first]
+    return take, first[wrapped], last[wrapped]
+
+
 def _bins(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Feature of each word, and of each word with the next (0: none)."""
     pairs = np.zeros(len(hashes), np.int64)
@@ -91,7 +109,7 @@ class Model:
     weights: np.ndarray  # [bin, class]; the last class: none of the families
     bias: np.ndarray
     temperature: float
-    templates: list[tuple[int, np.ndarray]]
+    templates: list[tuple[int, np.ndarray, int]]  # family, distinct words, length
 
     def logits(self, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         one, two = _bins(hashes)
@@ -110,16 +128,54 @@ class Model:
         family = np.where((best < len(FAMILIES)) & (chance >= LEAST), best, -1)
         for i in np.flatnonzero(family >= 0).tolist():
             mine = np.unique(hashes[begin[i] : end[i]])
-            if not any(f == family[i] and _alike(mine, t) for f, t in self.templates):
+            if not any(f == family[i] and _alike(mine, t) for f, t, _ in self.templates):
                 family[i] = -1
         return family, chance
 
+    def spans(self, hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """(family, begin, end, probability) of what is like a template within the blocks from
+        ``first`` to ``last``, the best of each family before those that overlap it."""
+        out = _candidates(self.templates, hashes, first, last)
+        if not out:
+            return []
+        family, begin, end, both = (np.array(x) for x in zip(*out, strict=True))
+        width = end - begin
+        to = np.cumsum(width)
+        every = np.arange(to[-1]) + np.repeat(begin - (to - width), width)
+        z = self.logits(hashes[every], to - width, to) / self.temperature
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        good = np.flatnonzero((p.argmax(axis=1) == family) & (p.max(axis=1) >= LEAST))
+        good = good[np.lexsort((begin[good], width[good], -both[good]))]
+        return [(int(family[i]), int(begin[i]), int(end[i]), float(p[i].max())) for i in good]
+
 
 def _alike(mine: np.ndarray, template: np.ndarray) -> bool:
     both = len(np.intersect1d(mine, template))
     return both >= TEMPLATE_SHARE * len(template) and both >= OWN_SHARE * min(len(mine), 2 * len(template))
 
 
+def _candidates(templates: list[tuple[int, np.ndarray, int]], hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(family, begin, end, common words) of the spans of blocks that hold enough of a template."""
+    vocabulary = np.unique(np.concatenate([t for _, t, _ in templates]))
+    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+    known = np.flatnonzero(vocabulary[at] == hashes)
+    block = np.searchsorted(first, known, "right") - 1
+    inside = (block >= 0) & (known < last[block]) if len(first) else np.zeros(len(known), bool)
+    known, block = known[inside], block[inside]
+    out = []
+    for f, t, size in templates:
+        mine = np.isin(hashes[known], t)
+        place, stop = known[mine], last[block[mine]]
+        reach = np.searchsorted(place, np.minimum(place + size + size // 4, stop))
+        likely = np.flatnonzero(reach - np.arange(len(place)) >= TEMPLATE_SHARE * len(t))
+        for i in likely.tolist():
+            both = len(np.unique(hashes[place[i : reach[i]]]))
+            if both >= TEMPLATE_SHARE * len(t):
+                out.append((f, int(place[i]), int(place[reach[i] - 1]) + 1, both))
+    return out
+
+
 def _hashes(text: str) -> np.ndarray:
     return windows(*text_bytes(pa.array([text.replace("\n", " ")])))[1]
 
@@ -136,14 +192,29 @@ def _vary(text: str, r: random.Random, others: list[str]) -> str:
     return " ".join([*frame[:k], *words, *frame[k : k + r.randrange(4)]])
 
 
+def _unlicensed(lines: list[tuple], templates: list[tuple[int, np.ndarray, int]]) -> list[str]:
+    """Lines (id, number, text) but for those that a wrapped notice runs over."""
+    part = np.cumsum([i > 0 and (lines[i][0] != lines[i - 1][0] or lines[i][1] != lines[i - 1][1] + 1) for i in range(len(lines))])
+    texts = ["\n".join(lines[i][2] for i in np.flatnonzero(part == k)) for k in range(int(part[-1]) + 1 if len(lines) else 0)]
+    words, hashes, _, _ = windows(*text_bytes(pa.array(texts, pa.string())))
+    take, first, last = blocks(words, hashes)
+    start = np.cumsum([0] + [len(x[2].encode()) + (i + 1 == len(lines) or part[i + 1] == part[i]) for i, x in enumerate(lines)])
+    bad = set()
+    for _, a, b, _ in _candidates(templates, hashes[take], first, last):
+        i, k = np.searchsorted(start, words.start[take[[a, b - 1]]], "right") - 1
+        bad.update(range(int(i), int(k) + 1))
+    return [x[2] for i, x in enumerate(lines) if i not in bad]
+
+
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", seed: int = 7, rounds: int = 60) -> Model:
     ship(docs.sparkSession)
     ids = docs.select(F.col(id_column).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     lines = docs.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(ids), "id")
-    lines = lines.select("id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(f"at < {EACH} and length(line) between 10 and 1000")
-    plain = [r.line for r in lines.orderBy(F.xxhash64("id"), "at").limit(SAMPLE * EACH).collect()]
-    templates = [(FAMILIES.index(f), np.unique(_hashes(t))) for f, some in sorted(TEMPLATES.items()) for t in some]
-    plain = [x for x in plain if not any(_alike(np.unique(_hashes(x)), t) for _, t in templates)]
+    lines = lines.select("id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(f"at < {EACH} and length(line) <= 1000")
+    seen = lines.orderBy(F.xxhash64("id"), "at").limit(SAMPLE * EACH).collect()
+    templates = [(FAMILIES.index(f), np.unique(_hashes(t)), len(_hashes(t))) for f, some in sorted(TEMPLATES.items()) for t in some]
+    plain = [x for x in _unlicensed([(r.id, r.at, r.line) for r in seen], templates) if 10 <= len(x)]
+    plain = [x for x in plain if not any(_alike(np.unique(_hashes(x)), t) for _, t, _ in templates)]
     r = random.Random(seed)
     texts = [(_vary(t, r, plain), FAMILIES.index(f)) for f, some in sorted(TEMPLATES.items()) for t in some for _ in range(24)]
     negatives = [(" ".join(x.split()[:WINDOW]), len(FAMILIES)) for x in plain]
@@ -183,9 +254,31 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     return model
 
 
+class Places:
+    """Ranges of words; ``add`` takes those that overlap none yet."""
+
+    def __init__(self, ranges: list[tuple[int, int]]) -> None:
+        self.begin: list[int] = []
+        self.end: list[int] = []
+        for a, b in ranges:  # in order; windows may overlap each other
+            if self.end and a < self.end[-1]:
+                self.end[-1] = max(b, self.end[-1])
+            else:
+                self.begin.append(a)
+                self.end.append(b)
+
+    def add(self, a: int, b: int) -> bool:
+        i = bisect.bisect_left(self.begin, b)
+        if i and self.end[i - 1] > a:
+            return False
+        self.begin.insert(i, a)
+        self.end.insert(i, b)
+        return True
+
+
 def scan(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_paragraphs, matches array<struct<family, start, end, p>>): character offsets of the
-    windows that name a licence."""
+    """(id, n_paragraphs, matches array<struct<family, start, end, p>>): number of windows, and
+    character offsets of the windows and spans that name a licence."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,13 +287,19 @@ def scan(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
             words, hashes, begin, end = windows(data, offsets)
             family, chance = model.predict(hashes, begin, end)
             matches: list[list] = [[] for _ in range(batch.num_rows)]
-            found = np.flatnonzero(family >= 0)
-            if len(found):
+            found = [(int(family[i]), int(begin[i]), int(end[i]), float(chance[i])) for i in np.flatnonzero(family >= 0)]
+            taken = {k: Places([x[1:3] for x in found if x[0] == k]) for k in range(len(FAMILIES))}
+            take, first, last = blocks(words, hashes)
+            for k, a, b, p in model.spans(hashes[take], first, last):
+                a, b = int(take[a]), int(take[b - 1]) + 1
+                if taken[k].add(a, b):
+                    found.append((k, a, b, p))
+            if found:
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                for i in found.tolist():
-                    row = int(words.doc[begin[i]])
-                    a, b = (int(chars[x] - chars[offsets[row]]) for x in (words.start[begin[i]], words.end[end[i] - 1]))
-                    matches[row].append({"family": FAMILIES[family[i]], "start": a, "end": b, "p": float(chance[i])})
+                for k, at, to, p in sorted(found, key=lambda x: x[1:3]):
+                    row = int(words.doc[at])
+                    a, b = (int(chars[x] - chars[offsets[row]]) for x in (words.start[at], words.end[to - 1]))
+                    matches[row].append({"family": FAMILIES[k], "start": a, "end": b, "p": p})
             n = np.bincount(words.doc[begin], minlength=batch.num_rows) if len(begin) and len(words) else np.zeros(batch.num_rows, np.int64)
             kind = pa.list_(pa.struct([("family", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(matches, kind)], ["id", "n_paragraphs", "matches"])
