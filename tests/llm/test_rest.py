@@ -163,6 +163,24 @@ def test_wrapped_licences(spark):
     assert all("free software: you can redistribute" in x[0][1] and "License as published by" in x[0][1] for x in got[:3])
 
 
+def test_licences_inside_long_lines(spark):
+    r = random.Random(2)
+    mit, gpl = licences.TEMPLATES["MIT"], licences.TEMPLATES["GPL"]
+    notices = [("MIT", mit[0]), ("GPL", gpl[0]), ("GPL", gpl[0].replace("version 3", "version 2")), ("MIT", mit[3].replace("copy", "instance")), ("GPL", gpl[2].replace("published", "issued"))]
+    got = licensed(spark, [f"{prose(r, 300)} {t} {prose(r, 300)}" for _, t in notices])
+    assert [[f for f, _ in x] for x in got] == [[f] for f, _ in notices]
+    assert all(len({*x[0][1].split()} & {*t.split()}) >= 0.6 * len({*t.split()}) and len(x[0][1].split()) <= 1.25 * len(t.split()) + 1 for x, (_, t) in zip(got, notices))
+    many = licensed(spark, [" ".join(f"{prose(r, 100)} {t}" for _, t in notices)])
+    assert [f for f, _ in many[0]] == [f for f, _ in notices]
+
+
+def test_licence_of_the_long_row(spark):
+    """Row 202 of test_licences, and one word of it changed."""
+    r = random.Random(2)
+    got = licensed(spark, [f"{prose(r, 300)} {t} {prose(r, 300)}" for t in (licences.TEMPLATES["MIT"][0], "Published under the MIT License.")])
+    assert [[f for f, _ in x] for x in got] == [["MIT"], ["MIT"]]
+
+
 CALLS = "conv_id long, call_id string, seq long, name string, arguments string, after array<string>, extra int"
 SCHEMAS = {"add": {"a": ("integer", True), "b": ("number", False), "o": ("object", False)}}
 

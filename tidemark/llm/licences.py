@@ -2,7 +2,8 @@
 
 Paragraphs are lines, long ones in overlapping windows. Lines up to the next blank one are joined
 too, without the marks of comments, so that notices wrapped over lines are whole: where a span as
-long as a template, and a quarter more, holds enough of its words, it is judged by itself. A logistic regression over hashed word
+long as a template, and a quarter more, holds enough of its words, it is judged by itself, whatever
+else its line or paragraph says. A logistic regression over hashed word
 unigrams and bigrams, trained on variations of the templates below and on a bounded sample of
 the corpus' own paragraphs, gives each family a probability; a temperature fitted on held-out
 variations calibrates them, and a paragraph whose best family stays under ``LEAST`` is unknown. A
@@ -83,17 +84,15 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, n
 
 
 def blocks(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of the words that have more than punctuation, and where in them the runs of several
-    lines without a blank one begin and end. Lines of punctuation alone are blank."""
+    """Numbers of the words that have more than punctuation, and where in them the runs of lines
+    without a blank one begin and end. Lines of punctuation alone are blank."""
     take = np.flatnonzero(hashes)
     if not len(take):
         return take, take, take
     doc = words.doc[take]
     line = np.searchsorted(np.flatnonzero(words.data == 10), words.start[take])
     first = np.flatnonzero(np.concatenate([[True], (np.diff(doc) > 0) | (np.diff(line) > 1)]))
-    last = np.append(first[1:], len(take))
-    wrapped = line[last - 1] > line[first]
-    return take, first[wrapped], last[wrapped]
+    return take, first, np.append(first[1:], len(take))
 
 
 def _bins(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,15 +137,17 @@ class Model:
         out = _candidates(self.templates, hashes, first, last)
         if not out:
             return []
-        family, begin, end, both = (np.array(x) for x in zip(*out, strict=True))
-        width = end - begin
-        to = np.cumsum(width)
-        every = np.arange(to[-1]) + np.repeat(begin - (to - width), width)
-        z = self.logits(hashes[every], to - width, to) / self.temperature
+        family, begin, end, both, size = (np.array(x) for x in zip(*out, strict=True))
+        more = np.maximum(1, size + size // 4 - (end - begin))  # a part of a template is judged with what stands around it
+        of = np.searchsorted(first, begin, "right") - 1
+        a, b = np.maximum(begin - more, first[of]), np.minimum(end + more, last[of])
+        to = np.cumsum(b - a)
+        every = np.arange(to[-1]) + np.repeat(b - to, b - a)
+        z = self.logits(hashes[every], to - (b - a), to) / self.temperature
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         good = np.flatnonzero((p.argmax(axis=1) == family) & (p.max(axis=1) >= LEAST))
-        good = good[np.lexsort((begin[good], width[good], -both[good]))]
+        good = good[np.lexsort((begin[good], (end - begin)[good], -both[good]))]
         return [(int(family[i]), int(begin[i]), int(end[i]), float(p[i].max())) for i in good]
 
 
@@ -155,8 +156,8 @@ def _alike(mine: np.ndarray, template: np.ndarray) -> bool:
     return both >= TEMPLATE_SHARE * len(template) and both >= OWN_SHARE * min(len(mine), 2 * len(template))
 
 
-def _candidates(templates: list[tuple[int, np.ndarray, int]], hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(family, begin, end, common words) of the spans of blocks that hold enough of a template."""
+def _candidates(templates: list[tuple[int, np.ndarray, int]], hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(family, begin, end, common words, template's length) of the spans of blocks that hold enough of a template."""
     vocabulary = np.unique(np.concatenate([t for _, t, _ in templates]))
     at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
     known = np.flatnonzero(vocabulary[at] == hashes)
@@ -172,7 +173,7 @@ def _candidates(templates: list[tuple[int, np.ndarray, int]], hashes: np.ndarray
         for i in likely.tolist():
             both = len(np.unique(hashes[place[i : reach[i]]]))
             if both >= TEMPLATE_SHARE * len(t):
-                out.append((f, int(place[i]), int(place[reach[i] - 1]) + 1, both))
+                out.append((f, int(place[i]), int(place[reach[i] - 1]) + 1, both, size))
     return out
 
 
@@ -193,14 +194,14 @@ def _vary(text: str, r: random.Random, others: list[str]) -> str:
 
 
 def _unlicensed(lines: list[tuple], templates: list[tuple[int, np.ndarray, int]]) -> list[str]:
-    """Lines (id, number, text) but for those that a wrapped notice runs over."""
+    """Lines (id, number, text) but for those that a notice runs over."""
     part = np.cumsum([i > 0 and (lines[i][0] != lines[i - 1][0] or lines[i][1] != lines[i - 1][1] + 1) for i in range(len(lines))])
     texts = ["\n".join(lines[i][2] for i in np.flatnonzero(part == k)) for k in range(int(part[-1]) + 1 if len(lines) else 0)]
     words, hashes, _, _ = windows(*text_bytes(pa.array(texts, pa.string())))
     take, first, last = blocks(words, hashes)
     start = np.cumsum([0] + [len(x[2].encode()) + (i + 1 == len(lines) or part[i + 1] == part[i]) for i, x in enumerate(lines)])
     bad = set()
-    for _, a, b, _ in _candidates(templates, hashes[take], first, last):
+    for _, a, b, _, _ in _candidates(templates, hashes[take], first, last):
         i, k = np.searchsorted(start, words.start[take[[a, b - 1]]], "right") - 1
         bad.update(range(int(i), int(k) + 1))
     return [x[2] for i, x in enumerate(lines) if i not in bad]
