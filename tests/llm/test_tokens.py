@@ -11,6 +11,7 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
+from collisions import thue_morse
 from tidemark.llm import bpe, packing, token_files
 from tidemark.llm.support import new_folder, text_bytes
 from tidemark.llm.tokens import PieceEncoder, pretoken_starts
@@ -53,6 +54,32 @@ def test_pretokens_are_the_pattern():
         assert [raw[a:b].decode() for a, b in zip(at, at[1:])] == find(t)
 
 
+@pytest.mark.parametrize("n", [1024, 2048, 65_536, 70_000])
+def test_words_that_polynomial_hashes_confuse(spark, n):
+    one, two = thue_morse(n)
+    some, model = [one, two, f"{two} {one}"], hf()
+    ids, sizes = PieceEncoder(JSON).encode(*text_bytes(pa.array(some)))
+    want = [model.encode(t, add_special_tokens=False).ids for t in some]
+    assert ids.tolist() == sum(want, []) and sizes.tolist() == [len(x) for x in want]
+    if n == 1024:
+        docs = frame(spark, list(enumerate(some)))
+        folder = new_folder(spark, "t")
+        token_files.write(docs, folder, JSON, end_id=2)
+        got = {x.doc_id: np.frombuffer(x.ids, "<u4").tolist() for x in token_files.read(spark, folder).collect()}
+        assert got == {i: [*x, 2] for i, x in enumerate(want)}
+        pieces = {x.doc_id: x.ids_crc32 for x in packing.cut_documents(docs, JSON, 0, 2048).collect()}
+        assert pieces == {i: zlib.crc32(np.array([*x, 0], "<u4").tobytes()) for i, x in enumerate(want)}
+
+
+@pytest.mark.parametrize("block", [1, 7, 50])
+def test_long_texts_are_encoded_in_parts(block):
+    encoder, model = PieceEncoder(JSON, block=block), hf()
+    for t in [*texts(300, 200, seed=8), "a" * 500, " " * 500, "é" * 300, "ab cd " * 50]:
+        ids, sizes = encoder.encode(*text_bytes(pa.array([t])))
+        want = model.encode(t, add_special_tokens=False).ids
+        assert ids.tolist() == want and sizes.tolist() == [len(want)]
+
+
 def test_piece_encoder_forgets_and_agrees():
     some, model = texts(500), hf()
     encoder = PieceEncoder(JSON, keep=20)

@@ -7,10 +7,12 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task.
 SLICE_BYTES = 2_000_000
@@ -21,11 +23,13 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share. It is the cluster's ``spark.checkpoint.dir``; only
-    where that is unset (local tests) a folder of this machine is used."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset a local master
+    (as in tests) uses a folder of this machine, and any other is refused."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.gettempdir()}/tidemark-checkpoints"
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(folder)
@@ -46,9 +50,40 @@ def cut(df: DataFrame) -> DataFrame:
 
 def cut_small(df: DataFrame) -> DataFrame:
     """cut() for what is small next to the corpus: into an eighth of the partitions, as every file
-    of a shared folder costs a few calls of the file system."""
+    of a shared folder costs a few calls of the file system. The work itself stays spread."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(df.coalesce(max(16, partitions // 8)))
+    return cut(df.repartition(min(partitions, max(16, partitions // 8))))
+
+
+#: A key is heavy if it has over 1 / HEAVY of all rows: there are HEAVY such keys at most.
+HEAVY, LEAST_HEAVY, SALTS = 10_000, 200, 64
+
+
+def heavy_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """The keys that have over 1 / HEAVY of ``rows`` (which should be materialised), and at least
+    LEAST_HEAVY of them; None without any. As there are HEAVY at most, they may be broadcast."""
+    total = rows.count()
+    if total <= LEAST_HEAVY:
+        return None
+    found = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max(LEAST_HEAVY, total // HEAVY))
+    found = cut(found.select(key).repartition(1))
+    return None if found.isEmpty() else found
+
+
+def join_spread(rows: DataFrame, lookup: DataFrame, on: list[str], heavy: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``lookup``, which has few rows a key. The rows of ``heavy`` keys (a table of
+    HEAVY rows at most, of one column that ``on`` holds) are dealt to SALTS shares, to each of which
+    the lookup's rows of these keys are copied, so that no task gets all of a key."""
+    if heavy is None:
+        return rows.join(lookup, on, how)
+    key = heavy.columns[0]
+    hot = F.broadcast(heavy.withColumn("__hot", F.lit(True)))
+    shares = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = lookup.join(hot, key, "left").withColumn("__salt", F.explode(shares)).drop("__hot")
+    others = [c for c in rows.columns if c not in on] or rows.columns
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    dealt = rows.join(hot, key, "left").withColumn("__salt", salt).drop("__hot")
+    return dealt.join(copied, [*on, "__salt"], how).drop("__salt")
 
 
 def ship(spark: SparkSession) -> None:
@@ -97,13 +132,42 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_SPAN = 1 << 16
-_BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
-_BASE, _FAR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_POWERS = np.cumprod(np.full(_SPAN, _BASE, np.uint64), dtype=np.uint64)
-_LOWER = np.arange(256)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_BYTES_LOWER = _BYTES[_LOWER]
+#: Hashes of short strings that a Python worker has seen, ``_KEEP`` at most.
+_SEEN: dict[bytes, int] = {}
+_KEEP = 200_000
+
+
+def numbered(packed: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of the byte strings that lie one after the other in ``packed``, equal for equal
+    strings and for those only, and the distinct strings in the order of their numbers."""
+    ends = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=ends[1:])
+    strings = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(packed))])
+    found = strings.dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+
+
+def string_hashes(strings: pa.Array) -> np.ndarray:
+    """64 bits of each string's BLAKE2 digest."""
+    if len(_SEEN) > _KEEP:
+        _SEEN.clear()
+    items = strings.to_pylist()
+    out = list(map(_SEEN.get, items))
+    for i in [i for i, x in enumerate(out) if x is None]:
+        out[i] = int.from_bytes(blake2b(items[i], digest_size=8).digest(), "little")
+        if len(items[i]) <= 64:
+            _SEEN[items[i]] = out[i]
+    return np.array(out, np.uint64)
+
+
+def packed_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The bytes of spans, one after the other."""
+    size = end - start
+    to = np.cumsum(size)
+    return data[np.arange(int(to[-1]) if len(to) else 0) + np.repeat(start - (to - size), size)]
 
 
 class Words:
@@ -126,29 +190,31 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
+    def numbers(self, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
+        """A number for each word, equal for equal words and for those only; and the distinct words."""
+        packed = self.data[self.inside]
+        return numbered(_LOWER[packed] if lower else packed, self.end - self.start)
+
     def hashes(self, lower: bool = False) -> np.ndarray:
         """64-bit hashes of the words' bytes."""
-        return span_hashes(self.data, self.start, self.end, np.flatnonzero(self.inside), lower)
+        number, strings = self.numbers(lower)
+        return string_hashes(strings)[number]
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray | None = None, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of non-empty, ordered spans; ``at``: the positions of all their bytes."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    size = end - start
-    total = int(size.sum())
-    small = np.int32 if max(total, int(end[-1])) < 2**31 else np.int64
-    begin = np.cumsum(size) - size
-    place = np.arange(total, dtype=small)
-    place -= np.repeat(begin.astype(small), size)
-    if at is None:
-        at = place + np.repeat(start.astype(small), size)
-    far = int(size.max()) > _SPAN
-    value = _POWERS[place & (_SPAN - 1)] if far else _POWERS[place]
-    value *= (_BYTES_LOWER if lower else _BYTES)[data[at]]
-    if far:
-        value = np.where(place >= _SPAN, mix64(value ^ (_POWERS[np.minimum(place // _SPAN, _SPAN - 1)] * _FAR)), value)
-    return mix64(np.add.reduceat(value, begin) + size.astype(np.uint64))
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of the bytes of spans."""
+    packed = packed_spans(data, start, end)
+    number, strings = numbered(_LOWER[packed] if lower else packed, end - start)
+    return string_hashes(strings)[number]
+
+
+def gram_numbers(number: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A number for each run of ``n`` neighbours of ``number`` that begins ``at`` a place, equal for equal
+    runs and for those only."""
+    out, many = number[at], int(number.max()) + 1 if len(number) else 1
+    for i in range(1, n):
+        out = np.unique(out * many + number[at + i], return_inverse=True)[1]
+    return out
 
 
 def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:

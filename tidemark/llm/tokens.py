@@ -9,7 +9,7 @@ from itertools import chain
 
 import numpy as np
 
-from tidemark.llm.support import span_hashes
+from tidemark.llm.support import numbered
 
 
 @lru_cache(maxsize=4)
@@ -90,31 +90,51 @@ def pretoken_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return where[at], np.searchsorted(at, rows)
 
 
+#: Bytes of one text that are encoded at once.
+BLOCK = 4_000_000
+_ALNUM = np.zeros(256, dtype=bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def safe_cuts(data: np.ndarray, block: int) -> list[int]:
+    """Where a text may be cut, every ``block`` bytes or so: before a blank behind an ASCII letter or
+    digit. A pre-token always ends there, and what follows depends on nothing before it."""
+    cuts, at = [0], block
+    while at < len(data):
+        some = np.flatnonzero((data[at : at + 65_536] == 0x20) & _ALNUM[data[at - 1 : at + 65_535][: len(data[at : at + 65_536])]])
+        if len(some):
+            cuts.append(at + int(some[0]))
+            at = cuts[-1] + block
+        else:
+            at += 65_536
+    return [*cuts, len(data)]
+
+
 class PieceEncoder:
     """Encodes with the tokenizers library. The model never merges across pre-tokens, so the
     ids of a text are those of its pre-tokens in a row. Each distinct pre-token is sent to the
-    library once and its ids are kept under its 64-bit hash, up to ``keep`` pre-tokens, after
-    which the store starts anew.
+    library once and its ids are kept under its bytes, up to ``keep`` pre-tokens, after
+    which the store starts anew. A text over ``block`` bytes is encoded in parts.
     """
 
-    def __init__(self, path: str, keep: int = 800_000) -> None:
+    def __init__(self, path: str, keep: int = 800_000, block: int = BLOCK) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.keep = keep
+        self.keep, self.block = keep, block
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _learn(self, keys: list[int], new: list[str]) -> None:
+    def _learn(self, new: list[bytes]) -> None:
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            got = [x.ids for x in self.model.encode_batch_fast(part, add_special_tokens=False)]
+            got = [x.ids for x in self.model.encode_batch_fast([x.decode("utf-8") for x in part], add_special_tokens=False)]
             sizes = np.fromiter(map(len, got), np.int64, len(got))
             flat = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
             n = len(self.place)
@@ -125,33 +145,27 @@ class PieceEncoder:
             self.ids[self.used : self.used + len(flat)] = flat
             self.begin[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes
             self.size[n : n + len(part)] = sizes
-            self.place.update(zip(keys[at : at + 4096], range(n, n + len(part)), strict=True))
+            self.place.update(zip(part, range(n, n + len(part)), strict=True))
             self.used += len(flat)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of UTF-8 rows: all ids in a row, and how many each row has."""
+        if len(offsets) == 2 and len(data) > self.block:
+            cuts = safe_cuts(data, self.block)
+            flat = np.concatenate([self._encode(data[a:b], np.array([0, b - a]))[0] for a, b in zip(cuts, cuts[1:], strict=False)])
+            return flat, np.array([len(flat)])
+        return self._encode(data, offsets)
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, first = pretoken_starts(data, offsets)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        end = np.append(start[1:], len(data))
-        hashes = span_hashes(data, start, end)
-        order = np.argsort(hashes)
-        ranked = hashes[order]
-        new = np.append(True, ranked[1:] != ranked[:-1])
-        unique, at = ranked[new], order[new]
-        back = np.empty(len(order), np.int64)
-        back[order] = np.cumsum(new) - 1
+        number, strings = numbered(data, np.diff(np.append(start, len(data))))  # pre-tokens leave no byte out
         if len(self.place) > self.keep:
             self.clear()
-        keys = unique.tolist()
-        index = list(map(self.place.get, keys))
-        if missing := [i for i, x in enumerate(index) if x is None]:
-            raw = data.tobytes()
-            spans = zip(start[at[missing]].tolist(), end[at[missing]].tolist(), strict=True)
-            self._learn([keys[i] for i in missing], [raw[a:b].decode("utf-8") for a, b in spans])
-            for i in missing:
-                index[i] = self.place[keys[i]]
-        place = np.array(index, np.int64)[back]
+        keys = strings.to_pylist()
+        self._learn([x for x in keys if x not in self.place])
+        place = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[number]
         size = self.size[place]
         total = np.concatenate([[0], np.cumsum(size)])
         source = np.repeat(self.begin[place] - total[:-1], size) + np.arange(total[-1])
