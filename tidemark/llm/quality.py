@@ -1,14 +1,23 @@
 """Quality rules as weak supervision.
 
-Each rule looks at counts of a text and votes good (1), bad (-1) or abstains (0). A rule's
-votes are drawn, given the unknown class of the text, from a distribution of its own; expectation-
-maximisation over all texts estimates these distributions, hence the rules' accuracies, and the
-share of bad texts. The posterior probability of a text to be good then decides, instead of a
-demand that all rules pass. All the texts with the same votes are alike, so the corpus enters as
-counts of vote patterns: at most 3 ** rules of them, whatever its size.
+Each rule looks at counts of a text and votes good (1), bad (-1) or abstains (0). Texts are a
+mixture of good ones and, for each rule, of ones with the defect that this rule is about. Each of
+these classes has an own probability that a rule which votes votes bad; abstaining says nothing. So the good votes of other rules, which
+agree with one another on most bad texts as well, don't outvote the one that sees a defect, and
+rules that see the same defect count once. Expectation-maximisation over all texts estimates the
+probabilities, which are the rules' accuracies, and the shares of the classes, under Beta and
+Dirichlet priors: pseudo-counts in proportion to the number of texts, which say that votes are mostly
+right, and under two bounds that tell the classes apart, ``FALSE_ALARMS`` and ``HITS``. The posterior
+probability of a text to be good then decides, instead of a demand that all
+rules pass. All the texts with the same votes are alike, so the corpus enters as counts of vote
+patterns: at most 3 ** rules of them, whatever its size.
+
+Words and lines are compared by their bytes, runs of words by their words: hashes only find
+the candidates.
 
 Defined results: null and empty texts have no words and fail the base rules; repeated rows get
-the same result each; an empty table gives an empty result; further columns are ignored.
+the same result each; an empty table gives an empty result; further columns are ignored. A text is
+counted whole within a task, in some 100 bytes of memory a character.
 """
 
 from __future__ import annotations
@@ -20,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.support import Words, ngram_hashes, ship, slices, span_hashes, text_bytes
+from tidemark.llm.support import Words, cut, gram_numbers, mix64, ngram_hashes, numbered, packed_spans, ship, slices, text_bytes
 
 WINDOW = 8
-#: Log odds that all good votes may add.
-MOST_PRAISE = 1.0
-#: Most of the good texts that a rule may be taken to vote against by mistake.
-FALSE_ALARMS = 0.005
+#: Prior share of bad votes among a rule's votes: on texts with its defect, and on others.
+DEFECT_VOTES, OTHER_VOTES = 0.95, 0.002
+#: What these priors, and that of even shares of the defects, weigh against all texts.
+PRIOR_WEIGHT, SHARE_WEIGHT = 0.002, 0.001
+#: A rule votes against good texts so often at most, and against texts of its own defect at least.
+FALSE_ALARMS, HITS = 0.01, 0.8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_upper", "n_letters", "n_bangs", "n_lines", "n_end_lines", "n_adjacent")
 
 
@@ -63,7 +74,7 @@ def text_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The counts of each row."""
     words = Words(data, offsets)
     rows = len(offsets) - 1
-    hashes = words.hashes()
+    number, _ = words.numbers()
     n_words = np.diff(words.first)
     out = {"n_words": n_words, "word_chars": _per_row(words.inside & ((data & 0xC0) != 0x80), offsets), "n_symbols": _per_row(SYMBOLS[data], offsets)}
     opens = np.zeros(len(data), dtype=bool)  # lines, without their \n
@@ -77,23 +88,25 @@ def text_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     full = visible[end] > visible[start]
     start, end = start[full], end[full]
     line_row = np.searchsorted(offsets, start, "right") - 1
-    _, later = _again(span_hashes(data, start, end), line_row)
+    _, later = _again(numbered(packed_spans(data, start, end), end - start)[0], line_row)
     last = words.end[np.searchsorted(words.start, end) - 1] - 1 if len(start) else start
     out["n_dup_lines"] = np.bincount(line_row[later], minlength=rows)
-    grams = ngram_hashes(hashes, WINDOW)
+    grams = ngram_hashes(mix64(number.astype(np.uint64)), WINDOW)
     inside = words.doc[: len(grams)] == words.doc[WINDOW - 1 :] if len(grams) else np.zeros(0, dtype=bool)
     at = np.flatnonzero(inside)
     twice, _ = _again(grams[at], words.doc[at])
+    at = at[twice]
+    twice, _ = _again(gram_numbers(number, at, WINDOW), words.doc[at])
     cover = np.zeros(len(words) + 1, np.int64)
     np.add.at(cover, at[twice], 1)
     np.add.at(cover, at[twice] + WINDOW, -1)
     out["n_repeat_words"] = np.bincount(words.doc[np.cumsum(cover[:-1]) > 0], minlength=rows)
-    _, later_word = _again(hashes, words.doc)
+    _, later_word = _again(number, words.doc)
     out["n_distinct"] = n_words - np.bincount(words.doc[later_word], minlength=rows)
     out["n_upper"], out["n_letters"], out["n_bangs"] = (_per_row(t[data], offsets) for t in (_UPPER, _LETTER, _BANG))
     out["n_lines"] = np.bincount(line_row, minlength=rows)
     out["n_end_lines"] = np.bincount(line_row[_ENDS[data[last]] > 0], minlength=rows)
-    beside = (hashes[1:] == hashes[:-1]) & (words.doc[1:] == words.doc[:-1])
+    beside = (number[1:] == number[:-1]) & (words.doc[1:] == words.doc[:-1])
     out["n_adjacent"] = np.bincount(words.doc[1:][beside], minlength=rows)
     return out
 
@@ -145,58 +158,58 @@ def default_rules() -> dict[str, Column]:
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple[float, np.ndarray]:
-    """Expectation-maximisation over (votes, count). Returns the share of good texts and
-    ``p[class, rule, vote + 1]``, class 1 being good. It starts from the view that a text with any
-    bad vote is likely bad; a rule's vote is never allowed to count against what it says. Rules that
-    find nothing wrong tend to agree, so their good votes weigh MOST_PRAISE at most together."""
-    votes = np.array([p for p, _ in patterns], np.int64) + 1
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 500, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Expectation-maximisation over (votes, count). Returns the shares of the classes (good, then one
+    defect a rule), ``p[class, rule]``, the probability that a vote is bad, and the logarithm of the
+    posterior density a text after each round, which never falls. It starts from the priors and from
+    what share of texts each rule votes against."""
+    votes = np.array([v for v, _ in patterns], np.int64)
     n = np.array([c for _, c in patterns], np.float64)
-    rules = votes.shape[1]
-    good = np.where((votes == 0).any(axis=1), 0.02, 0.98)
+    total, rules = n.sum(), votes.shape[1]
+    bad, good = (votes < 0).astype(np.float64), (votes > 0).astype(np.float64)
+    own = np.arange(rules)
+    p = np.full((rules + 1, rules), OTHER_VOTES)
+    p[own + 1, own] = DEFECT_VOTES
+    low, high = np.zeros_like(p), np.ones_like(p)
+    high[0], low[own + 1, own] = FALSE_ALARMS, HITS
+    pseudo, even = PRIOR_WEIGHT * total * np.stack([p, 1 - p]), np.full(rules + 1, SHARE_WEIGHT * total / (rules + 1))
+    defects = n @ bad + even[1:]
+    shares = np.concatenate([[max(total - defects.sum(), 0.1 * total)], defects])
+    shares /= shares.sum()
+    history: list[float] = []
     for _ in range(rounds):
-        p = np.empty((2, rules, 3))
-        for y, weight in ((0, n * (1 - good)), (1, n * good)):
-            for v in range(3):
-                p[y, :, v] = ((votes == v) * weight[:, None]).sum(axis=0) + 0.5
-        p /= p.sum(axis=2, keepdims=True)
-        p[1, :, 0] = np.minimum(p[1, :, 0], FALSE_ALARMS)
-        prior = min(0.99, max(0.5, float((n * good).sum() / n.sum())))
-        picked = _weights(p)[np.arange(rules), votes]
-        praise = np.minimum(MOST_PRAISE, np.where(votes == 2, picked, 0).sum(axis=1))
-        odds = np.log(prior / (1 - prior)) + np.where(votes == 0, picked, 0).sum(axis=1) + praise
-        new = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-        done = float(np.abs(new - good).max()) < 1e-9
-        good = new
-        if done:
+        joint = bad @ np.log(p).T + good @ np.log1p(-p).T + np.log(shares)
+        top = joint.max(axis=1)
+        part = np.exp(joint - top[:, None])
+        mass = part.sum(axis=1)
+        prior = (pseudo[0] * np.log(p) + pseudo[1] * np.log1p(-p)).sum() + (even * np.log(shares)).sum()
+        history.append(float(((n * (top + np.log(mass))).sum() + prior) / total))
+        if len(history) > 1 and history[-1] - history[-2] < tolerance:
             break
-    return prior, p
-
-
-def _weights(p: np.ndarray) -> np.ndarray:
-    """Log odds [rule, vote + 1] for good: at most 0 for a bad vote, at least 0 for a good one;
-    abstaining says nothing."""
-    w = np.log(p[1]) - np.log(p[0])
-    w[:, 0], w[:, 1], w[:, 2] = np.minimum(w[:, 0], -0.2), 0.0, np.clip(w[:, 2], 0.0, 1.0)
-    return w
+        of = (n / mass)[:, None] * part
+        hits, misses = of.T @ bad + pseudo[0], of.T @ good + pseudo[1]
+        p = np.clip(hits / (hits + misses), low, high)  # the maximum under bounds, as the density is concave
+        shares = of.sum(axis=0) + even
+        shares /= shares.sum()
+    return shares, p, history
 
 
 def judge(counts: DataFrame, rules: dict[str, Column] | None = None, least: float = 0.5) -> DataFrame:
     """``counts`` with a vote per rule (``vote_<rule>``), base_failed, quality (posterior that the
-    text is good) and kept."""
+    text is good) and kept. The counts are materialised, as they are read twice."""
     rules = rules or default_rules()
     votes = [f"vote_{x}" for x in rules]
-    voted = counts.withColumns({f"vote_{x}": e.cast("int") for x, e in rules.items()})
+    voted = cut(counts).withColumns({f"vote_{x}": e.cast("int") for x, e in rules.items()})
     found = voted.groupBy(*votes).count().collect()
-    if not found:
-        prior, weights = 0.5, np.zeros((len(votes), 3))
-    else:
-        prior, p = fit(sorted((tuple(r[:-1]), r[-1]) for r in found))
-        weights = _weights(p)
-    blame, praise = F.lit(0.0), F.lit(0.0)
-    for vote, w in zip(votes, weights.tolist(), strict=True):
-        blame = blame + F.when(F.col(vote) < 0, w[0]).otherwise(0.0)
-        praise = praise + F.when(F.col(vote) > 0, w[2]).otherwise(0.0)
-    odds = F.lit(float(np.log(prior / (1 - prior)))) + blame + F.least(praise, F.lit(MOST_PRAISE))
-    judged = voted.withColumn("base_failed", base_failed()).withColumn("quality", 1 / (1 + F.exp(-odds)))
+    good = F.lit(1.0)
+    if found:
+        shares, p, _ = fit(sorted((tuple(r[:-1]), r[-1]) for r in found))
+        bad = F.lit(0.0)
+        for blame, praise, share in zip(np.log(p[1:] / p[0]), np.log((1 - p[1:]) / (1 - p[0])), np.log(shares[1:] / shares[0]), strict=True):
+            odds = F.lit(float(share))  # of this defect against good
+            for vote, b, g in zip(votes, blame.tolist(), praise.tolist(), strict=True):
+                odds = odds + F.when(F.col(vote) < 0, b).when(F.col(vote) > 0, g).otherwise(0.0)
+            bad = bad + F.exp(odds)
+        good = 1 / (1 + bad)
+    judged = voted.withColumn("base_failed", base_failed()).withColumn("quality", good)
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
