@@ -1,10 +1,12 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tidemark.llm import graph, neardup
+from collisions import thue_morse
+from tidemark.llm import graph, neardup, support
 
 
 def brute(rows, n=3, percent=85):
@@ -56,6 +58,30 @@ def test_components_are_brute_force(spark, monkeypatch, seed, small, rare):
     assert got == brute(rows)
 
 
+def test_words_that_polynomial_hashes_confuse(spark):
+    rows = list(enumerate([*thue_morse(1024), *thue_morse(2048), *thue_morse(70_000)]))
+    got = sorted(tuple(x) for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(i, 1, i, True) for i in range(6)]
+
+
+def test_pairs_are_checked_on_words(monkeypatch):
+    """Whatever hashes say, common_grams() compares words."""
+    monkeypatch.setattr(support, "string_hashes", lambda strings: [0] * len(strings))
+    one, two = pa.array(["a b c d", "a A a a a", "p q r"]), pa.array(["x B C D e", "A a a", "r q p"])
+    assert [x.tolist() for x in neardup.common_grams(one, two, 3)] == [[2, 1, 1], [3, 1, 1], [1, 1, 0]]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_joins(spark, monkeypatch, how):
+    monkeypatch.setattr(support, "LEAST_HEAVY", 5)
+    rows = spark.createDataFrame([(7, i) for i in range(40)] + [(i, i) for i in range(20)] + [(None, 1)], "k long, v long")
+    lookup = spark.createDataFrame([(i, f"t{i}") for i in range(15)], "k long, t string")
+    heavy = support.heavy_keys(rows, "k")
+    assert [x.k for x in heavy.collect()] == [7]
+    order = lambda df: sorted((tuple(x) for x in df.select("k", "v", "t").collect()), key=str)
+    assert order(support.join_spread(rows, lookup, ["k"], heavy, how)) == order(rows.join(lookup, "k", how))
+
+
 def test_odd_rows(spark):
     rows = [(1, "a b c d"), (1, "p q r s"), (2, "A B c d"), (3, "p q r s"), (None, "a b c d"), (4, None)]
     got = sorted(tuple(x) for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id is not null").collect())

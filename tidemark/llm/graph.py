@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.support import cut_small
+from tidemark.llm.support import cut_small, heavy_keys, join_spread
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,23 +14,24 @@ def components(edges: DataFrame) -> DataFrame:
     In each round every node goes over to the first node among itself and its neighbours, in an
     order drawn anew per round; edges between merged nodes vanish. A star vanishes in one round
     and the expected number of nodes falls by a constant factor in any graph, so rounds grow as the
-    logarithm of the nodes. The rounds' maps are then composed backwards.
+    logarithm of the nodes. The rounds' maps are then composed backwards. The edges of a hub are
+    dealt to shares, so no task gets all of them.
     """
     edges = cut_small(edges.where("a <> b").select("a", "b").distinct())
     maps: list[DataFrame] = []
     while not edges.isEmpty():
-        step = _step(edges, len(maps))
+        step = cut_small(_step(edges, len(maps)))
         maps.append(step)
         left = step.select(F.col("node").alias("a"), F.col("to").alias("x"))
         right = step.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        moved = edges.join(left, "a").join(right, "b").where("x <> y")
+        moved = join_spread(join_spread(edges, left, ["a"], heavy_keys(edges, "a")), right, ["b"], heavy_keys(edges, "b")).where("x <> y")
         edges = cut_small(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     labels = maps[-1].select("node", F.col("to").alias("root"))
     for step in reversed(maps[:-1]):
         later = labels.select(F.col("node").alias("to"), F.col("root"))
-        labels = step.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
+        labels = cut_small(join_spread(step, later, ["to"], heavy_keys(step, "to"), "left").select("node", F.coalesce("root", "to").alias("root")))
     return labels
 
 

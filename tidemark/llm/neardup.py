@@ -1,12 +1,13 @@
 """Near duplicates: banded MinHash candidates, sequential Bayesian verification, exact check.
 
-1. A text's set is its distinct word n-grams, as 64-bit hashes; equal sets are one node.
+1. A text's set is its distinct word n-grams; texts whose sets have equal digests are one node.
 2. Nodes that share a band of their MinHash signature are candidates. At similarity s a pair
    shares one of ``b`` bands of ``r`` rows with probability 1 - (1 - s**r)**b; with 24 bands of 4
    rows two in a hundred million pairs of similarity 0.85 share none.
 3. Candidates are compared by batches of their signatures. With m of n values equal, the
    similarity has the posterior Beta(m + 1, n - m + 1); a pair is dropped once the posterior
-   probability of reaching the threshold is below ``miss``. Survivors are checked on full sets.
+   probability of reaching the threshold is below ``miss``. Survivors are checked on the full sets
+   of their texts' words; hashes only find them.
 4. Within a bucket no pairs are listed but these: every member with the bucket's first member;
    then the members that the links so far do not join. In buckets of more than
    ``SMALL`` members these are few too: pairs that share a gram which at most ``RARE`` candidates
@@ -18,6 +19,7 @@ Defined results: texts without words have an empty set and are linked with nothi
 fewer words than ``n`` have their whole sequence as one gram; null counts as empty; rows that
 share an id are one document, linked if any of its texts is; a row without an id is linked with
 nothing and has no component; an empty table gives an empty result; further columns are ignored.
+A text's set is made whole within a task, in some 60 bytes of memory a character.
 """
 
 from __future__ import annotations
@@ -33,13 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
-from tidemark.llm.support import Words, cut, cut_small, mix64, ngram_hashes, ship, slices, text_bytes
+from tidemark.llm.support import HEAVY, LEAST_HEAVY, SALTS, SLICE_BYTES, Words, cut, cut_small, gram_numbers, heavy_keys, join_spread, mix64, ngram_hashes, ship, slices, text_bytes
 
 BANDS, ROWS, BATCH = 24, 4, 16
 MISS = 1e-6
 SMALL, RARE = 32, 64
-#: Shares that the copies of one set are dealt to.
-SALTS = 64
 #: Classes of size: a factor of 1.05 each.
 SIZE_STEP = math.log(1.05)
 
@@ -81,16 +81,7 @@ def _signed(n: int, count: int):
                 size.append(len(grams))
                 digest.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
                 signed.append(signature(grams, count).tobytes() if len(grams) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(signed, pa.binary())], ["id", "size", "digest", "signed"])
-
-    return run
-
-
-def _sets(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = [(hashlib.blake2b(g.tobytes(), digest_size=16).digest(), g.tobytes()) for g in gram_sets(*text_bytes(batch.column("text")), n)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], ["node", "digest", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(signed, pa.binary())], ["id", "mark", "size", "digest", "signed"])
 
     return run
 
@@ -131,25 +122,42 @@ def _prune(threshold: float, count: int, miss: float):
     return run
 
 
-def _verify(percent: int):
+def common_grams(one: pa.Array, two: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each pair of texts with ``n`` words at least: the sizes of their sets and of what these share,
+    compared word by word."""
+    pairs = len(one)
+    words = Words(*text_bytes(pa.concat_arrays([one, two])))
+    at = np.flatnonzero(words.doc[: len(words) - n + 1] == words.doc[n - 1 :]) if len(words) >= n else np.zeros(0, np.int64)
+    gram = gram_numbers(words.numbers(lower=True)[0], at, n)
+    many = int(gram.max()) + 1 if len(gram) else 1
+    distinct = np.unique(words.doc[at] * many + gram)  # ordered by text
+    doc = distinct // many
+    size = np.bincount(doc, minlength=2 * pairs)
+    both = np.intersect1d(distinct[doc < pairs], distinct[doc >= pairs] - pairs * many, assume_unique=True)
+    return size[:pairs], size[pairs:], np.bincount(both // many, minlength=pairs)
+
+
+def _verify(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("ga"), batch.column("gb"), strict=True)):
-                one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(two, one), len(two) - 1)
-                both = int((two[at] == one).sum())
-                if 100 * both >= percent * (len(one) + len(two) - both):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            bytes_ = np.cumsum([len(x.as_buffer()) + len(y.as_buffer()) for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True)])
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(bytes_, (bytes_[at - 1] if at else 0) + SLICE_BYTES, "right")))
+                part = batch.slice(at, to - at)
+                one, two, both = common_grams(part.column("ta"), part.column("tb"), n)
+                yield part.select(["a", "b"]).take(pa.array(np.flatnonzero((both > 0) & (100 * both >= percent * (one + two - both)))))
+                at = to
 
     return run
 
 
 def _two(nodes: DataFrame, pairs: DataFrame, **columns: str) -> DataFrame:
-    """``pairs`` with columns of both nodes: ``_two(.., s="signed")`` adds sa and sb."""
-    for end in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(end), *(F.col(c).alias(f"{x}{end}") for x, c in columns.items())), end)
+    """Materialised ``pairs`` with columns of both nodes: ``_two(.., s="signed")`` adds sa and sb."""
+    heavy = {end: heavy_keys(pairs, end) for end in ("a", "b")}
+    for end, keys in heavy.items():
+        found = nodes.select(F.col("node").alias(end), *(F.col(c).alias(f"{x}{end}") for x, c in columns.items()))
+        pairs = join_spread(pairs, found, [end], keys)
     return pairs
 
 
@@ -159,38 +167,40 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     count, t = bands * rows, percent / 100
     kind = dict(docs.dtypes)[id_column]
     docs = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    signed = cut(docs.mapInArrow(_signed(n, count), f"id {kind}, size long, digest binary, signed binary"))
+    marked = docs.withColumn("mark", F.xxhash64("text"))  # tells texts of one id apart
+    signed = cut(marked.mapInArrow(_signed(n, count), f"id {kind}, mark long, size long, digest binary, signed binary"))
     usable = signed.where("id is not null and size > 0")
     classes = usable.groupBy("digest").agg(F.min("id").alias("node"))
     first = usable.join(classes.withColumnRenamed("node", "id"), ["digest", "id"], "left_semi").withColumnRenamed("id", "node")
-    nodes = cut_small(first.dropDuplicates(["node", "digest"]))
+    nodes = cut(first.dropDuplicates(["node", "digest"]))
 
     band = [F.xxhash64(F.lit(i), F.expr(f"substring(signed, {4 * rows * i + 1}, {4 * rows})")) for i in range(bands)]
     banded = nodes.select("node", "size", F.explode(F.array(*band)).alias("key"))
-    shared = banded.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key", "first")
-    members = cut_small(banded.join(shared, "key").select("key", "first", "node", "size"))
+    shared = cut(banded.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).where("first <> last").select("key", "first", "n"))
+    least = max(LEAST_HEAVY, bands * nodes.count() // HEAVY)
+    heavy = cut_small(shared.where(F.col("n") > least).select("key"))  # HEAVY buckets at most
+    heavy = None if heavy.isEmpty() else heavy
+    members = cut(join_spread(banded, shared.select("key", "first"), ["key"], heavy).select("key", "first", "node", "size"))
 
-    wanted = members.select("node").distinct()
-    texts = docs.join(wanted.withColumnRenamed("node", "id"), "id", "left_semi")
-    sets = texts.mapInArrow(_sets(n), f"node {kind}, digest binary, grams binary")
-    sets = cut_small(sets.dropDuplicates(["node", "digest"]).join(nodes.select("node", "digest"), ["node", "digest"], "left_semi").select("node", "grams"))
+    wanted = members.select("node").distinct().join(nodes.select("node", "mark"), "node").select(F.col("node").alias("id"), "mark").distinct()
+    texts = cut(marked.join(wanted, ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"]).select(F.col("id").alias("node"), "text"))
 
     def links(pairs: DataFrame) -> DataFrame:
-        near = _two(nodes, pairs, s="signed", z="size").where(100 * F.least("za", "zb") >= percent * F.greatest("za", "zb"))
-        alive = near.mapInArrow(_prune(t, count, miss), f"a {kind}, b {kind}")
-        return cut_small(_two(sets, alive, g="grams").mapInArrow(_verify(percent), f"a {kind}, b {kind}"))
+        near = _two(nodes, cut_small(pairs), s="signed", z="size").where(100 * F.least("za", "zb") >= percent * F.greatest("za", "zb"))
+        alive = cut_small(near.mapInArrow(_prune(t, count, miss), f"a {kind}, b {kind}"))
+        return cut_small(_two(texts, alive, t="text").mapInArrow(_verify(n, percent), f"a {kind}, b {kind}"))
 
     found = links(members.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
     salted = usable.select("id", "size", "digest", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
     known = salted.select("digest", "salt").distinct().join(classes, "digest")
-    placed = salted.join(known, ["digest", "salt"]).select("id", "size", "node")
+    placed = cut(salted.join(known, ["digest", "salt"]).select("id", "size", "node"))
     again = placed.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("id", "a")
     twice = placed.join(again, "id").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    rest = links(_remaining(members, _towards(found), sets, percent))
-    root = components(found.unionByName(rest).unionByName(twice))
+    rest = links(_remaining(members, _towards(found), texts, heavy, n, percent))
+    root = cut_small(components(found.unionByName(rest).unionByName(twice)))
     low = root.groupBy("root").agg(F.min("node").alias("component_id"))
-    named = cut_small(root.join(low, "root").select("node", "component_id"))
-    some = placed.join(named, "node", "left").select("id", "size", F.coalesce("component_id", "node").alias("component_id"))
+    named = cut_small(join_spread(root, low, ["root"], heavy_keys(root, "root")).select("node", "component_id"))
+    some = join_spread(placed, named, ["node"], heavy_keys(placed, "node"), "left").select("id", "size", F.coalesce("component_id", "node").alias("component_id"))
     none = signed.where("id is null or size = 0").select("id", "size", F.col("id").alias("component_id"))
     return some.unionByName(none).select(F.col("id").alias(id_column), F.col("size").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
@@ -203,20 +213,21 @@ def _towards(links: DataFrame) -> DataFrame:
     return step.join(onward, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
 
 
-def _remaining(members: DataFrame, root: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _remaining(members: DataFrame, root: DataFrame, texts: DataFrame, heavy: DataFrame | None, n: int, percent: int) -> DataFrame:
     """Pairs of candidates that are in different components yet, and may be linked."""
     placed = members.join(root, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
     per = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
     keys = per.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("all"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    open_ = cut_small(placed.join(keys, "key"))
+    open_ = cut_small(join_spread(placed, keys, ["key"], heavy))
     large = open_.where(F.col("all") > SMALL)
 
     # grams that at most RARE candidates of the large buckets have
-    kind = dict(sets.dtypes)["node"]
+    kind = dict(texts.dtypes)["node"]
     inside = large.select("node", "root", "size").distinct()
-    grams = sets.join(inside.select("node"), "node", "left_semi").mapInArrow(_one_by_one, f"node {kind}, gram long")
-    rare = grams.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") <= RARE)
-    rare = cut_small(grams.join(rare, "gram"))
+    grams = cut(texts.join(inside.select("node"), "node", "left_semi").mapInArrow(_one_by_one(n), f"node {kind}, gram long"))
+    counted = cut(grams.groupBy("gram").agg(F.count("*").alias("n")))
+    common = counted.where(F.col("n") > max(RARE, LEAST_HEAVY, grams.count() // HEAVY)).select("gram")  # HEAVY grams at most
+    rare = cut_small(grams.join(F.broadcast(common), "gram", "left_anti").join(counted.where(F.col("n") <= RARE), "gram"))
     own = rare.groupBy("node").agg(F.count("*").alias("own"))
     one = rare.where("n > 1").select("gram", "node").join(inside, "node").select("gram", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("za"))
     two = one.select("gram", F.col("a").alias("b"), F.col("ra").alias("rb"), F.col("za").alias("zb"))
@@ -232,7 +243,7 @@ def _remaining(members: DataFrame, root: DataFrame, sets: DataFrame, percent: in
         left = one.select(*[c for c in on if c in one.columns], F.col("node").alias("x"), F.col("root").alias("rx"), F.col("size").alias("zx"), *(F.col(c).alias(f"{c}x") for c in ["most", "keys"] if c in one.columns))
         right = two.select(*on, F.col("node").alias("y"), F.col("root").alias("ry"), F.col("size").alias("zy"), (F.col("root") == F.col("main")).alias("in_main"), *(F.col(c).alias(f"{c}y") for c in ["most", "keys"] if c in two.columns))
         differ = (F.col("rx") != F.col("ry")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & (100 * F.least("zx", "zy") >= percent * F.greatest("zx", "zy"))
-        return left.join(right, on).where(differ & more).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        return join_spread(right, left, on, heavy).where(differ & more).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
     small = open_.where(F.col("all") <= SMALL)
     few = met(small.where("root <> main"), small, ["key"], F.lit(True))
@@ -243,8 +254,11 @@ def _remaining(members: DataFrame, root: DataFrame, sets: DataFrame, percent: in
     return few.unionByName(many).unionByName(sharing).distinct()
 
 
-def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for node, raw in zip(batch.column("node"), batch.column("grams"), strict=True):
-            grams = np.frombuffer(raw.as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(grams), batch.schema.field("node").type), pa.array(grams)], ["node", "gram"])
+def _one_by_one(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = list(gram_sets(*text_bytes(batch.column("text")), n))
+            node = batch.column("node").take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
+            yield pa.RecordBatch.from_arrays([node, pa.array(np.concatenate(found).view(np.int64))], ["node", "gram"])
+
+    return run
