@@ -52,24 +52,51 @@ def combine(action: Column, words: Column) -> Column:
     return clamp(action + words * (1 - F.abs(action)))
 
 
-_DECIDES = r"\b(decided|voted|agreed|decides|will)\b"
-_OBJECT = r"\b(target range|federal funds rate|interest rates?|policy rates?|deposit facility|key (ecb )?rates?)\b"
-_NOT = r"\b(not|no longer|rather than) (to )?(raise|increase|lower|cut|reduce)"
-_MOVES = {1: r"\b(raise[ds]?|increase[ds]?|hike[ds]?)\b", -1: r"\b(lower(ed|s)?|cuts?|reduce[ds]?|decrease[ds]?)\b", 0: r"\b(maintain(ed|s)?|keeps?|kept|leave|left|unchanged|remain(ed|s)?)\b"}
+#: What a deciding sentence must have (a verb of deciding and what is decided on), and the words of moves
+#: up, down and of holds.
+DECIDES = "decided|decides|voted|agreed|today|will be (?:raised|lowered|increased|decreased|reduced)"
+DECIDED_ON = "federal funds rate|target range|(?:three |our )?key (?:ecb )?interest rates|ecb interest rates|deposit facility|main refinancing|policy rates?|interest rates? on the (?:main|deposit|marginal)"
+UP = "raise|raising|raised|increase|increasing|increased|lift|hike"
+DOWN = "lower|lowering|lowered|reduce|reducing|reduced|cut|cutting|decrease|decreased"
+HOLD = "keep|keeping|maintain|maintaining|leave|leaving|hold|remain"
+#: The move to the first range ever, which states no size, and that size in basis points.
+EMERGENCY, EMERGENCY_POINTS = r"establish(?:ed)? a target range[^.;]{0,60}?0 to 1/4", 75.0
+
+#: Of each direction the patterns of a move, the next being looked for only where one isn't found: with the verb in
+#: front of the object, and behind it.
+MOVES = {
+    1: (rf"(?:{UP})[^.;]{{0,120}}?(?:{DECIDED_ON})", rf"(?:{DECIDED_ON})[^.;]{{0,80}}?will be (?:raised|increased)"),
+    -1: (rf"(?:{DOWN})[^.;]{{0,120}}?(?:{DECIDED_ON})", rf"(?:{DECIDED_ON})[^.;]{{0,80}}?will be (?:lowered|reduced|decreased|cut)"),
+    0: (rf"(?:{HOLD})\w*[^.;]{{0,120}}?(?:{DECIDED_ON})", rf"(?:{DECIDED_ON})[^.;]{{0,60}}?\b(?:unchanged|remain\w*)"),
+}
+NEGATED = rf"\b(?:not|no)\s+(?:to\s+)?(?:{UP}|{DOWN})"
 
 
 def move(sentence: Column) -> Column:
-    """1, -1 or 0 for the leftmost move of a deciding sentence; null if it decides nothing."""
+    """struct<direction, emergency> of a deciding sentence: the direction of its leftmost move, the lesser one
+    of those that start together; null if it decides nothing. Sentences that deny a move don't count."""
     s = F.lower(sentence)
     place = lambda p: F.nullif(F.regexp_instr(s, F.lit(p)), F.lit(0))
-    at = F.array_sort(F.filter(F.array(*(F.when(place(p).isNotNull(), F.struct(place(p).alias("at"), F.lit(d).alias("d"))) for d, p in _MOVES.items())), lambda x: x.isNotNull()))
-    return F.when(s.rlike(_DECIDES) & s.rlike(_OBJECT) & ~s.rlike(_NOT), F.try_element_at(at, F.lit(1))["d"])
+    seen = [F.struct(F.coalesce(*map(place, patterns)).alias("at"), F.lit(d).alias("direction")) for d, patterns in MOVES.items()]
+    first = F.array_min(F.filter(F.array(*seen), lambda x: x["at"].isNotNull()))
+    found = F.when(s.rlike(EMERGENCY), F.struct(F.lit(-1).alias("direction"), F.lit(True).alias("emergency")))
+    found = found.when(first.isNotNull(), F.struct(first["direction"].alias("direction"), F.lit(False).alias("emergency")))
+    return F.when(s.rlike(DECIDES) & s.rlike(DECIDED_ON) & ~s.rlike(NEGATED), found)
 
 
 def decisions(sentences: DataFrame, points: Column, first: int = 20) -> DataFrame:
-    """(doc_id, direction, points): the first deciding sentence (doc_id, pos, sentence) among the
-    ``first``; a hold if there is none."""
-    read = sentences.where(F.col("pos") < first).withColumn("d", move(F.col("sentence"))).withColumn("p", points)
-    best = read.groupBy("doc_id").agg(F.min(F.when(F.col("d").isNotNull(), F.struct("pos", "d", "p"))).alias("m"))
-    d = F.coalesce(F.col("m.d"), F.lit(0))
-    return best.select("doc_id", d.alias("direction"), F.when(d == 0, 0.0).otherwise(F.col("m.p")).alias("points"))
+    """(doc_id, direction, points, at): what the first deciding sentence (doc_id, pos, sentence) among the ``first``
+    decides, and its pos; a hold if there is none. ``points``: the size that a sentence states."""
+    read = sentences.where(F.col("pos") < first).withColumn("move", move(F.col("sentence"))).withColumn("size", points)
+    best = read.groupBy("doc_id").agg(F.min(F.when(F.col("move").isNotNull(), F.struct("pos", "move", "size"))).alias("m"))
+    d = F.coalesce(F.col("m.move.direction"), F.lit(0))
+    size = F.when(d == 0, 0.0).when(F.col("m.move.emergency"), EMERGENCY_POINTS).otherwise(F.col("m.size"))
+    return best.select("doc_id", d.alias("direction"), size.alias("points"), F.col("m.pos").alias("at"))
+
+
+def decision_scores(decided: DataFrame, words: DataFrame) -> DataFrame:
+    """(doc_id, direction, points, base, score): what was done, moved by what was said. ``words`` (doc_id, pos, value):
+    scores of sentences; that of the deciding sentence doesn't count twice."""
+    said = words.join(decided.select("doc_id", "at"), "doc_id").where(~F.col("pos").eqNullSafe(F.col("at"))).groupBy("doc_id").agg(F.avg("value").alias("words"))
+    out = decided.join(said, "doc_id", "left").withColumn("base", action_base(F.col("direction"), F.col("points")))
+    return out.select("doc_id", "direction", "points", "base", round_up(combine(F.col("base"), F.coalesce("words", F.lit(0.0)))).alias("score"))

@@ -115,8 +115,9 @@ def partition_scorable_noise(spark, sf_dir):
 @query("case_document_tier", I + "SELECT item_id, CASE WHEN lower(title) LIKE '%click%' THEN 4 WHEN lower(title) LIKE '%error%' THEN 1 WHEN lower(title) LIKE '%view%' THEN 2 ELSE 3 END AS tier FROM items")
 def case_document_tier(spark, sf_dir):
     from tidemark.operators.weights import tier
+    from tidemark.plans.core import RULES
 
-    return items(spark, sf_dir).select("item_id", tier(F.col("title")).alias("tier"))
+    return items(spark, sf_dir).select("item_id", tier(F.col("source"), F.col("title"), RULES).alias("tier"))
 
 
 @query("case_relevance", I + "SELECT item_id, CASE WHEN regexp_matches(title, '(?i)click.*[0-4]') THEN 'operational' WHEN regexp_matches(title, '(?i)error') THEN 'policy' WHEN regexp_matches(source, 'view|signup') THEN 'macro' ELSE 'noise' END AS verdict FROM items")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,13 +38,17 @@ R3 = "floor({} * 1000.0::DOUBLE + 0.5) / 1000.0::DOUBLE"
 LEVELS = "CASE WHEN {0} <= -0.5 THEN 'very dovish' WHEN {0} < -0.1 THEN 'dovish' WHEN {0} >= 0.5 THEN 'very hawkish' WHEN {0} > 0.1 THEN 'hawkish' ELSE 'neutral' END"
 
 
+#: The tiers of the test items, whose titles are made of event types.
+RULES = ((4, "click"), (1, "error"), (2, "view"))
+
+
 def ready(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weights.weighted(scored(items(spark, sf_dir)), calendar(spark), AS_OF)
+    return weights.weighted(scored(items(spark, sf_dir)), calendar(spark), AS_OF, RULES)
 
 
 @query("dom_dynamic_half_life", with_sql(CALENDAR_SQL, HALF_SQL) + "SELECT * FROM half")
 def dynamic_half_life(spark, sf_dir):
-    return weights.half_lives(calendar(spark), F.lit(AS_OF))
+    return weights.half_lives(calendar(spark), AS_OF)
 
 
 @query("dom_item_weight", BASE_SQL + "SELECT item_id, tier, age, round(weight, 6) AS weight FROM weighted")
@@ -56,9 +58,9 @@ def item_weight(spark, sf_dir):
 
 @query("dom_speaker_cap", BASE_SQL + ", " + capped_sql("weighted", "bank, is_statistical") + " SELECT bank, is_statistical, sp AS speaker, round(sum(weight), 6) AS weight, count(*) AS n FROM c5 GROUP BY ALL")
 def speaker_cap(spark, sf_dir):
-    key = F.when(~F.col("is_statistical") & (F.col("speaker") != CHAIR), F.col("speaker")).otherwise(-1)
-    capped = weights.cap_speakers(ready(spark, sf_dir), ["bank", "is_statistical"], CHAIR)
-    return capped.groupBy("bank", "is_statistical", key.alias("speaker")).agg(six(F.sum("weight")).alias("weight"), F.count("*").alias("n"))
+    group = ["bank", "is_statistical"]
+    sums = weights.speaker_factors(weights.speaker_sums(ready(spark, sf_dir), group, CHAIR), group)
+    return sums.select(*group, "speaker", six(F.col("w") * F.col("factor")).alias("weight"), "n")
 
 
 AGG_SQL = f"""SELECT *, {LEVELS.format("score")} AS label FROM (
@@ -70,7 +72,7 @@ AGG_SQL = f"""SELECT *, {LEVELS.format("score")} AS label FROM (
 
 @query("dom_weighted_aggregate", BASE_SQL + ", " + capped_sql("weighted", "bank, is_statistical") + AGG_SQL)
 def weighted_aggregate(spark, sf_dir):
-    return index.aggregate(weights.cap_speakers(ready(spark, sf_dir), ["bank", "is_statistical"], CHAIR), ["bank", "is_statistical"])
+    return index.aggregate(ready(spark, sf_dir), ["bank", "is_statistical"], CHAIR)
 
 
 @query("agg_weighted_simple", BASE_SQL + f"SELECT bank, {R3.format('(sum(net_score * weight) / sum(weight))')} AS score, count(*) AS n FROM weighted GROUP BY bank")
@@ -109,7 +111,7 @@ INDEX_SQL = (
 
 @query("dom_published_index", INDEX_SQL)
 def published_index(spark, sf_dir):
-    return index.blended(scored(items(spark, sf_dir)), calendar(spark), AS_OF, CHAIR)
+    return index.published(scored(items(spark, sf_dir)), calendar(spark), AS_OF, CHAIR, RULES)
 
 
 @query("dom_blended_aggregate", INDEX_SQL.rpartition("SELECT bank, text_score")[0] + "SELECT bank, narrative, anchor, index FROM final")
@@ -127,43 +129,56 @@ def comms_45d(spark, sf_dir):
     return published_index(spark, sf_dir).select("bank", F.col("text_score").alias("score"), F.col("text_n").alias("n"))
 
 
-@query("dom_score_attribution", BASE_SQL + """, t AS (SELECT bank, item_id, net_score * weight / sum(weight) OVER (PARTITION BY bank) AS c FROM weighted)
-  SELECT bank, item_id, round(c, 6) + 0.0 AS contribution, round(abs(c) / sum(abs(c)) OVER (PARTITION BY bank), 6) AS share FROM t""")
+@query("dom_score_attribution", INDEX_SQL.rpartition("SELECT bank, text_score")[0] + f""", t AS (SELECT bank, item_id, is_statistical, net_score * weight AS p, sum(weight) OVER c AS w, sum(abs(net_score * weight)) OVER c AS a FROM c5 WINDOW c AS (PARTITION BY bank, is_statistical))
+  SELECT bank, item_id, is_statistical, {R3.format("(p / w * CASE WHEN is_statistical THEN 1 - alpha ELSE alpha END)")} + 0.0 AS contribution, round(abs(p) / a, 6) AS share FROM t JOIN final USING (bank)""")
 def score_attribution(spark, sf_dir):
-    rows = ready(spark, sf_dir)
-    total = F.broadcast(rows.groupBy("bank").agg(F.sum("weight").alias("w"), F.sum(F.abs(F.col("net_score") * F.col("weight"))).alias("a")))  # one row per bank
-    part = F.col("net_score") * F.col("weight")
-    return rows.join(total, "bank").select("bank", "item_id", six(part / F.col("w")).alias("contribution"), six(F.abs(part) / F.col("a")).alias("share"))
+    found = index.attribution(scored(items(spark, sf_dir)), calendar(spark), AS_OF, CHAIR, RULES)
+    return found.withColumns({"contribution": F.col("contribution") + F.lit(0.0), "share": six("share")})
+
+
+def dated_items(spark, sf_dir):
+    """The items, spread over a year, with a month that one bank lacks and one that the other lacks."""
+    back = F.floor(F.col("user_id") / 2) % 12
+    rows = items(spark, sf_dir).withColumn("back", back).where((F.col("back") != 3) | (F.col("bank") != "ECB")).where((F.col("back") != 5) | (F.col("bank") != "FED"))
+    return scored(rows.withColumn("item_date", F.add_months("item_date", -F.col("back").cast("int"))))
+
+
+MONTHLY_SQL = (
+    with_sql(CALENDAR_SQL, ITEMS_SQL)
+    + f""", dated AS (SELECT * REPLACE ((item_date - to_months(back))::DATE AS item_date) FROM (SELECT *, (user_id // 2 % 12)::INT AS back FROM items)
+    WHERE abs(net_score) > 0.001 AND NOT (back = 3 AND bank = 'ECB') AND NOT (back = 5 AND bank = 'FED')),
+  monthly AS (SELECT *, (date_trunc('month', item_date) + INTERVAL 1 MONTH)::DATE AS as_of FROM dated),
+  groups AS (SELECT DISTINCT bank, as_of FROM monthly),
+  half AS (SELECT bank, as_of, CASE WHEN min(gap) FILTER (gap >= 0) <= 5 THEN 7.0 WHEN min(gap) FILTER (gap >= 0) <= 14 THEN 10.0
+    WHEN min(-gap) FILTER (gap < 0) <= 5 THEN 8.0 ELSE 21.0 END::DOUBLE AS half_life FROM (SELECT bank, as_of, meeting - as_of AS gap FROM groups JOIN calendar USING (bank)) GROUP BY ALL),
+  weighted AS (
+    SELECT *, greatest(0.01::DOUBLE, pow(0.5::DOUBLE, age / half_life)) * CASE WHEN is_statistical THEN
+      CASE WHEN coalesce(stat_weight, 0) > 0 THEN least(3.0::DOUBLE, stat_weight) / 2 ELSE 0.5::DOUBLE END
+      ELSE CASE tier WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.7::DOUBLE WHEN 4 THEN 0.1::DOUBLE ELSE 0.4::DOUBLE END END AS weight
+    FROM (SELECT m.*, {TIER_SQL} AS tier, as_of - item_date AS age, half_life FROM monthly m JOIN half USING (bank, as_of))), """
+    + capped_sql("weighted", "bank, as_of, is_statistical")
+    + f""", sides AS (SELECT bank, as_of, {R3.format("(sum(net_score * weight) FILTER (NOT is_statistical) / sum(weight) FILTER (NOT is_statistical))")} AS text_score, count(*) FILTER (NOT is_statistical) AS text_n,
+      min(age) FILTER (NOT is_statistical) AS text_age, {R3.format("(sum(net_score * weight) FILTER (is_statistical) / sum(weight) FILTER (is_statistical))")} AS stat_score,
+      count(*) FILTER (is_statistical) AS stat_n, min(age) FILTER (is_statistical) AS stat_age, min(half_life) AS half_life FROM c5 GROUP BY bank, as_of),
+  anchored AS (SELECT g.bank, g.as_of, coalesce({R3.format("greatest(-0.7::DOUBLE, least(0.7::DOUBLE, coalesce(sum(bps / 25.0::DOUBLE * 0.45::DOUBLE * pow(0.5::DOUBLE, (as_of - meeting) / 120.0::DOUBLE)) FILTER (as_of - meeting BETWEEN 0 AND 180), 0)))")}, 0.0) AS anchor
+    FROM groups g JOIN calendar USING (bank) GROUP BY ALL),
+  mixed AS (SELECT s.*, anchor, CASE WHEN text_age IS NULL THEN 0.0 WHEN stat_age IS NULL THEN 1.0 ELSE
+      floor(greatest(0.35::DOUBLE, least(0.85::DOUBLE, 0.6::DOUBLE + greatest(-14.0::DOUBLE, least(14.0::DOUBLE, stat_age - text_age)) / 14 * 0.2::DOUBLE + CASE WHEN half_life <= 10 THEN 0.05::DOUBLE ELSE 0.0 END)) * 100 + 0.5) / 100 END AS alpha
+    FROM sides s JOIN anchored USING (bank, as_of)),
+  told AS (SELECT *, {R3.format("(alpha * coalesce(text_score, 0.0) + (1 - alpha) * coalesce(stat_score, 0.0))")} AS narrative FROM mixed),
+  m AS (SELECT bank, (as_of - INTERVAL 1 MONTH)::DATE AS month, text_score, text_n, stat_score, stat_n, alpha, anchor, narrative, {R3.format("(0.65::DOUBLE * narrative + 0.35::DOUBLE * anchor)")} AS index FROM told) """
+)
 
 
-MONTHS = [dt.date(2024, 1, d) for d in (11, 21, 31)]
-MONTHLY_SQL = f"""SELECT bank, period, {R3.format('(sum(net_score * w) / sum(w))')} AS score, count(*) AS n FROM (
-    SELECT *, greatest(0.01::DOUBLE, pow(0.5::DOUBLE, greatest(period - item_date, 0) / 21.0::DOUBLE)) AS w
-    FROM (SELECT *, CASE WHEN item_date < DATE '2024-01-11' THEN DATE '2024-01-11' WHEN item_date < DATE '2024-01-21' THEN DATE '2024-01-21' ELSE DATE '2024-01-31' END AS period FROM items WHERE abs(net_score) > 0.001))
-  GROUP BY bank, period"""
+@query("dom_monthly_index", MONTHLY_SQL + "SELECT * FROM m")
+def monthly_index(spark, sf_dir):
+    return index.monthly(dated_items(spark, sf_dir), calendar(spark), CHAIR, RULES).drop("as_of", "label")
 
 
-@query("dom_monthly_index", with_sql(ITEMS_SQL) + MONTHLY_SQL)
-def monthly_index(spark, sf_dir):
-    """Each period as of the first day after it: the day is a column, not a loop. The test events
-    span one month, so periods are ten days long."""
-    rows = scored(items(spark, sf_dir))
-    period = F.lit(MONTHS[-1])
-    for end in reversed(MONTHS[:-1]):
-        period = F.when(F.col("item_date") < F.lit(end), F.lit(end)).otherwise(period)
-    rows = rows.withColumn("period", period)
-    w = F.greatest(F.lit(0.01), F.pow(F.lit(0.5), F.greatest(F.datediff("period", "item_date"), F.lit(0)) / 21.0))
-    rows = rows.withColumn("w", w)
-    return rows.groupBy("bank", "period").agg(round_up(F.sum(F.col("net_score") * F.col("w")) / F.sum("w")).alias("score"), F.count("*").alias("n"))
-
-
-@query("dom_index_history", with_sql(ITEMS_SQL, f"m AS ({MONTHLY_SQL})") + """SELECT coalesce(a.period, b.period) AS period, a.score AS fed, coalesce(a.n, 0) AS fed_n, b.score AS ecb, coalesce(b.n, 0) AS ecb_n
-  FROM (SELECT * FROM m WHERE bank = 'FED') a FULL JOIN (SELECT * FROM m WHERE bank = 'ECB' AND period > DATE '2024-01-11') b ON a.period = b.period""")
+@query("dom_index_history", MONTHLY_SQL + """SELECT coalesce(a.month, b.month) AS month, a.index AS fed, coalesce(a.text_n + a.stat_n, 0) AS fed_n, b.index AS ecb, coalesce(b.text_n + b.stat_n, 0) AS ecb_n
+  FROM (SELECT * FROM m WHERE bank = 'FED') a FULL JOIN (SELECT * FROM m WHERE bank = 'ECB') b ON a.month = b.month""")
 def index_history(spark, sf_dir):
-    m = monthly_index(spark, sf_dir)
-    fed = m.where("bank = 'FED'").select("period", F.col("score").alias("fed"), F.col("n").alias("fed_n"))
-    ecb = m.where("bank = 'ECB' AND period > DATE '2024-01-11'").select("period", F.col("score").alias("ecb"), F.col("n").alias("ecb_n"))
-    return fed.join(ecb, "period", "full_outer").select("period", "fed", F.coalesce("fed_n", F.lit(0)).alias("fed_n"), "ecb", F.coalesce("ecb_n", F.lit(0)).alias("ecb_n"))
+    return index.history(monthly_index(spark, sf_dir), "FED", "ECB")
 
 
 @query("dom_current_rate", with_sql(CALENDAR_SQL) + f"SELECT bank, round(5.25::DOUBLE + sum(bps) / 100.0::DOUBLE, 2) AS rate FROM calendar WHERE meeting <= {AS_OF_SQL} GROUP BY bank")
