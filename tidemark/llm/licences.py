@@ -5,14 +5,16 @@ too, without the marks of comments, so that notices wrapped over lines are whole
 long as a template, and a quarter more, holds enough of its words, it is judged by itself, whatever
 else its line or paragraph says. A logistic regression over hashed word
 unigrams and bigrams, trained on variations of the templates below and on a bounded sample of
-the corpus' own paragraphs, gives each family a probability; a temperature fitted on held-out
-variations calibrates them, and a paragraph whose best family stays under ``LEAST`` is unknown. A
+the corpus' own paragraphs, gives each family a probability; a temperature calibrates them, fitted on
+new variations of the templates, on templates and on documents that the model at hand has not seen, and
+a paragraph whose best family stays under ``LEAST`` is unknown. A
 prediction stands only if the template comparison agrees: enough of the words of one of the
 family's templates are in the paragraph, and enough of the paragraph's in the template. Of matches
 of one family that overlap, spans give way to windows and worse spans to better ones.
 
 Defined results: null and empty texts have no paragraphs; repeated rows get the same result
-each; an empty table gives an empty result; further columns are ignored.
+each; an empty table gives an empty result; further columns are ignored. A text is scanned whole
+within a task, in some 100 bytes of memory a character.
 """
 
 from __future__ import annotations
@@ -25,15 +27,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.optimise import minimise
 from tidemark.llm.support import Words, ngram_hashes, ship, slices, span_hashes, text_bytes
 
 BINS, WINDOW, STRIDE = 1 << 15, 64, 32
-LEAST, TEMPLATE_SHARE, OWN_SHARE = 0.6, 0.6, 0.5
-#: Documents whose paragraphs are the negative examples, at most, and paragraphs of each.
-SAMPLE, EACH = 400, 10
+LEAST, TEMPLATE_SHARE, OWN_SHARE = 0.4, 0.6, 0.5
+#: Documents whose paragraphs are the negative examples, at most, and paragraphs of each, of at most
+#: so many bytes: the first by hashes of the ids and of the paragraphs.
+SAMPLE, EACH, LONGEST = 400, 4, 2000
+#: Variations of each template, and penalty of squared weights.
+VARIATIONS, DECAY = 16, 0.005
 
 #: Notices as they are found at the head of works.
 TEMPLATES = {
@@ -117,6 +123,11 @@ class Model:
         total = word[end] - word[begin] + pair[np.maximum(end - 1, begin)] - pair[begin]
         return total / np.sqrt(np.maximum(2 * (end - begin) - 1, 1))[:, None] + self.bias
 
+    def of_examples(self, some: Examples) -> np.ndarray:
+        """Logits of whole texts."""
+        sums = np.add.reduceat(self.weights[some.feature], np.searchsorted(some.of, np.arange(len(some.truth))), axis=0, dtype=np.float64)
+        return sums / np.sqrt(np.maximum(2 * some.size - 1, 1))[:, None] + self.bias
+
     def predict(self, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Family of each window (-1: none or unknown) and its probability."""
         z = self.logits(hashes, begin, end) / self.temperature
@@ -193,65 +204,125 @@ def _vary(text: str, r: random.Random, others: list[str]) -> str:
     return " ".join([*frame[:k], *words, *frame[k : k + r.randrange(4)]])
 
 
-def _unlicensed(lines: list[tuple], templates: list[tuple[int, np.ndarray, int]]) -> list[str]:
-    """Lines (id, number, text) but for those that a notice runs over."""
-    part = np.cumsum([i > 0 and (lines[i][0] != lines[i - 1][0] or lines[i][1] != lines[i - 1][1] + 1) for i in range(len(lines))])
-    texts = ["\n".join(lines[i][2] for i in np.flatnonzero(part == k)) for k in range(int(part[-1]) + 1 if len(lines) else 0)]
-    words, hashes, _, _ = windows(*text_bytes(pa.array(texts, pa.string())))
-    take, first, last = blocks(words, hashes)
-    start = np.cumsum([0] + [len(x[2].encode()) + (i + 1 == len(lines) or part[i + 1] == part[i]) for i, x in enumerate(lines)])
-    bad = set()
-    for _, a, b, _, _ in _candidates(templates, hashes[take], first, last):
-        i, k = np.searchsorted(start, words.start[take[[a, b - 1]]], "right") - 1
-        bad.update(range(int(i), int(k) + 1))
-    return [x[2] for i, x in enumerate(lines) if i not in bad]
+def _plain(templates: list[tuple[int, np.ndarray, int]]):
+    """The windows of texts that no notice runs over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1_000_000):
+            data, offsets = text_bytes(batch.column("text"))
+            words, hashes, begin, end = windows(data, offsets)
+            noted = np.zeros(len(words) + 1, np.int64)
+            take, first, last = blocks(words, hashes)
+            for _, a, b, _, _ in _candidates(templates, hashes[take], first, last):
+                noted[take[a]] += 1
+                noted[take[b - 1] + 1] -= 1
+            seen = np.concatenate([[0], np.cumsum(np.cumsum(noted[:-1]) > 0)])
+            size = words.end[end - 1] - words.start[begin] if len(begin) else begin
+            good = np.flatnonzero((seen[end] == seen[begin]) & (size >= 10) & (size <= LONGEST))
+            raw = data.tobytes()
+            spans = zip(words.start[begin[good]].tolist(), words.end[end[good] - 1].tolist(), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(words.doc[begin[good]])), pa.array(good), pa.array([raw[a:b].decode() for a, b in spans], pa.string())], ["id", "at", "text"])
+
+    return run
+
 
+@dataclass
+class Examples:
+    """Texts with their classes, as sparse features: ``feature`` and ``of`` (the text's number), in the order of texts."""
 
-def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", seed: int = 7, rounds: int = 60) -> Model:
+    feature: np.ndarray
+    of: np.ndarray
+    truth: np.ndarray
+    size: np.ndarray
+
+
+def examples(texts: list[str], truth: list[int]) -> Examples:
+    """Every text is one window."""
+    data, offsets = text_bytes(pa.array([t.replace("\n", " ") for t in texts], pa.string()))
+    words, hashes, _, _ = windows(data, offsets)
+    one, two = _bins(hashes)
+    inner = np.zeros(len(words), dtype=bool)
+    inner[:-1] = words.doc[1:] == words.doc[:-1]
+    feature, of = np.concatenate([one, two[inner]]), np.concatenate([words.doc, words.doc[inner]])
+    order = np.argsort(of, kind="stable")
+    return Examples(feature[order], of[order], np.array(truth, np.int64), np.diff(words.first))
+
+
+class Loss:
+    """Penalised negative log-likelihood and gradient of multinomial logistic regression, over features scaled
+    as in Model.logits(). Weights are [len(bins) + 1, classes], the last row the bias; ``bins`` are the sorted
+    features there are."""
+
+    def __init__(self, some: Examples, classes: int, decay: float = DECAY) -> None:
+        self.truth, self.classes, self.decay = some.truth, classes, decay
+        self.bins, self.at = np.unique(some.feature, return_inverse=True)
+        self.scale = (1 / np.sqrt(np.maximum(2 * some.size - 1, 1)))[:, None]
+        self.starts = np.searchsorted(some.of, np.arange(len(some.truth)))
+        order = np.argsort(self.at, kind="stable")
+        self.of, self.opens = some.of[order], np.searchsorted(self.at[order], np.arange(len(self.bins)))
+
+    def __call__(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        weights = theta.reshape(-1, self.classes)
+        z = np.add.reduceat(weights[self.at], self.starts, axis=0) * self.scale + weights[-1]
+        z -= z.max(axis=1, keepdims=True)
+        mass, rows = np.exp(z).sum(axis=1), np.arange(len(z))
+        gap = np.exp(z) / mass[:, None]
+        gap[rows, self.truth] -= 1
+        gradient = self.decay * weights
+        gradient[:-1] += np.add.reduceat((gap * self.scale)[self.of], self.opens, axis=0)
+        gradient[-1] += gap.sum(axis=0)
+        return float((np.log(mass) - z[rows, self.truth]).sum() + 0.5 * self.decay * (weights**2).sum()), gradient.ravel()
+
+
+def regress(some: Examples, templates: list[tuple[int, np.ndarray, int]], rounds: int = 20) -> Model:
+    """The model that minimises the loss."""
+    classes = len(FAMILIES) + 1
+    loss = Loss(some, classes)
+    theta = minimise(loss, np.zeros((len(loss.bins) + 1) * classes), rounds, tolerance=1e-3).reshape(-1, classes)
+    weights = np.zeros((BINS, classes), np.float32)
+    weights[loss.bins] = theta[:-1]
+    return Model(weights, theta[-1], 1.0, templates)
+
+
+def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", seed: int = 7) -> Model:
     ship(docs.sparkSession)
     ids = docs.select(F.col(id_column).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    lines = docs.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(ids), "id")
-    lines = lines.select("id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(f"at < {EACH} and length(line) <= 1000")
-    seen = lines.orderBy(F.xxhash64("id"), "at").limit(SAMPLE * EACH).collect()
+    texts = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).join(F.broadcast(ids), "id")
+    texts = texts.groupBy("id").agg(F.min("text").alias("text"))
     templates = [(FAMILIES.index(f), np.unique(_hashes(t)), len(_hashes(t))) for f, some in sorted(TEMPLATES.items()) for t in some]
-    plain = [x for x in _unlicensed([(r.id, r.at, r.line) for r in seen], templates) if 10 <= len(x)]
-    plain = [x for x in plain if not any(_alike(np.unique(_hashes(x)), t) for _, t, _ in templates)]
+    kind = dict(texts.dtypes)["id"]
+    found = texts.mapInArrow(_plain(templates), f"id {kind}, at long, text string")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("text", "at"), "at"))
+    seen = found.withColumn("place", place).where(F.col("place") <= EACH).orderBy(F.xxhash64("id"), "id", "place").collect()
     r = random.Random(seed)
-    texts = [(_vary(t, r, plain), FAMILIES.index(f)) for f, some in sorted(TEMPLATES.items()) for t in some for _ in range(24)]
-    negatives = [(" ".join(x.split()[:WINDOW]), len(FAMILIES)) for x in plain]
-    negatives += [(" ".join(r.sample(t.split(), min(len(t.split()), 3))), len(FAMILIES)) for some in TEMPLATES.values() for t in some for _ in range(4)]
-    texts += negatives
-    r.shuffle(texts)
-    data, offsets = text_bytes(pa.array([t.replace("\n", " ") for t, _ in texts]))
-    words, hashes, begin, end = windows(data, offsets)
-    row = words.doc[np.minimum(begin, len(words) - 1)]
-    truth = np.array([k for _, k in texts])[row]
-    classes = len(FAMILIES) + 1
-    model = Model(np.zeros((BINS, classes), np.float32), np.zeros(classes), 1.0, templates)
-    held = np.arange(len(truth)) % 5 == 0
-    b, e, y = begin[~held], end[~held], np.eye(classes)[truth[~held]]
-    scale = 1 / np.sqrt(np.maximum(2 * (e - b) - 1, 1))
-    one, two = _bins(hashes)
-    entry = np.repeat(np.arange(len(b)), e - b)
-    place = np.arange(len(entry)) - np.repeat(np.cumsum(e - b) - (e - b), e - b) + np.repeat(b, e - b)
-    inner = place < np.repeat(e - 1, e - b)
-    feature, of = np.concatenate([one[place], two[place[inner]]]), np.concatenate([entry, entry[inner]])
-    squares = np.full((BINS, classes), 1e-3)
-    for _ in range(rounds):  # AdaGrad on the whole sample
-        z = model.logits(hashes, b, e)
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        gap = (y - p / p.sum(axis=1, keepdims=True)) * scale[:, None]
-        grad = np.stack([np.bincount(feature, gap[of, k], BINS) for k in range(classes)], axis=1)
-        squares += grad**2
-        model.weights += (0.5 * grad / np.sqrt(squares)).astype(np.float32)
-        model.bias += 0.1 * gap.mean(axis=0)
-    z, k = model.logits(hashes, begin[held], end[held]), truth[held]
-
-    def loss(t: float) -> float:
+    plain = []
+    for i, x in enumerate(seen):
+        mine = np.unique(_hashes(x.text))
+        if not any(_alike(mine, t) for _, t, _ in templates):
+            plain.append((i, x.text))
+    frames = [t for _, t in plain]
+    rows = [(_vary(t, r, frames), FAMILIES.index(f), k % 2) for f, some in sorted(TEMPLATES.items()) for k, t in enumerate(some) for _ in range(VARIATIONS)]
+    rows += [(t, len(FAMILIES), i // EACH % 2) for i, t in plain]
+    rows += [(" ".join(r.sample(t.split(), min(len(t.split()), 3))), len(FAMILIES), r.randrange(2)) for some in TEMPLATES.values() for t in some for _ in range(4)]
+    rows = [x for x in rows if x[0].split()]
+    half = [examples(*map(list, zip(*((t, k) for t, k, fold in rows if fold == i), strict=True))) for i in range(2)]
+    model = regress(examples([t for t, _, _ in rows], [k for _, k, _ in rows]), templates)
+    fresh = [(_vary(t, r, frames), FAMILIES.index(f), k % 2) for f, some in sorted(TEMPLATES.items()) for k, t in enumerate(some) for _ in range(VARIATIONS)]
+    logits, truths = [], []
+    for i in range(2):
+        part = regress(half[i], templates)
+        own = examples(*map(list, zip(*((t, k) for t, k, fold in fresh if fold == i), strict=True)))
+        for held in (half[1 - i], own):
+            logits.append(part.of_examples(held))
+            truths.append(held.truth)
+    z, truth = np.concatenate(logits), np.concatenate(truths)
+
+    def surprise(t: float) -> float:
         v = z / t
-        return float((np.log(np.exp(v - v.max(axis=1, keepdims=True)).sum(axis=1)) + v.max(axis=1) - v[np.arange(len(v)), k]).mean()) if len(v) else 0.0
+        top = v.max(axis=1)
+        return float((np.log(np.exp(v - top[:, None]).sum(axis=1)) + top - v[np.arange(len(v)), truth]).mean())
 
-    model.temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0), key=loss)
+    model.temperature = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=surprise)
     return model
 
 
