@@ -5,7 +5,8 @@ learned from labelled documents. Declared markup language and address suffix (a
 of the path, else the last label of the host): how often each language, as the text tells it, goes
 with each declared value. Host: what the other pages of the host say, smoothed towards the
 registered domain, that towards the suffix, and that towards all pages. All these counts are
-grouped aggregations over all pages; the sums of the logarithms give the posterior.
+grouped aggregations over all pages; the sums of the logarithms give the posterior. Counts of up to
+``HEAVY`` values are broadcast to the pages, others are joined with heavy values dealt to shares.
 
 Defined results: a null or empty page has only the other evidence; a null address has no host,
 domain or suffix evidence of its own and counts with the other such pages; repeated rows count
@@ -14,6 +15,7 @@ each; without pages or labelled documents the result is empty; further columns a
 
 from __future__ import annotations
 
+import html
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,21 +24,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.support import cut, ship, slices, text_bytes
+from tidemark.llm.support import HEAVY, LEAST_HEAVY, cut, join_spread, ship, slices, text_bytes
 
 BINS = 1 << 13
 #: Labelled documents the text model learns from at most, the first by a hash of their id.
 SAMPLE = 5_000
 #: Pseudo-counts with which a level of the hierarchy holds on to the level above.
 HOLD = 5.0
-#: Trigrams that count as independent evidence; longer texts weigh no more than so many.
+#: Calibration: neighbouring trigrams overlap and repeat, so a text weighs no more than so many
+#: independent ones, however long it is.
 INDEPENDENT = 60
+#: Pseudo-count of each value that a language may go with.
+EVEN = 0.5
 
 
-def visible_text(html: Column) -> Column:
-    """Text of a page: without comments, scripts, styles, head and tags."""
-    out = F.coalesce(html, F.lit(""))
-    for pattern in (r"(?s)<!--.*?-->", r"(?is)<(script|style|head|nav)\b.*?</\1\s*>", r"(?s)<[^>]*>", r"&[a-zA-Z]+;|&#[0-9]+;", r"\s+"):
+def visible_text(page: Column) -> Column:
+    """Text of a page: without comments, scripts, styles, head and tags; character entities stay."""
+    out = F.coalesce(page, F.lit(""))
+    for pattern in (r"(?s)<!--.*?-->", r"(?is)<(script|style|head|nav)\b.*?</\1\s*>", r"(?s)<[^>]*>", r"\s+"):
         out = F.regexp_replace(out, pattern, " ")
     return F.trim(out)
 
@@ -86,7 +91,8 @@ def fit_text(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 def _text_logs(model: TextModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            code, row = _bins(*text_bytes(batch.column("text")))
+            plain = [html.unescape(x) if x and "&" in x else x for x in batch.column("text").to_pylist()]
+            code, row = _bins(*text_bytes(pa.array(plain, pa.string())))
             sums = np.stack([np.bincount(row, model.logs[code, k], batch.num_rows) for k in range(len(model.languages))], axis=1)
             n = np.bincount(row, minlength=batch.num_rows)
             logs = sums * (np.minimum(n, INDEPENDENT) / np.maximum(n, 1))[:, None]
@@ -98,14 +104,14 @@ def _text_logs(model: TextModel):
 
 def evidence(pages: DataFrame, id_column: str, url_column: str, html_column: str) -> DataFrame:
     """(id, host, domain, suffix, declared, text) of each page."""
-    url, html = F.lower(F.col(url_column)), F.col(html_column)
+    url, page = F.lower(F.col(url_column)), F.col(html_column)
     host = F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)
     segment = F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://[^/?#]*/([a-z]{2})(?:[-_][a-z]{2})?(?:[/?#]|$)", 1)
     last = F.regexp_extract(host, r"([^.]+)$", 1)
-    declared = F.regexp_extract(F.lower(html), r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)
+    declared = F.regexp_extract(F.lower(page), r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)
     return pages.select(
         F.col(id_column).alias("id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")).alias("domain"),
-        F.coalesce(F.when(segment != "", F.concat(F.lit("/"), segment)).otherwise(last), F.lit("")).alias("suffix"), F.coalesce(declared, F.lit("")).alias("declared"), visible_text(html).alias("text"),
+        F.coalesce(F.when(segment != "", F.concat(F.lit("/"), segment)).otherwise(last), F.lit("")).alias("suffix"), F.coalesce(declared, F.lit("")).alias("declared"), visible_text(page).alias("text"),
     )
 
 
@@ -128,11 +134,17 @@ def identify(pages: DataFrame, model: TextModel, id_column: str = "page_id", url
     every = told.agg(F.array(*votes).alias("n")).first()["n"] or [0.0] * len(languages)
     total = sum(every)
     top = [(n + 1) / (total + len(languages)) for n in every]
-    out = told
+    size = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    out, values = told, {}
     for key in ("suffix", "domain", "host", "declared"):
-        out = out.join(cut(counts(key)), key)
+        known = cut(counts(key))
+        values[f"n_{key}"] = known.count()
+        if values[f"n_{key}"] <= HEAVY:
+            out = out.join(F.broadcast(known), key)
+        else:
+            heavy = cut(known.where(size(F.col(f"n_{key}")) > max(LEAST_HEAVY, total // HEAVY)).select(key).repartition(1))  # HEAVY values at most
+            out = join_spread(out, known, [key], None if heavy.isEmpty() else heavy)
     own = [F.when(F.col("text_at") == k, 1.0).otherwise(0.0) for k in range(len(languages))]
-    size = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     scores = []
     for k in range(len(languages)):
         prior = F.lit(top[k])
@@ -140,7 +152,7 @@ def identify(pages: DataFrame, model: TextModel, id_column: str = "page_id", url
             prior = (F.col(key)[k] - own[k] + HOLD * prior) / (size(F.col(key)) - 1 + HOLD)
         value = F.col("logs")[k] + F.log(prior)
         for key in ("n_declared", "n_suffix"):  # P(value | language), without the page itself
-            value = value + F.log((F.col(key)[k] - own[k] + 0.5) / (every[k] - own[k] + 0.5 * 100))
+            value = value + F.log((F.col(key)[k] - own[k] + EVEN) / (every[k] - own[k] + EVEN * values[key]))
         scores.append(value)
     out = out.withColumn("scores", F.array(*scores))
     best = F.array_max("scores")
