@@ -149,20 +149,23 @@ def least_bins(items, capacity):
 
 
 def test_reduction_loses_no_optimum():
-    r = random.Random(2)
-    for _ in range(300):
-        capacity = r.choice([10, 17])
-        items = [r.randrange(1, capacity + 1) for _ in range(r.randrange(1, 10))]
+    r, triples = random.Random(2), 0
+    for _ in range(1500):
+        capacity = r.choice([10, 17, 31])
+        items = [r.randrange(1 + capacity // 5, capacity + 1) if r.random() < 0.8 else r.randrange(1, capacity) for _ in range(r.randrange(1, 10))]
         counts = [items.count(x) for x in range(capacity + 1)]
         fixed = packing.reduce_instance(counts, capacity)
+        triples += sum(len(held) == 3 for _, held in fixed)
         left = [x for x in range(capacity + 1) for _ in range(counts[x])]
+        assert all(sum(held) <= capacity for _, held in fixed)
         assert sum(n for n, _ in fixed) + (least_bins(left, capacity) if left else 0) == least_bins(items, capacity)
+    assert triples > 20
 
 
 def test_packing_is_gapless_and_whole(spark):
     rows = [*enumerate(texts(200, 120, 9)), (500, None), (501, ""), (502, "abc " * 90), (502, "abc " * 90)]
     pieces = packing.cut_documents(frame(spark, rows), JSON, 0, 64, ids=True)
-    got = packing.pack(pieces, 64, salts=3, order=("doc_id", "piece")).collect()
+    got = packing.pack(pieces, 64, order=("doc_id", "piece")).collect()
     model = hf()
     for i in {x for x, _ in rows} - {502}:
         mine = sorted((x.piece, x.start, bytes(x.ids), x.length) for x in got if x.doc_id == i)

@@ -5,14 +5,17 @@ piece lengths: at most ``capacity`` numbers, whatever the size of the corpus. Th
 that histogram; the result is a list of patterns (lengths that share a sequence) with how many
 sequences use each. Spark numbers the pieces of each length and looks up their places.
 
-Reduction (Martello and Toth): for a length j with r tokens left, the set {j, k} dominates all
-others that hold j if k fills r exactly; if no two further pieces fit and k is the longest that
-fits; or if no feasible sum of two or more pieces exceeds k. Nothing beside j dominates if even
-the shortest doesn't fit. Such sets are fixed as often as both lengths occur, until none is left;
-the remainder is packed by best fit, longest first.
+Reduction (Martello and Toth): for a length j with r tokens left, let k be the longest that fits.
+{j} dominates all sets that hold j if nothing fits. {j, k} does if k fills r exactly, or if no three
+pieces fit and no feasible pair sums to more than k. {j, k, b} does if no three pieces fit, k and b
+are the feasible pair of the largest sum, and no two other pieces longer than b fit together:
+then each piece of any other feasible set beside j can be exchanged for one of these. Such sets are
+fixed as often as their lengths occur, until none is left; the remainder is packed by best fit,
+longest first.
 
 Defined results: a null or empty text has its end id only; rows that repeat are packed each;
-an empty table gives no pieces; further columns are ignored.
+an empty table gives no pieces; further columns of documents are ignored, those of pieces kept, but for
+sequence_id and offset, which are replaced. A text over some megabytes is encoded in parts.
 """
 
 from __future__ import annotations
@@ -32,17 +35,18 @@ from tidemark.llm.tokens import piece_encoder
 Pattern = tuple[int, tuple[int, ...]]
 
 
-def _largest_sum(counts: list[int], lengths: list[int], room: int) -> int:
-    """Largest sum of two or more pieces that fits in ``room``; room itself if three may fit."""
-    if len(lengths) and sum(counts[x] for x in lengths[:3]) >= 3:
-        three, need = 0, 3
-        for x in lengths:
-            take = min(need, counts[x])
-            three, need = three + take * x, need - take
-            if not need:
-                break
-        if three <= room:
-            return room
+def _shortest(counts: list[int], lengths: list[int], n: int) -> list[int]:
+    """The ``n`` shortest pieces, or all if there are fewer."""
+    out: list[int] = []
+    for x in lengths:
+        out += [x] * min(n - len(out), counts[x])
+        if len(out) == n:
+            break
+    return out
+
+
+def _largest_pair(counts: list[int], lengths: list[int], room: int) -> int:
+    """Largest sum of two pieces that fits in ``room``; 0 if none does."""
     best, low, high = 0, 0, len(lengths) - 1
     while low <= high:
         total = lengths[low] + lengths[high]
@@ -55,6 +59,27 @@ def _largest_sum(counts: list[int], lengths: list[int], room: int) -> int:
     return best
 
 
+def _companions(counts: list[int], lengths: list[int], room: int) -> tuple[int, ...] | None:
+    """What dominates all other sets of pieces that fit in ``room``; None if nothing is known to."""
+    if not lengths:
+        return ()
+    k = lengths[-1]
+    if k == room:
+        return (k,)
+    three = _shortest(counts, lengths, 3)
+    if len(three) == 3 and sum(three) <= room:
+        return None
+    b = _largest_pair(counts, lengths, room) - k
+    if b <= 0:
+        return (k,)
+    if not counts[b] or b > k or (b == k and counts[k] < 2):
+        return None
+    counts[k] -= 1
+    longer = _shortest(counts, [x for x in lengths if x > b and counts[x]], 2)
+    counts[k] += 1
+    return (k, b) if len(longer) < 2 or sum(longer) > room else None
+
+
 def reduce_instance(counts: list[int], capacity: int) -> list[Pattern]:
     """Fix dominating sets; takes their pieces out of ``counts`` (index: length)."""
     fixed: list[Pattern] = []
@@ -65,22 +90,16 @@ def reduce_instance(counts: list[int], capacity: int) -> list[Pattern]:
         for j in reversed(lengths):
             if not counts[j]:
                 continue
-            room = capacity - j
             lengths = [x for x in lengths if counts[x]]
-            others = [x for x in lengths if x <= room and (x != j or counts[x] > 1)]
-            if not others:
-                fixed.append((counts[j], (j,)))
-                counts[j], again = 0, True
-                continue
-            k = others[-1]
             counts[j] -= 1
-            dominates = k == room or k >= _largest_sum(counts, [x for x in others if counts[x]], room)
+            found = _companions(counts, [x for x in lengths if x <= capacity - j and counts[x]], capacity - j)
             counts[j] += 1
-            if dominates:
-                n = counts[j] // 2 if j == k else min(counts[j], counts[k])
-                fixed.append((n, (j, k)))
-                counts[j] -= n
-                counts[k] -= n
+            if found is not None:
+                held = (j, *found)
+                n = min(counts[x] // held.count(x) for x in held)
+                fixed.append((n, held))
+                for x in held:
+                    counts[x] -= n
                 again = True
     return fixed
 
@@ -143,15 +162,18 @@ def _slots(patterns: list[Pattern]) -> dict[int, tuple[np.ndarray, np.ndarray, n
     return {k: tuple(np.array(x, np.int64) for x in zip(*v, strict=True)) for k, v in out.items()}
 
 
-def pack(pieces: DataFrame, capacity: int, length_column: str = "length", salts: int = 256, order: tuple[str, ...] = ()) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, length_column: str = "length", share: int = 100_000, order: tuple[str, ...] = ()) -> DataFrame:
     """``pieces`` with sequence_id and offset. Lengths are from 1 to ``capacity``.
 
-    The pieces of a length are numbered within ``salts`` shares, so that a length which a third of
-    all pieces have is spread; the shares' first numbers come from their counts.
+    The pieces of a length are numbered within shares, 256 or as many as hold ``share`` pieces each, so
+    that a length which a third of all pieces have is spread; the shares' first numbers come from
+    their counts.
     """
+    pieces = cut(pieces.drop("sequence_id", "offset"))
     names = pieces.columns
     key = list(order) or names
-    salted = cut(pieces.withColumn("__salt", F.pmod(F.xxhash64(*key), F.lit(salts)).cast("int")))
+    salts = max(256, pieces.count() // share)
+    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(*key), F.lit(salts)).cast("int"))
     counted = salted.groupBy(F.col(length_column).alias("__length"), "__salt").agg(F.count("*").alias("__n"))
     counted = cut(counted)
     histogram = {r[0]: r[1] for r in counted.groupBy("__length").agg(F.sum("__n")).collect()}

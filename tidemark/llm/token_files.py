@@ -146,7 +146,8 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, id_column: str =
     """Encode, append ``end_id`` to each document and write in ascending order of id."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = rows.withColumn("mark", F.xxhash64("text"))  # splits the rows of one id
+    ordered = rows.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark")
     ordered.mapInArrow(_segments(path, end_id, segment_ids, percentile), SEGMENT).write.option("compression", "uncompressed").parquet(folder)
 
 
