@@ -39,7 +39,7 @@ def fit_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, fit_toxicity(spark, docs, sf_dir))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,22 +76,43 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = toolcalls.from_turns(table(spark, sf_dir, "conversations"))
-    placed = toolcalls.lines(toolcalls.levels(toolcalls.link(calls, results)), toolcalls.ANSWER)
-    return placed.select("conv_id", "call_id", "seq", "level", "result_seq", "n_calls", "n_results", "valid", F.md5("line").alias("line_md5"))
+    placed = toolcalls.lines(toolcalls.levels(toolcalls.link(calls, results)), toolcalls.TOOLS)
+    return placed.select("conv_id", "call_id", "seq", "level", "result_seq", "n_calls", "n_results", "orphan", "valid", F.md5("line").alias("line_md5"))
 
 
 OP9_SQL = """
-WITH calls AS (
-  SELECT conv_id, turn, min(coalesce(text, '')) AS said, count(*) AS n_calls
-  FROM conversations WHERE role = 'user' GROUP BY conv_id, turn),
+WITH RECURSIVE turns AS (
+  SELECT conv_id, turn, role, text, len(regexp_split_to_array(trim(coalesce(text, '')), '[ \t\n\x0B\f\r]+')) AS words FROM conversations),
+said AS (
+  SELECT *, CASE WHEN conv_id % 4 = 1 THEN -turn ELSE turn END AS seq, CASE role WHEN 'user' THEN 'answer' ELSE 'setup' END AS name,
+         role = 'user' AND conv_id % 11 = 5 AND text IS NOT NULL AS bare,
+         CASE WHEN role = 'user' AND conv_id % 11 = 5 THEN coalesce(to_json(text)::VARCHAR, '{}')
+              WHEN role = 'user' THEN '{"n_words":' || CASE WHEN conv_id % 6 = 4 THEN '"' || words || '"' ELSE words::VARCHAR END || coalesce(',"text":' || to_json(text)::VARCHAR, '') || ',"turn":' || turn || '}'
+              ELSE coalesce('{"text":' || to_json(text)::VARCHAR || '}', '{}') END AS arguments
+  FROM turns WHERE role IN ('user', 'system')),
+calls AS (
+  SELECT *, count(*) OVER (PARTITION BY conv_id, turn) AS n_calls FROM said
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY name, text NULLS FIRST) = 1),
 results AS (
-  SELECT conv_id, turn, min(text) AS content, count(*) AS n_results
-  FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn)
-SELECT c.conv_id, 'call_' || c.turn AS call_id, c.turn AS seq, 0 AS level, r.turn AS result_seq, c.n_calls,
-       coalesce(r.n_results, 0) AS n_results, true AS valid,
-       md5('{"arguments":{"n_words":' || len(regexp_split_to_array(trim(c.said), '[ \t\n\x0B\f\r]+')) || ',"text":' || to_json(c.said) || ',"turn":' || c.turn
-           || '},"call_id":"call_' || c.turn || '","name":"answer","problems":[],"result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}') AS line_md5
-FROM calls c LEFT JOIN results r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1
+  SELECT conv_id, turn, min(text) AS content, count(*) AS n_results FROM turns WHERE role = 'assistant' GROUP BY conv_id, turn),
+edges AS (
+  SELECT c.conv_id, c.turn, p.turn AS before FROM calls c JOIN calls p ON p.conv_id = c.conv_id AND c.name = 'answer'
+    AND (p.turn = c.turn - 2 OR c.conv_id % 5 = 2 AND p.turn = c.turn - 4 OR c.conv_id % 7 = 3 AND c.turn < 2 AND p.turn = c.turn + 2)),
+walk AS (
+  SELECT conv_id, turn, 0 AS level FROM calls c WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.conv_id = c.conv_id AND e.turn = c.turn)
+  UNION
+  SELECT e.conv_id, e.turn, w.level + 1 FROM walk w JOIN edges e ON e.conv_id = w.conv_id AND e.before = w.turn),
+levels AS (SELECT conv_id, turn, max(level) AS level FROM walk GROUP BY conv_id, turn),
+linked AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, 'call_' || coalesce(c.turn, r.turn - 1) AS call_id, c.seq, c.turn, r.turn AS result_seq,
+         coalesce(c.n_calls, 0) AS n_calls, coalesce(r.n_results, 0) AS n_results, c.turn IS NULL AS orphan, c.name, coalesce(c.arguments, '{}') AS arguments, r.content,
+         CASE WHEN c.turn IS NULL THEN '"no call"' WHEN bare THEN '"not an object"'
+              WHEN c.name = 'answer' AND c.conv_id % 11 = 5 THEN '"missing n_words","missing text","missing turn"'
+              ELSE concat_ws(',', CASE WHEN c.name = 'answer' AND c.conv_id % 6 = 4 THEN '"n_words is no integer"' END, CASE WHEN c.text IS NULL THEN '"missing text"' END) END AS problems
+  FROM calls c FULL JOIN results r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1)
+SELECT l.conv_id, call_id, seq, v.level, result_seq, n_calls, n_results, orphan, problems = '' AS valid,
+       md5('{"arguments":' || arguments || ',"call_id":"' || call_id || '","name":' || coalesce('"' || name || '"', 'null') || ',"problems":[' || problems || '],"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}') AS line_md5
+FROM linked l LEFT JOIN levels v ON v.conv_id = l.conv_id AND v.turn = l.turn
 """
 
 
