@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.support import cut_small, heavy_keys, join_spread
+from tidemark.llm.support import cut_small, heaviest, heavy_keys, join_spread
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,12 +20,14 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut_small(edges.where("a <> b").select("a", "b").distinct())
     maps: list[DataFrame] = []
     while not edges.isEmpty():
-        step = cut_small(_step(edges, len(maps)))
+        found = cut_small(_step(edges, len(maps)))
+        step = found.select("node", "to")
         maps.append(step)
-        left = step.select(F.col("node").alias("a"), F.col("to").alias("x"))
-        right = step.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        moved = join_spread(join_spread(edges, left, ["a"], heavy_keys(edges, "a")), right, ["b"], heavy_keys(edges, "b")).where("x <> y")
-        edges = cut_small(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        hubs = heaviest(found.select("node", "n"), "node")
+        for end, new in (("a", "x"), ("b", "y")):
+            hub = hubs.select(F.col("node").alias(end)) if hubs else None
+            edges = join_spread(edges, step.select(F.col("node").alias(end), F.col("to").alias(new)), [end], hub)
+        edges = cut_small(edges.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     labels = maps[-1].select("node", F.col("to").alias("root"))
@@ -36,8 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _step(edges: DataFrame, turn: int) -> DataFrame:
-    """(node, to): where each node goes."""
+    """(node, to, n): where each node goes, and how many edges it has."""
     order = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("n"))
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    best = both.groupBy("a").agg(F.min(order("b")).alias("m"))
-    return best.select(F.col("a").alias("node"), F.least(order("a"), F.col("m"))["n"].alias("to"))
+    best = both.groupBy("a").agg(F.min(order("b")).alias("m"), F.count("*").alias("n"))
+    return best.select(F.col("a").alias("node"), F.least(order("a"), F.col("m"))["n"].alias("to"), "n")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
-from tidemark.llm.support import HEAVY, LEAST_HEAVY, SALTS, SLICE_BYTES, Words, cut, cut_small, gram_numbers, heavy_keys, join_spread, mix64, ngram_hashes, ship, slices, text_bytes
+from tidemark.llm.support import HEAVY, LEAST_HEAVY, SALTS, SLICE_BYTES, Words, cut, cut_small, gram_numbers, heaviest, heavy_keys, join_spread, mix64, ngram_hashes, ship, slices, text_bytes
 
 BANDS, ROWS, BATCH = 24, 4, 16
 MISS = 1e-6
@@ -177,9 +177,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     band = [F.xxhash64(F.lit(i), F.expr(f"substring(signed, {4 * rows * i + 1}, {4 * rows})")) for i in range(bands)]
     banded = nodes.select("node", "size", F.explode(F.array(*band)).alias("key"))
     shared = cut(banded.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).where("first <> last").select("key", "first", "n"))
-    least = max(LEAST_HEAVY, bands * nodes.count() // HEAVY)
-    heavy = cut_small(shared.where(F.col("n") > least).select("key"))  # HEAVY buckets at most
-    heavy = None if heavy.isEmpty() else heavy
+    heavy = heaviest(shared.select("key", "n"), "key")
     members = cut(join_spread(banded, shared.select("key", "first"), ["key"], heavy).select("key", "first", "node", "size"))
 
     wanted = members.select("node").distinct().join(nodes.select("node", "mark"), "node").select(F.col("node").alias("id"), "mark").distinct()

@@ -62,12 +62,14 @@ HEAVY, LEAST_HEAVY, SALTS = 10_000, 200, 64
 def heavy_keys(rows: DataFrame, key: str) -> DataFrame | None:
     """The keys that have over 1 / HEAVY of ``rows`` (which should be materialised), and at least
     LEAST_HEAVY of them; None without any. As there are HEAVY at most, they may be broadcast."""
-    total = rows.count()
-    if total <= LEAST_HEAVY:
-        return None
-    found = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max(LEAST_HEAVY, total // HEAVY))
-    found = cut(found.select(key).repartition(1))
-    return None if found.isEmpty() else found
+    return heaviest(rows.groupBy(key).agg(F.count("*").alias("n")), key)
+
+
+def heaviest(counted: DataFrame, key: str) -> DataFrame | None:
+    """heavy_keys() of rows whose number per key is known: (key, n)."""
+    most, total = counted.agg(F.max("n"), F.sum("n")).first()
+    least = max(LEAST_HEAVY, (total or 0) // HEAVY)
+    return None if (most or 0) <= least else cut(counted.where(F.col("n") > least).select(key).repartition(1))
 
 
 def join_spread(rows: DataFrame, lookup: DataFrame, on: list[str], heavy: DataFrame | None, how: str = "inner") -> DataFrame:
