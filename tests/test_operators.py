@@ -106,10 +106,14 @@ DECISIONS = [
     ("The Committee decided to raise the target range for the federal funds rate by 1/2 percentage point.", 1, 50.0),
     ("The Committee decided to lower the target range for the federal funds rate to 4 to 4-1/4 percent.", -1, 25.0),
     ("The Governing Council decided to raise the key ECB interest rates by 75 basis points.", 1, 75.0),
-    ("The Governing Council decided to cut interest rates by 50 basis points.", -1, 50.0),
+    ("The Governing Council decided to cut the three key ECB interest rates by 50 basis points.", -1, 50.0),
     ("The Committee decided to maintain the target range for the federal funds rate.", 0, 0.0),
     ("The Governing Council decided to keep the key ECB interest rates unchanged.", 0, 0.0),
     ("The weather was fine and rates of rain fell.", 0, 0.0),
+    ("Interest rates on the main refinancing operations will be increased by 75 basis points, the Council decided.", 1, 75.0),
+    ("The Committee decided to establish a target range for the federal funds rate of 0 to 1/4 percent.", -1, 75.0),
+    ("Members voted not to raise the federal funds rate.", 0, 0.0),
+    ("It decided to leave the policy rate and to raise the deposit facility later.", 0, 0.0),
 ]
 
 
@@ -122,6 +126,28 @@ def test_decisions(spark):
     assert [one(spark, scoring.action_base(F.lit(-1), F.lit(p))) for p in (25.0, 50.0, 75.0)] == [-0.6, -0.8, -1.0]
 
 
+def test_the_deciding_sentence_counts_once(spark):
+    said = [(1, 0, "Hello.", 0.5), (1, 1, DECISIONS[0][0], -1.0), (1, 2, "More.", 0.1), (2, 0, "Nothing.", None), (3, 0, "Words.", 0.2)]
+    df = spark.createDataFrame(said, "doc_id int, pos int, sentence string, value double")
+    got = {x.doc_id: (x.base, x.score) for x in scoring.decision_scores(scoring.decisions(df, text.basis_points(F.col("sentence"))), df).collect()}
+    assert got == {1: (0.8, 0.86), 2: (0.0, 0.0), 3: (0.0, 0.2)}
+
+
+def test_tiers_are_tested_in_order(spark):
+    f = lambda s, t, **k: one(spark, weights.tier(F.lit(s), F.lit(t), **k))
+    assert [f("FOMC Statement", "Policy"), f("ECB", "Account of the meeting"), f("Speech", None), f(None, "Payments: monetary policy statement"), f("x", "y")] == [1, 2, 3, 4, 3]
+    assert f("a", "click here", rules=((1, "CLICK"), (4, "here"))) == 1
+
+
+def test_history_has_all_months_of_both_banks(spark):
+    rows = [("FED", "2020-01-29"), ("ECB", "2023-06-15"), ("FED", "2026-10-01")]
+    df = spark.createDataFrame([(i, b, dt.date.fromisoformat(d), "FOMC Statement", "Policy statement", False, 0.4, 0, 3) for i, (b, d) in enumerate(rows)], "item_id int, bank string, item_date date, source string, title string, is_statistical boolean, net_score double, stat_weight int, speaker int")
+    meetings = spark.createDataFrame([("FED", dt.date(2026, 9, 20), 25), ("ECB", dt.date(2026, 9, 20), 25)], "bank string, meeting date, bps int")
+    got = [tuple(x) for x in index.history(index.monthly(df, meetings, exempt=19), "FED", "ECB").orderBy("month").collect()]
+    assert [(str(m), n, k) for m, _, n, _, k in got] == [("2020-01-01", 1, 0), ("2023-06-01", 0, 1), ("2026-10-01", 1, 0)]
+    assert got[0][1] == got[1][3] == 0.26 and got[0][3] is None and got[2][1] == pytest.approx(0.26 + 0.35 * 0.353, abs=2e-3)
+
+
 def test_lexicon_window_and_negation(spark):
     lexicon = spark.createDataFrame([("prices", "target", 1), ("rise", "direction", 1), ("fall", "direction", -1), ("not", "negation", 0)], "word string, role string, sign int")
     lines = ["prices rise", "prices do not rise", "prices a b c d e f rise", "prices fall", "not a b c prices rise"]
@@ -147,9 +173,18 @@ def test_html_container():
 
 
 def test_pdf():
-    body = zlib.compress(rb"BT (Hello \(big\) world, this is prose) Tj [(and ) -20 (more)] TJ ET")
-    data = b"%PDF\n1 0 obj\nstream\n" + body + b"\nendstream\nstream\n(x) Tj\nendstream"
-    assert documents.pdf_pages(data) == "Hello (big) world, this is prose and more"
+    prose = "Hello big world this is prose and there is far more of it to read today"
+    body = rb"BT (Hello big) Tj T* (world this is\nprose and ) ' [(there is f) (ar more of it)] TJ Td (to read \164oday) Tj ET"
+    raw = zlib.compressobj(wbits=-15)
+    raw = raw.compress(body) + raw.flush()
+    odd = zlib.compress(b"(12 34) Tj")
+    pack = lambda *streams: b"%PDF\n1 0 obj\n" + b"".join(b"stream\r\n" + x + b"\nendstream\n" for x in streams)
+    assert documents.pdf_pages(pack(zlib.compress(body), odd)) == prose
+    assert documents.pdf_pages(pack(raw, zlib.compress(body))) == f"{prose}\f{prose}"
+    assert documents.pdf_pages(pack(odd)) == "12 34" and documents.pdf_pages(pack(b"\x00\x01 rubbish")) == ""
+    assert documents.pdf_pages(rb"(no \(stream\)) Tj T* (here)") == "no (stream) here" and documents.pdf_pages(None) is None
+    broken = zlib.compress(body * 40)
+    assert documents.pdf_pages(pack(broken[: len(broken) // 2])).startswith("Hello big")  # as far as it is sound
 
 
 def test_locate_and_keys(spark):

@@ -102,3 +102,16 @@ def basis_points(text: Column) -> Column:
         fraction = F.coalesce(fraction, F.when(t.rlike(rf"\b{name} (of a )?percentage point"), value))
     points = F.nullif(F.regexp_extract(t, r"([0-9]+\.[0-9]+) percentage point", 1), F.lit("")).cast("double") * 100
     return F.coalesce(digits, fraction, points, F.lit(25.0))
+
+
+_PERSON = r"[A-Z][a-z]+(?: [A-Z][a-z]+)+"
+
+
+def byline(text: Column) -> Column:
+    """Who a text is by, without an honorific."""
+    return F.nullif(F.regexp_extract(text, rf"\bby (?:(?:Mr|Ms|Mrs|Dr) )?({_PERSON})", 1), F.lit(""))
+
+
+def by_president(text: Column) -> Column:
+    """Surname of the president whose text it is."""
+    return F.nullif(F.regexp_extract(text, r"\bby President ([A-Z][a-z]+)", 1), F.lit(""))

@@ -15,12 +15,16 @@ ANCHOR_SHARE, STEP, ANCHOR_DAYS, ANCHOR_HALF, ANCHOR_MOST = 0.35, 0.45, 180, 120
 COMMS_DAYS, STATS_DAYS = 45, 60
 
 
+def weighted_scores() -> Column:
+    return F.sum(F.col("weight") * F.col("net_score")).alias("ws")
+
+
 def aggregate(rows: DataFrame, group: list[str], exempt: int) -> DataFrame:
     """Weighted mean under the speaker cap to 3 places, count, label counts and tier counts per group.
     Rows are summed by group and speaker once; all else runs on these sums."""
     tone = F.when(F.col("net_score") > 0.1, "hawkish").when(F.col("net_score") < -0.1, "dovish").otherwise("neutral")
     counts = {f"n_{t}": F.count_if(tone == t) for t in ("hawkish", "dovish", "neutral")} | {f"tier_{t}": F.count_if(F.col("tier") == t) for t in (1, 2, 3, 4)}
-    sums = speaker_factors(speaker_sums(rows, group, exempt, F.min("age").alias("age"), *(f.alias(x) for x, f in counts.items())), group)
+    sums = speaker_factors(speaker_sums(rows, group, exempt, weighted_scores(), F.min("age").alias("age"), *(f.alias(x) for x, f in counts.items())), group)
     w, ws = F.sum(F.col("w") * F.col("factor")), F.sum(F.col("ws") * F.col("factor"))
     out = sums.groupBy(*group).agg(F.when(w > 0, ws / w).alias("raw"), F.sum("n").alias("n"), F.min("age").alias("freshest"), *(F.sum(x).alias(x) for x in counts))
     return out.withColumn("score", round_up("raw")).withColumn("label", five_levels("score")).drop("raw")
@@ -59,7 +63,7 @@ def window(items: DataFrame, calendar: DataFrame, as_of: dt.date) -> DataFrame:
 def blended(rows: DataFrame, calendar: DataFrame, group: list[str], as_of: Column, exempt: int) -> DataFrame:
     """One row per group, of which the bank is one column: both channels, alpha, anchor, narrative and
     index of weighted ``rows``. ``as_of`` is an expression over the group's columns."""
-    sums = speaker_factors(speaker_sums(rows, [*group, "is_statistical"], exempt, F.min("age").alias("age"), F.min("half_life").alias("half_life")), [*group, "is_statistical"])
+    sums = speaker_factors(speaker_sums(rows, [*group, "is_statistical"], exempt, weighted_scores(), F.min("age").alias("age"), F.min("half_life").alias("half_life")), [*group, "is_statistical"])
     w, ws = F.col("w") * F.col("factor"), F.col("ws") * F.col("factor")
     sides = [(side, on, name) for side, on in (("text", ~F.col("is_statistical")), ("stat", F.col("is_statistical"))) for name in ("score", "n", "age")]
     of = lambda on: {"score": round_up(F.sum(F.when(on, ws)) / F.sum(F.when(on, w))), "n": F.coalesce(F.sum(F.when(on, F.col("n"))), F.lit(0)), "age": F.min(F.when(on, F.col("age")))}

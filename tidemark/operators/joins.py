@@ -28,14 +28,26 @@ def intervals(marks: DataFrame, by: list[str], mark: str) -> DataFrame:
     return marks.withColumn("previous", F.lag(mark).over(order)).withColumn("next", F.lead(mark).over(order))
 
 
+#: Members of over 1 / FREQUENT of all rows are at most so many.
+FREQUENT = 10_000
+
+
+def with_frequency(members: DataFrame, column: str) -> DataFrame:
+    """``members`` with ``df``, how many rows have the same value. Frequent values, FREQUENT at most, are
+    broadcast, so no task gets all the rows of one."""
+    counts = members.groupBy(column).agg(F.count("*").alias("df"))
+    least = max(100, members.count() // FREQUENT)
+    often = F.broadcast(counts.where(F.col("df") > least))
+    return members.join(often, column).unionByName(members.join(often, column, "left_anti").join(counts.where(F.col("df") <= least), column))
+
+
 def similar_sets(rows: DataFrame, id_column: str, set_column: str, threshold: float) -> DataFrame:
     """Pairs (a, b) of rows whose sets have a Jaccard similarity of ``threshold`` or more. Sets that
     similar share one of their rarest members: the first size - ceil(threshold * size) + 1."""
     one = rows.where(F.size(set_column) > 0).select(F.col(id_column).alias("id"), F.col(set_column).alias("set"))
     members = one.select("id", F.size("set").alias("n"), F.explode("set").alias("x"))
-    counts = members.groupBy("x").agg(F.count("*").alias("df"))
     order = Window.partitionBy("id").orderBy("df", "x")
-    ranked = members.join(counts, "x").withColumn("rank", F.row_number().over(order))
+    ranked = with_frequency(members, "x").withColumn("rank", F.row_number().over(order))
     prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("id", "n", "x")
     other = prefix.select(F.col("id").alias("b"), F.col("n").alias("m"), "x")
     sizes = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
@@ -43,3 +55,20 @@ def similar_sets(rows: DataFrame, id_column: str, set_column: str, threshold: fl
     full = pairs.join(one.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(one.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return full.where(both >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
+def without_similar(rows: DataFrame, other: DataFrame, by: list[str], id_column: str, day: str, words: str, days: int = 7, threshold: float = 0.8) -> DataFrame:
+    """``rows`` but for those that ``other`` has on the same keys, within ``days``, with a set of words (an array) of
+    Jaccard similarity ``threshold`` or more. Days are met by periods of ``days`` days, words by the
+    first size - ceil(threshold * size) + 1 in an order by hash, of which similar sets share one."""
+    period = F.floor(F.unix_date(day) / days)
+    order = F.array_sort(F.transform(F.array_distinct(words), lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w"))))
+    n = F.size(F.array_distinct(words))
+    first = F.explode(F.slice(order["w"], 1, n - F.ceil(n * threshold - 1e-9).cast("int") + 1))
+    mine = rows.select(F.col(id_column).alias("id"), *by, F.col(day).alias("d"), F.col(words).alias("w"), period.alias("t"), first.alias("x"))
+    theirs = other.select(*by, F.col(day).alias("e"), F.col(words).alias("v"), F.explode(F.array(period - 1, period, period + 1)).alias("t"), order.alias("__o"))
+    theirs = theirs.withColumn("x", F.explode(F.slice(F.col("__o")["w"], 1, F.size("__o") - F.ceil(F.size("__o") * threshold - 1e-9).cast("int") + 1))).drop("__o").distinct()
+    both = F.size(F.array_intersect("w", "v"))
+    alike = both >= threshold * F.size(F.array_union("w", "v")) - 1e-9
+    found = mine.join(theirs, [*by, "t", "x"]).where((F.abs(F.datediff("d", "e")) <= days) & alike).select(F.col("id").alias(id_column)).distinct()
+    return rows.join(found, id_column, "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numerics import clamp, round_up
@@ -13,18 +13,18 @@ REACH, NEGATION = 6, 3
 
 def lexicon_points(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(doc_id, pos, hawk, dove) of sentences (doc_id, pos, words array). ``lexicon`` (word, role,
-    sign): targets and directions carry a sign, negations flip. Only lexicon words are exploded and
-    kept; targets meet directions of their own sentence."""
-    words = sentences.select("doc_id", "pos", F.posexplode("words").alias("at", "word")).join(F.broadcast(lexicon), "word")
-    some = words.groupBy("doc_id", "pos").agg(*(F.collect_list(F.when(F.col("role") == r, F.struct("at", "sign"))).alias(r) for r in ("target", "direction", "negation")))
-
-    def value(t: Column, d: Column) -> Column:
-        flips = F.exists("negation", lambda n: (d["at"] > n["at"]) & (d["at"] - n["at"] <= NEGATION))
-        near = (F.abs(d["at"] - t["at"]) <= REACH) & (d["at"] != t["at"])
-        return F.when(near, t["sign"] * d["sign"] * F.when(flips, -1).otherwise(1)).otherwise(0)
-
-    all_ = F.flatten(F.transform("target", lambda t: F.transform("direction", lambda d: value(t, d))))
-    return some.select("doc_id", "pos", F.size(F.filter(all_, lambda x: x > 0)).alias("hawk"), F.size(F.filter(all_, lambda x: x < 0)).alias("dove"))
+    sign): targets and directions carry a sign, negations flip. Only lexicon words are kept and
+    shuffled, once; each meets those within REACH words of it, so long sentences cost no more per word."""
+    hits = sentences.select("doc_id", "pos", F.posexplode("words").alias("at", "word")).join(F.broadcast(lexicon), "word")
+    order = Window.partitionBy("doc_id", "pos").orderBy("at")
+    flipped = F.max(F.col("role") == "negation").over(order.rangeBetween(-NEGATION, -1))
+    hits = hits.withColumn("turn", F.when(flipped, -F.col("sign")).otherwise(F.col("sign")))
+    near = F.collect_list(F.when(F.col("role") == "direction", F.struct("at", "turn"))).over(order.rangeBetween(-REACH, REACH))
+    met = F.filter("near", lambda d: (F.col("role") == "target") & (d["at"] != F.col("at")))
+    values = F.transform(met, lambda d: d["turn"] * F.col("sign"))
+    hits = hits.withColumn("near", near).select("doc_id", "pos", values.alias("values"))
+    count = lambda test: F.sum(F.size(F.filter("values", test)))
+    return hits.groupBy("doc_id", "pos").agg(count(lambda x: x > 0).alias("hawk"), count(lambda x: x < 0).alias("dove"))
 
 
 def document_scores(sentences: DataFrame, k: float, lex: tuple[float, float], lin: tuple[float, float], z_to_net: float) -> DataFrame:

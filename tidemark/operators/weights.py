@@ -80,11 +80,10 @@ def weighted(items: DataFrame, calendar: DataFrame, as_of: dt.date | Column, rul
 
 
 def speaker_sums(items: DataFrame, group: list[str], exempt: int, *more: Column) -> DataFrame:
-    """One row per group and speaker: (group.., speaker, w, ws, n, more..), ``w`` being the sum of weights and ``ws``
-    that of weights times scores. Statistical rows and the exempt speaker are speaker -1."""
+    """One row per group and speaker: (group.., speaker, w, n, more..), ``w`` being the sum of weights.
+    Statistical rows and the exempt speaker are speaker -1."""
     key = F.when(~F.col("is_statistical") & (F.col("speaker") != exempt), F.col("speaker")).otherwise(-1)
-    sums = F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("net_score")).alias("ws"), F.count("*").alias("n")
-    return items.groupBy(*group, key.alias("speaker")).agg(*sums, *more)
+    return items.groupBy(*group, key.alias("speaker")).agg(F.sum("weight").alias("w"), F.count("*").alias("n"), *more)
 
 
 def speaker_factors(sums: DataFrame, group: list[str], share: float = SPEAKER_SHARE, passes: int = PASSES) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.numerics import six
+from tidemark.functions.text import by_president, byline
 from tidemark.plans.base import CALENDAR_SQL, ITEMS_SQL, calendar, items, query, with_sql
 from tidemark.sources import documents, feeds, sinks
-from tidemark.session import table
+from tidemark.session import fresh_folder, table
 from tidemark.streaming import events as streams
 
 I = with_sql(ITEMS_SQL)  # noqa: E741
@@ -44,19 +44,22 @@ def scan_bis_rss(spark, sf_dir):
     return feeds.speeches(_text(spark, sf_dir, "<item><title>", F.col("title"), "</title><dc:creator>Ms Jane Roe ", _k(), "</dc:creator><dc:date>", F.date_format("item_date", "yyyy-MM-dd"), "T10:00:00Z</dc:date><cb:link>http://b.org/", _k(), "</cb:link></item>"))
 
 
-@query("scan_csv_series", I + "SELECT item_date AS day, k::DOUBLE AS value FROM items WHERE k % 7 <> 0")
+@query("scan_csv_series", I + "SELECT item_date AS date, k::DOUBLE AS value FROM items WHERE k % 7 <> 0")
 def scan_csv_series(spark, sf_dir):
-    """The rows of a CSV column; files are read by ``sources.feeds.csv_series``."""
-    text = _text(spark, sf_dir, F.date_format("item_date", "yyyy-MM-dd"), ",", F.when(F.col("k") % 7 == 0, "n/a").otherwise(_k()))
-    row = F.from_csv("text", F.lit("day string, value string"))
-    return text.select(row.alias("r")).select(F.to_date("r.day").alias("day"), F.col("r.value").try_cast("double").alias("value")).where("value IS NOT NULL")
+    """Files of dates and values, written to a fresh folder and read back."""
+    folder = fresh_folder(spark, "csv-series")
+    value = F.when(F.col("k") % 7 == 0, "n/a").otherwise(_k())
+    items(spark, sf_dir).select(F.date_format("item_date", "yyyy-MM-dd").alias("observation_date"), value.alias("NAME")).write.csv(folder, header=True)
+    return feeds.csv_series(spark, folder)
 
 
-@query("scan_csv_positional", I + "SELECT item_id, strftime(item_date, '%Y-%m') AS period, k::DOUBLE AS value FROM items")
+@query("scan_csv_positional", I + "SELECT strftime(item_date, '%Y-%m') AS period, k::DOUBLE AS value FROM items")
 def scan_csv_positional(spark, sf_dir):
-    text = _text(spark, sf_dir, "a,b,c,d,e,f,", F.date_format("item_date", "yyyy-MM"), ",", _k())
-    cell = F.split("text", ",")
-    return text.select("item_id", F.element_at(cell, 7).alias("period"), F.element_at(cell, 8).try_cast("double").alias("value"))
+    """Columns seven and eight of statistical files."""
+    folder = fresh_folder(spark, "csv-columns")
+    cells = [F.lit(x).alias(f"c{i}") for i, x in enumerate("abcdef")]
+    items(spark, sf_dir).select(*cells, F.date_format("item_date", "yyyy-MM").alias("c6"), _k().alias("c7")).write.csv(folder, header=True)
+    return feeds.csv_columns(spark, folder, 6, 7)
 
 
 @query("scan_json_observations", I + "SELECT item_id, item_date AS day, k::DOUBLE AS number FROM items WHERE k % 5 <> 0 ORDER BY item_date DESC, item_id LIMIT 15")
@@ -81,10 +84,13 @@ def scan_search_json(spark, sf_dir):
     return feeds.search_results(_text(spark, sf_dir, '{"articles":[{"url":"http://s.org/', _k(), '","title":"', F.col("title"), '","seendate":"', F.date_format("item_date", "yyyyMMdd"), 'T000000Z","domain":"s.org"}]}'), "text")
 
 
-@query("scan_first_release", I + "SELECT title AS period, min(CASE WHEN k = 13 THEN DATE '2024-01-15' ELSE item_date END) AS released, round(min_by(value, (CASE WHEN k = 13 THEN DATE '2024-01-15' ELSE item_date END, item_id)), 6) AS value FROM items GROUP BY title")
+@query("scan_first_release", I + """, v AS (SELECT CASE WHEN k % 2 = 0 THEN DATE '2024-01-05' ELSE DATE '2024-01-06' + (k % 10)::INT END AS period, k, item_date, item_id, value FROM items),
+  r AS (SELECT period, CASE WHEN k = 13 THEN period ELSE item_date END AS released, item_id, value FROM v)
+  SELECT period, min(released) AS released, min_by(value, (released, item_id)) AS value FROM r GROUP BY period""")
 def scan_first_release(spark, sf_dir):
-    rows = items(spark, sf_dir).withColumn("released", F.when(F.col("k") == 13, F.lit("2024-01-15").cast("date")).otherwise(F.col("item_date")))
-    return rows.groupBy(F.col("title").alias("period")).agg(F.min("released").alias("released"), six(F.min_by("value", F.struct("released", "item_id"))).alias("value"))
+    period = F.when(F.col("k") % 2 == 0, F.lit("2024-01-05").cast("date")).otherwise(F.date_add(F.lit("2024-01-06").cast("date"), (F.col("k") % 10).cast("int")))
+    released = F.when(F.col("k") == 13, F.lit("1776-07-04").cast("date")).otherwise(F.col("item_date"))
+    return feeds.first_release(items(spark, sf_dir).select(period.alias("period"), released.alias("released"), "item_id", "value"), ties=("item_id",))
 
 
 HREF = "SELECT page_id, unnest(list_distinct(list_filter(regexp_extract_all(html, 'href=\"([^\"#]+)', 1), lambda x: starts_with(x, '/')))) AS href, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS root FROM pages"
@@ -106,14 +112,15 @@ def scan_feed_autodiscovery(spark, sf_dir):
     return feeds.feed_links(table(spark, sf_dir, "pages").select("page_id", tag.alias("html")), "html")
 
 
-@query("scan_pdf_text", "SELECT doc_id, length(text) > 60 AS prose FROM documents")
+PLAIN = "regexp_replace(text, '[^\\x20-\\x7E\\n]|[()\\\\]', '', 'g')"
+
+
+@query("scan_pdf_text", f"SELECT doc_id, md5(trim(regexp_replace(regexp_replace({PLAIN}, '[.]', '(.)', 'g'), '\\s+', ' ', 'g'))) AS md5 FROM documents")
 def scan_pdf_text(spark, sf_dir):
-    """Documents dressed as one uncompressed content stream each and read back."""
-    plain = F.regexp_replace(F.col("text"), r"[()\\]", "")
-    content = F.concat(F.lit("%PDF-1.4\nstream\nBT ("), plain, F.lit(") Tj ET\nendstream\n")).cast("binary")
-    back = documents.pdf_text(content)
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"), back.alias("back"))
-    return docs.select("doc_id", (F.col("n") > 60).alias("prose"), "back").where("NOT prose OR length(back) >= 20").select("doc_id", "prose")
+    """Documents dressed as one uncompressed content stream each, with escapes, and read back."""
+    plain = F.regexp_replace(F.regexp_replace("text", r"[^\x20-\x7E\n]|[()\\]", ""), "[.]", r"\\(.\\051")
+    content = F.concat(F.lit("%PDF-1.4\nBT ("), plain, F.lit(") Tj ET\n")).cast("binary")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(documents.pdf_text(content)).alias("md5"))
 
 
 @query("str_extract_html_text")
@@ -133,30 +140,37 @@ def str_speech_key(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", documents.speech_key(F.col("lang"), F.col("source"), F.split_part("text", F.lit("\n"), F.lit(1))).alias("v"))
 
 
-@query("str_locate_evidence", "SELECT doc_id, 1 AS page FROM documents WHERE length(text) > 100 AND regexp_matches(substr(text, 41, 50), '[A-Za-z]')")
+ALNUM = "[\\p{L}\\p{N}]"
+
+
+@query("str_locate_evidence", f"""WITH d AS (SELECT doc_id, text, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS flat, regexp_replace(lower(substr(text, length(text) // 2 + 1, 50)), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS key FROM documents),
+  f AS (SELECT *, CASE WHEN key <> '' THEN list_filter(generate_series(1, length(text)), lambda i: regexp_matches(substr(text, i, 1), '{ALNUM}'))[strpos(flat, key)] - 1 END AS place FROM d)
+  SELECT doc_id, CASE WHEN place IS NOT NULL THEN 1 END AS page, length(left(text, place)) - length(replace(left(text, place), chr(10), '')) + 1 AS line, place AS \"offset\" FROM f""".replace('\\"', '"'))
 def str_locate_evidence(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.length("text") > 100).select("doc_id", "text", F.substring("text", 41, 50).alias("needle"))
-    found = docs.where(F.col("needle").rlike("[A-Za-z]")).select("doc_id", documents.locate(F.col("text"), F.col("needle")).alias("p"))
-    return found.select("doc_id", F.col("p.page").alias("page")).where("page = 1")
+    """Fifty characters from the middle of each document, found again by their letters and digits."""
+    needle = F.expr("substring(text, int(length(text) / 2) + 1, 50)")
+    return table(spark, sf_dir, "documents").select("doc_id", documents.locate(F.col("text"), needle).alias("p")).select("doc_id", "p.*")
 
 
-@query("str_attributed_sentences", "SELECT doc_id, contains(text, 'idiot') AS named FROM documents")
+@query("str_attributed_sentences", """WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), 1) AS i FROM documents),
+  f AS (SELECT *, contains(s, 'and') AS named, regexp_matches(s, '\\b(of|to|de)\\b') AS speech FROM s),
+  g AS (SELECT *, named OR (speech AND coalesce(lag(named) OVER w OR (lag(speech) OVER w AND lag(named, 2) OVER w), false)) AS kept FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+  SELECT doc_id, count(*) FILTER (kept) AS n, md5(coalesce(string_agg(s, '|' ORDER BY i) FILTER (kept), '')) AS md5 FROM g GROUP BY doc_id""")
 def str_attributed_sentences(spark, sf_dir):
-    got = documents.attributed(F.col("text"), "idiot")
-    return table(spark, sf_dir, "documents").select("doc_id", (F.size(got) > 0).alias("named"))
+    got = documents.attributed(F.col("text"), "and", r"\b(of|to|de)\b")
+    return table(spark, sf_dir, "documents").select("doc_id", got.alias("got")).select("doc_id", F.size("got").alias("n"), F.md5(F.array_join("got", "|")).alias("md5"))
 
 
 @query("str_byline", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Jane Roe' END AS v FROM documents")
 def str_byline(spark, sf_dir):
     line = F.when(F.col("doc_id") % 2 == 0, "Speech by Ms Jane Roe, Member of the Board").otherwise("No name here")
-    who = F.nullif(F.regexp_extract(line, r"\bby (?:(?:Mr|Ms|Mrs|Dr) )?([A-Z][a-z]+(?: [A-Z][a-z]+)+)", 1), F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", who.alias("v"))
+    return table(spark, sf_dir, "documents").select("doc_id", byline(line).alias("v"))
 
 
 @query("str_by_president", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Roe' END AS v FROM documents")
 def str_by_president(spark, sf_dir):
     line = F.when(F.col("doc_id") % 3 == 0, "Remarks by President Roe").otherwise("President of the board")
-    return table(spark, sf_dir, "documents").select("doc_id", F.nullif(F.regexp_extract(line, r"\bby President ([A-Z][a-z]+)", 1), F.lit("")).alias("v"))
+    return table(spark, sf_dir, "documents").select("doc_id", by_president(line).alias("v"))
 
 
 @query("sink_upsert_items", I + "SELECT bank, source, title, item_date, max(item_id) AS item_id FROM items GROUP BY ALL")
@@ -236,14 +250,17 @@ def stream_static_join(spark, sf_dir):
 
 @query("sink_append", I + "SELECT item_id FROM items WHERE k < 10 UNION ALL SELECT item_id FROM items WHERE k BETWEEN 5 AND 20")
 def sink_append(spark, sf_dir):
-    """An append keeps repeated rows; ``sinks.append`` writes it."""
-    rows = items(spark, sf_dir).select("item_id", "k")
-    return rows.where("k < 10").unionByName(rows.where("k BETWEEN 5 AND 20")).select("item_id")
+    """Two appends to a fresh folder, read back: repeated rows are kept."""
+    folder, rows = fresh_folder(spark, "append"), items(spark, sf_dir).select("item_id", "k")
+    sinks.append(rows.where("k < 10"), folder)
+    sinks.append(rows.where("k BETWEEN 5 AND 20"), folder)
+    return spark.read.schema(rows.schema).parquet(folder).select("item_id")
 
 
-@query("sink_csv", I + """SELECT item_id, CASE WHEN k % 2 = 0 THEN '"' || source || ',' || k || '"' ELSE source END || ',' || CASE WHEN k % 3 = 0 THEN '' ELSE k::VARCHAR END AS line FROM items""")
+@query("sink_csv", I + """SELECT CASE WHEN k % 2 = 0 THEN '"' || source || ',' || k || '"' ELSE source END || ',' || CASE WHEN k % 3 = 0 THEN '' ELSE k::VARCHAR END || ',' || item_id AS value FROM items""")
 def sink_csv(spark, sf_dir):
-    """The lines that ``sinks.csv`` writes: quotes only where needed, null is empty."""
+    """The lines of CSV files, but for the headers: quotes only where needed, null is empty."""
+    folder = fresh_folder(spark, "csv")
     name = F.when(F.col("k") % 2 == 0, F.concat_ws(",", "source", F.col("k").cast("string"))).otherwise(F.col("source"))
-    row = F.struct(name.alias("name"), F.when(F.col("k") % 3 != 0, F.col("k")).alias("k"))
-    return items(spark, sf_dir).select("item_id", F.to_csv(row, {"nullValue": ""}).alias("line"))
+    sinks.csv(items(spark, sf_dir).select(name.alias("name"), F.when(F.col("k") % 3 != 0, F.col("k")).alias("k"), "item_id"), folder)
+    return spark.read.text(folder).where("value <> 'name,k,item_id'")

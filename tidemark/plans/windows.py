@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numerics import six
-from tidemark.operators.joins import asof, intervals
+from tidemark.operators.joins import asof, intervals, without_similar
 from tidemark.plans.base import AS_OF, AS_OF_SQL, CALENDAR_SQL, ITEMS_SQL, SERIES_SQL, calendar, items, query, scored, series, with_sql
 from tidemark.plans.basics import top_rows
 from tidemark.session import table
@@ -347,16 +347,18 @@ def join_anti_same_row(spark, sf_dir):
     return rows.where(F.col("item_date") >= F.date_sub(F.lit(AS_OF), 20)).join(recent, ["item_date", "title"], "left_anti").select("item_id")
 
 
-@query("join_fuzzy_interval_anti", I + """SELECT item_id FROM items a WHERE source = 'click' AND NOT EXISTS (SELECT 1 FROM items b WHERE b.source = 'view' AND a.speaker = b.speaker AND a.bank = b.bank AND abs(a.item_date - b.item_date) <= 7
-  AND a.k % 10 = b.k % 10)""")
+FUZZY = "['the', 'long', 'report', 'on', 'how', 'it', 'went', 'by' || (k // 10 % 5), (k % 10)::VARCHAR, 'at' || (user_id % 7)]"
+
+
+@query("join_fuzzy_interval_anti", with_sql(ITEMS_SQL, f"w AS (SELECT *, {FUZZY} AS words FROM items)") + """SELECT item_id FROM w a WHERE source = 'click' AND NOT EXISTS (SELECT 1 FROM w b WHERE b.source = 'view' AND a.speaker = b.speaker AND a.bank = b.bank AND abs(a.item_date - b.item_date) <= 7
+  AND len(list_intersect(a.words, b.words)) >= 0.8 * len(list_distinct(list_concat(a.words, b.words))))""")
 def join_fuzzy_interval_anti(spark, sf_dir):
-    """Drop what another source has within seven days under a title of the same words (three of
-    four words alike is under 0.8, so the words must agree). Days are met by weeks: own, before, behind."""
-    rows = items(spark, sf_dir).withColumn("words", F.array_sort(F.array_remove(F.split(F.lower("title"), " "), F.lower("source")))).withColumn("week", F.floor(F.unix_date("item_date") / 7))
-    other = rows.where("source = 'view'").select("speaker", "bank", "words", F.col("item_date").alias("day"), F.explode(F.array(F.col("week") - 1, F.col("week"), F.col("week") + 1)).alias("week")).distinct()
-    mine = rows.where("source = 'click'")
-    cond = (mine.speaker == other.speaker) & (mine.bank == other.bank) & (mine.words == other.words) & (mine.week == other.week) & (F.abs(F.datediff(mine.item_date, other.day)) <= 7)
-    return mine.join(other, cond, "left_anti").select("item_id")
+    """Drop what another source has within seven days under nearly the same title: of its ten words one may differ."""
+    title = F.array(
+        *map(F.lit, "the long report on how it went".split()), F.concat(F.lit("by"), (F.floor(F.col("k") / 10) % 5).cast("string")), (F.col("k") % 10).cast("string"), F.concat(F.lit("at"), (F.col("user_id") % 7).cast("string"))
+    )
+    rows = items(spark, sf_dir).withColumn("words", title)
+    return without_similar(rows.where("source = 'click'"), rows.where("source = 'view'"), ["speaker", "bank"], "item_id", "item_date", "words").select("item_id")
 
 
 @query("join_related_rows", I + "SELECT item_id, count(*) OVER (PARTITION BY speaker, item_date) - 1 AS related FROM items")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +29,13 @@ def local_session(cores: int | str = "*", **extra: str) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh_folder(spark: SparkSession, what: str) -> str:
+    """A new path that the driver and all executors share: below ``spark.checkpoint.dir``, or, where that is
+    unset and the master is local, on this machine."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder and context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(folder or f'file://{tempfile.gettempdir()}/tidemark').rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -5,36 +5,63 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
-_SHOW = re.compile(rb"\(((?:\\.|[^\\()])*)\)\s*Tj|\[((?:\((?:\\.|[^\\()])*\)|[^\]])*)\]\s*TJ", re.S)
-_PART = re.compile(rb"\(((?:\\.|[^\\()])*)\)")
+_STREAM = re.compile(rb"stream\r?\n?(.*?)endstream", re.S)
+#: A literal string, or an operator that moves to another place on the page.
+_TOKEN = re.compile(r"\(((?:\\.|[^\\()])*)\)|T\*|Td|TD|ET", re.S)
+_ESCAPE = re.compile(r"\\(?:([nrt])|([0-7]{1,3})|(.))", re.S)
+_BLANK = re.compile(r"[^\S\f]+")
+#: How long prose is, in characters and words of two letters, and its share of letters and blanks.
+PROSE_LENGTH, PROSE_WORDS, PROSE_SHARE = 40, 12, 0.75
 
 
-def _string(raw: bytes) -> str:
-    return re.sub(rb"\\([()\\])", rb"\1", raw).decode("latin-1")
+def _unescaped(found: re.Match) -> str:
+    blank, octal, other = found.groups()
+    return " " if blank else chr(int(octal, 8) & 255) if octal else other
 
 
-def pdf_pages(data: bytes | None, least: int = 20) -> str | None:
-    """Show-text operators of each content stream, joined; streams with little prose go."""
-    if data is None:
-        return None
-    pages = []
-    for found in _STREAM.finditer(data):
-        body = found[1]
+def _shown(content: str) -> str:
+    """The text that a content stream shows."""
+    parts = (" " if m[1] is None else _ESCAPE.sub(_unescaped, m[1]) for m in _TOKEN.finditer(content))
+    return _BLANK.sub(" ", "".join(parts)).strip()
+
+
+def _inflated(body: bytes) -> str | None:
+    """A deflated stream, with or without a header, as far as it is sound."""
+    body = body.rstrip(b"\r\n")
+    for bits in (zlib.MAX_WBITS, -zlib.MAX_WBITS):
+        machine, out = zlib.decompressobj(bits), b""
         try:
-            body = zlib.decompress(body)
+            for at in range(0, len(body), 512):
+                out += machine.decompress(body[at : at + 512])
         except zlib.error:
             pass
-        text = " ".join(_string(m[1]) if m[1] is not None else "".join(map(_string, _PART.findall(m[2]))) for m in _SHOW.finditer(body))
-        text = re.sub(r"\s+", " ", text).strip()
-        if len(text) >= least:
-            pages.append(text)
-    return "\f".join(pages)
+        if out:
+            return out.decode("latin-1")
+    return None
+
+
+def is_prose(text: str) -> bool:
+    if len(text) < PROSE_LENGTH or sum(len(w) > 1 for w in text.split()) < PROSE_WORDS:
+        return False
+    return sum(c == " " or (c.isascii() and c.isalpha()) for c in text) > PROSE_SHARE * len(text)
+
+
+def pdf_pages(data: bytes | None) -> str | None:
+    """Text of a PDF, pages separated by form feeds: of its streams those of prose, or all that show any
+    text if there is none; of the raw file if no stream can be inflated."""
+    if data is None:
+        return None
+    streams = [x for x in (_inflated(m[1]) for m in _STREAM.finditer(data)) if x]
+    if not streams:
+        return _shown(data.decode("latin-1"))
+    shown = [_shown(x) for x in streams]
+    return "\f".join([x for x in shown if is_prose(x)] or [x for x in shown if x])
 
 
 def pdf_text(content: Column) -> Column:
@@ -110,30 +137,44 @@ def speech_key(*parts: Column) -> Column:
     return run(F.concat_ws("|", *parts))
 
 
+_NO_ALNUM, _ALNUM = re.compile(r"[\W_]+"), re.compile(r"[^\W_]")
+
+
+def _lower(text: str) -> str:
+    """Lower case, a character for each."""
+    out = text.lower()
+    return out if len(out) == len(text) else "".join(c.lower()[:1] for c in text)
+
+
+def find_quote(text: str | None, needle: str | None) -> tuple[int | None, int | None, int | None]:
+    """(page, line, offset) of a quotation, by its letters and digits, or the first 60 or 30 of them."""
+    low = _lower(text or "")
+    flat, key = _NO_ALNUM.sub("", low), _NO_ALNUM.sub("", _lower(needle or ""))
+    for n in (len(key), 60, 30):
+        at = flat.find(key[:n]) if key else -1
+        if at >= 0:
+            offset = next(islice(_ALNUM.finditer(low), at, None)).start()
+            return text.count("\f", 0, offset) + 1, text.count("\n", text.rfind("\f", 0, offset) + 1, offset) + 1, offset
+    return None, None, None
+
+
 def locate(text: Column, needle: Column) -> Column:
-    """struct(page, line, offset): where a quotation is, by its first 60 or 30 letters and digits if
-    need be; pages are separated by form feeds."""
+    """struct(page, line, offset): where a quotation is; pages are separated by form feeds."""
 
     @F.pandas_udf("page int, line int, offset int")
     def run(texts: pd.Series, needles: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, needle in zip(texts, needles, strict=True):
-            place = [i for i, c in enumerate(text or "") if c.isalnum()]
-            flat = "".join((text or "")[i].lower()[:1] for i in place)
-            key = "".join(c.lower()[:1] for c in needle or "" if c.isalnum())
-            at = next((flat.find(key[:n]) for n in (len(key), 60, 30) if key and flat.find(key[:n]) >= 0), -1)
-            offset = place[at] if at >= 0 else None
-            head = (text or "")[:offset] if offset is not None else ""
-            rows.append((head.count("\f") + 1, head.rpartition("\f")[2].count("\n") + 1, offset) if offset is not None else (None, None, None))
-        return pd.DataFrame(rows, columns=["page", "line", "offset"]).astype("Int32")
+        return pd.DataFrame(list(map(find_quote, texts, needles)), columns=["page", "line", "offset"]).astype("Int32")
 
     return run(text, needle)
 
 
-def attributed(text: Column, name: str) -> Column:
+#: What quotes or reports speech.
+SPEECH = r"[\"“”]|\b(said|says|added|told|noted)\b"
+
+
+def attributed(text: Column, name: str, speech: str = SPEECH) -> Column:
     """Sentences that name someone, and up to two behind that quote or report speech."""
     parts = F.split(text, r"(?<=[.!?])\s+")
-    speech = r"[\"“”]|\b(said|says|added|told|noted)\b"
 
     def step(state: Column, s: Column) -> Column:
         names = s.contains(name)

@@ -91,11 +91,12 @@ def search_results(rows: DataFrame, json: str) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != json], F.inline(F.from_json(json, kind)["articles"])).withColumn("day", F.try_to_date(F.left("seendate", F.lit(8)), "yyyyMMdd")).drop("seendate")
 
 
-def first_release(vintages: DataFrame) -> DataFrame:
+def first_release(vintages: DataFrame, sentinel: str = "1776-07-04", ties: tuple[str, ...] = ("value",)) -> DataFrame:
     """Of each observation (period, released, value) the first release; a sentinel date stands for
-    the period itself."""
-    day = F.when(F.col("released") == "1776-07-04", F.col("period")).otherwise(F.col("released"))
-    return vintages.withColumn("released", day).groupBy("period").agg(F.min("released").alias("released"), F.min_by("value", "released").alias("value"))
+    the period itself. ``ties``: columns that order the releases of one day."""
+    day = F.when(F.col("released") == sentinel, F.col("period")).otherwise(F.col("released"))
+    first = F.min(F.struct(day.alias("released"), *(F.col(t).alias(f"tie{i}") for i, t in enumerate(ties)), F.col("value"))).alias("first")
+    return vintages.groupBy("period").agg(first).select("period", "first.released", "first.value")
 
 
 def csv_series(spark, path: str) -> DataFrame:
