@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numerics import clamp, round_up, six
 from tidemark.functions.text import basis_points, guidance_sentences
-from tidemark.operators import changepoint, scoring
+from tidemark.operators import changepoint, dedup, drift, regression, scoring
 from tidemark.operators.alerts import evaluate
 from tidemark.plans.base import AS_OF, AS_OF_SQL, CALENDAR_SQL, ITEMS_SQL, SERIES_SQL, calendar, items, query, scored, series, with_sql
 from tidemark.plans.basics import R3, top_rows
@@ -171,10 +171,18 @@ def ai_composite(spark, sf_dir):
 BEST = "SELECT item_id FROM (SELECT item_id, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS rn FROM items) WHERE rn = 1"
 
 
-@query("dom_dedup_items", I + BEST.format(key="bank, item_date, title", order="(source = 'view') DESC, (k > 50) DESC, (k % 10 = 0), word_count DESC, item_id"))
+ADDRESSED = """addressed AS (SELECT * REPLACE (title || CASE WHEN k % 11 = 0 THEN ' Q&A' ELSE '' END AS title, CASE WHEN user_id % 3 = 0 THEN 'Press Conf' ELSE source END AS source),
+  CASE WHEN k % 4 > 0 THEN 'https://www.x.org/' || CASE WHEN k % 2 = 0 THEN 'en' ELSE 'de' END || '/p' || (k % 5) || '?q=1' END AS url FROM items)"""
+
+
+@query("dom_dedup_items", with_sql(ITEMS_SQL, ADDRESSED) + """SELECT item_id FROM (SELECT item_id, row_number() OVER (PARTITION BY bank, item_date, CASE WHEN url IS NULL THEN 'T:' || lower(replace(title, '&', '')) ELSE 'U:' || (k % 5) END
+  ORDER BY coalesce(contains(url, '/en/'), false) DESC, contains(title, 'Q&A') DESC, source = 'Press Conf', word_count DESC, item_id) AS rn FROM addressed) WHERE rn = 1""")
 def dedup_items(spark, sf_dir):
-    order = [(F.col("source") == "view").desc(), (F.col("k") > 50).desc(), F.col("k") % 10 == 0, F.desc("word_count"), "item_id"]
-    return top_rows(items(spark, sf_dir), ["bank", "item_date", "title"], order, 1).select("item_id")
+    rows = items(spark, sf_dir)
+    url = F.concat(F.lit("https://www.x.org/"), F.when(F.col("k") % 2 == 0, "en").otherwise("de"), F.lit("/p"), (F.col("k") % 5).cast("string"), F.lit("?q=1"))
+    title = F.concat("title", F.when(F.col("k") % 11 == 0, " Q&A").otherwise(""))
+    rows = rows.withColumns({"url": F.when(F.col("k") % 4 > 0, url), "title": title, "source": F.when(F.col("user_id") % 3 == 0, "Press Conf").otherwise(F.col("source"))})
+    return dedup.dedup_items(rows, "item_id").select("item_id")
 
 
 @query("dom_prune_cross_source", I + BEST.format(key="bank, item_date, speaker", order="(abs(net_score) > 0.001) DESC, CASE source WHEN 'error' THEN 1 WHEN 'view' THEN 2 ELSE 3 END, word_count DESC, item_id"))
@@ -190,30 +198,25 @@ def group_evidence(spark, sf_dir):
     return items(spark, sf_dir).groupBy("bank", "item_date", "title").agg(F.count("*").alias("copies"), first.alias("main"), F.max("word_count").alias("longest"))
 
 
-STAT = "st AS (SELECT item_id, k % 10 AS metric, k AS v, item_date, stat_weight, net_score, strftime(item_date, '%Y-%m') AS month FROM items WHERE is_statistical AND bank = 'FED')"
+STAT = "st AS (SELECT item_id, bank, k % 10 AS metric, k AS v, item_date, stat_weight, net_score, strftime(item_date, '%Y-%m') AS month FROM items WHERE is_statistical)"
+OBSERVED = ["bank", "metric", "month"]
+
+
+def prints(spark, sf_dir):
+    return items(spark, sf_dir).where("is_statistical").withColumn("metric", F.col("k") % 10).withColumn("month", F.date_format("item_date", "yyyy-MM"))
 
 
 @query("dom_dedup_stat_prints", with_sql(ITEMS_SQL, STAT) + """SELECT item_id, CASE WHEN item_date <> first_date THEN 0.0 ELSE net_score END AS net_score,
-  CASE WHEN item_date <> first_date THEN 0.0 WHEN other THEN greatest(0.5, coalesce(nullif(stat_weight, 0), 1) * 0.5) ELSE stat_weight END::DOUBLE AS weight
-  FROM (SELECT *, first_value(item_date) OVER (PARTITION BY metric, month, v ORDER BY item_id) AS first_date,
-    coalesce(min(v) OVER p <> v OR max(v) OVER p <> v, false) AS other FROM st WINDOW p AS (PARTITION BY metric, month ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""")
+  CASE WHEN item_date <> first_date THEN 0.0 WHEN other THEN greatest(0.5, coalesce(nullif(stat_weight, 0), 1) * 0.5) ELSE stat_weight END::DOUBLE AS stat_weight
+  FROM (SELECT *, first_value(item_date) OVER (PARTITION BY bank, metric, month, v ORDER BY item_id) AS first_date,
+    coalesce(min(v) OVER p <> v OR max(v) OVER p <> v, false) AS other FROM st WINDOW p AS (PARTITION BY bank, metric, month ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""")
 def dedup_stat_prints(spark, sf_dir):
-    """In order of arrival: the same value again on another day counts nothing, another value of the
-    same month counts half."""
-    st = items(spark, sf_dir).where("is_statistical AND bank = 'FED'").withColumn("metric", F.col("k") % 10).withColumn("month", F.date_format("item_date", "yyyy-MM"))
-    first = F.first("item_date").over(W("metric", "month", "k").orderBy("item_id"))
-    before = W("metric", "month").orderBy("item_id").rowsBetween(Window.unboundedPreceding, -1)
-    other = F.coalesce((F.min("k").over(before) != F.col("k")) | (F.max("k").over(before) != F.col("k")), F.lit(False))
-    again = F.col("item_date") != first
-    half = F.greatest(F.lit(0.5), F.coalesce(F.nullif("stat_weight", F.lit(0)), F.lit(1)) * 0.5)
-    return st.select("item_id", F.when(again, 0.0).otherwise(F.col("net_score")).alias("net_score"), F.when(again, 0.0).when(other, half).otherwise(F.col("stat_weight").cast("double")).alias("weight"))
-
-
-@query("dom_month_revision", with_sql(ITEMS_SQL, STAT) + "SELECT item_id, v - p AS revision FROM (SELECT *, lag(v) OVER (PARTITION BY metric, month ORDER BY item_id) AS p FROM st) WHERE v <> p")
+    return dedup.dedup_prints(prints(spark, sf_dir), OBSERVED, "k", "item_id").select("item_id", "net_score", "stat_weight")
+
+
+@query("dom_month_revision", with_sql(ITEMS_SQL, STAT) + "SELECT item_id, v - p AS revision FROM (SELECT *, lag(v) OVER (PARTITION BY bank, metric, month ORDER BY item_id) AS p FROM st) WHERE v <> p")
 def month_revision(spark, sf_dir):
-    st = items(spark, sf_dir).where("is_statistical AND bank = 'FED'")
-    before = F.lag("k").over(W(F.col("k") % 10, F.date_format("item_date", "yyyy-MM")).orderBy("item_id"))
-    return st.select("item_id", (F.col("k") - before).alias("revision")).where("revision <> 0")
+    return dedup.revisions(prints(spark, sf_dir), OBSERVED, "k", "item_id").select("item_id", "revision")
 
 
 @query("dom_cusum_change_points")
@@ -223,13 +226,16 @@ def cusum(spark, sf_dir):
     return changepoint.per_bank(rows.withColumn("bank", F.concat_ws("/", "bank", "speaker")))
 
 
-SLOPE = "SELECT user_id, CASE WHEN count(*) >= 3 THEN round(regr_slope(net_score, rn - 1), 6) + 0.0 END AS slope, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY item_date, item_id) AS rn FROM items) GROUP BY user_id"
+DRIFT = """, r AS (SELECT user_id, net_score AS s, row_number() OVER w AS rn, count(*) OVER (PARTITION BY user_id) AS n, avg(net_score) OVER (PARTITION BY user_id ORDER BY item_date, item_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS mean5
+    FROM items WINDOW w AS (PARTITION BY user_id ORDER BY item_date, item_id)),
+  g AS (SELECT user_id, count(*) AS n, regr_slope(s, rn - 1) AS slope, avg(s) FILTER (rn <= n // 2) AS a, avg(s) FILTER (rn > n // 2) AS b, sum(s) FILTER (rn > n - 3) / 3 - coalesce(sum(s) FILTER (rn <= n - 3), 0) / greatest(1, max(n) - 3) AS shift, max_by(mean5, rn) AS latest FROM r GROUP BY user_id)
+  SELECT user_id, n, round(latest, 6) + 0.0 AS latest, CASE WHEN n >= 3 THEN round(slope, 6) + 0.0 END AS slope, CASE WHEN n >= 3 THEN round(least(1, CASE WHEN a * b < 0 THEN 0.4 ELSE 0 END + CASE WHEN abs(shift) > 0.2 THEN 0.3 WHEN abs(shift) > 0.1 THEN 0.15 ELSE 0 END
+    + CASE WHEN abs(slope) > 0.05 THEN 0.2 WHEN abs(slope) > 0.02 THEN 0.1 ELSE 0 END + CASE WHEN n > 10 THEN 0.1 ELSE 0 END), 2)::DOUBLE END AS pivot FROM g"""
 
 
-@query("dom_narrative_drift", I + SLOPE)
+@query("dom_narrative_drift", I.rstrip() + DRIFT)
 def narrative_drift(spark, sf_dir):
-    rows = items(spark, sf_dir).withColumn("rn", F.row_number().over(W("user_id").orderBy("item_date", "item_id")))
-    return rows.groupBy("user_id").agg(F.when(F.count("*") >= 3, six(F.regr_slope("net_score", F.col("rn") - 1))).alias("slope"), F.count("*").alias("n"))
+    return drift.narrative(items(spark, sf_dir), ["user_id"], "net_score", ["item_date", "item_id"]).withColumns({"latest": six("latest"), "slope": six("slope")})
 
 
 @query("dom_surprise_index", with_sql(ITEMS_SQL, MEANS) + """SELECT item_id, round(abs(net_score - m.mean) / sd + abs(net_score - g) / sd, 6) AS surprise FROM items JOIN m USING (speaker), (SELECT avg(net_score) AS g, coalesce(nullif(stddev_pop(net_score), 0), 0.1) AS sd FROM items)
@@ -375,19 +381,16 @@ def taylor_classic(spark, sf_dir):
     return series(spark, sf_dir).select("month", F.round(4 + 1.5 * p + 0.5 * y, 4).alias("classic"), F.round(4 + p + y, 4).alias("balanced"))
 
 
-NORMAL = "SELECT count(*) AS n, sum(x) AS sx, sum(z) AS sz, sum(y) AS sy, sum(x*x) AS sxx, sum(z*z) AS szz, sum(x*z) AS sxz, sum(x*y) AS sxy, sum(z*y) AS szy FROM t"
-
-
-@query("dom_taylor_two_regime", S + f""", t AS (SELECT mean / 100000 AS y, n / 100.0::DOUBLE AS x, month(month) / 12.0::DOUBLE AS z FROM series WHERE mean / 100000 >= 0.5), s AS ({NORMAL}),
-  c AS (SELECT *, sxx - sx*sx/n AS cxx, szz - sz*sz/n AS czz, sxz - sx*sz/n AS cxz, sxy - sx*sy/n AS cxy, szy - sz*sy/n AS czy FROM s)
-  SELECT n, round((cxy*czz - czy*cxz) / (cxx*czz - cxz*cxz), 4) AS b_inflation, round((czy*cxx - cxy*cxz) / (cxx*czz - cxz*cxz), 4) AS b_output FROM c""")
+@query("dom_taylor_two_regime", S + """, t AS (SELECT mean / 100000 - 1.4::DOUBLE AS y, n / 100.0::DOUBLE AS x, month(month) / 12.0::DOUBLE AS z FROM series),
+  r AS (SELECT unnest(list_filter([CASE WHEN y >= 0.1 OR (SELECT count(*) FILTER (y >= 0.1) FROM t) < 12 THEN 'normal' END, CASE WHEN y < 0.1 THEN 'low' END], lambda v: v IS NOT NULL)) AS regime, * FROM t),
+  s AS (SELECT regime, count(*) AS n, covar_pop(x, x) AS xx, covar_pop(z, z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy, covar_pop(y, y) AS yy, avg(x) AS mx, avg(z) AS mz, avg(y) AS my FROM r GROUP BY regime),
+  b AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS b_x, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b_z FROM s)
+  SELECT regime, n, round(my - b_x * mx - b_z * mz, 4) AS constant, round(b_x, 4) AS b_inflation, round(b_z, 4) AS b_output, round(sqrt((yy - b_x * xy - b_z * zy) * n / (n - 3)), 4) AS error, round(1 - (yy - b_x * xy - b_z * zy) / yy, 4) AS r2 FROM b""")
 def taylor_two_regime(spark, sf_dir):
-    """Least squares on two predictors from nine sums; nothing but sums leaves the executors."""
-    t = series(spark, sf_dir).select((F.col("mean") / 100000).alias("y"), (F.col("n") / 100.0).alias("x"), (F.month("month") / 12.0).alias("z")).where("y >= 0.5")
-    c = lambda a, b: F.covar_pop(a, b)
-    s = t.agg(F.count("*").alias("n"), c("x", "x").alias("xx"), c("z", "z").alias("zz"), c("x", "z").alias("xz"), c("x", "y").alias("xy"), c("z", "y").alias("zy"))
-    det = F.expr("xx * zz - xz * xz")
-    return s.select("n", F.round(F.expr("xy * zz - zy * xz") / det, 4).alias("b_inflation"), F.round(F.expr("zy * xx - xy * xz") / det, 4).alias("b_output"))
+    t = series(spark, sf_dir).select((F.col("mean") / 100000 - 1.4).alias("y"), (F.col("n") / 100.0).alias("x"), (F.month("month") / 12.0).alias("z"))
+    found = regression.two_regimes(t, "y", "x", "z", bound=0.1)
+    four = lambda c: F.round(c, 4)
+    return found.select("regime", "n", four("constant").alias("constant"), four("b_x").alias("b_inflation"), four("b_z").alias("b_output"), four("error").alias("error"), four("r2").alias("r2"))
 
 
 FEATURES = "f AS (SELECT month, mean / 100000 AS rate, n / 100.0::DOUBLE AS gap, lag(mean / 100000, 1) OVER w AS l1, lag(mean / 100000, 3) OVER w AS l3, lag(mean / 100000, 6) OVER w AS l6, coalesce(lag(mean / 100000, 2) OVER w, 0) AS l2 FROM series WINDOW w AS (ORDER BY month))"
