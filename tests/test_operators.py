@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import numerics, text
-from tidemark.operators import changepoint, index, joins, scoring, weights
+from tidemark.operators import changepoint, dedup, drift, index, joins, regression, scoring, weights
 from tidemark.sources import documents, feeds, sinks
 from tidemark.streaming import events as streams
 
@@ -90,6 +90,38 @@ def test_similar_sets_are_brute_force(spark):
     assert got == {(i, j) for i in range(80) for j in range(i + 1, 80) if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))}
 
 
+def test_regressions_by_regime(spark):
+    r = np.random.default_rng(4)
+    x, z = r.normal(size=40), r.normal(size=40)
+    y = 0.6 + 0.5 * x - 0.3 * z + 0.1 * r.normal(size=40)
+
+    def fit(some):
+        a = np.stack([np.ones(some.sum()), x[some], z[some]], axis=1)
+        b, *_ = np.linalg.lstsq(a, y[some], rcond=None)
+        rest = y[some] - a @ b
+        return [some.sum(), *b, np.sqrt((rest**2).sum() / (some.sum() - 3)), 1 - (rest**2).sum() / ((y[some] - y[some].mean()) ** 2).sum()]
+
+    df = spark.createDataFrame([tuple(map(float, v)) for v in zip(y, x, z)], "y double, x double, z double")
+    for least, normal in ((12, y >= 0.5), (41, y > -9)):
+        got = {v.regime: list(v)[1:] for v in regression.two_regimes(df, "y", "x", "z", 0.5, least).collect()}
+        assert got["normal"] == pytest.approx(fit(normal)) and got["low"] == pytest.approx(fit(y < 0.5))
+    same = regression.ols_two(spark.createDataFrame([(1.0, 1.0, 2.0), (2.0, 2.0, 4.0)], "y double, x double, z double"), [], "y", "x", "z").first()
+    assert same.b_x is None and same.n == 2
+
+
+def test_the_preferred_item_of_an_address(spark):
+    day = dt.date(2024, 1, 2)
+    rows = [(1, "https://a.org/de/x", "T", "Press", 9), (2, "https://www.a.org/en/x", "T", "Press Conf", 1), (3, "https://a.org/en/x?y", "T", "Press", 1), (4, None, "Hello (with Q&A)", "A", 5), (5, "", "hello ", "B", 7), (6, None, "Hello", "B", 7)]
+    df = spark.createDataFrame([("X", day, *r) for r in rows], "bank string, item_date date, id int, url string, title string, source string, word_count int")
+    assert sorted(x.id for x in dedup.dedup_items(df, "id").collect()) == [3, 4]
+
+
+def test_drift_of_three_or_more(spark):
+    rows = [("a", i, v) for i, v in enumerate([0.5, 0.5, -0.5, -0.5, -0.5, -0.5])] + [("b", 0, 1.0), ("b", 1, 0.0)]
+    got = {x.g: x for x in drift.narrative(spark.createDataFrame(rows, "g string, t int, s double"), ["g"], "s", ["t"]).collect()}
+    assert got["a"].pivot == pytest.approx(0.9 - 0.0) and got["a"].latest == pytest.approx(-0.3) and got["b"].slope is None and got["b"].pivot is None
+
+
 def test_change_points():
     days = [DAY + dt.timedelta(i) for i in range(40)]
     flat, count = np.zeros(40), np.full(40, 3)

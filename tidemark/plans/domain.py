@@ -381,14 +381,14 @@ def taylor_classic(spark, sf_dir):
     return series(spark, sf_dir).select("month", F.round(4 + 1.5 * p + 0.5 * y, 4).alias("classic"), F.round(4 + p + y, 4).alias("balanced"))
 
 
-@query("dom_taylor_two_regime", S + """, t AS (SELECT mean / 100000 - 1.4::DOUBLE AS y, n / 100.0::DOUBLE AS x, month(month) / 12.0::DOUBLE AS z FROM series),
-  r AS (SELECT unnest(list_filter([CASE WHEN y >= 0.1 OR (SELECT count(*) FILTER (y >= 0.1) FROM t) < 12 THEN 'normal' END, CASE WHEN y < 0.1 THEN 'low' END], lambda v: v IS NOT NULL)) AS regime, * FROM t),
+@query("dom_taylor_two_regime", S + """, t AS (SELECT mean / 100000 - 1.95::DOUBLE AS y, n / 100.0::DOUBLE AS x, month(month) / 12.0::DOUBLE AS z FROM series),
+  r AS (SELECT unnest(list_filter([CASE WHEN y >= 0.5 OR (SELECT count(*) FILTER (y >= 0.5) FROM t) < 12 THEN 'normal' END, CASE WHEN y < 0.5 THEN 'low' END], lambda v: v IS NOT NULL)) AS regime, * FROM t),
   s AS (SELECT regime, count(*) AS n, covar_pop(x, x) AS xx, covar_pop(z, z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy, covar_pop(y, y) AS yy, avg(x) AS mx, avg(z) AS mz, avg(y) AS my FROM r GROUP BY regime),
   b AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS b_x, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b_z FROM s)
   SELECT regime, n, round(my - b_x * mx - b_z * mz, 4) AS constant, round(b_x, 4) AS b_inflation, round(b_z, 4) AS b_output, round(sqrt((yy - b_x * xy - b_z * zy) * n / (n - 3)), 4) AS error, round(1 - (yy - b_x * xy - b_z * zy) / yy, 4) AS r2 FROM b""")
 def taylor_two_regime(spark, sf_dir):
-    t = series(spark, sf_dir).select((F.col("mean") / 100000 - 1.4).alias("y"), (F.col("n") / 100.0).alias("x"), (F.month("month") / 12.0).alias("z"))
-    found = regression.two_regimes(t, "y", "x", "z", bound=0.1)
+    t = series(spark, sf_dir).select((F.col("mean") / 100000 - 1.95).alias("y"), (F.col("n") / 100.0).alias("x"), (F.month("month") / 12.0).alias("z"))
+    found = regression.two_regimes(t, "y", "x", "z", bound=0.5)
     four = lambda c: F.round(c, 4)
     return found.select("regime", "n", four("constant").alias("constant"), four("b_x").alias("b_inflation"), four("b_z").alias("b_output"), four("error").alias("error"), four("r2").alias("r2"))
 
