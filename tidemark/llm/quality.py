@@ -194,22 +194,27 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 500, toleranc
     return shares, p, history
 
 
+def posterior(votes: np.ndarray, shares: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Probability of being good of texts with these votes [text, rule]."""
+    joint = (votes < 0) @ np.log(p).T + (votes > 0) @ np.log1p(-p).T + np.log(shares)
+    part = np.exp(joint - joint.max(axis=1, keepdims=True))
+    return part[:, 0] / part.sum(axis=1)
+
+
 def judge(counts: DataFrame, rules: dict[str, Column] | None = None, least: float = 0.5) -> DataFrame:
     """``counts`` with a vote per rule (``vote_<rule>``), base_failed, quality (posterior that the
-    text is good) and kept. The counts are materialised, as they are read twice."""
+    text is good) and kept. The counts are materialised, as they are read twice; the patterns of
+    votes, of which there are 3 ** rules at most, are sent along with their posteriors."""
     rules = rules or default_rules()
     votes = [f"vote_{x}" for x in rules]
-    voted = cut(counts).withColumns({f"vote_{x}": e.cast("int") for x, e in rules.items()})
-    found = voted.groupBy(*votes).count().collect()
-    good = F.lit(1.0)
-    if found:
-        shares, p, _ = fit(sorted((tuple(r[:-1]), r[-1]) for r in found))
-        bad = F.lit(0.0)
-        for blame, praise, share in zip(np.log(p[1:] / p[0]), np.log((1 - p[1:]) / (1 - p[0])), np.log(shares[1:] / shares[0]), strict=True):
-            odds = F.lit(float(share))  # of this defect against good
-            for vote, b, g in zip(votes, blame.tolist(), praise.tolist(), strict=True):
-                odds = odds + F.when(F.col(vote) < 0, b).when(F.col(vote) > 0, g).otherwise(0.0)
-            bad = bad + F.exp(odds)
-        good = 1 / (1 + bad)
-    judged = voted.withColumn("base_failed", base_failed()).withColumn("quality", good)
+    code = sum(((F.col(x) + 1) * 3**i for i, x in enumerate(votes)), F.lit(0))
+    voted = cut(counts.withColumns({f"vote_{x}": e.cast("int") for x, e in rules.items()}).withColumn("__pattern", code))
+    found = voted.groupBy("__pattern").count().collect()
+    patterns = sorted((tuple(r[0] // 3**i % 3 - 1 for i in range(len(votes))), r[1], r[0]) for r in found)
+    told: list[tuple[int, float]] = []
+    if patterns:
+        shares, p, _ = fit([(v, n) for v, n, _ in patterns])
+        told = list(zip((x[2] for x in patterns), posterior(np.array([v for v, _, _ in patterns]), shares, p).tolist(), strict=True))
+    known = F.broadcast(counts.sparkSession.createDataFrame(told, "__pattern int, quality double"))
+    judged = voted.join(known, "__pattern").drop("__pattern").withColumn("base_failed", base_failed())
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
