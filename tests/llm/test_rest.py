@@ -1,11 +1,14 @@
+import itertools
 import json
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import langid, licences, toolcalls, toxicity
+from tidemark.llm import langid, licences, support, toolcalls, toxicity
 
 WORDS = ["".join(a + b) for a in ("th", "er", "on", "an", "re", "st") for b in ("ing", "ed", "ly", "al", "or", "is")]
 
@@ -41,24 +44,65 @@ def test_toxic_documents_and_offsets(spark):
             assert set(text[span.start : span.end].lower().replace(",", " ").replace("!", " ").split()) <= bad
 
 
-def test_marginals_are_brute_force():
-    import itertools
+def brute_chain(score, start, move, truth):
+    """Marginals, expected moves, log-partition and score of ``truth``, by all paths."""
+    n = len(score)
+    weigh = lambda path: path[0] * start + sum(score[t] for t in range(n) if path[t]) + sum(move[path[t - 1], path[t]] for t in range(1, n))
+    mass, hot, moves = 0.0, np.zeros(n), np.zeros((2, 2))
+    for path in itertools.product((0, 1), repeat=n):
+        w = np.exp(weigh(path))
+        mass += w
+        hot += w * np.array(path)
+        for t in range(1, n):
+            moves[path[t - 1], path[t]] += w
+    return hot / mass, moves / mass, np.log(mass), weigh(truth)
 
-    import numpy as np
 
+def test_marginals_are_brute_force():
     rng = np.random.default_rng(0)
-    field = toxicity.Field(rng.normal(size=4), 0.3, -0.2, -0.5, 0.4, rng.normal(size=(2, 2)))
-    code = np.array([[1, 0, 3, 2, -1, -1], [0, 2, 2, 1, 0, 3]])
-    p, _, total = field.marginals(code)
-    for k, row in enumerate(code):
-        n = int((row >= 0).sum())
-        emit = field.scores(row[None])[0]
-        mass, hot = 0.0, np.zeros(n)
-        for path in itertools.product((0, 1), repeat=n):
-            w = np.exp(path[0] * field.first + sum(emit[t] for t in range(n) if path[t]) + sum(field.move[path[t - 1], path[t]] for t in range(1, n)))
-            mass += w
-            hot += w * np.array(path)
-        assert np.allclose(p[k, :n], hot / mass) and np.isclose(total[k], np.log(mass))
+    first, move = np.array([0, 1, 6, 8, 17]), rng.normal(size=(2, 2))
+    score = rng.normal(size=17) * 2
+    found = toxicity.Chains(score, first, 0.4, move)
+    want = [brute_chain(score[a:b], 0.4, move, [0] * (b - a)) for a, b in zip(first, first[1:])]
+    assert np.allclose(found.toxic(), np.concatenate([x[0] for x in want]))
+    assert np.allclose(found.moves(), sum(x[1] for x in want)) and np.isclose(found.total(), sum(x[2] for x in want))
+
+
+def test_long_chains_need_no_cut():
+    """20,000 tokens against the plain recursion, and no overflow."""
+    rng = np.random.default_rng(1)
+    score, move = rng.normal(size=20_000) * 5, np.array([[1.0, -2.0], [-1.0, 3.0]])
+    alpha = np.array([1.0, np.exp(score[0] + 0.4)])
+    log = 0.0
+    for x in score[1:]:
+        alpha = np.array([alpha @ np.exp(move[:, 0]), alpha @ np.exp(move[:, 1]) * np.exp(x)])
+        log += np.log(alpha.sum())
+        alpha /= alpha.sum()
+    found = toxicity.Chains(score, np.array([0, 20_000]), 0.4, move)
+    assert np.isclose(found.total(), log + np.log(alpha.sum())) and np.isclose(found.toxic()[-1], alpha[1] / alpha.sum())
+
+
+def test_gradient_and_score_are_brute_force(spark):
+    rng = np.random.default_rng(2)
+    lexicon = toxicity.Lexicon(np.sort(support.span_hashes(np.frombuffer(b"scumfine", np.uint8), np.array([0, 4]), np.array([4, 8]))), np.array([9, 2]))
+    theta = rng.normal(size=sum(lexicon.blocks()))
+    text = "You SCUM are fine. scum!"
+    words, _, _, features = lexicon.features(*support.text_bytes(pa.array([text])))
+    first, truth = toxicity.chains(words), np.array([0, 1, 0, 0, 1])
+    assert first.tolist() == [0, 4, 5] and (features[0] > 0).tolist() == [False, True, False, True, True]
+    score = theta[features].sum(axis=0)
+    want = [brute_chain(score[a:b], theta[-5], theta[-4:].reshape(2, 2), truth[a:b]) for a, b in ((0, 4), (4, 5))]
+    value, gradient = toxicity.likelihood(theta, features, first, truth)
+    assert np.isclose(value, sum(x[3] - x[2] for x in want))
+    for i in [features[0, 1], features[3, 0], features[4, 2], len(theta) - 5, len(theta) - 2]:
+        up, down = theta.copy(), theta.copy()
+        up[i], down[i] = up[i] + 1e-5, down[i] - 1e-5
+        slope = (toxicity.likelihood(up, features, first, truth)[0] - toxicity.likelihood(down, features, first, truth)[0]) / 2e-5
+        assert np.isclose(gradient[i], slope, atol=1e-4)
+    p = np.concatenate([x[0] for x in want])
+    total = p[p > 0.1].sum()
+    row = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), toxicity.Model(lexicon, theta, (-1.0, 0.5, 2.0))).first()
+    assert np.isclose(row.score, 1 / (1 + np.exp(1 - 0.5 * p.max() - 2 * np.log1p(total))))
 
 
 def test_nothing_to_learn(spark):
@@ -89,10 +133,21 @@ def test_languages(spark):
     assert langid.identify(pages, langid.fit_text(docs.limit(0))).count() == 0
 
 
-def test_host_priors_are_brute_force(spark):
-    """The posterior is the sum of the documented terms."""
+def test_entities_are_letters(spark):
+    docs = spark.createDataFrame([(1, "süßölä süß öl", "de"), (2, "suessoelae suess oel", "en")], "doc_id long, text string, lang string")
+    rows = [(1, None, "<p>s&uuml;&szlig;&#246;l&#xe4; s&uuml;&szlig;</p>"), (2, None, "<p>suess oel</p>")]
+    got = {x.page_id: x.text_lang for x in langid.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), langid.fit_text(docs)).collect()}
+    assert got == {1: "de", 2: "en"}
+
+
+@pytest.mark.parametrize("few", [10_000, 1])
+def test_host_priors_are_brute_force(spark, monkeypatch, few):
+    """The posterior is the sum of the documented terms, however counts are joined."""
     import math
 
+    monkeypatch.setattr(langid, "HEAVY", few)
+    monkeypatch.setattr(langid, "LEAST_HEAVY", 1)
+
     docs = spark.createDataFrame([(1, "kaka lolo", "aa"), (2, "zizi xexe", "bb")], "doc_id long, text string, lang string")
     model = langid.fit_text(docs)
     rows = [(1, "http://a.x.org/aa/1", "<html lang=aa>kaka lolo"), (2, "http://a.x.org/aa/2", "<html lang=aa>zizi"), (3, "http://b.x.org/3", "<html>kaka"), (4, "http://c.y.net/4", "<html lang=bb>xexe")]
@@ -115,7 +170,7 @@ def test_host_priors_are_brute_force(spark):
                 prior = (n[k] - own + 5 * prior) / (sum(n) - 1 + 5)
             s = float(model.logs[code, k].sum()) + math.log(prior)
             for at in (3, 0):
-                s += math.log((count(at)[k] - own + 0.5) / (2 - own + 50))
+                s += math.log((count(at)[k] - own + 0.5) / (2 - own + 0.5 * 3))  # three values of each
             scores.append(s)
         best = max(scores)
         assert got[i].lang == ("aa", "bb")[scores.index(best)]
@@ -140,6 +195,34 @@ def test_licences(spark):
     assert licences.scan(docs.limit(0), licences.fit(docs.limit(0))).count() == 0
 
 
+def test_regression_is_brute_force():
+    """Value and gradient against plain sums, and the windows' logits against those of whole texts."""
+    rng = np.random.default_rng(3)
+    texts, truth = ["the MIT license", "a b c a b", "one", "the the license"], [0, 2, 1, 0]
+    some = licences.examples(texts, truth)
+    classes = 3
+    loss = licences.Loss(some, classes)
+    bins = loss.bins
+    theta = rng.normal(size=(len(bins) + 1, classes))
+    want = 0.5 * licences.DECAY * (theta**2).sum()
+    for i, t in enumerate(texts):
+        hashes = licences._hashes(t)
+        one, two = licences._bins(hashes)
+        mine = [*one, *two[:-1]]
+        z = theta[-1] + sum(theta[list(bins).index(f)] for f in mine) / np.sqrt(2 * len(hashes) - 1)
+        want += np.log(np.exp(z).sum()) - z[truth[i]]
+    value, gradient = loss(theta.ravel())
+    assert np.isclose(value, want)
+    for i in range(0, theta.size, 5):
+        up, down = theta.ravel().copy(), theta.ravel().copy()
+        up[i], down[i] = up[i] + 1e-5, down[i] - 1e-5
+        slope = (loss(up)[0] - loss(down)[0]) / 2e-5
+        assert np.isclose(gradient[i], slope, atol=1e-6)
+    model = licences.Model(rng.normal(size=(licences.BINS, classes)).astype(np.float32), theta[-1], 1.0, [])
+    words, hashes, begin, end = licences.windows(*support.text_bytes(pa.array(texts)))
+    assert np.allclose(model.logits(hashes, begin, end), model.of_examples(some), atol=1e-4)
+
+
 GPL = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
 
 
@@ -193,10 +276,12 @@ def test_tool_calls(spark):
     ]
     results = [(1, "x", 5, 'said "é"\n', 0), (1, "x", 6, "later", 0), (9, "z", 1, "lost", 0), (None, "n", 1, "no", 0)]
     linked = toolcalls.link(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, "conv_id long, call_id string, seq long, content string, n int"))
-    got = {x.call_id: x for x in toolcalls.lines(toolcalls.levels(linked), SCHEMAS).collect()}
-    assert len(got) == 8
+    every = toolcalls.lines(toolcalls.levels(linked), SCHEMAS).collect()
+    got, orphans = {x.call_id: x for x in every if not x.orphan}, {x.call_id: x for x in every if x.orphan}
+    assert len(every) == 10 and len(got) == 8 and orphans.keys() == {"z", "n"} and orphans["z"].level is None and not orphans["z"].valid
+    assert json.loads(orphans["z"].line) == {"arguments": {}, "call_id": "z", "name": None, "problems": ["no call"], "result": "lost"}
     assert got["x"].n_calls == 2 and got["x"].n_results == 2 and got["n"].content is None and got["n"].n_results == 0
-    assert {k: v.level for k, v in got.items()} == {"x": 0, "y": 0, "q": 0, "p": 1, "r": 2, "c": None, "d": None, "n": 0}
+    assert {k: v.level for k, v in got.items()} == {"x": 0, "y": 1, "q": 0, "p": 1, "r": 2, "c": None, "d": None, "n": 0}
     assert got["x"].problems == [] and got["y"].problems == ["a is no integer"] and got["p"].problems == ["missing a"] and got["q"].problems == ["not an object"] and got["r"].problems == ["not an object"]
     assert got["x"].line == '{"arguments":{"a":2,"b":1.5},"call_id":"x","name":"add","problems":[],"result":"said \\"é\\"\\n"}'
     assert json.loads(got["y"].line)["arguments"] == {"a": "2", "o": {"k": [True, None], "z": 1}}
@@ -205,6 +290,29 @@ def test_tool_calls(spark):
     assert toolcalls.lines(toolcalls.levels(none), SCHEMAS).count() == 0
 
 
+def brute_levels(calls):
+    """By repeated relaxation: the longest way from calls that wait for none; None in and behind cycles."""
+    after = {i: {a for a in some if a in {c[1] for c in calls}} for _, i, _, _, _, some in calls}
+    level = {}
+    for _ in calls:
+        for i, some in after.items():
+            if i not in level and all(a in level for a in some):
+                level[i] = max((level[a] + 1 for a in some), default=0)
+    return {i: level.get(i) for i in after}
+
+
+def test_levels_are_brute_force(spark):
+    r = random.Random(6)
+    order = list(range(40))
+    r.shuffle(order)
+    calls = [(1, f"c{i}", r.randrange(9), "add", None, [f"c{order[k]}" for k in range(at) if r.random() < 0.08]) for at, i in enumerate(order)]
+    calls += [(2, f"k{i}", i, "add", None, [f"k{i + 1}"]) for i in range(100)]  # logged last first: 7 rounds or so
+    calls += [(3, f"y{i}", i, "add", None, [f"y{(i + 1) % 5}"]) for i in range(5)] + [(3, "behind", 0, "add", None, ["y1", "free"]), (3, "free", 0, "add", None, [])]
+    results = spark.createDataFrame([], "conv_id long, call_id string, seq long, content string")
+    linked = toolcalls.link(spark.createDataFrame(calls, "conv_id long, call_id string, seq long, name string, arguments string, after array<string>"), results)
+    assert {x.call_id: x.level for x in toolcalls.levels(linked).collect()} == {k: v for c in (1, 2, 3) for k, v in brute_levels([x for x in calls if x[0] == c]).items()}
+
+
 def test_calls_without_identifier_stay_apart(spark):
     calls = [
         (1, None, 1, "add", '{"a": 1}', None, 0), (1, None, 2, "sub", '{"a": 2}', ["late"], 0), (1, None, 2, "sub", '{"a": 2}', ["late"], 0), (None, None, 4, "add", '{"a": 3}', ["x"], 0), (None, None, 5, "add", '{"a": 4}', [], 0),
@@ -212,7 +320,8 @@ def test_calls_without_identifier_stay_apart(spark):
     ]
     results = [(1, None, 5, "no"), (None, None, 6, "no"), (None, "x", 8, "no"), (1, "late", 9, "yes")]
     linked = toolcalls.link(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, "conv_id long, call_id string, seq long, content string"))
-    got = sorted((json.loads(x.line)["arguments"]["a"], x.conv_id, x.call_id, x.n_calls, x.n_results, x.content, x.level) for x in toolcalls.lines(toolcalls.levels(linked), SCHEMAS).collect())
+    got = sorted((json.loads(x.line)["arguments"]["a"], x.conv_id, x.call_id, x.n_calls, x.n_results, x.content, x.level) for x in toolcalls.lines(toolcalls.levels(linked), SCHEMAS).where("not orphan").collect())
+    assert linked.where("orphan").select("conv_id", "call_id", "content", "n_calls").collect() == [(1, None, "no", 0), (None, None, "no", 0), (None, "x", "no", 0)]
     lone = lambda a, conv, call, level: (a, conv, call, 1, 0, None, level)
     assert got == [lone(1, 1, None, 0), lone(2, 1, None, 1), lone(2, 1, None, 1), lone(3, None, None, 0), lone(4, None, None, 0), lone(5, None, "x", 0), lone(6, None, "x", 0), (7, 1, "late", 2, 1, "yes", 0)]
 
@@ -253,3 +362,18 @@ def test_queries_read_whole_tables(spark, name):
     folder = "/root/testdata/sf0.001"
     got = registry.QUERIES[name](spark, folder)
     assert got.agg(F.count_distinct("doc_id")).first()[0] == spark.read.parquet(f"{folder}/documents.parquet").count()
+
+
+def test_stages_on_nothing_and_on_odd_columns(spark, tmp_path):
+    """Each stage returns the columns of its input, whatever they are called, and an empty table for an empty one."""
+    spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, id string, size int, node string, keep_id int, quality double, n_words int, score int, kept string, mark int, start long"
+    r = random.Random(12)
+    rows = [(i, prose(r, 60), "en", None, 1, "x", 1, "n", 1, 0.5, 1, 1, "k", 1, 1) for i in (1, 2)]
+    for some in ([], rows):
+        docs = spark.createDataFrame(some, kinds)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            left = stage(spark, docs, str(tmp_path))
+            assert left.columns == docs.columns and left.count() == len(some)
+        packed = corpus_pipeline.pack(spark, docs, str(tmp_path))
+        assert packed.count() == len(some) and len(set(packed.columns)) == len(packed.columns)

@@ -1,22 +1,27 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Labels tell of documents, spans are wanted, so tokens are labelled from afar: words that are
-significantly more frequent in toxic documents of the training sample form a lexicon (at most
-``LEXICON`` words), and a lexicon word inside a toxic document is a toxic token. The field has
-two states; a token's score comes from its lexicon word and from whether its neighbours are in
-the lexicon, and transitions join neighbours within a chain (a sentence, at most ``CHAIN``
-words). Forward-backward marginals give each token a probability; their largest value and their
-sum make the score of a document by a logistic regression on the training sample, and runs of
-tokens over a half are the offending spans.
-
-The sample has at most ``SAMPLE`` labelled documents, the first by a hash of their id; only
-their word counts, at most ``CHAINS`` coded chains and two numbers per document reach the driver.
-All documents are scored, over their whole texts.
+The field has two states, toxic or not, and its chains are sentences, however long. A token's
+score sums the weights of its features: the word, its first and last three letters, its shape, and
+how toxic the words before and behind look by their counts; transitions join neighbours. Forward-
+backward marginals give each token a probability; their largest value and their sum make the score of a
+document by a logistic regression on the training sample, and runs of tokens over a half are the
+offending spans.
+
+Labels tell of documents, the field needs labelled tokens. In toxic documents of the sample, words
+that are significantly more frequent there than in clean ones are toxic at first; the field is
+fitted, tags the toxic documents, and is fitted again to its own tags, ``REFITS`` times. All
+tokens of clean documents are clean.
+
+The sample has at most ``SAMPLE`` labelled documents, the first by a hash of their id, with whole
+texts. Executors hold it coded and sum likelihoods and gradients; the driver gets these sums, the
+counts of the words that occur in ``LEAST_DOCS`` documents of the sample, and two numbers per
+document of it. All documents are scored, over their whole texts.
 
 Defined results: a null or empty text has the score of a text without any toxic token; repeated
-rows get the same score each; without labels of both kinds nothing is learned and all scores
-are the share of toxic labels (0 without labels); an empty table gives an empty result; further
-columns are ignored.
+rows get the same score each (of rows of the sample that share an id one is learned from); without
+labels of both kinds nothing is learned and all scores are the share of toxic labels (0 without
+labels); an empty table gives an empty result; further columns are ignored. A text is tagged whole
+within a task, in some 100 bytes of memory a character.
 """
 
 from __future__ import annotations
@@ -29,16 +34,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.optimise import minimise
 from tidemark.llm.support import Words, cut, ship, slices, span_hashes, text_bytes
 
-SAMPLE, LEXICON, CHAINS, CHAIN = 20_000, 5_000, 20_000, 64
-#: A word is in the lexicon if it occurs in so many toxic documents, and so much more often there
-#: than by chance (log-likelihood of its counts, with the sign of the excess).
+SAMPLE, REFITS, ROUNDS = 6_000, 2, 12
+#: A word has a weight of its own if so many documents of the sample have it, and is toxic at first
+#: if it occurs so much more often in toxic documents than by chance (log-likelihood of its counts).
 LEAST_DOCS, LEAST_EVIDENCE = 4, 8.0
+#: Classes of three letters, and of what the counts say of a neighbour (0: unknown or none).
+AFFIXES, GRADES = 4096, 10
+#: Penalties of squared weights: of words, affixes, shapes, neighbours, and of the chain's five.
+DECAY = (0.5, 5.0, 0.1, 1.0, 0.1)
 
 _SOLID = np.zeros(256, dtype=bool)
 _SOLID[128:] = True
 _SOLID[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_UPPER = np.zeros(256, dtype=bool)
+_UPPER[65:91] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_DIGIT = np.zeros(256, dtype=bool)
+_DIGIT[48:58] = True
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[ord(x) for x in ".!?"]] = True
 
@@ -46,8 +62,9 @@ _STOP[[ord(x) for x in ".!?"]] = True
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
     """Words, the start and end of each without punctuation around it, and hashes (0: nothing left)."""
     words = Words(data, offsets)
-    solid = np.flatnonzero(_SOLID[data])
-    a, b = np.searchsorted(solid, words.start), np.searchsorted(solid, words.end)
+    kept = _SOLID[data]
+    solid, before = np.flatnonzero(kept), np.concatenate([[0], np.cumsum(kept, dtype=np.int32)])
+    a, b = before[words.start], before[words.end]
     some = b > a
     start, end = words.start.copy(), words.start.copy()
     start[some], end[some] = solid[a[some]], solid[b[some] - 1] + 1
@@ -58,116 +75,162 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np
 
 def chains(words: Words) -> np.ndarray:
     """First word of each chain, and the number of words at the end."""
-    n = len(words)
-    opens = np.zeros(n + 1, dtype=bool)
+    opens = np.zeros(len(words) + 1, dtype=bool)
     opens[words.first] = True
-    opens[1:] |= _STOP[words.data[words.end - 1]] if n else False
-    opens[n] = True
-    first = np.flatnonzero(opens)
-    size = np.diff(first)
-    if len(size) and size.max() > CHAIN:
-        count = -(-size // CHAIN)
-        inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        first = np.append(np.repeat(first[:-1], count) + inner * CHAIN, n)
-    return first
+    if len(words):
+        opens[1:] |= _STOP[words.data[words.end - 1]]
+    opens[len(words)] = True
+    return np.flatnonzero(opens)
+
+
+def _affix(data: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Class of the three bytes from ``at``, as far as ``end``."""
+    code = np.zeros(len(at), np.uint32)
+    for i in range(3):
+        byte = np.where(at + i < end, data[np.minimum(at + i, len(data) - 1)], 0).astype(np.uint32)
+        code = (code << np.uint32(8)) | (byte + 32 * ((byte >= 65) & (byte <= 90))).astype(np.uint32)
+    return ((code * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64)
+
+
+def _count(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+    return sums[end] - sums[start]
 
 
 @dataclass
-class Field:
-    """Weights: of each lexicon word (0: none), of lexicon words before and behind, of all tokens,
-    of starting toxic, and of the transitions [from, to]."""
-
-    word: np.ndarray
-    before: float
-    behind: float
-    base: float
-    first: float
-    move: np.ndarray
-
-    def scores(self, code: np.ndarray) -> np.ndarray:
-        """Score of the toxic state for padded rows of codes (-1: no token)."""
-        hit = np.pad(code > 0, ((0, 0), (1, 1)))
-        return np.where(code > 0, self.word[np.maximum(code, 0)], 0.0) + self.before * hit[:, :-2] + self.behind * hit[:, 2:] + self.base
-
-    def marginals(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """P(toxic) per token, P(state, next state) per step, and log-partition per row."""
-        rows, steps = code.shape
-        there = code >= 0
-        emit = np.zeros((rows, steps, 2))
-        emit[:, :, 1] = self.scores(code)
-        alpha, beta = np.zeros((rows, steps, 2)), np.zeros((rows, steps, 2))
-        alpha[:, 0] = emit[:, 0] + np.array([0.0, self.first])
-        for t in range(1, steps):
-            step = np.logaddexp(alpha[:, t - 1, :1] + self.move[0], alpha[:, t - 1, 1:] + self.move[1]) + emit[:, t]
-            alpha[:, t] = np.where(there[:, t, None], step, alpha[:, t - 1])
-        for t in range(steps - 2, -1, -1):
-            later = beta[:, t + 1] + emit[:, t + 1]
-            step = np.logaddexp(self.move[:, 0] + later[:, :1], self.move[:, 1] + later[:, 1:])
-            beta[:, t] = np.where(there[:, t + 1, None], step, 0.0)
-        total = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-        p = np.exp(alpha[:, :, 1] + beta[:, :, 1] - total[:, None]) * there
-        pair = alpha[:, :-1, :, None] + self.move + (emit + beta)[:, 1:, None, :] - total[:, None, None, None]
-        return p, np.exp(np.minimum(pair, 0)) * there[:, 1:, None, None], total
-
-
-def train(code: np.ndarray, truth: np.ndarray, words: int, rounds: int = 150, rate: float = 0.1, decay: float = 1e-4) -> Field:
-    """Maximise the likelihood of 0/1 ``truth`` for padded ``code``, by Adam."""
-    there = code >= 0
-    theta = np.zeros(words + 4 + 4)
-    theta[words + 2] = -3.0
-
-    def build(x: np.ndarray) -> Field:
-        return Field(x[:words], *x[words : words + 4], x[words + 4 :].reshape(2, 2))
-
-    hit = np.pad(code > 0, ((0, 0), (1, 1)))
-    real = np.zeros((*code.shape, 2))
-    real[..., 0], real[..., 1] = there & (truth == 0), there & (truth == 1)
-    moved = (real[:, :-1, :, None] * real[:, 1:, None, :]).sum(axis=(0, 1)).ravel()
-    m, v, n = np.zeros_like(theta), np.zeros_like(theta), max(1, int(there.sum()))
-    for i in range(1, rounds + 1):
-        p, pair, _ = build(theta).marginals(code)
-        gap = (truth * there) - p
-        grad = np.zeros_like(theta)
-        grad[:words] = np.bincount(np.maximum(code, 0).ravel(), (gap * (code > 0)).ravel(), minlength=words)
-        grad[words : words + 4] = (gap * hit[:, :-2]).sum(), (gap * hit[:, 2:]).sum(), gap.sum(), gap[:, 0].sum()
-        grad[words + 4 :] = moved - pair.sum(axis=(0, 1)).ravel()
-        grad = grad / n - decay * theta / 10
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        theta = theta + rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-9)
-    return build(theta)
+class Lexicon:
+    """Words by the sorted hashes ``keys``, and the grade of each."""
+
+    keys: np.ndarray
+    grade: np.ndarray
+
+    def blocks(self) -> list[int]:
+        """How many weights words, two affixes, shapes and two neighbours have, and the chain."""
+        return [len(self.keys) + 1, AFFIXES, AFFIXES, 16, GRADES, GRADES, 5]
+
+    def features(self, data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+        """Words, their bare starts and ends, and [6, word] numbers of weights."""
+        words, start, end, hashes = tokens(data, offsets)
+        out = np.zeros((6, len(words)), np.int64)
+        if not len(words):
+            return words, start, end, out
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+            out[0] = np.where(self.keys[at] == hashes, at + 1, 0)
+        out[1], out[2] = _affix(data, start, end), _affix(data, np.maximum(end - 3, start), end)
+        upper = _count(_UPPER[data], start, end)
+        capital = _UPPER[data[start]] & (end > start)
+        out[3] = capital + 2 * ((upper > 1) & (upper == _count(_LETTER[data], start, end))) + 4 * (_count(_DIGIT[data], start, end) > 0) + 8 * (data[words.end - 1] == ord("!"))
+        grade = np.concatenate([[0], self.grade])[out[0]]
+        same = words.doc[1:] == words.doc[:-1]
+        out[4, 1:], out[5, :-1] = np.where(same, grade[:-1], 0), np.where(same, grade[1:], 0)
+        out += np.concatenate([[0], np.cumsum(self.blocks()[:5])])[:, None]
+        return words, start, end, out
+
+
+class Chains:
+    """Marginals of chains of tokens: ``first`` has their first tokens and the number of tokens."""
+
+    def __init__(self, score: np.ndarray, first: np.ndarray, start: float, move: np.ndarray) -> None:
+        """``score``: of the toxic state; ``start``: more of it at a chain's first token; ``move``: of the
+        transitions [from, to]."""
+        size = np.diff(first)
+        place = np.arange(len(score)) - np.repeat(first[:-1], size)
+        self.first, self.place = first, place
+        opens = place == 0
+        e = np.exp(np.clip(score + np.where(opens, start, 0), -60, 60))
+        m = np.exp(np.clip(move, -60, 60))
+        #: What a step multiplies weights with; a chain's first token has the same rows.
+        self.step = [np.where(opens, 1.0, m[0, 0]), np.where(opens, e, m[0, 1] * e), np.where(opens, 1.0, m[1, 0]), np.where(opens, e, m[1, 1] * e)]
+        ahead, self.log = _products(self.step, place)
+        self.alpha = np.stack(ahead[:2])
+        a, b, c, d = self.step
+        back, _ = _products([x[::-1] for x in (a, c, b, d)], (np.repeat(size, size) - 1 - place)[::-1])
+        a, c, b, d = (x[::-1] for x in back)
+        self.beta = np.ones((2, len(score)))
+        inner = np.flatnonzero(~opens)
+        self.beta[:, inner - 1] = (a + b)[inner], (c + d)[inner]
+
+    def toxic(self) -> np.ndarray:
+        """P(toxic) of each token."""
+        zero, one = self.alpha * self.beta
+        return one / (zero + one)
+
+    def total(self) -> float:
+        """Sum of the chains' log-partitions."""
+        last = self.first[1:] - 1
+        return float((self.log[last] + np.log(self.alpha[:, last].sum(axis=0))).sum())
+
+    def moves(self) -> np.ndarray:
+        """Expected numbers of the transitions [from, to]."""
+        t = np.flatnonzero(self.place)
+        pair = np.stack([self.alpha[i, t - 1] * self.step[2 * i + j][t] * self.beta[j, t] for i in (0, 1) for j in (0, 1)])
+        return (pair / pair.sum(axis=0)).sum(axis=1).reshape(2, 2) if len(t) else np.zeros((2, 2))
+
+
+def _products(step: list[np.ndarray], place: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Products of the 2 x 2 matrices ``step`` from the first of a chain to each, scaled to a largest entry of
+    1, and the logarithms of the scales. By doubling: a pass joins the products of ``d``
+    matrices to those of twice as many, so passes grow as the logarithm of a chain's length."""
+    top = np.maximum(np.maximum(step[0], step[1]), np.maximum(step[2], step[3]))
+    a, b, c, d = (x / top for x in step)
+    log = np.log(top)
+    reach = 1
+    at = np.flatnonzero(place >= 1)
+    while len(at):
+        i = at - reach
+        p, q, r, s = a[i], b[i], c[i], d[i]
+        t, u, v, w = a[at], b[at], c[at], d[at]
+        new = (p * t + q * v, p * u + q * w, r * t + s * v, r * u + s * w)
+        top = np.maximum(np.maximum(new[0], new[1]), np.maximum(new[2], new[3]))
+        more = log[i] + np.log(top)
+        a[at], b[at], c[at], d[at] = (x / top for x in new)
+        log[at] += more
+        reach *= 2
+        at = at[place[at] >= reach]
+    return [a, b, c, d], log
 
 
 @dataclass
 class Model:
-    """``keys``: sorted hashes of the lexicon, word i + 1 of the field."""
+    """``theta``: weights of the features, then of starting toxic and of the four transitions."""
 
-    keys: np.ndarray
-    field: Field | None
+    lexicon: Lexicon
+    theta: np.ndarray | None
     weights: tuple[float, float, float]
 
-    def code(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, at + 1, 0)
-
-    def tag(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """P(toxic) of each token. Chains without a lexicon word depend on their length only."""
-        code, size = self.code(hashes), np.diff(first)
-        out = np.zeros(len(hashes))
-        if not len(size) or self.field is None:
-            return out
-        known = np.concatenate([[0], np.cumsum(code > 0)])
-        hits = known[first[1:]] > known[first[:-1]]
-        for length in np.unique(size):
-            rows = np.flatnonzero((size == length) & hits)
-            for at in range(0, len(rows), 4096):
-                place = first[rows[at : at + 4096], None] + np.arange(length)
-                out[place] = self.field.marginals(code[place])[0]
-            rest = first[np.flatnonzero((size == length) & ~hits), None] + np.arange(length)
-            if len(rest):
-                out[rest] = self.field.marginals(np.zeros((1, length), np.int64))[0]
-        return out
+    def chains(self, features: np.ndarray, first: np.ndarray) -> Chains:
+        return field(self.theta, features, first)
+
+    def tag(self, data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+        """Words, their bare starts and ends, and P(toxic) of each."""
+        words, start, end, features = self.lexicon.features(data, offsets)
+        if self.theta is None or not len(words):
+            return words, start, end, np.zeros(len(words))
+        return words, start, end, self.chains(features, chains(words)).toxic()
+
+
+def field(theta: np.ndarray, features: np.ndarray, first: np.ndarray) -> Chains:
+    score = theta[features[0]]
+    for of in features[1:]:
+        score = score + theta[of]
+    return Chains(score, first, float(theta[-5]), theta[-4:].reshape(2, 2))
+
+
+def likelihood(theta: np.ndarray, features: np.ndarray, first: np.ndarray, truth: np.ndarray) -> tuple[float, np.ndarray]:
+    """Logarithm of the probability of the 0/1 states ``truth``, and its gradient."""
+    found = field(theta, features, first)
+    gap = truth - found.toxic()
+    gradient = np.zeros_like(theta)
+    for of in features:
+        gradient += np.bincount(of, gap, len(theta))
+    gradient[-5] += gap[first[:-1]].sum()
+    inner = np.flatnonzero(found.place)
+    moved = np.bincount(2 * truth[inner - 1] + truth[inner], minlength=4).astype(np.float64)
+    gradient[-4:] += moved - found.moves().ravel()
+    score = theta[features[:, truth > 0]].sum()
+    value = score + theta[-5] * truth[first[:-1]].sum() + theta[-4:] @ moved - found.total()
+    return float(value), gradient
 
 
 def _features(p: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -183,19 +246,8 @@ def _score(model: Model, top: np.ndarray, total: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(a + b * top + c * np.log1p(total), -500, 500)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Learn from ``labels`` (id, label); null labels are left out, of several the largest counts."""
-    ship(docs.sparkSession)
-    spark = docs.sparkSession
-    known = labels.where(F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(F.max(label_column).cast("int").alias("label"))
-    picked = known.orderBy(F.xxhash64("id"), "id").limit(sample)  # at most ``sample`` small rows
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(picked), "id")
-    texts = cut(texts.select("id", "text", "label"))
-    base = {r[0]: r[1] for r in texts.groupBy("label").count().collect()}
-    clean, toxic = base.get(0, 0), sum(n for k, n in base.items() if k)
-    if not clean or not toxic:
-        share = toxic / max(1, clean + toxic)
-        return Model(np.zeros(0, np.uint64), None, (float(np.log((share + 1e-9) / (1 - share + 1e-9))), 0.0, 0.0))
+def _words_of(texts: DataFrame) -> pa.Table:
+    """(key, bad, good): how many toxic and clean documents have each word, of those that LEAST_DOCS have."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -203,56 +255,116 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
             keys, where = np.unique(hashes, return_inverse=True)
             row = np.unique(np.stack([where, words.doc]), axis=1) if len(where) else np.zeros((2, 0), np.int64)
             flag = batch.column("label").to_numpy()[row[1]] > 0
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(row[0], flag, len(keys)).astype(np.int64)), pa.array(np.bincount(row[0], ~flag, len(keys)).astype(np.int64))], ["key", "bad", "good"])
+            bad, good = (np.bincount(row[0], f, len(keys)).astype(np.int64) for f in (flag, ~flag))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(bad), pa.array(good)], ["key", "bad", "good"])
 
     counted = texts.mapInArrow(count, "key long, bad long, good long").where("key <> 0").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    share = toxic / (clean + toxic)
-    bad, good = F.col("bad").cast("double"), F.col("good").cast("double")
+    return counted.where(F.col("bad") + F.col("good") >= LEAST_DOCS).toArrow()
+
+
+def _lexicon(found: pa.Table, share: float) -> tuple[Lexicon, np.ndarray]:
+    """The lexicon, and which of its words are toxic at first."""
+    order = np.argsort(found["key"].to_numpy().view(np.uint64))
+    keys, bad, good = (found[x].to_numpy()[order] for x in ("key", "bad", "good"))
     rate = bad / (bad + good)
-    part = lambda x, r, s: F.when(x > 0, x * F.log(r / s)).otherwise(0.0)
+    part = lambda x, r, s: np.where(x > 0, x * np.log(np.maximum(r, 1e-12) / s), 0.0)
     evidence = part(bad, rate, share) + part(good, 1 - rate, 1 - share)
-    lexicon = counted.where((F.col("bad") >= LEAST_DOCS) & (rate > 0.5)).withColumn("evidence", evidence).where(F.col("evidence") >= LEAST_EVIDENCE)
-    found = lexicon.orderBy(F.desc("evidence"), "key").limit(LEXICON).select("key").collect()
-    keys = np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
-    model = Model(keys, None, (0.0, 0.0, 0.0))
+    odds = np.log((bad + 0.5) / (good + 0.5)) - np.log(share / (1 - share))
+    grade = np.clip(np.round(odds) + 5, 1, GRADES - 1).astype(np.int64)
+    return Lexicon(keys.view(np.uint64), grade), (rate > max(0.5, share)) & (bad >= LEAST_DOCS) & (evidence >= LEAST_EVIDENCE)
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", sample: int = SAMPLE) -> Model:
+    """Learn from ``labels`` (id, label); null labels are left out, of several the largest counts."""
+    spark = docs.sparkSession
+    ship(spark)
+    known = labels.where(F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(F.max(label_column).cast("int").alias("label"))
+    picked = known.orderBy(F.xxhash64("id"), "id").limit(sample)  # at most ``sample`` small rows
+    texts = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).join(F.broadcast(picked), "id")
+    texts = cut(texts.groupBy("id", "label").agg(F.min("text").alias("text")).repartition(max(8, spark.sparkContext.defaultParallelism)))
+    base = {r[0]: r[1] for r in texts.groupBy("label").count().collect()}
+    clean, toxic = base.get(0, 0), sum(n for k, n in base.items() if k)
+    share = toxic / max(1, clean + toxic)
+    if not clean or not toxic:
+        return Model(Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64)), None, (float(np.log((share + 1e-9) / (1 - share + 1e-9))), 0.0, 0.0))
+    lexicon, seeds = _lexicon(_words_of(texts), share)
+    model = Model(lexicon, None, (0.0, 0.0, 0.0))
+    seeded = np.concatenate([[False], seeds])
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            words, _, _, hashes = tokens(*text_bytes(batch.column("text")))
-            code, first = model.code(hashes), chains(words)
-            sums = np.concatenate([[0], np.cumsum(code > 0)])
-            some = np.flatnonzero(sums[first[1:]] > sums[first[:-1]])
-            other = np.arange(0, len(first) - 1, 97)  # and some without a lexicon word
-            take = np.union1d(some, other)
-            label = batch.column("label").to_numpy()
-            rows = [code[first[i] : first[i + 1]].tolist() for i in take]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), pa.array(label[words.doc[first[take]]] if len(take) else [], pa.int32())], ["code", "label"])
-
-    got = texts.mapInArrow(coded, "code array<int>, label int").orderBy(F.xxhash64("code", "label")).limit(CHAINS).collect()
-    width = max((len(r.code) for r in got), default=1)
-    code = np.full((max(1, len(got)), width), -1, np.int64)
-    truth = np.zeros_like(code)
-    for i, r in enumerate(got):
-        code[i, : len(r.code)] = r.code
-        truth[i] = (code[i] > 0) & (r.label > 0)
-    model.field = train(code, truth, len(keys) + 1)
+            words, _, _, features = lexicon.features(*text_bytes(batch.column("text")))
+            if len(words):
+                bad = batch.column("label").to_numpy()[words.doc] > 0
+                row = features.astype("<i4").tobytes(), chains(words).astype("<i4").tobytes(), bad.tobytes(), (bad & seeded[features[0]]).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], ["features", "first", "bad", "seed"])
+
+    coded = cut(texts.mapInArrow(code, "features binary, first binary, bad binary, seed binary"))
+    blocks = lexicon.blocks()
+    decay = np.repeat(np.array([DECAY[0], DECAY[1], DECAY[1], DECAY[2], DECAY[3], DECAY[3], DECAY[4]]), blocks)
+    theta = np.zeros(sum(blocks))
+    theta[: blocks[0]] = np.where(seeded, 9.0, 0.0)  # where the search begins
+    theta[sum(blocks[:3]) : sum(blocks[:4])] = -6.0
+    for turn in range(REFITS + 1):
+        known = _tagged(coded, theta) if turn else coded
+        theta = minimise(lambda x, known=known: _objective(known, x, decay), theta, ROUNDS, tolerance=1e-4)
+    model.theta = theta
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            words, _, _, hashes = tokens(*text_bytes(batch.column("text")))
-            top, total = _features(model.tag(hashes, chains(words)), words)
+            words, _, _, p = model.tag(*text_bytes(batch.column("text")))
+            top, total = _features(p, words)
             yield pa.RecordBatch.from_arrays([pa.array(top), pa.array(total), batch.column("label")], ["top", "total", "label"])
 
-    pairs = spark.createDataFrame([], "top double, total double, label int") if not len(keys) else texts.mapInArrow(rated, "top double, total double, label int")
-    x = np.array([tuple(r) for r in pairs.collect()], np.float64).reshape(-1, 3)
-    model.weights = _logistic(x[:, 0], np.log1p(x[:, 1]), x[:, 2] > 0, share)
+    found = texts.mapInArrow(rated, "top double, total double, label int").toArrow()  # three numbers a document of the sample
+    top, total, label = (found[x].to_numpy() for x in ("top", "total", "label"))
+    model.weights = _logistic(top, np.log1p(total), label > 0, share)
     return model
 
 
+def _arrays(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    for features, first, bad, seed in zip(*(batch.column(x).to_pylist() for x in ("features", "first", "bad", "seed")), strict=True):
+        yield np.frombuffer(features, "<i4").reshape(6, -1), np.frombuffer(first, "<i4").astype(np.int64), np.frombuffer(bad, bool), np.frombuffer(seed, bool)
+
+
+def _tagged(coded: DataFrame, theta: np.ndarray) -> DataFrame:
+    """``coded`` with those tokens of toxic documents as seeds that the weights find toxic."""
+    sent = coded.sparkSession.sparkContext.broadcast(theta)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seeds = [(bad & (field(sent.value, features, first).toxic() >= 0.5)).tobytes() for features, first, bad, _ in _arrays(batch)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(seeds, pa.binary())], ["features", "first", "bad", "seed"])
+
+    return cut(coded.mapInArrow(run, "features binary, first binary, bad binary, seed binary"))
+
+
+def _objective(coded: DataFrame, theta: np.ndarray, decay: np.ndarray) -> tuple[float, np.ndarray]:
+    """Penalised negative log-likelihood of the sample and its gradient, summed over executors."""
+    sent = coded.sparkSession.sparkContext.broadcast(theta)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        theta = sent.value
+        value, gradient = 0.0, np.zeros_like(theta)
+        for batch in batches:
+            for features, first, _, truth in _arrays(batch):
+                more, slope = likelihood(theta, features, first, truth.astype(np.int64))
+                value += more
+                gradient += slope
+        at = np.flatnonzero(gradient)
+        yield pa.RecordBatch.from_arrays([pa.array([value]), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([gradient[at].tobytes()], pa.binary())], ["value", "at", "gradient"])
+
+    found = coded.mapInArrow(run, "value double, at binary, gradient binary").toArrow()
+    value, gradient = 0.5 * float(decay @ theta**2), decay * theta
+    for row in found.to_pylist():
+        value -= row["value"]
+        gradient[np.frombuffer(row["at"], "<i4")] -= np.frombuffer(row["gradient"])
+    sent.destroy()
+    return value, gradient
+
+
 def _logistic(top: np.ndarray, total: np.ndarray, truth: np.ndarray, share: float) -> tuple[float, float, float]:
     """Newton's method with a ridge and steps of at most 1."""
-    if not len(top):
-        return float(np.log(share / (1 - share))), 0.0, 0.0
     x = np.stack([np.ones_like(top), top, total], axis=1)
     w = np.array([np.log(share / (1 - share)), 0.0, 0.0])
     for _ in range(100):
@@ -271,23 +383,20 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             data, offsets = text_bytes(batch.column("text"))
-            words, start, end, hashes = tokens(data, offsets)
-            p = model.tag(hashes, chains(words))
+            words, start, end, p = model.tag(data, offsets)
             scores = _score(model, *_features(p, words))
             spans: list[list] = [[] for _ in range(batch.num_rows)]
             bad = np.flatnonzero(p >= 0.5)
             if len(bad):
-                last = -2
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                for i in bad.tolist():
-                    row = int(words.doc[i])
-                    a, b = (int(chars[x] - chars[offsets[row]]) for x in (start[i], end[i]))
-                    mine = spans[row]
-                    if mine and i - 1 == last and p[i - 1] >= 0.5:
-                        mine[-1] = {"start": mine[-1]["start"], "end": b, "p": max(mine[-1]["p"], float(p[i]))}
-                    else:
-                        mine.append({"start": a, "end": b, "p": float(p[i])})
-                    last = i
+                row = words.doc[bad]
+                opens = np.flatnonzero(np.concatenate([[True], (np.diff(bad) > 1) | (np.diff(row) > 0)]))
+                closes = np.append(opens[1:], len(bad)) - 1
+                tops = np.maximum.reduceat(p[bad], opens)
+                base = chars[offsets[row[opens]]]
+                places = zip(row[opens].tolist(), (chars[start[bad[opens]]] - base).tolist(), (chars[end[bad[closes]]] - base).tolist(), tops.tolist(), strict=True)
+                for k, a, b, most in places:
+                    spans[k].append({"start": a, "end": b, "p": most})
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores), pa.array(spans, kind)], ["id", "score", "spans"])
 
