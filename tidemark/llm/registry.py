@@ -62,6 +62,23 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op6_quality that SQL can express: all but the verdict."""
+    counts = quality.count_texts(table(spark, sf_dir, "documents")).withColumn("base_failed", quality.base_failed())
+    return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+COUNTS_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS gram FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 7)) AS i FROM w WHERE len(ws) >= 8)),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest(generate_series(0, 7)) AS k) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+       len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(ws) < 20 OR 100 * coalesce(c.n, 0) > 30 * len(ws) AS base_failed
+FROM w LEFT JOIN c USING (doc_id)
+"""
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(table(spark, sf_dir, "pages"), langid.fit_text(table(spark, sf_dir, "documents")))
     return found.select("page_id", "lang", F.round("probability", 6).alias("probability"), "text_lang", "declared", "suffix", "host")
@@ -134,10 +151,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op6_quality": op6_quality,
+    "quality_counts": quality_counts,
     "op7_language": op7_language,
     "op8_licences": op8_licences,
     "op9_tool_calls": op9_tool_calls,
     "op10_packing": op10_packing,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op9_tool_calls": OP9_SQL}
+ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "quality_counts": COUNTS_SQL, "op9_tool_calls": OP9_SQL}
