@@ -34,6 +34,8 @@ def clean_speech(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with the same text the one with the largest id stays. Rows that repeat an id and its text are one
+    document, and stay as they are: to thin them would shuffle all texts once more, for what no corpus should hold."""
     return without(docs, exact.exact_duplicates(docs, keep="max").where("not kept"))
 
 
