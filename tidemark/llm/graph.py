@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.support import cut_small, heaviest, heavy_keys, join_spread
+from tidemark.llm.support import cut_small, join_small
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,28 +18,28 @@ def components(edges: DataFrame) -> DataFrame:
     dealt to shares, so no task gets all of them.
     """
     edges = cut_small(edges.where("a <> b").select("a", "b").distinct())
-    maps: list[DataFrame] = []
-    while not edges.isEmpty():
-        found = cut_small(_step(edges, len(maps)))
-        step = found.select("node", "to")
-        maps.append(step)
-        hubs = heaviest(found.select("node", "n"), "node")
+    maps: list[tuple[DataFrame, int]] = []
+    while True:
+        step = cut_small(_step(edges, len(maps)))
+        nodes = step.count()
+        if not nodes:
+            break
+        maps.append((step, nodes))
         for end, new in (("a", "x"), ("b", "y")):
-            hub = hubs.select(F.col("node").alias(end)) if hubs else None
-            edges = join_spread(edges, step.select(F.col("node").alias(end), F.col("to").alias(new)), [end], hub)
+            edges = join_small(edges, step.select(F.col("node").alias(end), F.col("to").alias(new)), end, nodes)
         edges = cut_small(edges.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    labels = maps[-1].select("node", F.col("to").alias("root"))
-    for step in reversed(maps[:-1]):
+    labels, size = maps[-1][0].select("node", F.col("to").alias("root")), maps[-1][1]
+    for step, nodes in reversed(maps[:-1]):
         later = labels.select(F.col("node").alias("to"), F.col("root"))
-        labels = cut_small(join_spread(step, later, ["to"], heavy_keys(step, "to"), "left").select("node", F.coalesce("root", "to").alias("root")))
+        labels, size = join_small(step, later, "to", size, "left").select("node", F.coalesce("root", "to").alias("root")), nodes
     return labels
 
 
 def _step(edges: DataFrame, turn: int) -> DataFrame:
-    """(node, to, n): where each node goes, and how many edges it has."""
+    """(node, to): where each node goes."""
     order = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("n"))
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    best = both.groupBy("a").agg(F.min(order("b")).alias("m"), F.count("*").alias("n"))
-    return best.select(F.col("a").alias("node"), F.least(order("a"), F.col("m"))["n"].alias("to"), "n")
+    best = both.groupBy("a").agg(F.min(order("b")).alias("m"))
+    return best.select(F.col("a").alias("node"), F.least(order("a"), F.col("m"))["n"].alias("to"))

@@ -152,12 +152,11 @@ def _verify(n: int, percent: int):
     return run
 
 
-def _two(nodes: DataFrame, pairs: DataFrame, **columns: str) -> DataFrame:
-    """Materialised ``pairs`` with columns of both nodes: ``_two(.., s="signed")`` adds sa and sb."""
-    heavy = {end: heavy_keys(pairs, end) for end in ("a", "b")}
-    for end, keys in heavy.items():
+def _two(nodes: DataFrame, pairs: DataFrame, heavy: dict[str, DataFrame | None], **columns: str) -> DataFrame:
+    """``pairs`` with columns of both nodes: ``_two(.., s="signed")`` adds sa and sb."""
+    for end in ("a", "b"):
         found = nodes.select(F.col("node").alias(end), *(F.col(c).alias(f"{x}{end}") for x, c in columns.items()))
-        pairs = join_spread(pairs, found, [end], keys)
+        pairs = join_spread(pairs, found, [end], heavy[end])
     return pairs
 
 
@@ -183,18 +182,22 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     wanted = members.select("node").distinct().join(nodes.select("node", "mark"), "node").select(F.col("node").alias("id"), "mark").distinct()
     texts = cut(marked.join(wanted, ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"]).select(F.col("id").alias("node"), "text"))
 
-    def links(pairs: DataFrame) -> DataFrame:
-        near = _two(nodes, cut_small(pairs), s="signed", z="size").where(100 * F.least("za", "zb") >= percent * F.greatest("za", "zb"))
+    def links(pairs: DataFrame, both: bool) -> DataFrame:
+        """``both``: whether b may be heavy as well as a."""
+        pairs = cut_small(pairs)
+        heavy = {"a": heavy_keys(pairs, "a"), "b": heavy_keys(pairs, "b") if both else None}
+        near = _two(nodes, pairs, heavy, s="signed", z="size").where(100 * F.least("za", "zb") >= percent * F.greatest("za", "zb"))
         alive = cut_small(near.mapInArrow(_prune(t, count, miss), f"a {kind}, b {kind}"))
-        return cut_small(_two(texts, alive, t="text").mapInArrow(_verify(n, percent), f"a {kind}, b {kind}"))
+        return cut(_two(texts, alive, heavy, t="text").mapInArrow(_verify(n, percent), f"a {kind}, b {kind}"))
 
-    found = links(members.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+    # a node is the second of such a pair once per band at most
+    found = links(members.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), both=False)
     salted = usable.select("id", "size", "digest", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
     known = salted.select("digest", "salt").distinct().join(classes, "digest")
     placed = cut(salted.join(known, ["digest", "salt"]).select("id", "size", "node"))
     again = placed.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("id", "a")
     twice = placed.join(again, "id").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    rest = links(_remaining(members, _towards(found), texts, heavy, n, percent))
+    rest = links(_remaining(members, _towards(found), texts, heavy, n, percent), both=True)
     root = cut_small(components(found.unionByName(rest).unionByName(twice)))
     low = root.groupBy("root").agg(F.min("node").alias("component_id"))
     named = cut_small(join_spread(root, low, ["root"], heavy_keys(root, "root")).select("node", "component_id"))
@@ -249,7 +252,7 @@ def _remaining(members: DataFrame, root: DataFrame, texts: DataFrame, heavy: Dat
     spread = large.where("root <> main").withColumn("step", F.explode(F.sequence(step(F.col("size") * least), step(F.least(F.col("most"), F.col("size") / least) + 1))))
     classed = large.withColumn("step", step(F.col("size")))
     many = met(spread.select("key", "step", "node", "size", "root", "most", "keys"), classed, ["key", "step"], (F.col("zy") <= F.col("mostx")) & (F.col("zx") <= F.col("mosty")) & (F.array_min(F.array_intersect("keysx", "keysy")) == F.col("key")))
-    return few.unionByName(many).unionByName(sharing).distinct()
+    return cut_small(few).unionByName(cut_small(many)).unionByName(cut_small(sharing)).distinct()
 
 
 def _one_by_one(n: int):

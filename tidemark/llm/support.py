@@ -48,11 +48,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_table(df: DataFrame) -> DataFrame:
+    """Materialise as a table in the shared folder. What goes round in a loop must be cut so: a
+    checkpoint keeps the estimated size of its plan, and each join multiplies the estimates of both sides,
+    until the planner multiplies numbers of millions of digits; a table has the size it has."""
+    folder = new_folder(df.sparkSession, "cut")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def cut_small(df: DataFrame) -> DataFrame:
-    """cut() for what is small next to the corpus: into an eighth of the partitions, as every file
-    of a shared folder costs a few calls of the file system. The work itself stays spread."""
+    """cut_table() for what is small next to the corpus and cheap to make: in an eighth of the partitions, as
+    every file of a shared folder costs a few calls of the file system."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(df.repartition(min(partitions, max(16, partitions // 8))))
+    return cut_table(df.coalesce(max(16, partitions // 8)))
 
 
 #: A key is heavy if it has over 1 / HEAVY of all rows: there are HEAVY such keys at most.
@@ -69,7 +78,14 @@ def heaviest(counted: DataFrame, key: str) -> DataFrame | None:
     """heavy_keys() of rows whose number per key is known: (key, n)."""
     most, total = counted.agg(F.max("n"), F.sum("n")).first()
     least = max(LEAST_HEAVY, (total or 0) // HEAVY)
-    return None if (most or 0) <= least else cut(counted.where(F.col("n") > least).select(key).repartition(1))
+    return None if (most or 0) <= least else cut(counted.where(F.col("n") > least).select(key).coalesce(1))
+
+
+def join_small(rows: DataFrame, lookup: DataFrame, on: str, size: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``lookup`` of ``size`` rows, one a key: it is sent along if there are HEAVY at most."""
+    if size <= HEAVY:
+        return rows.join(F.broadcast(lookup), on, how)
+    return join_spread(rows, lookup, [on], heavy_keys(rows, on), how)
 
 
 def join_spread(rows: DataFrame, lookup: DataFrame, on: list[str], heavy: DataFrame | None, how: str = "inner") -> DataFrame:

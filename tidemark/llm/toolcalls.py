@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.support import cut
+from tidemark.llm.support import cut, cut_table
 
 #: Of each tool the fields: kind (text, integer, number, boolean, object, array) and whether required.
 Schemas = dict[str, dict[str, tuple[str, bool]]]
@@ -64,14 +64,14 @@ def levels(linked: DataFrame) -> DataFrame:
     calls = linked.where(~F.col("orphan"))
     waits = calls.select("conv_id", F.col("key").alias("to"), F.explode(F.array_distinct("after")).alias("call_id"))
     waits = waits.join(calls.select("conv_id", "call_id", F.col("key").alias("of")), ["conv_id", "call_id"])
-    edges = cut(waits.select("conv_id", "to", "of", F.lit(1).cast("long").alias("far"), F.lit(None).cast("long").alias("base")))
+    edges = cut_table(waits.select("conv_id", "to", "of", F.lit(1).cast("long").alias("far"), F.lit(None).cast("long").alias("base")))
     fresh = calls.join(edges.select("conv_id", F.col("to").alias("key")), ["conv_id", "key"], "left_anti").select("conv_id", "key", F.lit(0).cast("long").alias("level"))
     placed = [fresh]
     while not edges.isEmpty():
         met = edges.join(fresh.withColumnRenamed("key", "of"), ["conv_id", "of"], "left").withColumn("base", F.coalesce("base", F.col("level") + F.col("far"))).drop("level")
-        met = cut(met)
+        met = cut_table(met)
         each = met.groupBy("conv_id", F.col("to").alias("key")).agg(F.max("base").alias("level"), F.count("*").alias("n"), F.count("base").alias("done"), F.max("of").alias("onward"), F.max("far").alias("step"))
-        each = cut(each)
+        each = cut_table(each)
         fresh = each.where("done = n").select("conv_id", "key", "level")
         if fresh.isEmpty():  # all that is left is in cycles or waits for them
             break
@@ -80,7 +80,7 @@ def levels(linked: DataFrame) -> DataFrame:
         left = met.join(fresh.select("conv_id", F.col("key").alias("to")), ["conv_id", "to"], "left_anti").join(single, ["conv_id", "of"], "left")
         jump = F.col("onward").isNotNull() & F.col("base").isNull()
         moved = left.select("conv_id", "to", F.when(jump, F.col("onward")).otherwise(F.col("of")).alias("of"), F.when(jump, F.col("far") + F.col("step")).otherwise(F.col("far")).alias("far"), "base")
-        edges = cut(moved.groupBy("conv_id", "to", "of").agg(F.max("far").alias("far"), F.max("base").alias("base")))
+        edges = cut_table(moved.groupBy("conv_id", "to", "of").agg(F.max("far").alias("far"), F.max("base").alias("base")))
     found = placed[0]
     for more in placed[1:]:
         found = found.unionByName(more)
