@@ -14,7 +14,9 @@ NARROW = {
     "dom_item_weight": ["age"],
     "dom_weighted_aggregate": ["freshest"],
     "agg_freshest_age": ["age"],
-    "dom_lexicon_score": ["pos", "hawk", "dove"],
+    "dom_lexicon_score": ["pos"],
+    "str_locate_evidence": ["line", '"offset"'],
+    "str_attributed_sentences": ["n"],
     "dom_fomc_rotation": ["year"],
     "scan_yearly_index": ["year"],
     "str_word_count": ["v"],
