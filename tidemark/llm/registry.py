@@ -127,7 +127,7 @@ linked AS (
               WHEN c.name = 'answer' AND c.conv_id % 11 = 5 THEN '"missing n_words","missing text","missing turn"'
               ELSE concat_ws(',', CASE WHEN c.name = 'answer' AND c.conv_id % 6 = 4 THEN '"n_words is no integer"' END, CASE WHEN c.text IS NULL THEN '"missing text"' END) END AS problems
   FROM calls c FULL JOIN results r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1)
-SELECT l.conv_id, call_id, seq, v.level, result_seq, n_calls, n_results, orphan, problems = '' AS valid,
+SELECT l.conv_id, call_id, seq, v.level::BIGINT AS level, result_seq, n_calls, n_results, orphan, problems = '' AS valid,
        md5('{"arguments":' || arguments || ',"call_id":"' || call_id || '","name":' || coalesce('"' || name || '"', 'null') || ',"problems":[' || problems || '],"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}') AS line_md5
 FROM linked l LEFT JOIN levels v ON v.conv_id = l.conv_id AND v.turn = l.turn
 """
