@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact, langid, licences, neardup, packing, quality, token_files, toolcalls, toxicity
+from tidemark.llm import bpe, exact, fim, langid, licences, neardup, packing, quality, token_files, toolcalls, toxicity
 from tidemark.llm.support import new_folder
 from tidemark.session import table
 
@@ -138,6 +138,27 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, CAPACITY, order=("doc_id", "piece"))
 
 
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.rearrange(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c, 256)
+    return made.select(
+        "doc_id", "n", "form", F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"),
+        digest(F.col("output")).alias("output_sha256"), digest(fim.restore(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+OP13_SQL = r"""
+WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+h AS (SELECT *, len(units) AS n, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2, ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4 FROM u),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(units[1:lo], '') AS pre, array_to_string(units[lo + 1:hi], '') AS mid, array_to_string(units[hi + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -156,6 +177,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licences": op8_licences,
     "op9_tool_calls": op9_tool_calls,
     "op10_packing": op10_packing,
+    "op13_fim": op13_fim,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "quality_counts": COUNTS_SQL, "op9_tool_calls": OP9_SQL}
+ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "quality_counts": COUNTS_SQL, "op9_tool_calls": OP9_SQL, "op13_fim": OP13_SQL}
