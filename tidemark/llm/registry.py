@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact, fim, langid, licences, neardup, packing, quality, token_files, toolcalls, toxicity
+from tidemark.llm import bpe, exact, fim, langid, licences, neardup, packing, quality, spelling, token_files, toolcalls, toxicity
 from tidemark.llm.support import new_folder
 from tidemark.session import table
 
@@ -138,6 +138,37 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, CAPACITY, order=("doc_id", "piece"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.lexicon(table(spark, sf_dir, "documents")))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE crcs AS (
+  SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_prepend(i, generate_series(0::BIGINT, 7::BIGINT)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) t(i))),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+bytes AS (
+  SELECT run, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + (unicode(x) >> 6)::BIGINT, 128 + (unicode(x) & 63)::BIGINT] END)) AS b
+  FROM runs WHERE length(run) >= 7),
+drawn AS (
+  SELECT run, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]))) AS h FROM bytes, crcs),
+words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, count(*) AS n
+  FROM drawn GROUP BY 1 HAVING length(word) >= 7 AND count(*) >= 2),
+cut AS (SELECT word, n, i, substr(word, 1, i) AS pre, substr(word, i + 2) AS suf FROM (SELECT word, n, unnest(generate_series(0, length(word) - 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS near, a.n AS n, b.n AS near_n FROM cut a JOIN cut b ON a.pre = b.pre AND a.suf = b.suf AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, w.word, c.n, w.n FROM cut c JOIN words w ON w.word = c.pre || c.suf
+  UNION SELECT w.word, c.word, w.n, c.n FROM cut c JOIN words w ON w.word = c.pre || c.suf),
+best AS (SELECT word, n, count(*) OVER (PARTITION BY word) AS n_near, near, near_n FROM pairs QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1),
+known AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form, CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n FROM words w LEFT JOIN best b USING (word)),
+walk AS (
+  SELECT word, word AS root, 0 AS d FROM known
+  UNION ALL SELECT walk.word, k.form, d + 1 FROM walk JOIN known k ON k.word = walk.root WHERE k.form IS NOT NULL)
+SELECT k.word, form, r.root, n, n_near, form_n FROM known k JOIN (SELECT word, arg_max(root, d) AS root FROM walk GROUP BY word) r USING (word)
+"""
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.rearrange(table(spark, sf_dir, "documents"))
     digest = lambda c: F.sha2(c, 256)
@@ -177,7 +208,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licences": op8_licences,
     "op9_tool_calls": op9_tool_calls,
     "op10_packing": op10_packing,
+    "op12_spelling": op12_spelling,
     "op13_fim": op13_fim,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "quality_counts": COUNTS_SQL, "op9_tool_calls": OP9_SQL, "op13_fim": OP13_SQL}
+ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "quality_counts": COUNTS_SQL, "op9_tool_calls": OP9_SQL, "op12_spelling": OP12_SQL, "op13_fim": OP13_SQL}
