@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact, fim, langid, licences, neardup, packing, quality, spelling, token_files, toolcalls, toxicity
+from tidemark.llm import bpe, exact, fim, fingerprints, langid, licences, neardup, packing, quality, spelling, token_files, toolcalls, toxicity
 from tidemark.llm.support import new_folder
 from tidemark.session import table
 
@@ -138,6 +138,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, CAPACITY, order=("doc_id", "piece"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.compare(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "shift_edited", "aligned_edited")
+
+
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op11_fingerprints that SQL can express: the edited texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).alias("anchors"))
+    return fingerprints.edited(docs).select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
+
+
+EDITS_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, length(t) AS n_chars, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS next FROM d)
+SELECT doc_id, n_chars, sha256(substr(t, 1, n_chars - n_chars // 2) || substr(next, 1, n_chars // 2)) AS edited_sha256 FROM n
+"""
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.lexicon(table(spark, sf_dir, "documents")))
 
@@ -208,8 +226,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licences": op8_licences,
     "op9_tool_calls": op9_tool_calls,
     "op10_packing": op10_packing,
+    "op11_fingerprints": op11_fingerprints,
+    "fingerprint_edits": fingerprint_edits,
     "op12_spelling": op12_spelling,
     "op13_fim": op13_fim,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "quality_counts": COUNTS_SQL, "op9_tool_calls": OP9_SQL, "op12_spelling": OP12_SQL, "op13_fim": OP13_SQL}
+ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "quality_counts": COUNTS_SQL, "op9_tool_calls": OP9_SQL, "fingerprint_edits": EDITS_SQL, "op12_spelling": OP12_SQL, "op13_fim": OP13_SQL}
