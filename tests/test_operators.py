@@ -257,16 +257,6 @@ def test_streams(spark, tmp_path):
     got = streams.drain(streams.tumbling(stream()), "tumbling", "complete")
     assert sorted((r.n, r.total) for r in got.collect()) == [(24, sum(range(24))), (24, sum(range(24, 48)))]
     assert streams.drain(streams.without_repeats(stream(), ["user_id"]), "unique").count() == 3
-    alerts = streams.drain(streams.with_cooldown(stream().select(F.lit("k").alias("key"), "ts", F.col("value").alias("v")), 40.0, minutes=120), "alerts")
-    assert [r.v for r in alerts.orderBy("ts").collect()] == [41.0, 43.0, 45.0, 47.0]
-
-
-def test_upsert_stream(spark, tmp_path):
-    df = events(spark, str(tmp_path / "e"))
-    merge = streams.upserting(str(tmp_path / "t"), ["user_id"], "event_id")
-    merge(df.where("event_id < 20"), 0)
-    merge(df.where("event_id >= 19 AND user_id = 1"), 1)
-    assert {(r.user_id, r.event_id) for r in spark.read.parquet(str(tmp_path / "t/v1")).collect()} == {(0, 18), (1, 46), (2, 17)}
 
 
 def test_every_document_has_its_class_of_titles(spark, tmp_path):

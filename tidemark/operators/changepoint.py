@@ -17,7 +17,7 @@ DRIFT, SHORT, NARROW, WIDE, QUIET_DAYS, LEAST_ITEMS, LEAST_DAYS = 0.3, 15, 1.8,
 
 @dataclass
 class Cusum:
-    """The sums above and below, and what was found; also the state of a streaming run."""
+    """The sums above and below, and what was found. Streams run it over the days that are closed."""
 
     drift: float
     limit: float

@@ -219,11 +219,28 @@ def month_revision(spark, sf_dir):
     return dedup.revisions(prints(spark, sf_dir), OBSERVED, "k", "item_id").select("item_id", "revision")
 
 
-@query("dom_cusum_change_points")
+CUSUM = """WITH RECURSIVE day_means AS (SELECT bank || '/' || speaker AS bank, item_date AS day, avg(net_score) AS m, count(*) AS c FROM items WHERE abs(net_score) > 0.001 GROUP BY ALL),
+  d AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY bank) AS n, sum(m * c) OVER w AS cs, sum(c) OVER w AS cc FROM day_means WINDOW w AS (PARTITION BY bank ORDER BY day) QUALIFY count(*) OVER (PARTITION BY bank) >= 5 AND sum(c) OVER (PARTITION BY bank) >= 8),
+  s AS (SELECT d.*, (d.cs - coalesce(p.cs, 0)) / (d.cc - coalesce(p.cc, 0)) AS x FROM d LEFT JOIN d p ON p.bank = d.bank AND p.i = d.i - least(5, d.n // 3)),
+  t AS (SELECT *, sum(x) OVER (PARTITION BY bank ORDER BY i) AS sx, avg(x) OVER (PARTITION BY bank) AS level, coalesce(nullif(stddev_pop(x) OVER (PARTITION BY bank), 0), 0.03) AS spread, least(i, greatest(3, n // 4)) AS reach FROM s),
+  u AS (SELECT t.bank, t.i, t.day, t.x - t.level AS gap, t.spread, t.spread * CASE WHEN t.n < 15 THEN 1.8 ELSE 2.0 END AS lim, (p.sx - coalesce(q.sx, 0)) / t.reach AS b, (r.sx - p.sx) / least(t.n - t.i, t.reach) AS a
+    FROM t JOIN t p ON p.bank = t.bank AND p.i = t.i - 1 LEFT JOIN t q ON q.bank = t.bank AND q.i = t.i - t.reach - 1 JOIN t r ON r.bank = t.bank AND r.i = t.i + least(t.n - t.i, t.reach) - 1),
+  walk AS (SELECT bank, 0::BIGINT AS i, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, NULL::DATE AS last_day, NULL::DOUBLE AS last_size, false AS told, false AS instead FROM t WHERE i = 0
+    UNION ALL
+    SELECT bank, i, CASE WHEN tells THEN 0 ELSE up END, CASE WHEN tells THEN 0 ELSE down END, CASE WHEN tells THEN day ELSE last_day END, CASE WHEN tells THEN size ELSE last_size END, tells, tells AND near
+    FROM (SELECT *, (up > lim OR down < -lim) AND size >= greatest(0.03, 0.5 * spread) AND (NOT near OR size > last_size) AS tells
+      FROM (SELECT w.bank, u.i, u.day, u.lim, u.spread, abs(u.a - u.b) AS size, greatest(0.0, w.up + u.gap - 0.3 * u.spread) AS up, least(0.0, w.down + u.gap + 0.3 * u.spread) AS down, w.last_day, w.last_size, coalesce(u.day - w.last_day < 7, false) AS near
+        FROM walk w JOIN u ON u.bank = w.bank AND u.i = w.i + 1))),
+  found AS (SELECT bank, i, lead(instead) OVER (PARTITION BY bank ORDER BY i) AS replaced FROM walk WHERE told)
+  SELECT bank, day, CASE WHEN abs(a - b) > 2.5 * spread THEN 'regime_shift' WHEN least(a, b) < -0.01 AND greatest(a, b) > 0.01 THEN 'tone_reversal' ELSE 'guidance_change' END AS kind, round(abs(a - b), 6) AS magnitude, {b} AS before, {a} AS after
+  FROM found JOIN u USING (bank, i) WHERE NOT coalesce(replaced, false)"""
+
+
+@query("dom_cusum_change_points", CUSUM.replace("WITH RECURSIVE ", "WITH RECURSIVE " + ITEMS_SQL + ", ").replace("{b}", R3.format("b")).replace("{a}", R3.format("a")))
 def cusum(spark, sf_dir):
-    """A recursion over days; checked by a test against the plain method."""
+    """A recursion over the days of each bank and speaker; streaming.changes finds the same in a stream."""
     rows = scored(items(spark, sf_dir))
-    return changepoint.per_bank(rows.withColumn("bank", F.concat_ws("/", "bank", "speaker")))
+    return changepoint.per_bank(rows.withColumn("bank", F.concat_ws("/", "bank", "speaker"))).withColumn("magnitude", six("magnitude"))
 
 
 DRIFT = """, r AS (SELECT user_id, net_score AS s, row_number() OVER w AS rn, count(*) OVER (PARTITION BY user_id) AS n, avg(net_score) OVER (PARTITION BY user_id ORDER BY item_date, item_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS mean5

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import by_president, byline
+from tidemark.operators import alerts
 from tidemark.plans.base import CALENDAR_SQL, ITEMS_SQL, calendar, items, query, with_sql
-from tidemark.sources import documents, feeds, sinks
 from tidemark.session import fresh_folder, table
+from tidemark.sources import documents, feeds, sinks
+from tidemark.sources.versioned import DELETED, VersionedTable
 from tidemark.streaming import events as streams
 
 I = with_sql(ITEMS_SQL)  # noqa: E741
@@ -242,6 +244,19 @@ def stream_session(spark, sf_dir):
     return streams.sessions(e).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
+CROSSED = "crossed AS (SELECT user_id AS key, ts, max(value) AS v FROM events WHERE value > 60 GROUP BY ALL)"
+
+
+@query("stream_alert_cooldown", f"""WITH RECURSIVE {CROSSED},
+  further AS (SELECT key, ts, min(ts) OVER (PARTITION BY key ORDER BY ts RANGE BETWEEN INTERVAL 12 HOUR FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM crossed),
+  fired AS (SELECT key, min(ts) AS ts FROM crossed GROUP BY key UNION ALL SELECT f.key, n.next FROM fired f JOIN further n ON n.key = f.key AND n.ts = f.ts WHERE n.next IS NOT NULL)
+  SELECT key, ts, v FROM fired JOIN crossed USING (key, ts)""")
+def stream_alert_cooldown(spark, sf_dir):
+    """Alerts of each user, at most one in twelve hours; streaming.alerts gives the same of a stream."""
+    over = table(spark, sf_dir, "events").where("value > 60").groupBy(F.col("user_id").alias("key"), "ts").agg(F.max("value").alias("v"))
+    return alerts.cooled(over, 12 * 60, "v")
+
+
 @query("stream_static_join", "SELECT c_mktsegment, event_type, count(*) AS n FROM events JOIN customer ON user_id = c_custkey GROUP BY ALL")
 def stream_static_join(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
@@ -257,6 +272,16 @@ def sink_append(spark, sf_dir):
     return spark.read.schema(rows.schema).parquet(folder).select("item_id")
 
 
+@query("sink_upsert_versions", "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND event_type <> 'error'")
+def sink_upsert_versions(spark, sf_dir):
+    """Three batches by day, the second one twice, merged into a table of one row a user; users whose last event is an error go."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", F.pmod(F.dayofmonth("ts"), F.lit(3)).alias("batch"))
+    kept = VersionedTable(spark, fresh_folder(spark, "versions"), ["user_id"], "event_id", buckets=16)
+    for number in (0, 1, 1, 2):
+        kept.merge(e.where(F.col("batch") == number).drop("batch").withColumn(DELETED, F.col("event_type") == "error"), number)
+    return kept.read()
+
+
 @query("sink_csv", I + """SELECT CASE WHEN k % 2 = 0 THEN '"' || source || ',' || k || '"' ELSE source END || ',' || CASE WHEN k % 3 = 0 THEN '' ELSE k::VARCHAR END || ',' || item_id AS value FROM items""")
 def sink_csv(spark, sf_dir):
     """The lines of CSV files, but for the headers: quotes only where needed, null is empty."""

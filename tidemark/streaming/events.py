@@ -1,13 +1,9 @@
-"""Windows, late data, duplicates, alerts and upserts over a stream of events."""
+"""Windows, late data and duplicates over a stream of events."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LATE = "1 day"
 
@@ -32,37 +28,6 @@ def without_repeats(events: DataFrame, key: list[str]) -> DataFrame:
     return events.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(key)
 
 
-def with_cooldown(metrics: DataFrame, threshold: float, minutes: int = 60) -> DataFrame:
-    """Alerts (rule key, ts, v) over a threshold, at most one an hour per key. The state is the time
-    of the last alert."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        fired = []
-        for row in pd.concat(list(batches)).sort_values("ts").itertuples():
-            if row.v > threshold and (last is None or row.ts - last >= pd.Timedelta(minutes=minutes)):
-                last = row.ts
-                fired.append((key[0], row.ts, row.v))
-        if last is not None:
-            state.update((int(last.value // 1000),))
-        yield pd.DataFrame(fired, columns=["key", "ts", "v"])
-
-    return metrics.groupBy("key").applyInPandasWithState(run, "key string, ts timestamp, v double", "last long", "append", GroupStateTimeout.NoTimeout)
-
-
-def upserting(folder: str, key: list[str], order: str):
-    """For foreachBatch: merge each batch into a table of one row per key. The new version is written
-    beside the old one, and a batch that is repeated after a failure writes the same again."""
-    from tidemark.sources.sinks import upsert
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        stored = spark.read.parquet(f"{folder}/v{number - 1}") if number else batch.limit(0)
-        upsert(stored, batch, key, order).write.mode("overwrite").parquet(f"{folder}/v{number}")
-
-    return merge
-
-
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over all there is and return what came out (tests and small results)."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
