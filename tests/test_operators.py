@@ -158,6 +158,36 @@ def test_decisions(spark):
     assert [one(spark, scoring.action_base(F.lit(-1), F.lit(p))) for p in (25.0, 50.0, 75.0)] == [-0.6, -0.8, -1.0]
 
 
+def test_sizes_of_moves_in_every_form(spark):
+    said = {
+        "by 1 percentage point": 100, "a half percentage point": 50, "12.5 basis points": 12.5, "three quarters of a percentage point": 75, "one-quarter of a percentage point": 25, "One Half percentage point": 50,
+        "1/4 percentage point": 25, "3/4percentage point": 75, "0.25 percentage points": 25, "2 percentage points": 200, "10basis point": 10, "half a percentage point": None, "0 basis points": 0, "25 bps": None, "nothing": None,
+        "2 percentage points, or 50 basis points": 50, "1 percentage point and one quarter percentage point": 25,
+    }
+    df = spark.createDataFrame(list(said), "string")
+    assert {r.value: r.p for r in df.select("value", text.stated_points(F.col("value")).alias("p")).collect()} == said
+    assert {r.value: r.p for r in df.select("value", text.basis_points(F.col("value")).alias("p")).collect()} == {k: v or 25.0 for k, v in said.items()}
+
+
+@pytest.mark.parametrize("same", [
+    ("https://x.org/nl/a", "http://www.x.org/en/a/", "x.org/pt/a?q=1", "X.org//de//a#t"), ("x.org/a.en.pdf", "x.org/a.de.pdf", "x.org/a.pdf"), ("x.org/presse/reden/a-12345", "x.org/press/speeches/a-9999"),
+    ("x.org/presse/gastbeitraege/b", "x.org/press/contributions/b"), ("x.org/presse/interviews/b.pt.htm", "x.org/press/interviews/b.htm"), ("x.org/presse/c", "x.org/press/c"),
+])
+def test_addresses_of_one_page_are_one(spark, same):
+    assert len({one(spark, text.canonical_url(F.lit(u))) for u in same}) == 1
+
+
+def test_addresses_of_other_pages_stay_apart(spark):
+    other = ["x.org/presse", "x.org/press", "x.org/reden/a", "x.org/speeches/a", "x.org/a-123", "x.org/a", "x.org/a.xx.pdf", "x.org/en", "x.org/de", "y.org/a", "x.org", "ftp://x.org", ""]
+    assert len({one(spark, text.canonical_url(F.lit(u))) for u in other}) == len(other)
+
+
+def test_titles_lose_their_additions(spark):
+    said = {"Speech (with Q&amp;A) &#x27;x&#39;": "speech x", "A title | Site | More": "a title", "Title\u2014 06/11/2026": "title", "On 1/2/24 it was": "on it was", "Caf\u00e9_1 - b": "caf _1 b", "a|b": "a b", "": ""}
+    df = spark.createDataFrame(list(said), "string")
+    assert {r.value: r.t for r in df.select("value", text.normal_title(F.col("value")).alias("t")).collect()} == said
+
+
 def test_the_deciding_sentence_counts_once(spark):
     said = [(1, 0, "Hello.", 0.5), (1, 1, DECISIONS[0][0], -1.0), (1, 2, "More.", 0.1), (2, 0, "Nothing.", None), (3, 0, "Words.", 0.2)]
     df = spark.createDataFrame(said, "doc_id int, pos int, sentence string, value double")

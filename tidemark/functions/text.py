@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The entities that are decoded, in this order.
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
+ENTITIES = [("&amp;", "&"), ("&#x27;", "'"), ("&#39;", "'"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " ")]
 
 
 def chain(text: Column, steps: list[tuple[str, str]]) -> Column:
@@ -20,15 +21,45 @@ def html_decode(text: Column) -> Column:
     return reduce(lambda t, s: F.replace(t, F.lit(s[0]), F.lit(s[1])), ENTITIES, text)
 
 
-#: Order matters: scheme and closing slash go first, the language segment after the query.
-CANONICAL = [
-    (r"^[a-z]+://", ""), (r"^www\.", ""), (r"[?#].*$", ""), (r"/+$", ""), (r"/+", "/"),
-    (r"/(en|de|fr|es|it)(/|$)", "/__lang__$2"), (r"/(news|press|presse)/", "/news/"), (r"-[0-9]{4,}$", ""), (r"\.(en|de|fr|es)\.html$", ".html"),
-]
+@dataclass(frozen=True)
+class AddressRules:
+    """What makes addresses of one page the same: path segments that only name its language, segments that sites
+    translate (on their own, and behind another segment), and endings that a language may stand before."""
 
+    languages: tuple[str, ...]
+    words: dict[str, str]
+    behind: dict[str, dict[str, str]]
+    endings: tuple[str, ...]
 
-def canonical_url(url: Column) -> Column:
-    return chain(F.lower(F.trim(url)), CANONICAL)
+
+#: Languages, the German and English names of one site's paths, and endings.
+ADDRESSES = AddressRules(
+    languages=("en", "de", "fr", "es", "it", "nl", "pt"),
+    words={"presse": "press"},
+    behind={"presse": {"reden": "speeches", "interviews": "interviews", "gastbeitraege": "contributions"}},
+    endings=("html", "htm", "pdf"),
+)
+
+
+def canonical_url(url: Column, rules: AddressRules = ADDRESSES) -> Column:
+    """Host and path of an address, in one form for all languages of a page: lower case, without scheme, www, query, fragment and empty
+    segments; folders mapped by ``rules``; without a language before the ending and without a number of four or more digits behind a hyphen at the end."""
+    bare = F.regexp_replace(F.regexp_extract(F.lower(F.trim(url)), r"^(?:https?://)?([^?#]*)", 1), r"^www\.", "")
+    parts = F.filter(F.split(bare, "/"), lambda x: x != "")
+    host, folders, page = F.slice(parts, 1, 1), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), F.slice(parts, F.lit(2), F.size(parts))
+
+    def folder(x: Column, i: Column) -> Column:
+        out = F.when(x.isin(*rules.languages), "__lang__")
+        for first, names in rules.behind.items():
+            for name, other in names.items():
+                out = out.when((x == name) & (F.get(folders, i - 1) == first), other)
+        for name, other in rules.words.items():
+            out = out.when(x == name, other)
+        return out.otherwise(x)
+
+    last = F.regexp_replace(F.array_join(F.slice(page, F.greatest(F.size(page), F.lit(1)), F.lit(1)), ""), r"-[0-9]{4,}$", "")
+    last = F.regexp_replace(last, rf"\.(?:{'|'.join(rules.languages)})\.({'|'.join(rules.endings)})$", ".$1")
+    return F.array_join(F.concat(host, F.transform(folders, folder), F.filter(F.array(last), lambda x: x != "")), "/")
 
 
 def canonical_url_short(url: Column) -> Column:
@@ -36,11 +67,15 @@ def canonical_url_short(url: Column) -> Column:
     return chain(F.lower(url), [(r"^[a-z]+://(www\.)?", ""), (r"/+$", "")])
 
 
-NORMAL_TITLE = [(r"\(with q ?& ?a\)", ""), (r" \| .*$", ""), (r" \x{2014} .*$", ""), (r"[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}", ""), (r"[^\p{L}\p{N} ]", " "), (r" +", " ")]
+#: What is cut from a title, in this order, and what stands for what is left between words.
+TITLE_CUTS = [r"\(with q&a\)", r"\s+\|\s+.*$", r"\x{2014}.*$", r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}"]
+TITLE_GAPS = r"[^A-Za-z0-9_]+"
 
 
 def normal_title(title: Column) -> Column:
-    return F.trim(chain(F.lower(html_decode(title)), NORMAL_TITLE))
+    """The words of a title in lower case, without its additions: Latin letters without accents, digits and underscores."""
+    short = chain(F.lower(html_decode(title)), [(cut, "") for cut in TITLE_CUTS])
+    return F.trim(F.regexp_replace(short, TITLE_GAPS, " "))
 
 
 def word_count(text: Column) -> Column:
@@ -89,19 +124,25 @@ def percent(text: Column) -> Column:
     return F.when(falls, -value).otherwise(value)
 
 
-#: What fractions of a percentage point are called.
-FRACTIONS = {"1/4": 25.0, "one-quarter": 25.0, "1/2": 50.0, "one-half": 50.0, "3/4": 75.0, "three-quarters": 75.0}
+#: How sizes of moves are written, and what the fractions are worth.
+BASIS = r"([0-9]+(?:\.[0-9]+)?)\s*basis\s*points?"
+FRACTION = r"(1/4|1/2|3/4|one[- ]quarter|one[- ]half|three[- ]quarters?|half|quarter)\s*(?:of a\s*)?percentage\s*point"
+PERCENTAGE = r"([0-9]+(?:\.[0-9]+)?)\s*percentage\s*points?"
+UNSTATED = 25.0
 
 
-def basis_points(text: Column) -> Column:
-    """Size of a move: digits, fractions or percentage points; 25 if none is stated."""
+def stated_points(text: Column) -> Column:
+    """The size of a move in basis points, be it stated as such, as a fraction of a percentage point or in percentage points; null if it isn't."""
     t = F.lower(text)
-    digits = F.nullif(F.regexp_extract(t, r"([0-9]+) ?(?:basis points?|bps?)", 1), F.lit("")).cast("double")
-    fraction = F.lit(None).cast("double")
-    for name, value in FRACTIONS.items():
-        fraction = F.coalesce(fraction, F.when(t.rlike(rf"\b{name} (of a )?percentage point"), value))
-    points = F.nullif(F.regexp_extract(t, r"([0-9]+\.[0-9]+) percentage point", 1), F.lit("")).cast("double") * 100
-    return F.coalesce(digits, fraction, points, F.lit(25.0))
+    found = lambda pattern: F.nullif(F.regexp_extract(t, pattern, 1), F.lit(""))
+    part = found(FRACTION)
+    quarters = F.when(part.startswith("three") | part.startswith("3"), 3.0).when(part.endswith("half") | (part == "1/2"), 2.0).when(part.isNotNull(), 1.0)
+    return F.coalesce(found(BASIS).cast("double"), quarters * 25, found(PERCENTAGE).cast("double") * 100)
+
+
+def basis_points(text: Column) -> Column:
+    """stated_points(), and 25 where none or zero is stated."""
+    return F.coalesce(F.nullif(stated_points(text), F.lit(0.0)), F.lit(UNSTATED))
 
 
 _PERSON = r"[A-Z][a-z]+(?: [A-Z][a-z]+)+"

@@ -108,16 +108,17 @@ SAID = (
     "Members voted not to raise the federal funds rate.", "The Committee decided to maintain the target range for the federal funds rate.", "Today the target range was discussed at length; nothing else happened.",
     "The Committee decided to establish a target range for the federal funds rate of 0 to 1/4 percent.", "Interest rates on the main refinancing operations will be increased by 75 basis points, the Council decided.",
     "The Council decided to keep the three key ECB interest rates unchanged, and not cut anything.", "It decided to lower its policy rate.", "It decided to leave the policy rate and to raise the deposit facility later.",
+    "It voted to increase the target range by 1 percentage point.", "The Board agreed to cut policy rates by 12.5 basis points, and then 50 basis points.",
 )
 SAID_SQL = ", ".join(f"({i}, '{s}')" for i, s in enumerate(SAID))
 _PLACE = lambda d: "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(s, '{p}') THEN length(regexp_extract(s, '^((?s:.)*?)(?:{p})', 1)) END" for p in scoring.MOVES[d]) + ")"
 
 
 @query("dom_decision_score", I + f""", said(i, sentence) AS (VALUES {SAID_SQL}),
-  sent AS (SELECT item_id AS doc_id, pos, sentence, lower(sentence) AS s, net_score * (pos - 1) AS value FROM (SELECT item_id, net_score, unnest([0, 1, 2]) AS pos, unnest([0, k % 11, (k * 7 + item_id) % 11]) AS i FROM items) JOIN said USING (i)),
+  sent AS (SELECT item_id AS doc_id, pos, sentence, lower(sentence) AS s, net_score * (pos - 1) AS value FROM (SELECT item_id, net_score, unnest([0, 1, 2]) AS pos, unnest([0, k % 13, (k * 7 + item_id) % 13]) AS i FROM items) JOIN said USING (i)),
   seen AS (SELECT *, {_PLACE(1)} AS up, {_PLACE(-1)} AS down, {_PLACE(0)} AS hold, regexp_matches(s, '{scoring.EMERGENCY}') AS emergency,
     regexp_matches(s, '{scoring.DECIDES}') AND regexp_matches(s, '{scoring.DECIDED_ON}') AND NOT regexp_matches(s, '{scoring.NEGATED}') AS decides,
-    CASE WHEN regexp_matches(s, '[0-9] basis points') THEN regexp_extract(s, '([0-9]+) basis', 1)::DOUBLE WHEN contains(s, '1/2 percentage') THEN 50 ELSE 25 END::DOUBLE AS size FROM sent),
+    CASE WHEN contains(s, '75 basis points') THEN 75 WHEN contains(s, '10 basis points') THEN 10 WHEN contains(s, '12.5 basis points') THEN 12.5 WHEN contains(s, '1/2 percentage') THEN 50 WHEN contains(s, '1 percentage point') THEN 100 ELSE 25 END::DOUBLE AS size FROM sent),
   moves AS (SELECT *, CASE WHEN emergency OR down <= least(coalesce(up, 999), coalesce(hold, 999), 999) THEN -1 WHEN hold <= least(coalesce(up, 999), 999) THEN 0 ELSE 1 END AS direction FROM seen
     WHERE decides AND (emergency OR up IS NOT NULL OR down IS NOT NULL OR hold IS NOT NULL)),
   decided AS (SELECT d.doc_id, coalesce(direction, 0) AS direction, CASE WHEN coalesce(direction, 0) = 0 THEN 0 WHEN emergency THEN 75 ELSE size END::DOUBLE AS points, pos AS at
@@ -127,7 +128,7 @@ _PLACE = lambda d: "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(s, '{p}')
 def decision_score(spark, sf_dir):
     """Statements of three sentences each; the words' values are the items' scores, that of the middle sentence being 0."""
     said = F.array(*map(F.lit, SAID))
-    rows = items(spark, sf_dir).select(F.col("item_id").alias("doc_id"), "net_score", F.posexplode(F.array(F.lit(0), F.col("k") % 11, ((F.col("k") * 7 + F.col("item_id")) % 11).cast("int"))).alias("pos", "i"))
+    rows = items(spark, sf_dir).select(F.col("item_id").alias("doc_id"), "net_score", F.posexplode(F.array(F.lit(0), F.col("k") % 13, ((F.col("k") * 7 + F.col("item_id")) % 13).cast("int"))).alias("pos", "i"))
     sentences = rows.select("doc_id", "pos", F.element_at(said, F.col("i") + 1).alias("sentence"), (F.col("net_score") * (F.col("pos") - 1)).alias("value"))
     return scoring.decision_scores(scoring.decisions(sentences, basis_points(F.col("sentence"))), sentences).withColumns({x: F.col(x) + F.lit(0.0) for x in ("base", "score")})
 

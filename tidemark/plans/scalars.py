@@ -52,14 +52,43 @@ def _decoded(first: str) -> str:
 _title = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 title = lambda: F.regexp_extract("html", "<title>([^<]*)</title>", 1)
 _pages("str_html_decode", f"md5({_decoded('html')})", lambda: F.md5(T.html_decode(F.col("html"))))
-_pages("str_canonical_url", _replaced("lower(trim(url))", T.CANONICAL), lambda: T.canonical_url(F.col("url")))
+#: Written from the rules themselves: regular expressions over the whole address.
+URL_STEPS = [
+    ("^https?://", ""), ("[?#].*$", ""), ("/+$", ""), ("^www\\.", ""), ("/+", "/"), ("/(en|de|fr|es|it|nl|pt)/", "/__lang__/"), ("/presse/reden/", "/press/speeches/"), ("/presse/interviews/", "/press/interviews/"),
+    ("/presse/gastbeitraege/", "/press/contributions/"), ("/presse/", "/press/"), ("-[0-9]{4,}$", ""), ("\\.(en|de|fr|es|it|nl|pt)\\.(html?|pdf)$", ".$2"),
+]
+#: Pages under addresses that have every case.
+VARIED_SQL = """CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN 'https://www.x.org//Presse/reden/' || page_id || '-' || (page_id * 7919 % 100000) || '/'
+  WHEN 2 THEN 'http://x.org/press/speeches/' || page_id || '?lang=de' WHEN 3 THEN 'x.org/pub/nl/a' || page_id || '.' || ['en', 'de', 'pt', 'xx'][page_id % 4 + 1] || '.' || ['html', 'pdf', 'htm'][page_id % 3 + 1]
+  WHEN 4 THEN 'https://x.org/presse/' || ['interviews', 'gastbeitraege', 'texte', 'pt'][page_id % 4 + 1] || '/b#' || page_id ELSE replace(url, '/en/', '/presse/') END"""
+
+
+def varied():
+    p = F.col("page_id")
+    s, one = p.cast("string"), lambda n, *names: F.get(F.array(*map(F.lit, names)), (p % n).cast("int"))
+    cases = F.when(p % 6 == 0, F.col("url")).when(p % 6 == 1, F.concat(F.lit("https://www.x.org//Presse/reden/"), s, F.lit("-"), (p * 7919 % 100000).cast("string"), F.lit("/")))
+    cases = cases.when(p % 6 == 2, F.concat(F.lit("http://x.org/press/speeches/"), s, F.lit("?lang=de"))).when(p % 6 == 3, F.concat(F.lit("x.org/pub/nl/a"), s, F.lit("."), one(4, "en", "de", "pt", "xx"), F.lit("."), one(3, "html", "pdf", "htm")))
+    return cases.when(p % 6 == 4, F.concat(F.lit("https://x.org/presse/"), one(4, "interviews", "gastbeitraege", "texte", "pt"), F.lit("/b#"), s)).otherwise(F.replace("url", F.lit("/en/"), F.lit("/presse/")))
+
+
+_pages("str_canonical_url", _replaced(f"lower(trim({VARIED_SQL}))", URL_STEPS), lambda: T.canonical_url(varied()))
 _pages("str_canonical_url_sql", _replaced("lower(url)", [(r"^[a-z]+://(www\.)?", ""), ("/+$", "")]), lambda: T.canonical_url_short(F.col("url")))
-_pages("str_normalized_title", f"trim({_replaced(f'lower({_decoded(_title)})', T.NORMAL_TITLE)})", lambda: T.normal_title(title()))
+#: Titles with every case.
+TITLES_SQL = "{} || CASE page_id % 5 WHEN 0 THEN ' (with Q&amp;A)' WHEN 1 THEN ' | Site | ' || page_id WHEN 2 THEN ' 06/11/2026 Caf&#39;\u00e9' WHEN 3 THEN '\u2014 06/11/2026' ELSE ' 1.2.2024, &lt;b&gt;_x-y' END"
+
+
+def titles():
+    p = F.col("page_id")
+    return F.concat(title(), F.when(p % 5 == 0, " (with Q&amp;A)").when(p % 5 == 1, F.concat(F.lit(" | Site | "), p.cast("string"))).when(p % 5 == 2, " 06/11/2026 Caf&#39;\u00e9").when(p % 5 == 3, "\u2014 06/11/2026").otherwise(" 1.2.2024, &lt;b&gt;_x-y"))
+
+
+TITLE_STEPS = [("\\(with q&a\\)", ""), ("\\s+\\|\\s+.*$", ""), ("\u2014.*$", ""), ("[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}", ""), ("[^A-Za-z0-9_]", " "), (" +", " ")]
+_pages("str_normalized_title", f"trim({_replaced(f'lower({_decoded(TITLES_SQL.format(_title))})', TITLE_STEPS)})", lambda: T.normal_title(titles()))
 _pages("str_page_title", _title, title)
 _pages("str_meta_author", "coalesce(nullif(regexp_extract(html, '<meta name=\"author\" content=\"([^\"]*)\"', 1), ''), 'unknown')", lambda: F.coalesce(F.nullif(F.regexp_extract("html", '<meta name="author" content="([^"]*)"', 1), F.lit("")), F.lit("unknown")))
 _VISIBLE = [(r"<script[^>]*>[^<]*</script>", " "), (r"<style[^>]*>[^<]*</style>", " "), (r"<[^>]*>", " "), (r"\s+", " ")]
 _pages("str_page_text", f"md5(trim({_replaced('html', _VISIBLE)}))", lambda: F.md5(F.trim(T.chain(F.col("html"), _VISIBLE))))
-_pages("str_dedup_key", f"concat_ws('|', 'P', coalesce('U:' || nullif({_replaced('lower(trim(url))', T.CANONICAL)}, ''), 'T:' || {_title}))", lambda: F.concat_ws("|", F.lit("P"), F.coalesce(F.concat(F.lit("U:"), F.nullif(T.canonical_url(F.col("url")), F.lit(""))), F.concat(F.lit("T:"), title()))))
+_pages("str_dedup_key", f"concat_ws('|', 'P', coalesce('U:' || nullif({_replaced('lower(trim(url))', URL_STEPS)}, ''), 'T:' || {_title}))", lambda: F.concat_ws("|", F.lit("P"), F.coalesce(F.concat(F.lit("U:"), F.nullif(T.canonical_url(F.col("url")), F.lit(""))), F.concat(F.lit("T:"), title()))))
 _pages("str_speech_title", f"CASE WHEN starts_with({_title}, regexp_extract(url, '://([^./]+)', 1)) THEN {_title} ELSE regexp_extract(url, '://([^./]+)', 1) || ': ' || {_title} END", lambda: F.when(title().startswith(F.regexp_extract("url", "://([^./]+)", 1)), title()).otherwise(F.concat(F.regexp_extract("url", "://([^./]+)", 1), F.lit(": "), title())))
 _pages("str_bis_title", f"regexp_extract(url, '://([^./]+)', 1) || ': ' || {_title}", lambda: F.concat(F.regexp_extract("url", "://([^./]+)", 1), F.lit(": "), title()))
 _pages("date_from_link", "try_cast(nullif(regexp_extract(url || '/2024-01-' || lpad((page_id % 40)::VARCHAR, 2, '0'), '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), '') AS DATE)", lambda: F.expr("try_cast(nullif(regexp_extract(url || '/2024-01-' || lpad(string(page_id % 40), 2, '0'), '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), '') AS DATE)"))
@@ -130,7 +159,19 @@ _items("math_renormalise3", "floor((k % 7) / nullif((k % 7 + k % 5 + k % 3)::DOU
 _items("math_log_return_neg", "round(greatest(-(ln(value) - ln(k + 1.0::DOUBLE)), 0), 6)", lambda: six(F.greatest(-(F.ln("value") - F.ln(F.col("k") + 1.0)), F.lit(0.0))))
 _items("math_sigma_guard", "coalesce(nullif(stat_weight, 0), 0.1)::DOUBLE", lambda: F.coalesce(F.nullif(F.col("stat_weight"), F.lit(0)).cast("double"), F.lit(0.1)))
 _items("math_extract_percent", "CASE WHEN k % 3 = 0 THEN -1 WHEN k % 3 = 1 THEN 1 ELSE 1 END * (k / 10.0)::DOUBLE + 0.0", lambda: T.percent(F.concat(F.when(F.col("k") % 3 == 0, "Prices fell by ").when(F.col("k") % 3 == 1, "Prices fell to ").otherwise("Prices rose "), F.format_string("%.1f", F.col("k") / 10.0), F.lit("% in June"))))
-_items("math_bp_of", "CASE k % 4 WHEN 0 THEN k WHEN 1 THEN 50 WHEN 2 THEN k % 10 * 10 + 100 ELSE 25 END::DOUBLE", lambda: T.basis_points(F.when(F.col("k") % 4 == 0, F.concat(F.lit("raise by "), F.col("k").cast("string"), F.lit(" basis points"))).when(F.col("k") % 4 == 1, "by 1/2 percentage point").when(F.col("k") % 4 == 2, F.concat(F.lit("lower by 1."), (F.col("k") % 10).cast("string"), F.lit(" percentage points"))).otherwise("raise the rate")))
+#: Moves in every form, and what each is worth.
+MOVES = [
+    ("raise by {k} basis points", "k"), ("by 1/2 percentage point", "50"), ("lower by 1.{d} percentage points", "100 + k % 10 * 10"), ("raise the rate", "25"), ("by 12.5 basis points, not 25 basis points", "12.5"), ("by 1 percentage point", "100"),
+    ("a half percentage point", "50"), ("three quarters of a percentage point", "75"), ("by one-quarter percentage point", "25"), ("BY ONE HALF OF A PERCENTAGE POINT", "50"), ("by 0 basis points", "25"), ("3/4 percentage point or 2 percentage points", "75"), ("about {k}basis  points", "k"),
+]
+
+
+def moves():
+    filled = [F.replace(F.replace(F.lit(s), F.lit("{k}"), F.greatest(F.col("k"), F.lit(1)).cast("string")), F.lit("{d}"), (F.col("k") % 10).cast("string")) for s, _ in MOVES]
+    return F.get(F.array(*filled), (F.col("item_id") % len(MOVES)).cast("int"))
+
+
+_items("math_bp_of", "CASE item_id % " + str(len(MOVES)) + "".join(f" WHEN {i} THEN {'greatest(k, 1)' if v == 'k' else v}" for i, (_, v) in enumerate(MOVES)) + " END::DOUBLE", lambda: T.basis_points(moves()))
 
 tags = lambda: F.when(F.col("k") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("source"), F.when(F.col("k") > 50, "view").otherwise("old:x")))
 _TAGS = "CASE WHEN k % 7 = 0 THEN []::VARCHAR[] ELSE [source, CASE WHEN k > 50 THEN 'view' ELSE 'old:x' END] END"
