@@ -145,7 +145,7 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op11_fingerprints that SQL can express: the edited texts."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).alias("anchors"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).alias("keys"), F.lit(None).alias("places"))
     return fingerprints.edited(docs).select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
 
 
