@@ -210,12 +210,73 @@ def test_history_has_all_months_of_both_banks(spark):
     assert got[0][1] == got[1][3] == 0.26 and got[0][3] is None and got[2][1] == pytest.approx(0.26 + 0.35 * 0.353, abs=2e-3)
 
 
+def lexed(spark, lexicon, lines):
+    df = spark.createDataFrame([(1, i, s.split()) for i, s in enumerate(lines)], "doc_id int, pos int, words array<string>")
+    found = scoring.lexicon_points(df, spark.createDataFrame(lexicon, scoring.LEXICON)).collect()
+    return {(x.pos, x.dim): (x.hawk, x.dove) for x in found}
+
+
 def test_lexicon_window_and_negation(spark):
-    lexicon = spark.createDataFrame([("prices", "target", 1), ("rise", "direction", 1), ("fall", "direction", -1), ("not", "negation", 0)], "word string, role string, sign int")
-    lines = ["prices rise", "prices do not rise", "prices a b c d e f rise", "prices fall", "not a b c prices rise"]
+    lexicon = [("prices", "target", 1, 0, 0, "p"), ("rise", "direction", 1, 0, 0, None), ("fall", "direction", -1, 0, 0, None), ("not", "negation", 0, 0, 0, None)]
+    lines = ["prices rise", "prices do not rise", "prices a b c d e f rise", "prices fall", "not a b c prices rise", "rise", ""]
+    assert lexed(spark, lexicon, lines) == {(0, "p"): (1, 0), (1, "p"): (0, 1), (2, "p"): (0, 0), (3, "p"): (0, 1), (4, "p"): (1, 0)}
+
+
+def test_lexicon_phrases(spark):
+    lexicon = [
+        ("rate", "target", 1, 0, 0, "r"), ("federal funds rate", "target", 1, 0, 0, "f"), ("price*", "target", 1, 0, 0, "p"), ("price stab*", "target", -1, 0, 0, "s"), ("rise", "direction", 1, 0, 0, None), ("no longer", "negation", 0, 0, 0, None),
+        ("pick* up", "direction", 1, 0, 0, None), ("tight*", "target", 1, 0, 0, "t"), ("tight*", "direction", 1, 0, 0, None), ("asset purchase*", "points", 0, 0, 2, "q"), ("raise", "opens", 0, 2, 0, "o"), ("range", "closes", 0, 0, 0, "o"), ("a b c d", "points", 0, 1, 0, "four"),
+    ]
+    lines = [
+        "federal funds rate rise", "federal rate rise", "prices rise", "price stability rise", "price stability price rise", "prices no longer rise", "prices picked up", "picked prices", "tight tightening", "asset purchases and asset purchase",
+        "raise the target range", "range raise x", "raise a x c d e f range", "a b c d a b c", "asset",
+    ]
+    assert lexed(spark, lexicon, lines) == {
+        (0, "f"): (1, 0), (1, "r"): (1, 0), (2, "p"): (1, 0), (3, "s"): (0, 1), (4, "s"): (0, 1), (4, "p"): (1, 0), (5, "p"): (0, 1), (6, "p"): (1, 0), (7, "p"): (0, 0), (8, "t"): (2, 0), (9, "q"): (0, 4),
+        (10, "o"): (2, 0), (13, "four"): (1, 0),
+    }
+
+
+def plain_softmax(words, vocabulary, intercept):
+    """The linear scorer by plain loops."""
+    counts = {}
+    for n in (1, 2, 3):
+        for i in range(len(words) - n + 1):
+            term = " ".join(words[i : i + n])
+            if term in vocabulary:
+                counts[term] = counts.get(term, 0) + 1
+    x = {t: (1 + np.log(c)) * vocabulary[t][0] for t, c in counts.items()}
+    norm = np.sqrt(sum(v * v for v in x.values())) or 1.0
+    z = np.array([b + sum(v / norm * vocabulary[t][1 + k] for t, v in x.items()) for k, b in enumerate(intercept)])
+    return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+
+def test_linear_classes(spark):
+    vocabulary = {"a": (1.5, 2.0, -1.0, 0.0), "a b": (2.0, -1.0, 3.0, 0.1), "b c a": (1.0, 0.0, 1.0, -2.0), "c": (0.0, 5.0, 5.0, 5.0)}
+    lines = ["a", "a b c a", "a a a b", "c", "x", "", "b c a b"]
     df = spark.createDataFrame([(1, i, s.split()) for i, s in enumerate(lines)], "doc_id int, pos int, words array<string>")
-    got = {x.pos: (x.hawk, x.dove) for x in scoring.lexicon_points(df, lexicon).collect()}
-    assert got == {0: (1, 0), 1: (0, 1), 2: (0, 0), 3: (0, 1), 4: (1, 0)}
+    v = spark.createDataFrame([(t, *x) for t, x in vocabulary.items()], "term string, idf double, dove double, hawk double, neutral double")
+    got = {x.pos: x for x in scoring.linear_probabilities(df, v, (0.1, -0.2, 0.3)).collect()}
+    for i, s in enumerate(lines):
+        assert list(got[i])[2:] == pytest.approx(list(plain_softmax(s.split(), vocabulary, (0.1, -0.2, 0.3))))
+    label = lambda *p: one(spark, scoring.linear_label(*map(F.lit, p)))
+    assert [label(0.2, 0.5, 0.3), label(0.5, 0.2, 0.3), label(0.4, 0.4, 0.2), label(0.2, 0.4, 0.4), label(0.2, 0.3, 0.5)] == [1, -1, 0, 0, 0]
+
+
+def test_document_score_in_full(spark):
+    """Two sentences lean to hawkish, one to dovish, one is neutral; by hand."""
+    linear = spark.createDataFrame([(1, 0, 0.1, 0.8, 0.1), (1, 1, 0.1, 0.8, 0.1), (1, 2, 0.7, 0.1, 0.2), (1, 5, 0.3, 0.3, 0.4), (2, 0, 0.2, 0.2, 0.6)], "doc_id int, pos int, p_dove double, p_hawk double, p_neutral double")
+    points = spark.createDataFrame([(1, 0, "g", 2, 0), (1, 0, "p", 0, 1), (1, 1, "g", 1, 1), (1, 2, "p", 0, 3)], "doc_id int, pos int, dim string, hawk long, dove long")
+    norm = scoring.Norm(k=2.0, lex=(0.1, 0.5), lin=(0.0, 0.2), z_to_net=2.0)
+    got = {x.doc_id: x for x in scoring.document_scores(scoring.sentence_values(points, linear), norm).collect()}
+    x = got[1]
+    z = ((0 + 0.2) / 6 - 0.1) / 0.5 / 2 + (0.7 + 0.7 - 0.6) / 6 / 0.2 / 2
+    up = lambda v: np.floor(v * 1000 + 0.5) / 1000
+    assert (x.n, x.z, x.score, x.label) == (4, up(z), up(z / 2), "hawkish") and (x.lexicon_measure, x.linear_measure, x.agreement) == (0.0, 0.2, 0.75)
+    assert (x.hawkish, x.dovish) == ([0, 1], [2])
+    g, p = 0.5 * (1 + 0) + 0.5 * 1.4, 0.5 * -2 + 0.5 * (0.7 - 0.6)
+    assert [tuple(d) for d in x.dims] == [("g", 2, up(g / 5 / 0.257), 0), ("p", 2, up(max(-1, p / 5 / 0.257)), 2)]
+    assert (got[2].n, got[2].label, got[2].agreement, got[2].hawkish, got[2].dims) == (1, "neutral", 1.0, [], [])
 
 
 def test_addresses(spark):

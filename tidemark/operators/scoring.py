@@ -2,37 +2,153 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numerics import clamp, round_up
 
-#: How far a direction may be from its target, and a negation in front of a direction, in words.
-REACH, NEGATION = 6, 3
+#: How far a direction may be from its target, a negation in front of a direction, and what closes behind what opens, in words.
+REACH, NEGATION, GAP = 6, 3, 6
+#: Words of the longest phrase, and first letters by which words find the phrases that may begin there.
+LONGEST, KEY = 4, 3
+LEXICON = "phrase string, role string, sign int, hawk int, dove int, dim string"
+
+
+#: What a sentence must mention to be scored; \\w* stands for any ending.
+RELEVANT = (
+    "inflation", "prices?", "growth", "employment", "unemployment", "labou?r", "rates?", "policy", r"accommodat\w*", r"tighten\w*", "easing", "outlook", "activity", "demand", "wages?", "expectations?", "balance sheet",
+    "asset purchases?", "target range", "federal funds", "deposit facility", "economy", "economic", "risks?",
+)
+
+
+def mentions(sentence: Column, words: tuple[str, ...] = RELEVANT) -> Column:
+    """Whether one of ``words`` (patterns) stands in a sentence as a whole word, letters of all scripts making words."""
+    letter = r"[\p{L}\p{N}_]"
+    inside = "|".join(w.replace(r"\w", letter) for w in words)
+    return sentence.rlike(f"(?i)(?<!{letter})(?:{inside})(?!{letter})")
+
+
+def phrases(lexicon: DataFrame) -> DataFrame:
+    """A lexicon (phrase, role, sign, hawk, dove, dim) as a table by first letters. A phrase has one to ``LONGEST`` words; one
+    that ends in * stands for all that begin so, and has ``KEY`` letters at least if it is the first. Roles: ``target`` and ``direction`` carry a sign, ``negation`` nothing,
+    ``points`` hawk and dove points of their own, ``opens`` such points that count if a ``closes`` of the same dim follows within ``GAP`` words."""
+    parts = F.split(F.trim("phrase"), " +")
+    return lexicon.withColumn("parts", parts).withColumn("__key", F.left(F.rtrim(F.element_at("parts", 1), F.lit("*")), F.lit(KEY)))
+
+
+def phrase_hits(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(doc_id, pos, at, size, role, sign, hawk, dove, dim): phrases in sentences (doc_id, pos, words array), ``at`` being the first of ``size`` words.
+    Of one role a match inside a longer one doesn't count. Each word is looked up once by its first letters, with the next words at hand, and only
+    matches are shuffled, so neither phrases nor long sentences multiply rows."""
+    runs = F.transform("words", lambda w, i: F.slice("words", i + 1, LONGEST))
+    begun = sentences.select("doc_id", "pos", F.posexplode(runs).alias("at", "run")).withColumn("__key", F.left(F.element_at("run", 1), F.lit(KEY)))
+    fits = lambda part, word: F.when(part.endswith("*"), F.startswith(word, F.rtrim(part, F.lit("*")))).otherwise(part == word)
+    found = begun.join(F.broadcast(phrases(lexicon)), "__key")
+    found = found.where((F.size("parts") <= F.size("run")) & F.forall(F.zip_with("parts", F.slice("run", F.lit(1), F.size("parts")), fits), lambda x: x))
+    found = found.select("doc_id", "pos", "at", F.size("parts").alias("size"), "role", "sign", "hawk", "dove", "dim").repartition("doc_id", "pos")
+    end = F.col("at") + F.col("size")
+    same = Window.partitionBy("doc_id", "pos", "role").orderBy("at")
+    inside = (F.max(end).over(same.rangeBetween(1 - LONGEST, -1)) >= end) | (F.max(end).over(same.rangeBetween(0, 0)) > end)
+    return found.withColumn("inside", F.coalesce(inside, F.max(end).over(same.rangeBetween(0, 0)) > end)).where("NOT inside").drop("inside")
 
 
 def lexicon_points(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(doc_id, pos, hawk, dove) of sentences (doc_id, pos, words array). ``lexicon`` (word, role,
-    sign): targets and directions carry a sign, negations flip. Only lexicon words are kept and
-    shuffled, once; each meets those within REACH words of it, so long sentences cost no more per word."""
-    hits = sentences.select("doc_id", "pos", F.posexplode("words").alias("at", "word")).join(F.broadcast(lexicon), "word")
+    """(doc_id, pos, dim, hawk, dove) of sentences (doc_id, pos, words array): a row for each dimension that a sentence has a target
+    or points of. A target meets each direction within ``REACH`` words but at another place, and the product of their signs gives
+    a point; a negation up to ``NEGATION`` words in front of a direction turns it. Places are those of first words."""
     order = Window.partitionBy("doc_id", "pos").orderBy("at")
-    flipped = F.max(F.col("role") == "negation").over(order.rangeBetween(-NEGATION, -1))
-    hits = hits.withColumn("turn", F.when(flipped, -F.col("sign")).otherwise(F.col("sign")))
+    hits = phrase_hits(sentences, lexicon)
+    turned = F.max(F.col("role") == "negation").over(order.rangeBetween(-NEGATION, -1))
+    hits = hits.withColumn("turn", F.when(F.coalesce(turned, F.lit(False)), -F.col("sign")).otherwise(F.col("sign")))
     near = F.collect_list(F.when(F.col("role") == "direction", F.struct("at", "turn"))).over(order.rangeBetween(-REACH, REACH))
-    met = F.filter("near", lambda d: (F.col("role") == "target") & (d["at"] != F.col("at")))
-    values = F.transform(met, lambda d: d["turn"] * F.col("sign"))
-    hits = hits.withColumn("near", near).select("doc_id", "pos", values.alias("values"))
-    count = lambda test: F.sum(F.size(F.filter("values", test)))
-    return hits.groupBy("doc_id", "pos").agg(count(lambda x: x > 0).alias("hawk"), count(lambda x: x < 0).alias("dove"))
-
-
-def document_scores(sentences: DataFrame, k: float, lex: tuple[float, float], lin: tuple[float, float], z_to_net: float) -> DataFrame:
-    """Sentence values (doc_id, lex, lin) summed per document, shrunk with ``k`` pseudo-sentences
-    towards the corpus means, and the mean of both z-values scaled into [-1, 1]."""
-    sums = sentences.groupBy("doc_id").agg(F.sum("lex").alias("a"), F.sum("lin").alias("b"), F.count("*").alias("n"))
-    z = lambda c, m: ((F.col(c) + k * m[0]) / (F.col("n") + k) - m[0]) / m[1]
-    return sums.select("doc_id", "n", round_up(clamp((z("a", lex) + z("b", lin)) / 2 / z_to_net)).alias("score"))
+    closed = F.array_contains(F.collect_set(F.when(F.col("role") == "closes", F.col("dim"))).over(order.rangeBetween(1, GAP)), F.col("dim"))
+    hits = hits.withColumn("near", near).withColumn("closed", F.coalesce(closed, F.lit(False)))
+    target = F.col("role") == "target"
+    own = (F.col("role") == "points") | (F.col("role") == "opens") & F.col("closed")
+    values = F.transform(F.filter("near", lambda d: target & (d["at"] != F.col("at"))), lambda d: d["turn"] * F.col("sign"))
+    rows = hits.where(target | own).select("doc_id", "pos", "dim", values.alias("values"), *(F.when(own, F.col(c)).otherwise(0).alias(c) for c in ("hawk", "dove")))
+    total = lambda c, test: (F.sum(c) + F.sum(F.size(F.filter("values", test)))).alias(c)
+    return rows.groupBy("doc_id", "pos", "dim").agg(total("hawk", lambda x: x > 0), total("dove", lambda x: x < 0))
+
+
+@dataclass(frozen=True)
+class Norm:
+    """How values of sentences become scores of documents: pseudo-sentences and mean and deviation of both scorers over the
+    corpus, what a z-value of 1 is worth, the neutral band, and pseudo-sentences and scale of the dimensions."""
+
+    k: float
+    lex: tuple[float, float]
+    lin: tuple[float, float]
+    z_to_net: float
+    band: float = 0.1
+    dim_k: float = 3.0
+    dim_scale: float = 0.257
+
+
+def linear_probabilities(sentences: DataFrame, vocabulary: DataFrame, intercept: tuple[float, float, float], longest: int = 3) -> DataFrame:
+    """(doc_id, pos, p_dove, p_hawk, p_neutral) of every sentence (doc_id, pos, words array): softmax of a linear model over runs of one to ``longest`` words. ``vocabulary``
+    (term, idf, dove, hawk, neutral) is the model's own table, of fixed size. Term frequencies are sublinear, and vectors have length 1. A
+    sentence without a known term has the intercepts' probabilities."""
+    grams = F.flatten(F.transform("words", lambda w, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("words") - i)), lambda n: F.array_join(F.slice("words", i + 1, n), " "))))
+    # every sentence also says the empty term, which counts nothing, so that it has a row
+    said = sentences.select("doc_id", "pos", F.explode(F.concat(F.array(F.lit("")), grams)).alias("term"))
+    blank = vocabulary.sparkSession.range(1).select(F.lit("").alias("term"), *(F.lit(0.0).alias(c) for c in ("idf", "dove", "hawk", "neutral")))
+    known = vocabulary.select("term", "idf", "dove", "hawk", "neutral").where("term <> ''").unionByName(blank)
+    counted = said.join(F.broadcast(known), "term").groupBy("doc_id", "pos", "term", "idf", "dove", "hawk", "neutral").agg(F.count("*").alias("n"))
+    x = (1 + F.ln("n")) * F.col("idf")
+    length = F.coalesce(F.nullif(F.sqrt(F.sum(x * x)), F.lit(0.0)), F.lit(1.0))
+    names = ("dove", "hawk", "neutral")
+    z = counted.groupBy("doc_id", "pos").agg(*((F.lit(b) + F.sum(x * F.col(c)) / length).alias(c) for b, c in zip(intercept, names)))
+    most = F.greatest(*names)
+    powers = [F.exp(F.col(c) - most) for c in names]
+    return z.select("doc_id", "pos", *((p / (powers[0] + powers[1] + powers[2])).alias(f"p_{c}") for c, p in zip(names, powers)))
+
+
+def linear_label(dove: Column, hawk: Column, neutral: Column) -> Column:
+    """1, -1 or 0: the direction that is likelier than both others, ties being neutral."""
+    return F.when(hawk > F.greatest(dove, neutral), 1).when(dove > F.greatest(hawk, neutral), -1).otherwise(0)
+
+
+def sentence_values(points: DataFrame, linear: DataFrame) -> DataFrame:
+    """Per sentence of ``linear``: lex (the sign of all hawk and dove points), gap (hawk less dove probability), agrees, and leans
+    (dim, lean) of the dimensions that it is about. Gaps have nine places, so that equal sentences are equal in whatever order they were summed. One shuffle of both sides by sentence."""
+    by = points.groupBy("doc_id", "pos").agg(F.signum(F.sum(F.col("hawk") - F.col("dove"))).cast("int").alias("lex"), F.collect_list(F.struct("dim", F.signum(F.col("hawk") - F.col("dove")).cast("int").alias("lean"))).alias("leans"))
+    lex = F.coalesce("lex", F.lit(0))
+    label = linear_label(F.col("p_dove"), F.col("p_hawk"), F.col("p_neutral"))
+    return linear.join(by, ["doc_id", "pos"], "left").select("doc_id", "pos", lex.alias("lex"), (F.col("p_hawk") - F.col("p_dove")).alias("gap"), (label == lex).cast("int").alias("agrees"), "leans").withColumn("gap", F.round("gap", 9))
+
+
+def document_scores(values: DataFrame, norm: Norm) -> DataFrame:
+    """One row per document of sentence_values(): n, score, label, z, both measures, agreement, hawkish and dovish evidence
+    (places of up to three sentences) and ``dims`` (dim, n, score, evidence).
+
+    Sums are shrunk with k pseudo-sentences towards the corpus means; the score is the mean of both z-values on its scale. A dimension is
+    the mean of lean and gap over its sentences, shrunk towards 0; its evidence is the sentence that says most in its direction, if that is over 0.2. Of
+    equal sentences the first is evidence, on the dovish side the last."""
+    gap, n = F.col("gap"), F.col("n")
+    dovish = F.transform(F.slice(F.array_sort(F.collect_list(F.when(gap < -0.2, F.struct(gap.alias("o"), (-F.col("pos")).alias("back"))))), 1, 3), lambda x: -x["back"])
+    hawkish = F.transform(F.slice(F.array_sort(F.collect_list(F.when(gap > 0.2, F.struct((-gap).alias("o"), F.col("pos").alias("at"))))), 1, 3), lambda x: x["at"])
+    whole = values.groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.sum("lex").cast("double").alias("a"), F.sum("gap").alias("b"), F.avg("agrees").alias("agreement"), hawkish.alias("hawkish"), dovish.alias("dovish"),
+    )
+    shrunk = lambda c, m: ((F.col(c) + norm.k * m[0]) / (n + norm.k) - m[0]) / m[1]
+    whole = whole.withColumn("z", (shrunk("a", norm.lex) + shrunk("b", norm.lin)) / 2).withColumn("net", clamp(F.col("z") / norm.z_to_net))
+
+    about = values.select("doc_id", "pos", "gap", F.inline("leans")).withColumn("v", 0.5 * F.col("lean") + 0.5 * F.col("gap"))
+    strongest = lambda sign: F.min(F.when(F.signum("v") == sign, F.struct((-F.abs("v")).alias("o"), F.col("pos").alias("at"))))
+    dims = about.groupBy("doc_id", "dim").agg(F.count("*").alias("n"), F.sum("v").alias("v"), strongest(1.0).alias("up"), strongest(-1.0).alias("down"))
+    best = F.when(F.col("v") > 0, F.col("up")).when(F.col("v") < 0, F.col("down"))
+    score = round_up(clamp(F.col("v") / (n + norm.dim_k) / norm.dim_scale))
+    dims = dims.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("dim", "n", score.alias("score"), F.when(best["o"] < -0.2, best["at"]).alias("evidence")))).alias("dims"))
+
+    none = F.array().cast("array<struct<dim:string,n:bigint,score:double,evidence:int>>")
+    label = F.when(F.col("net") > norm.band, "hawkish").when(F.col("net") < -norm.band, "dovish").otherwise("neutral")
+    return whole.join(dims, "doc_id", "left").select(
+        "doc_id", "n", round_up("net").alias("score"), label.alias("label"), round_up("z").alias("z"), round_up(F.col("a") / n).alias("lexicon_measure"), round_up(F.col("b") / n).alias("linear_measure"),
+        round_up("agreement").alias("agreement"), "hawkish", "dovish", F.coalesce("dims", none).alias("dims"),
+    )
 
 
 #: The strength of a decision by its size in basis points.

@@ -15,6 +15,7 @@ NARROW = {
     "dom_weighted_aggregate": ["freshest"],
     "agg_freshest_age": ["age"],
     "dom_lexicon_score": ["pos"],
+    "dom_linear_score": ["pos", "label"],
     "str_locate_evidence": ["line", '"offset"'],
     "str_attributed_sentences": ["n"],
     "dom_fomc_rotation": ["year"],

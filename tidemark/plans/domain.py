@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numerics import clamp, round_up, six
-from tidemark.functions.text import basis_points, guidance_sentences
+from tidemark.functions.text import basis_points, guidance_sentences, sentences
 from tidemark.operators import changepoint, dedup, drift, regression, scoring
 from tidemark.operators.alerts import evaluate
 from tidemark.plans.base import AS_OF, AS_OF_SQL, CALENDAR_SQL, ITEMS_SQL, SERIES_SQL, calendar, items, query, scored, series, with_sql
@@ -53,53 +53,94 @@ def sep_delta(spark, sf_dir):
     return d.select("p", "month", step("rate").alias("r"), step("jobs").alias("j"), F.lag("rate").over(w).alias("old")).where("old IS NOT NULL").select("p", "month", six((3 * F.col("r") - 2 * F.col("j")) / 5).alias("delta"))
 
 
-LEXICON = [("rate", "target", 1), ("and", "target", 1), ("the", "target", 1), ("of", "target", -1), ("to", "direction", 1), ("is", "direction", 1), ("be", "direction", -1), ("by", "direction", -1), ("was", "negation", 0), ("not", "negation", 0)]
-LEXICON_SQL = "lex(word, role, sign) AS (VALUES " + ", ".join(f"('{w}', '{r}', {s})" for w, r, s in LEXICON) + ")"
-LINES_SQL = "lines AS (SELECT doc_id, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS line FROM (SELECT doc_id, string_split(lower(text), chr(10)) AS parts FROM documents))"
-POINTS_SQL = f"""{LEXICON_SQL}, {LINES_SQL},
-  tok AS (SELECT doc_id, pos, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM (SELECT doc_id, pos, regexp_extract_all(line, '[a-z]+') AS w FROM lines)),
-  hits AS (SELECT doc_id, pos, i, role, sign FROM tok JOIN lex USING (word)),
-  pairs AS (SELECT t.doc_id, t.pos, t.sign * d.sign * CASE WHEN EXISTS (SELECT 1 FROM hits n WHERE n.role = 'negation' AND n.doc_id = d.doc_id AND n.pos = d.pos AND d.i > n.i AND d.i - n.i <= 3) THEN -1 ELSE 1 END AS v
+#: A lexicon that the test texts can meet: phrases of one to four words, ends of words, points of their own and points that something closes.
+LEXICON = [
+    ("rate", "target", 1, 0, 0, "policy"), ("of the", "target", 1, 0, 0, "growth"), ("the", "target", 1, 0, 0, "prices"), ("and the", "target", -1, 0, 0, "growth"), ("the and attion", "target", 1, 0, 0, "policy"),
+    ("the and attion to", "target", -1, 0, 0, "policy"), ("eri* tha*", "target", 1, 0, 0, "policy"), ("to", "direction", 1, 0, 0, None), ("is", "direction", 1, 0, 0, None), ("is the", "direction", -1, 0, 0, None), ("be", "direction", -1, 0, 0, None),
+    ("tion*", "direction", 1, 0, 0, None), ("than*", "direction", -1, 0, 0, None), ("was", "negation", 0, 0, 0, None), ("not", "negation", 0, 0, 0, None), ("on the", "negation", 0, 0, 0, None), ("it is", "points", 0, 1, 0, "prices"),
+    ("for the", "points", 0, 0, 2, "policy"), ("for the that*", "points", 0, 3, 0, "growth"), ("by", "opens", 0, 2, 0, "policy"), ("at", "closes", 0, 0, 0, "policy"), ("as", "opens", 0, 0, 2, "growth"), ("from", "closes", 0, 0, 0, "growth"),
+]
+RELEVANT_HERE = ("the", "of", "and", "und", "que")
+_TEXT = lambda x: "NULL" if x is None else f"'{x}'"
+LEXICON_SQL = "lex(p1, p2, p3, p4, size, role, sign, hawk, dove, dim) AS (VALUES " + ", ".join(
+    "(" + ", ".join(_TEXT(p.replace("*", "%") if p else None) for p in (r[0].split() + [None] * 4)[:4]) + f", {len(r[0].split())}, '{r[1]}', {r[2]}, {r[3]}, {r[4]}, {_TEXT(r[5])})" for r in LEXICON
+) + ")"
+SENTENCES_SQL = f"""split AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim(regexp_replace(replace(text, chr(173), ''), '\\s+', ' ', 'g')), '([.!?]) ([A-Z"(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: length(string_split(s, ' ')) >= 6) AS parts FROM documents),
+  sents AS (SELECT doc_id, pos, lower(s) AS s FROM (SELECT doc_id, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS s FROM split) WHERE regexp_matches(s, '(?i)(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(RELEVANT_HERE)})([^\\p{{L}}\\p{{N}}_]|$)'))"""
+POINTS_SQL = f"""{LEXICON_SQL}, {SENTENCES_SQL},
+  tok AS (SELECT *, lead(w1) OVER q AS w2, lead(w1, 2) OVER q AS w3, lead(w1, 3) OVER q AS w4 FROM (SELECT doc_id, pos, generate_subscripts(w, 1) AS i, unnest(w) AS w1 FROM (SELECT doc_id, pos, regexp_extract_all(s, '[a-z][a-z''-]*') AS w FROM sents)) WINDOW q AS (PARTITION BY doc_id, pos ORDER BY i)),
+  every_hit AS (SELECT doc_id, pos, i, size, role, sign, hawk, dove, dim FROM tok JOIN lex ON w1 LIKE p1 AND (size < 2 OR coalesce(w2 LIKE p2, false)) AND (size < 3 OR coalesce(w3 LIKE p3, false)) AND (size < 4 OR coalesce(w4 LIKE p4, false))),
+  hits AS (SELECT * FROM every_hit h WHERE NOT EXISTS (SELECT 1 FROM every_hit o WHERE o.doc_id = h.doc_id AND o.pos = h.pos AND o.role = h.role AND o.size > h.size AND o.i <= h.i AND o.i + o.size >= h.i + h.size)),
+  pairs AS (SELECT t.doc_id, t.pos, t.dim, t.sign * d.sign * CASE WHEN EXISTS (SELECT 1 FROM hits n WHERE n.role = 'negation' AND n.doc_id = d.doc_id AND n.pos = d.pos AND d.i > n.i AND d.i - n.i <= 3) THEN -1 ELSE 1 END AS v
     FROM hits t JOIN hits d ON t.doc_id = d.doc_id AND t.pos = d.pos AND t.role = 'target' AND d.role = 'direction' AND abs(t.i - d.i) <= 6 AND t.i <> d.i),
-  points AS (SELECT h.doc_id, h.pos, coalesce(hawk, 0) AS hawk, coalesce(dove, 0) AS dove FROM (SELECT DISTINCT doc_id, pos FROM hits) h
-    LEFT JOIN (SELECT doc_id, pos, count(*) FILTER (v > 0) AS hawk, count(*) FILTER (v < 0) AS dove FROM pairs GROUP BY ALL) p ON p.doc_id = h.doc_id AND p.pos = h.pos)"""
+  said AS (SELECT doc_id, pos, dim, 0 AS hawk, 0 AS dove FROM hits WHERE role = 'target' UNION ALL SELECT doc_id, pos, dim, (v > 0)::INT, (v < 0)::INT FROM pairs UNION ALL SELECT doc_id, pos, dim, hawk, dove FROM hits WHERE role = 'points'
+    UNION ALL SELECT doc_id, pos, dim, hawk, dove FROM hits o WHERE role = 'opens' AND EXISTS (SELECT 1 FROM hits c WHERE c.role = 'closes' AND c.doc_id = o.doc_id AND c.pos = o.pos AND c.dim = o.dim AND c.i - o.i BETWEEN 1 AND 6)),
+  points AS (SELECT doc_id, pos, dim, sum(hawk)::BIGINT AS hawk, sum(dove)::BIGINT AS dove FROM said GROUP BY ALL)"""
+
+
+def sentences_of(spark, sf_dir):
+    """(doc_id, pos, s): relevant sentences in lower case, numbered among all."""
+    split = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "s"))
+    return split.where(scoring.mentions(F.col("s"), RELEVANT_HERE)).select("doc_id", "pos", F.lower("s").alias("s"))
 
 
 def lexicon_points(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "line"))
-    lines = lines.select("doc_id", "pos", F.regexp_extract_all("line", F.lit("[a-z]+"), F.lit(0)).alias("words"))
-    return scoring.lexicon_points(lines, spark.createDataFrame(LEXICON, "word string, role string, sign int"))
+    words = sentences_of(spark, sf_dir).select("doc_id", "pos", F.regexp_extract_all("s", F.lit("[a-z][a-z'-]*"), F.lit(0)).alias("words"))
+    return scoring.lexicon_points(words, spark.createDataFrame(LEXICON, scoring.LEXICON))
 
 
-@query("dom_lexicon_score", f"WITH {POINTS_SQL} SELECT doc_id, pos, hawk, dove FROM points")
+@query("dom_lexicon_score", f"WITH {POINTS_SQL} SELECT doc_id, pos, dim, hawk, dove FROM points")
 def lexicon_score(spark, sf_dir):
     return lexicon_points(spark, sf_dir)
 
 
-BUNDLE = {"k": 2.0, "lex": (0.05, 0.25), "lin": (-0.05, 0.15), "z_to_net": 2.5}
-DOC_SCORE = f"""sent AS (SELECT doc_id, sign(hawk - dove) AS lex, (hawk - dove) / (hawk + dove + 2.0::DOUBLE) AS lin FROM points)
-  SELECT doc_id, n, {R3.format(C.format("((((a + 2.0::DOUBLE * 0.05::DOUBLE) / (n + 2.0::DOUBLE) - 0.05::DOUBLE) / 0.25::DOUBLE + ((b + 2.0::DOUBLE * (-0.05::DOUBLE)) / (n + 2.0::DOUBLE) - (-0.05::DOUBLE)) / 0.15::DOUBLE) / 2 / 2.5::DOUBLE)"))} AS score FROM (SELECT doc_id, count(*) AS n, sum(lex)::DOUBLE AS a, sum(lin) AS b FROM sent GROUP BY doc_id)"""
+#: A model of the form of the real one, whose weights are not public: runs of one to three words, their idf and a weight for each class.
+VOCABULARY = [(t, 1 + i % 5 / 4, 0.6 - i % 3 * 0.5, i % 4 * 0.4 - 0.6, 0.3 - i % 7 * 0.1) for i, t in enumerate(["the", "of", "and", "to", "of the", "the of", "and the", "in the", "is the", "the and attion", "orre orre orre", "to thanedble the", "it", "this 1", "der", "que"])]
+INTERCEPT = (0.1, -0.05, 0.2)
+LINEAR_SQL = "vocab(term, idf, dove, hawk, neutral) AS (VALUES " + ", ".join(f"('{t}', {i}::DOUBLE, {d}::DOUBLE, {h}::DOUBLE, {n}::DOUBLE)" for t, i, d, h, n in VOCABULARY) + f"""),
+  words AS (SELECT doc_id, pos, list_filter(regexp_extract_all(s, '[\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) >= 2) AS w FROM sents),
+  seq AS (SELECT doc_id, pos, w1, lead(w1) OVER q AS w2, lead(w1, 2) OVER q AS w3 FROM (SELECT doc_id, pos, generate_subscripts(w, 1) AS i, unnest(w) AS w1 FROM words) WINDOW q AS (PARTITION BY doc_id, pos ORDER BY i)),
+  grams AS (SELECT doc_id, pos, w1 AS term FROM seq UNION ALL SELECT doc_id, pos, w1 || ' ' || w2 FROM seq WHERE w2 IS NOT NULL UNION ALL SELECT doc_id, pos, w1 || ' ' || w2 || ' ' || w3 FROM seq WHERE w3 IS NOT NULL),
+  feats AS (SELECT doc_id, pos, term, (1 + ln(count(*))) * any_value(idf) AS x FROM grams JOIN vocab USING (term) GROUP BY ALL),
+  sums AS (SELECT doc_id, pos, sum(x * dove) / sqrt(sum(x * x)) AS d, sum(x * hawk) / sqrt(sum(x * x)) AS h, sum(x * neutral) / sqrt(sum(x * x)) AS n FROM feats JOIN vocab USING (term) GROUP BY ALL),
+  z AS (SELECT doc_id, pos, exp({INTERCEPT[0]}::DOUBLE + coalesce(d, 0)) AS d, exp({INTERCEPT[1]}::DOUBLE + coalesce(h, 0)) AS h, exp({INTERCEPT[2]}::DOUBLE + coalesce(n, 0)) AS n FROM sents LEFT JOIN sums USING (doc_id, pos)),
+  lin AS (SELECT doc_id, pos, d / (d + h + n) AS p_dove, h / (d + h + n) AS p_hawk, n / (d + h + n) AS p_neutral FROM z)"""
 
 
-@query("dom_frozen_document_score", f"WITH {POINTS_SQL}, {DOC_SCORE}")
-def frozen_document_score(spark, sf_dir):
-    """With a made-up bundle: the real one's weights are not public."""
-    p = lexicon_points(spark, sf_dir)
-    gap = F.col("hawk") - F.col("dove")
-    values = p.select("doc_id", F.signum(gap).alias("lex"), (gap / (F.col("hawk") + F.col("dove") + 2.0)).alias("lin"))
-    return scoring.document_scores(values, **BUNDLE)
+def linear_probabilities(spark, sf_dir):
+    words = F.filter(F.regexp_extract_all("s", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda x: F.length(x) >= 2)
+    vocabulary = spark.createDataFrame(VOCABULARY, "term string, idf double, dove double, hawk double, neutral double")
+    return scoring.linear_probabilities(sentences_of(spark, sf_dir).select("doc_id", "pos", words.alias("words")), vocabulary, INTERCEPT)
 
 
-@query("dom_linear_score", f"""WITH {LEXICON_SQL}, tf AS (SELECT doc_id, word, 1 + ln(count(*)) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) JOIN lex USING (word) GROUP BY ALL),
-  v AS (SELECT doc_id, word, tf * (1 + length(word) / 10.0::DOUBLE) AS x FROM tf)
-  SELECT doc_id, round(1 / (1 + exp(-(sum(x * sign) / sqrt(sum(x * x))))), 6) AS p FROM v JOIN lex USING (word) GROUP BY doc_id""")
+@query("dom_linear_score", f"""WITH {SENTENCES_SQL}, {LINEAR_SQL}
+  SELECT doc_id, pos, round(p_dove, 6) AS p_dove, round(p_hawk, 6) AS p_hawk, round(p_neutral, 6) AS p_neutral, CASE WHEN p_hawk > p_dove AND p_hawk > p_neutral THEN 1 WHEN p_dove > p_hawk AND p_dove > p_neutral THEN -1 ELSE 0 END AS label FROM lin""")
 def linear_score(spark, sf_dir):
-    """Sublinear term frequency times weight, unit length, logistic; the vocabulary is a table."""
-    lexicon = spark.createDataFrame(LEXICON, "word string, role string, sign int").withColumn("idf", 1 + F.length("word") / 10.0)
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
-    tf = words.join(F.broadcast(lexicon), "word").groupBy("doc_id", "word", "sign", "idf").agg(F.count("*").alias("c"))
-    x = (1 + F.ln("c")) * F.col("idf")
-    return tf.groupBy("doc_id").agg(six(1 / (1 + F.exp(-(F.sum(x * F.col("sign")) / F.sqrt(F.sum(x * x)))))).alias("p"))
+    """Three classes of every relevant sentence; terms are a table."""
+    found = linear_probabilities(spark, sf_dir)
+    return found.select("doc_id", "pos", *(six(c).alias(c) for c in ("p_dove", "p_hawk", "p_neutral")), scoring.linear_label(F.col("p_dove"), F.col("p_hawk"), F.col("p_neutral")).alias("label"))
+
+
+NORM = scoring.Norm(k=2.0, lex=(0.05, 0.25), lin=(-0.05, 0.15), z_to_net=2.5)
+DOCUMENT_SQL = f"""lexed AS (SELECT doc_id, pos, sign(sum(hawk - dove))::INT AS lex FROM points GROUP BY ALL),
+  vals AS (SELECT doc_id, pos, coalesce(lex, 0) AS lex, round(p_hawk - p_dove, 9) AS gap, (CASE WHEN p_hawk > p_dove AND p_hawk > p_neutral THEN 1 WHEN p_dove > p_hawk AND p_dove > p_neutral THEN -1 ELSE 0 END = coalesce(lex, 0))::INT AS agrees FROM lin LEFT JOIN lexed USING (doc_id, pos)),
+  whole AS (SELECT doc_id, count(*) AS n, sum(lex)::DOUBLE AS a, sum(gap) AS b, avg(agrees) AS agreement,
+    array_to_string((list(pos ORDER BY gap DESC, pos) FILTER (gap > 0.2))[1:3], ',') AS hawkish, array_to_string((list(pos ORDER BY gap, pos DESC) FILTER (gap < -0.2))[1:3], ',') AS dovish FROM vals GROUP BY doc_id),
+  net AS (SELECT *, (((a + 2 * 0.05::DOUBLE) / (n + 2) - 0.05::DOUBLE) / 0.25::DOUBLE + ((b + 2 * (-0.05::DOUBLE)) / (n + 2) + 0.05::DOUBLE) / 0.15::DOUBLE) / 2 AS z FROM whole),
+  about AS (SELECT p.doc_id, p.pos, p.dim, 0.5::DOUBLE * sign(p.hawk - p.dove) + 0.5::DOUBLE * gap AS v FROM points p JOIN vals USING (doc_id, pos)),
+  dim1 AS (SELECT doc_id, dim, count(*) AS n, sum(v) AS v FROM about GROUP BY ALL),
+  best AS (SELECT d.doc_id, d.dim, a.pos FROM dim1 d JOIN about a ON a.doc_id = d.doc_id AND a.dim = d.dim AND sign(a.v) = sign(d.v) WHERE d.v <> 0 QUALIFY row_number() OVER (PARTITION BY d.doc_id, d.dim ORDER BY abs(a.v) DESC, a.pos) = 1 AND abs(a.v) > 0.2),
+  dims AS (SELECT doc_id, string_agg(dim || ' ' || n || ' ' || floor(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, v / (n + 3) / 0.257::DOUBLE)) * 1000 + 0.5)::BIGINT || ' ' || coalesce(pos::VARCHAR, '-'), ',' ORDER BY dim) AS dims FROM dim1 LEFT JOIN best USING (doc_id, dim) GROUP BY doc_id)"""
+
+
+@query("dom_frozen_document_score", f"""WITH {POINTS_SQL}, {LINEAR_SQL}, {DOCUMENT_SQL}
+  SELECT doc_id, n, {R3.format(C.format("z / 2.5::DOUBLE"))} AS score, CASE WHEN greatest(-1, least(1, z / 2.5::DOUBLE)) > 0.1 THEN 'hawkish' WHEN greatest(-1, least(1, z / 2.5::DOUBLE)) < -0.1 THEN 'dovish' ELSE 'neutral' END AS label, {R3.format("z")} AS z, {R3.format("a / n")} AS lexicon_measure, {R3.format("b / n")} AS linear_measure,
+  {R3.format("agreement")} AS agreement, coalesce(hawkish, '') AS hawkish, coalesce(dovish, '') AS dovish, coalesce(dims, '') AS dims FROM net LEFT JOIN dims USING (doc_id)""")
+def frozen_document_score(spark, sf_dir):
+    """Both scorers together, with dimensions, agreement and evidence; evidence is the numbers of sentences."""
+    scored_ = scoring.document_scores(scoring.sentence_values(lexicon_points(spark, sf_dir), linear_probabilities(spark, sf_dir)), NORM)
+    shown = lambda d: F.concat_ws(" ", d["dim"], d["n"].cast("string"), F.round(d["score"] * 1000).cast("bigint").cast("string"), F.coalesce(d["evidence"].cast("string"), F.lit("-")))
+    return scored_.withColumns({"hawkish": F.concat_ws(",", F.col("hawkish").cast("array<string>")), "dovish": F.concat_ws(",", F.col("dovish").cast("array<string>")), "dims": F.array_join(F.transform("dims", shown), ",")})
 
 
 #: Sentences of decisions and of none, of which the test statements are made.
@@ -129,8 +170,8 @@ def decision_score(spark, sf_dir):
     """Statements of three sentences each; the words' values are the items' scores, that of the middle sentence being 0."""
     said = F.array(*map(F.lit, SAID))
     rows = items(spark, sf_dir).select(F.col("item_id").alias("doc_id"), "net_score", F.posexplode(F.array(F.lit(0), F.col("k") % 13, ((F.col("k") * 7 + F.col("item_id")) % 13).cast("int"))).alias("pos", "i"))
-    sentences = rows.select("doc_id", "pos", F.element_at(said, F.col("i") + 1).alias("sentence"), (F.col("net_score") * (F.col("pos") - 1)).alias("value"))
-    return scoring.decision_scores(scoring.decisions(sentences, basis_points(F.col("sentence"))), sentences).withColumns({x: F.col(x) + F.lit(0.0) for x in ("base", "score")})
+    parts = rows.select("doc_id", "pos", F.element_at(said, F.col("i") + 1).alias("sentence"), (F.col("net_score") * (F.col("pos") - 1)).alias("value"))
+    return scoring.decision_scores(scoring.decisions(parts, basis_points(F.col("sentence"))), parts).withColumns({x: F.col(x) + F.lit(0.0) for x in ("base", "score")})
 
 
 @query("dom_scorer_combine", I + f"""SELECT item_id, {R3.format("CASE k % 4 WHEN 0 THEN a WHEN 1 THEN b WHEN 2 THEN (a + b) / 2 ELSE CASE WHEN sign(a) <> sign(b) AND abs(a) > 0.2 AND abs(b) > 0.2 THEN 0.0::DOUBLE ELSE (a + b) / 2 END END")} AS score,

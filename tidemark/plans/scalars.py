@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import numerics as N
 from tidemark.functions import text as T
 from tidemark.functions.numerics import round_up, six
+from tidemark.operators import scoring
 from tidemark.plans.base import AS_OF, AS_OF_SQL, CALENDAR_SQL, ITEMS_SQL, calendar, items, query, with_sql
 from tidemark.session import table
 
@@ -95,7 +96,6 @@ _pages("date_from_link", "try_cast(nullif(regexp_extract(url || '/2024-01-' || l
 
 _docs("str_word_count", r"length(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'))", lambda: T.word_count(F.col("text")))
 _docs("str_sha256_prefix", "sha256(text)[:16]", lambda: T.fingerprint(F.col("text")))
-_docs("str_relevant", "regexp_matches(text, '(the|of|und|que)')", lambda: F.col("text").rlike("(the|of|und|que)"))
 _docs("str_split_sentences", """length(list_filter(string_split(regexp_replace(trim(regexp_replace(replace(text, chr(173), ''), '\\s+', ' ', 'g')), '([.!?]) ([A-Z"(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: length(string_split(s, ' ')) >= 6))""", lambda: F.size(T.sentences(F.col("text"))))
 _docs("str_split_guidance", """length(list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: length(s) > 15))""", lambda: F.size(T.guidance_sentences(F.col("text"))))
 _docs("str_sample_bme", "CASE WHEN length(text) <= 900 THEN text ELSE concat_ws(' ... ', substr(text, 1, 300), substr(text, (length(text) // 2 - 150 + 1)::INT, 300), right(text, 300)) END", lambda: T.sample_ends(F.col("text"), 900))
@@ -173,6 +173,11 @@ def moves():
 
 _items("math_bp_of", "CASE item_id % " + str(len(MOVES)) + "".join(f" WHEN {i} THEN {'greatest(k, 1)' if v == 'k' else v}" for i, (_, v) in enumerate(MOVES)) + " END::DOUBLE", lambda: T.basis_points(moves()))
 
+#: Sentences on policy and on other things; which are relevant.
+ABOUT = ("Risks remain.", "The sunflower grows.", "Monetary POLICY", "Reprices", "a rate", "rated", "Balance sheets", "the balance sheet", "tightening", "retighten", "labor of love", "labour", "belabored", "unemployment", "deposit facilities", "economy\u00e9", "demand_", "wage-price")
+RELEVANT_AT = (0, 2, 4, 7, 8, 10, 11, 13, 17)
+_items("str_relevant", f"item_id % {len(ABOUT)} IN {RELEVANT_AT}", lambda: scoring.mentions(F.get(F.array(*map(F.lit, ABOUT)), (F.col("item_id") % len(ABOUT)).cast("int"))))
+
 tags = lambda: F.when(F.col("k") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("source"), F.when(F.col("k") > 50, "view").otherwise("old:x")))
 _TAGS = "CASE WHEN k % 7 = 0 THEN []::VARCHAR[] ELSE [source, CASE WHEN k > 50 THEN 'view' ELSE 'old:x' END] END"
 _j = lambda c: F.array_join(c, ",")
