@@ -63,11 +63,16 @@ def piece_anchors(letters: Column, start: Column, k: int, s: int, size: int, low
         whole = F.filter(both, lambda i: (i >= 0) & (i + far < F.size(h)))
         return first_places(F.array_compact(F.transform(whole, lambda i: anchor(h, i))), size)
 
+    def every(h: Column) -> Column:
+        """All anchors, each distinct run being tested once."""
+        runs = F.transform(F.sequence(F.lit(1), F.octet_length(letters) - 4 * k + 1, F.lit(4)), lambda p: F.xxhash64(F.substring(letters, p, F.lit(4 * k))))
+        once = let(runs, lambda r: F.transform(F.array_distinct(r), lambda x: (F.array_position(r, x) - 1).cast("int")))
+        return first_places(F.array_compact(F.transform(once, lambda i: anchor(h, i))), size)
+
     def least(h: Column) -> Column:
         n = F.size(h)
         limit = F.when(n > 4 * low, ((low * 2.0 / n - 1) * 2.0**63).cast("long"))
-        every = F.array_compact(F.transform(F.sequence(F.lit(0), n - far - 1), lambda i: anchor(h, i)))
-        return let(let(limit, lambda x: near(h, x)), lambda a: F.when(F.size(a) >= size, a).otherwise(first_places(every, size)))
+        return let(let(limit, lambda x: near(h, x)), lambda a: F.when(F.size(a) >= size, a).otherwise(every(h)))
 
     return let(inner, least)
 
@@ -88,7 +93,8 @@ def anchors(text: Column, k: int = K, s: int = S, size: int = SIZE, low: int = L
     def by_pieces(letters: Column) -> Column:
         starts = F.sequence(F.lit(0), F.floor(F.octet_length(letters) / 4).cast("int") - k, F.lit(piece))
         part = lambda at: F.substring(letters, 4 * at + 1, F.lit(4 * (piece + k - 1)))
-        return first_places(F.flatten(F.transform(starts, lambda at: let(part(at), lambda p: piece_anchors(p, at, k, s, size, low)))), size)
+        parts = F.transform(starts, lambda at: let(part(at), lambda p: piece_anchors(p, at, k, s, size, low)))
+        return let(parts, lambda x: F.when(F.size(x) == 1, x[0]).otherwise(first_places(F.flatten(x), size)))
 
     of = lambda t: F.when(t == "", none).when(F.length(t) < k, whole(t)).otherwise(let(F.encode(t, "UTF-32"), by_pieces))
     return let(F.coalesce(text, F.lit("")), of)
