@@ -367,5 +367,5 @@ def test_newest_first_has_all_rows_in_order(spark, tmp_path):
     spark.createDataFrame([(i, i * 7919 % 5000, i % 300) for i in range(5000)], "n int, event_id long, day int").selectExpr(
         "event_id", "timestamp'2024-01-01' + make_dt_interval(day) AS ts", "event_id AS user_id", "'click' AS event_type", "0.5D AS value", """'{"k": 1}' AS props""",
     ).write.parquet(f"{tmp_path}/events.parquet")
-    got = [(x.item_date, x.item_id) for x in catalogue.QUERIES["sort_date_desc_all"](spark, str(tmp_path)).collect()]
+    got = [(x.item_date, x.item_id) for x in catalogue.QUERIES["sort_date_desc"](spark, str(tmp_path)).collect()]
     assert len(got) == 5000 and got == sorted(got, key=lambda x: (-x[0].toordinal(), x[1]))

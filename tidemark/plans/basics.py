@@ -418,20 +418,16 @@ def agg_argmax3(spark, sf_dir):
 # sort and limit
 
 
-@query("sort_date_desc", I + "SELECT item_id, item_date FROM items ORDER BY item_date DESC, item_id LIMIT 200")
+@query("sort_date_desc", I + "SELECT item_id, item_date FROM items ORDER BY item_date DESC, item_id")
 def sort_date_desc(spark, sf_dir):
-    return items(spark, sf_dir).orderBy(F.desc("item_date"), "item_id").limit(200).select("item_id", "item_date")
-
-
-@query("sort_date_desc_all", I + "SELECT item_id, item_date FROM items ORDER BY item_date DESC, item_id")
-def sort_date_desc_all(spark, sf_dir):
-    """All rows, newest first: a sort by ranges. ``sort_date_desc`` has the newest 200."""
+    """All rows, newest first: a sort by ranges."""
     return items(spark, sf_dir).orderBy(F.desc("item_date"), "item_id").select("item_id", "item_date")
 
 
-@query("sort_multi_key", with_sql(CALENDAR_SQL) + "SELECT * FROM calendar ORDER BY meeting, bank")
+@query("sort_multi_key", "SELECT o_orderdate::DATE AS day, o_orderpriority AS bank, o_orderkey FROM orders ORDER BY 1, 2, 3")
 def sort_multi_key(spark, sf_dir):
-    return calendar(spark).orderBy("meeting", "bank")
+    rows = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("bank"), "o_orderkey")
+    return rows.orderBy("day", "bank", "o_orderkey")
 
 
 @query("topk_abs", I + "SELECT item_id, net_score FROM items ORDER BY abs(net_score) DESC, item_id LIMIT 8")

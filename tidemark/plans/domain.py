@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numerics import clamp, round_up, six
 from tidemark.functions.text import basis_points, guidance_sentences, sentences
-from tidemark.operators import changepoint, dedup, drift, regression, scoring
+from tidemark.operators import changepoint, dedup, drift, network, reaction, regression, scoring
 from tidemark.operators.alerts import evaluate
 from tidemark.plans.base import AS_OF, AS_OF_SQL, CALENDAR_SQL, ITEMS_SQL, SERIES_SQL, calendar, items, query, scored, series, with_sql
 from tidemark.plans.basics import R3, top_rows
-from tidemark.plans.windows import BASE, DAILY, MEANS, SPANS, baselines, cycles, daily, join_nested_loop_pairs, placed
+from tidemark.plans.windows import BASE, DAILY, MEANS, SPANS, baselines, cycles, daily, placed
 from tidemark.session import table
 
 I = with_sql(ITEMS_SQL)  # noqa: E741
@@ -336,9 +336,15 @@ def speaker_dna(spark, sf_dir):
     return rows.groupBy("user_id", "n").agg(six(F.avg(s)).alias("focus"), six(F.stddev_pop(s)).alias("volatility"), six(flips / (F.col("n") - 1)).alias("flip_rate"), six(F.avg(F.when(late, s)) - F.avg(F.when(~late, s))).alias("drift"))
 
 
-@query("dom_network", with_sql(ITEMS_SQL, MEANS) + "SELECT a.speaker AS a, b.speaker AS b, round(greatest(0, 1 - 5 * abs(a.mean - b.mean)), 6) AS similarity FROM m a JOIN m b ON a.speaker < b.speaker WHERE greatest(0, 1 - 5 * abs(a.mean - b.mean)) > 0.3")
-def network(spark, sf_dir):
-    return join_nested_loop_pairs(spark, sf_dir)
+USERS = "u AS (SELECT user_id, avg(net_score) AS mean, count(*) AS n FROM items WHERE NOT is_statistical GROUP BY user_id HAVING count(*) >= 2)"
+
+
+@query("dom_network", with_sql(ITEMS_SQL, USERS) + """, e AS (SELECT a.user_id, count(*) AS degree, sum(1 - 5 * abs(a.mean - b.mean)) AS strength FROM u a JOIN u b ON a.user_id <> b.user_id AND 1 - 5 * abs(a.mean - b.mean) > 0.3 GROUP BY 1)
+  SELECT user_id, round(mean, 6) AS mean, n, coalesce(degree, 0) AS degree, round(coalesce(strength, 0), 4) AS strength FROM u LEFT JOIN e USING (user_id)""")
+def dom_network(spark, sf_dir):
+    """Nodes with two items or more; the edges themselves are join_nested_loop_pairs."""
+    nodes = items(spark, sf_dir).where("NOT is_statistical").groupBy(F.col("user_id").alias("name")).agg(F.avg("net_score").alias("mean"), F.count("*").alias("n")).where("n >= 2")
+    return network.nodes_with_sums(nodes).select(F.col("name").alias("user_id"), six("mean").alias("mean"), "n", "degree", F.round("strength", 4).alias("strength"))
 
 
 @query("dom_tone_evolution", with_sql(ITEMS_SQL, CALENDAR_SQL, DAILY) + """, p AS (SELECT c.bank, meeting, item_date, mean, n FROM calendar c JOIN d ON d.bank = c.bank AND item_date <= meeting AND item_date >= meeting - 30)
@@ -452,26 +458,58 @@ def taylor_two_regime(spark, sf_dir):
     return found.select("regime", "n", four("constant").alias("constant"), four("b_x").alias("b_inflation"), four("b_z").alias("b_output"), four("error").alias("error"), four("r2").alias("r2"))
 
 
-FEATURES = "f AS (SELECT month, mean / 100000 AS rate, n / 100.0::DOUBLE AS gap, lag(mean / 100000, 1) OVER w AS l1, lag(mean / 100000, 3) OVER w AS l3, lag(mean / 100000, 6) OVER w AS l6, coalesce(lag(mean / 100000, 2) OVER w, 0) AS l2 FROM series WINDOW w AS (ORDER BY month))"
+#: Monthly series of five keys with missing months and values, from the orders.
+MACRO_SQL = """o AS (SELECT o_orderpriority AS p, date_trunc('month', o_orderdate)::DATE AS month, count(*) AS c, avg(o_totalprice) AS mean, sum(o_totalprice) AS total, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY ALL),
+  s AS (SELECT p, month, year(month) * 12 + month(month) AS m, CASE WHEN (year(month) * 12 + month(month)) % 23 <> 5 THEN mean / 100000 END AS policy_rate, total / 1e6::DOUBLE AS prices, c / 10.0::DOUBLE AS unemployment, low / 10000 AS short_rate, high / 100000 AS long_rate, mean / 1000 AS oil,
+    CASE WHEN c % 3 = 0 THEN 4.5::DOUBLE END AS natural_rate, CASE WHEN c % 5 > 0 THEN total / 1e5::DOUBLE END AS equity, CASE WHEN c % 4 > 0 THEN c % 7 / 3.0::DOUBLE END AS credit_spread, CASE WHEN c % 6 > 0 THEN (c % 11)::DOUBLE END AS hy_spread, CASE WHEN c % 7 > 0 THEN c::DOUBLE END AS vix, (c % 5 - 2) / 2.0::DOUBLE AS fci
+    FROM o WHERE (year(month) * 12 + month(month)) % 17 <> length(p))"""
+
+
+def macro(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("p"), F.trunc("o_orderdate", "MM").alias("month"))
+    rows = rows.agg(F.count("*").alias("c"), F.avg("o_totalprice").alias("mean"), F.sum("o_totalprice").alias("total"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
+    c, m = F.col("c"), reaction.month_number(F.col("month"))
+    some = lambda test, value: F.when(test, value)
+    return rows.where(m % 17 != F.length("p")).select(
+        "p", "month", some(m % 23 != 5, F.col("mean") / 100000).alias("policy_rate"), (F.col("total") / 1e6).alias("prices"), (c / 10.0).alias("unemployment"), (F.col("low") / 10000).alias("short_rate"), (F.col("high") / 100000).alias("long_rate"),
+        (F.col("mean") / 1000).alias("oil"), some(c % 3 == 0, F.lit(4.5)).alias("natural_rate"), some(c % 5 > 0, F.col("total") / 1e5).alias("equity"), some(c % 4 > 0, c % 7 / 3.0).alias("credit_spread"), some(c % 6 > 0, (c % 11).cast("double")).alias("hy_spread"),
+        some(c % 7 > 0, c.cast("double")).alias("vix"), ((c % 5 - 2) / 2.0).alias("fci"),
+    )
+
+
+FEATURES_SQL = MACRO_SQL + """,
+  b AS (SELECT s.p, s.month, s.m, s.policy_rate, p1.policy_rate AS policy_rate_lag, (s.prices / p12.prices - 1) * 100 - 2 AS inflation_gap,
+      coalesce(s.natural_rate, (SELECT avg(q.unemployment) FROM s q WHERE q.p = s.p AND q.m BETWEEN s.m - 120 AND s.m)) - s.unemployment AS unemployment_gap, s.short_rate AS y2y, s.long_rate - s.short_rate AS slope, ln(s.oil) - ln(p1.oil) AS oil_log_change,
+      CASE WHEN s.equity IS NOT NULL AND p1.equity > 0 THEN greatest(-(ln(s.equity) - ln(p1.equity)), 0) ELSE 0 END AS r_neg_equity, coalesce(s.credit_spread, 0) AS credit_spread, coalesce(s.hy_spread, 0) AS hy_spread, coalesce(s.vix, 20) AS vix, coalesce(s.fci, 0) AS fci
+    FROM s JOIN s p1 ON p1.p = s.p AND p1.m = s.m - 1 JOIN s p12 ON p12.p = s.p AND p12.m = s.m - 12 WHERE s.policy_rate IS NOT NULL AND p1.policy_rate IS NOT NULL AND p1.oil <> 0 AND p12.prices <> 0),
+  f AS (SELECT b.*, b1.unemployment_gap AS unemployment_gap_l1, b6.unemployment_gap AS unemployment_gap_l6, b1.y2y AS y2y_l1, b3.y2y AS y2y_l3, b6.slope AS slope_l6, b1.credit_spread AS credit_spread_l1, b1.fci AS fci_l1, b3.fci AS fci_l3, b1.inflation_gap AS inflation_gap_l1,
+      b1.policy_rate - coalesce(b2.policy_rate, b1.policy_rate) AS rate_change_l1, (b.credit_spread + b.hy_spread / 5 + b.vix / 20 + b.fci) / 4 AS stress_score
+    FROM b JOIN b b1 ON b1.p = b.p AND b1.m = b.m - 1 LEFT JOIN b b2 ON b2.p = b.p AND b2.m = b.m - 2 JOIN b b3 ON b3.p = b.p AND b3.m = b.m - 3 JOIN b b6 ON b6.p = b.p AND b6.m = b.m - 6)"""
+FEATURE_NAMES = [
+    "policy_rate", "policy_rate_lag", "inflation_gap", "unemployment_gap", "y2y", "slope", "oil_log_change", "r_neg_equity", "credit_spread", "hy_spread", "vix", "fci", "unemployment_gap_l1", "unemployment_gap_l6", "y2y_l1", "y2y_l3", "slope_l6",
+    "credit_spread_l1", "fci_l1", "fci_l3", "inflation_gap_l1", "rate_change_l1", "stress_score",
+]
 
 
-def features(spark, sf_dir):
-    w = Window.orderBy("month")  # one short monthly series
-    base = series(spark, sf_dir).select("month", (F.col("mean") / 100000).alias("rate"), (F.col("n") / 100.0).alias("gap"))
-    lags = base.select("*", *(F.lag("rate", k).over(w).alias(f"l{k}") for k in (1, 3, 6)), F.coalesce(F.lag("rate", 2).over(w), F.lit(0.0)).alias("l2"))
-    return lags.where("l1 IS NOT NULL AND l3 IS NOT NULL AND l6 IS NOT NULL")
+@query("dom_policy_reaction_features", f"WITH {FEATURES_SQL} SELECT p, month, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in FEATURE_NAMES) + " FROM f")
+def policy_reaction_features(spark, sf_dir):
+    return reaction.features(macro(spark, sf_dir), "p").select("p", "month", *((six(c) + F.lit(0.0)).alias(c) for c in FEATURE_NAMES))
 
 
-@query("dom_policy_reaction_features", with_sql(SERIES_SQL, FEATURES) + "SELECT month, round(rate, 4) AS rate, round(l1, 4) AS l1, round(l2, 4) AS l2, round(l3, 4) AS l3, round(l6, 4) AS l6 FROM f WHERE l6 IS NOT NULL")
-def policy_reaction_features(spark, sf_dir):
-    return features(spark, sf_dir).select("month", *(F.round(c, 4).alias(c) for c in ("rate", "l1", "l2", "l3", "l6")))
+TERMS_SQL = """h AS (SELECT p, coalesce(quantile_cont(hy_spread, 0.75) FILTER (hy_spread > 0), 6) AS high FROM f GROUP BY p),
+  t AS (SELECT f.p, f.month, policy_rate, unnest([{'term': 'const', 'c': -0.265457::DOUBLE}, {'term': 'policy_rate_lag', 'c': 0.854363 * policy_rate_lag}, {'term': 'inflation_gap', 'c': -0.003450 * inflation_gap}, {'term': 'unemployment_gap', 'c': 0.056217 * unemployment_gap},
+    {'term': 'slope', 'c': -0.033699 * slope}, {'term': 'r_neg_equity', 'c': 0.384390 * r_neg_equity}, {'term': 'vix', 'c': 0.017163 * vix}, {'term': 'unemployment_gap_l1', 'c': -0.044029 * unemployment_gap_l1}, {'term': 'vix_sq', 'c': -0.000455 * vix * vix},
+    {'term': 'unemployment_gap_l6', 'c': -0.013982 * unemployment_gap_l6}, {'term': 'y2y_l1', 'c': 0.150443 * y2y_l1}, {'term': 'credit_spread_l1', 'c': 0.064071 * credit_spread_l1}, {'term': 'slope_l6', 'c': 0.012575 * slope_l6},
+    {'term': 'y2y_x_d_hy_q75', 'c': -0.068016 * y2y * (hy_spread >= high)::INT}, {'term': 'p_next_restrictive', 'c': -0.053076::DOUBLE * 0.1345}, {'term': 'p_next_expansionary', 'c': -0.089751::DOUBLE * 0.011}, {'term': 'env_bias', 'c': 0.036675::DOUBLE * 0.1236},
+    {'term': 'infl_x_p_restrictive', 'c': 0.066622 * inflation_gap * 0.1345}, {'term': 'unemp_x_p_expansionary', 'c': -0.015312 * unemployment_gap * 0.011}], recursive := true) FROM f JOIN h USING (p))"""
 
 
-@query("dom_policy_reaction_predict", with_sql(SERIES_SQL, FEATURES) + "SELECT month, round(0.1::DOUBLE + 0.8::DOUBLE * l1 + 0.1::DOUBLE * l3 - 0.05::DOUBLE * gap, 4) AS implied, round(rate - (0.1::DOUBLE + 0.8::DOUBLE * l1 + 0.1::DOUBLE * l3 - 0.05::DOUBLE * gap), 4) AS miss FROM f WHERE l6 IS NOT NULL")
+@query("dom_policy_reaction_predict", f"WITH {FEATURES_SQL}, {TERMS_SQL} SELECT p, month, term, round(c, 6) + 0.0 AS contribution, round(sum(c) OVER w, 3) + 0.0 AS implied, round(sum(c) OVER w - policy_rate, 3) + 0.0 AS gap FROM t WINDOW w AS (PARTITION BY p, month)")
 def policy_reaction_predict(spark, sf_dir):
-    """Fixed coefficients, given as a table of one row per term would be; here four."""
-    implied = 0.1 + 0.8 * F.col("l1") + 0.1 * F.col("l3") - 0.05 * F.col("gap")
-    return features(spark, sf_dir).select("month", F.round(implied, 4).alias("implied"), F.round(F.col("rate") - implied, 4).alias("miss"))
+    """The first model over all keys and months: each term's contribution beside their sum."""
+    parts = reaction.contributions(reaction.with_terms(reaction.features(macro(spark, sf_dir), "p"), "p"), reaction.FED, "p")
+    three = lambda c: (F.round(c, 3) + F.lit(0.0)).alias(c)
+    return parts.join(reaction.predictions(parts, "p"), ["p", "month"]).select("p", "month", "term", (six("contribution") + F.lit(0.0)).alias("contribution"), three("implied"), three("gap"))
 
 
 @query("dom_regime_label", S + "SELECT month, CASE WHEN total >= (SELECT list_sort(list(total))[floor(count(*) * 0.8)::INT + 1] FROM series) THEN 'stress' WHEN total <= (SELECT list_sort(list(total))[floor(count(*) * 0.2)::INT + 1] FROM series) THEN 'calm' ELSE 'normal' END AS regime FROM series")

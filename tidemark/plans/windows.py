@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numerics import six
 from tidemark.operators.joins import asof, intervals, without_similar
 from tidemark.plans.base import AS_OF, AS_OF_SQL, CALENDAR_SQL, ITEMS_SQL, SERIES_SQL, calendar, items, query, scored, series, with_sql
+from tidemark.operators.reaction import month_number, months_ago
 from tidemark.plans.basics import top_rows
 from tidemark.session import table
 
@@ -58,9 +59,14 @@ def join_window_max_delta(spark, sf_dir):
 ORDERED = lambda: Window.orderBy("month")  # monthly series are short
 
 
-@query("win_lag_features", S + "SELECT month, " + ", ".join(f"round(lag(mean, {k}) OVER (ORDER BY month), 6) AS lag_{k}" for k in (1, 2, 3, 6)) + " FROM series")
+HOLES = "holes AS (SELECT * FROM series WHERE (year(month) * 12 + month(month)) % 7 <> 3)"
+
+
+@query("win_lag_features", with_sql(SERIES_SQL, HOLES) + "SELECT h.month, " + ", ".join(f"round(l{k}.mean, 6) AS lag_{k}" for k in (1, 2, 3, 6)) + " FROM holes h " + " ".join(f"LEFT JOIN holes l{k} ON l{k}.month = (h.month - INTERVAL {k} MONTH)::DATE" for k in (1, 2, 3, 6)))
 def win_lag_features(spark, sf_dir):
-    return series(spark, sf_dir).select("month", *(six(F.lag("mean", k).over(ORDERED())).alias(f"lag_{k}") for k in (1, 2, 3, 6)))
+    """Lags by the calendar, over a series with missing months."""
+    holes = series(spark, sf_dir).withColumn("m", month_number(F.col("month"))).where("m % 7 <> 3")
+    return holes.select("month", *(six(months_ago("mean", k, at="m")).alias(f"lag_{k}") for k in (1, 2, 3, 6)))
 
 
 def _changes(expr):
@@ -98,10 +104,25 @@ def daily(spark, sf_dir):
     return scored(items(spark, sf_dir)).groupBy("bank", "item_date").agg(F.avg("net_score").alias("mean"), F.count("*").alias("n"))
 
 
-@query("win_rolling_weighted", with_sql(ITEMS_SQL, DAILY) + "SELECT bank, item_date, round(sum(mean * n) OVER w / sum(n) OVER w, 6) AS smooth FROM d WINDOW w AS (PARTITION BY bank ORDER BY item_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
+SHORT = "e AS (SELECT bank || '/' || speaker AS bank, item_date, avg(net_score) AS mean, count(*) AS n, row_number() OVER (PARTITION BY bank, speaker ORDER BY item_date) AS i, count(*) OVER (PARTITION BY bank, speaker) AS days FROM items WHERE abs(net_score) > 0.001 GROUP BY bank, speaker, item_date)"
+
+
+def short_series(spark, sf_dir):
+    """Days of each bank and speaker, numbered, with how many there are: series of different lengths."""
+    rows = scored(items(spark, sf_dir)).groupBy(F.concat_ws("/", "bank", "speaker").alias("bank"), "item_date").agg(F.avg("net_score").alias("mean"), F.count("*").alias("n"))
+    return rows.withColumns({"i": F.row_number().over(W("bank").orderBy("item_date")), "days": F.count("*").over(W("bank"))})
+
+
+@query("win_rolling_weighted", with_sql(ITEMS_SQL, SHORT) + """SELECT a.bank, a.item_date, round(sum(b.mean * b.n) / sum(b.n), 6) AS smooth FROM e a JOIN e b ON b.bank = a.bank AND b.i <= a.i AND b.i > a.i - least(5, a.days // 3) GROUP BY a.bank, a.item_date""")
 def win_rolling_weighted(spark, sf_dir):
-    w = W("bank").orderBy("item_date").rowsBetween(-4, 0)
-    return daily(spark, sf_dir).select("bank", "item_date", six(F.sum(F.col("mean") * F.col("n")).over(w) / F.sum("n").over(w)).alias("smooth"))
+    """The last min(5, n // 3) days, n being the days of the series: one frame for each of the five widths, chosen by n."""
+    total, n = F.col("mean") * F.col("n"), F.col("n")
+    frame = lambda k: W("bank").orderBy("item_date").rowsBetween(1 - k, 0)
+    width = F.least(F.lit(5), F.floor(F.col("days") / 3))
+    smooth = F.lit(None).cast("double")
+    for k in range(1, 6):
+        smooth = F.when(width == k, F.sum(total).over(frame(k)) / F.sum(n).over(frame(k))).otherwise(smooth)
+    return short_series(spark, sf_dir).select("bank", "item_date", six(smooth).alias("smooth")).where("smooth IS NOT NULL")
 
 
 @query("win_rolling_5", I + "SELECT item_id, round(avg(net_score) OVER (PARTITION BY user_id ORDER BY item_date, item_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS rolling FROM items")
