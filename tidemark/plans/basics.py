@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numerics import five_levels, points, ratio, round_up, six, three_levels
+from tidemark.operators import rules
 from tidemark.plans.base import AS_OF, AS_OF_SQL, CALENDAR_SQL, ITEMS_SQL, SERIES_SQL, calendar, items, query, scored, series, with_sql
 from tidemark.session import table
 
@@ -105,9 +106,26 @@ def top_rows(rows, group, order, n):
     return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("__rn") <= n).drop("__rn")
 
 
-@query("partition_scorable_noise", I + "SELECT item_id, CASE WHEN regexp_matches(title, '[0-3]$') THEN 'noise' ELSE 'scorable' END AS side FROM items")
+#: Headlines and bodies that meet every rule, each with the class that its words alone have.
+HEADLINES = [
+    ("Monetary policy decisions", "policy"), ("Digital euro report", "operational"), ("Digital euro and inflation", "policy"), ("A lecture", ""), ("TARGET2 holidays", "operational"), ("Unemployment in June", "policy"), ("Housing market developments", "macro"),
+    ("Governor appointed", "operational"), ("Annual dinner", ""), ("Trade and tariffs", "macro"), ("An open day", "operational"), ("Neutral rate revisited", "policy"), ("R star", ""),
+]
+BODIES = [("", ""), ("We saw inflation fall.", "policy"), ("Bank lending grew.", "macro"), (None, ""), ("Nothing of note.", ""), ("x " * 2000 + "inflation", ""), ("x " * 1900 + "inflation", "policy")]
+_values = lambda name, rows: f"{name}(i, words, class) AS (VALUES " + ", ".join("({}, {}, '{}')".format(i, "NULL" if w is None else f"'{w}'", c) for i, (w, c) in enumerate(rows)) + ")"
+RELEVANCE_SQL = with_sql(ITEMS_SQL, f"""{_values('heads', HEADLINES)}, {_values('bodies', BODIES)}, classed AS (SELECT item_id, h.class AS h, b.class AS b FROM items JOIN heads h ON h.i = item_id % {len(HEADLINES)} JOIN bodies b ON b.i = k % {len(BODIES)}),
+  verdicts AS (SELECT item_id, CASE WHEN h = 'policy' THEN 'policy' WHEN h = 'operational' THEN 'operational' WHEN b = 'policy' THEN 'policy' WHEN h = 'macro' OR b = 'macro' THEN 'macro-adjacent' ELSE 'operational' END AS verdict, h = 'operational' AS named FROM classed)""")
+
+
+def headlines(spark, sf_dir):
+    """Items under these headlines and with these bodies."""
+    pick = lambda rows, i: F.get(F.array(*(F.lit(w).cast("string") for w, _ in rows)), (i % len(rows)).cast("int"))
+    return items(spark, sf_dir).withColumns({"title": pick(HEADLINES, F.col("item_id")), "body": pick(BODIES, F.col("k"))})
+
+
+@query("partition_scorable_noise", RELEVANCE_SQL + "SELECT item_id, CASE WHEN verdict = 'operational' THEN 'noise' ELSE 'scorable' END AS side FROM verdicts")
 def partition_scorable_noise(spark, sf_dir):
-    verdict = items(spark, sf_dir).withColumn("noise", F.col("title").rlike("[0-3]$"))
+    verdict = headlines(spark, sf_dir).withColumn("noise", rules.relevance(F.col("title"), F.col("source"), F.col("body"))["verdict"] == "operational")
     side = lambda cond, name: verdict.where(cond).select("item_id", F.lit(name).alias("side"))
     return side("noise", "noise").unionByName(side("NOT noise", "scorable"))
 
@@ -120,25 +138,38 @@ def case_document_tier(spark, sf_dir):
     return items(spark, sf_dir).select("item_id", tier(F.col("source"), F.col("title"), RULES).alias("tier"))
 
 
-@query("case_relevance", I + "SELECT item_id, CASE WHEN regexp_matches(title, '(?i)click.*[0-4]') THEN 'operational' WHEN regexp_matches(title, '(?i)error') THEN 'policy' WHEN regexp_matches(source, 'view|signup') THEN 'macro' ELSE 'noise' END AS verdict FROM items")
+@query("case_relevance", RELEVANCE_SQL + "SELECT item_id, verdict, CASE WHEN verdict = 'policy' THEN 'layer1:policy' WHEN verdict = 'macro-adjacent' THEN 'layer1:macro-adjacent' WHEN named THEN 'layer1:operational' ELSE 'layer1:no-policy-content' END AS reason FROM verdicts")
 def case_relevance(spark, sf_dir):
-    t = F.col("title")
-    verdict = F.when(t.rlike("(?i)click.*[0-4]"), "operational").when(t.rlike("(?i)error"), "policy").when(F.col("source").rlike("view|signup"), "macro").otherwise("noise")
-    return items(spark, sf_dir).select("item_id", verdict.alias("verdict"))
+    """Headline before body, and of the body the first 4000 characters; a pattern in the reason is left out here."""
+    found = headlines(spark, sf_dir).select("item_id", rules.relevance(F.col("title"), F.col("source"), F.col("body")).alias("r"))
+    return found.select("item_id", "r.verdict", F.split_part("r.reason", F.lit(" ("), F.lit(1)).alias("reason"))
+
+
+#: Sources and titles of documents, and which are decisions, projections, policy documents and surveys.
+CLASSES = [
+    ("FOMC Statement", "Federal Reserve issues FOMC statement", True, False, True, False), ("ECB Press", "Monetary policy decisions", True, False, True, False), ("ECB Press Conf", "Monetary policy decisions", False, False, True, False),
+    ("FOMC SEP", "June", False, True, True, False), ("X", "Summary of Economic Projections", False, True, False, False), ("Speech", "A speech", False, False, False, False), ("meeting", "of", False, False, False, False),
+    ("ECB", "Survey of Professional Forecasters", False, False, False, True), ("Interview", "On the bank lending survey", False, False, False, False), ("Fed", "Survey shows easier lending", False, False, False, True), ("Fed", "Survey. Then lending", False, False, False, False),
+]
+CLASSES_SQL = with_sql(ITEMS_SQL, "classes(i, decision, sep, policy, survey) AS (VALUES " + ", ".join(f"({i}, {', '.join(str(x) for x in r[2:])})" for i, r in enumerate(CLASSES)) + ")")
 
 
-@query("case_reclassify_stat", I + "SELECT item_id, is_statistical OR (regexp_matches(title, '(?i)view.*[5-9]') AND NOT regexp_matches(source, 'click')) AS is_statistical FROM items")
+def classed(spark, sf_dir):
+    pick = lambda c: F.get(F.array(*(F.lit(r[c]) for r in CLASSES)), (F.col("item_id") % len(CLASSES)).cast("int"))
+    return items(spark, sf_dir).withColumns({"source": pick(0), "title": pick(1)})
+
+
+@query("case_reclassify_stat", CLASSES_SQL + f"SELECT item_id, is_statistical OR survey AS is_statistical FROM items JOIN classes ON i = item_id % {len(CLASSES)}")
 def case_reclassify_stat(spark, sf_dir):
-    new = F.col("is_statistical") | (F.col("title").rlike("(?i)view.*[5-9]") & ~F.col("source").rlike("click"))
-    return items(spark, sf_dir).select("item_id", new.alias("is_statistical"))
+    return classed(spark, sf_dir).select("item_id", (F.col("is_statistical") | rules.is_survey(F.col("title"), F.col("source"))).alias("is_statistical"))
 
 
-for _name, _pattern in (("case_decision_doc", "(?i)^error"), ("case_sep_doc", "(?i)^signup.*[05]$"), ("case_policy_doc", "(?i)^(error|view)")):
+for _name, _class, _test in (("case_decision_doc", "decision", rules.is_decision), ("case_sep_doc", "sep", rules.is_projection), ("case_policy_doc", "policy", rules.is_policy_document)):
 
-    def _case(spark, sf_dir, pattern=_pattern):
-        return items(spark, sf_dir).select("item_id", F.col("title").rlike(pattern).alias("is_class"))
+    def _case(spark, sf_dir, test=_test):
+        return classed(spark, sf_dir).select("item_id", test(F.col("title"), F.col("source")).alias("is_class"))
 
-    query(_name, I + f"SELECT item_id, regexp_matches(title, '{_pattern}') AS is_class FROM items")(_case)
+    query(_name, CLASSES_SQL + f"SELECT item_id, {_class} AS is_class FROM items JOIN classes ON i = item_id % {len(CLASSES)}")(_case)
 
 
 @query("case_stat_rule_first_match", I + """, rules(ord, needle, metric) AS (VALUES (1, 'report 1', 'cpi'), (2, 'signup', 'jobs'), (3, 'report', 'other'))
@@ -151,28 +182,48 @@ def case_stat_rule_first_match(spark, sf_dir):
     return items(spark, sf_dir).where("is_statistical").select("item_id", rule.alias("metric"))
 
 
-URL = "regexp_extract(url, '^[a-z]+://([^/]+)', 1)"
+#: Addresses and titles of both banks, and whether they are official statements of either.
+PLACES = [
+    ("https://www.federalreserve.gov/x", "FOMC Statement", "FED"), ("https://federalreserve.gov/x", "FOMC Statement", ""), ("https://www.federalreserve.gov/x", "FOMC statement minutes", ""), ("https://www.ecb.europa.eu/press/pr/x", "Monetary policy decisions", "ECB"),
+    ("https://www.ecb.europa.eu/press/press_conference/monetary-policy-statement/2024/x", "Opening", "ECB"), (None, "FOMC statement", ""), ("no address", "Monetary policy decisions", ""), ("https://www.ecb.europa.eu/a", "Fed statement", ""), ("https://WWW.ecb.europa.eu/press/pr/x/", "Monetary policy statement", "ECB"),
+]
+PLACES_SQL = "places(i, url, official) AS (VALUES " + ", ".join("({}, {}, '{}')".format(i, "NULL" if u is None else f"'{u}'", o) for i, (u, _, o) in enumerate(PLACES)) + ")"
+
 
+def published(spark, sf_dir):
+    """Items at these addresses under these titles."""
+    pick = lambda c: F.get(F.array(*(F.lit(r[c]).cast("string") for r in PLACES)), (F.col("item_id") % len(PLACES)).cast("int"))
+    return items(spark, sf_dir).withColumns({"url": pick(0), "title": pick(1)})
 
-@query("case_official_statement", f"SELECT page_id, CASE WHEN {URL} LIKE '%.org' AND regexp_matches(url, '/en/') THEN 'statement' WHEN {URL} LIKE 'blog.%' THEN 'blog' ELSE 'other' END AS kind FROM pages")
+
+@query("case_official_statement", with_sql(ITEMS_SQL, PLACES_SQL) + f"SELECT item_id, NOT is_statistical AND official = bank AS is_class FROM items JOIN places ON i = item_id % {len(PLACES)}")
 def case_official_statement(spark, sf_dir):
-    host, path = F.parse_url("url", F.lit("HOST")), F.parse_url("url", F.lit("PATH"))
-    kind = F.when(host.endswith(".org") & path.contains("/en/"), "statement").when(host.startswith("blog."), "blog").otherwise("other")
-    return table(spark, sf_dir, "pages").select("page_id", kind.alias("kind"))
+    test = rules.is_statement(F.col("bank"), F.col("url"), F.col("title"), F.col("source"), F.col("is_statistical"))
+    return published(spark, sf_dir).select("item_id", test.alias("is_class"))
+
+
+#: Sources, addresses and records of scores; what kind of score and of text each is.
+RECORDS = [
+    ("FOMC SEP", None, None, "sep", "primary"), ("Member Speech (BIS)", "u", '{"scoring_audit":{"model":"frozen lexicon + linear ensemble (no LLM)"}}', "frozen", "bis"), ("Member Speech (Fed site)", "u", '{"scoring_audit":{"model":"other"}}', "legacy", "fed_site"),
+    ("GC Member Remark", "u", '{"source_resolution":{"verified":true}}', "legacy", "ai_verified"), ("GC Member Remark", "", '{"source_resolution":{"verified":true}}', "legacy", "ai_discovered"), ("Fed Official Remark", "u", '{"source_resolution":{"verified":"yes"}}', "legacy", "ai_discovered"),
+    ("Fed Official Remark", "u", "no json", "legacy", "ai_discovered"), ("Press", "u", '{"scoring_audit":{"model":"frozen lexicon + linear ensemble (no LLM)"},"source_resolution":{"verified":true}}', "frozen", "primary"),
+]
+RECORDS_SQL = with_sql(ITEMS_SQL, "records(i, score_kind, text_kind) AS (VALUES " + ", ".join(f"({i}, '{r[3]}', '{r[4]}')" for i, r in enumerate(RECORDS)) + ")")
 
 
-KINDS = "CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) >= 50 THEN 'model' WHEN event_type = 'error' THEN 'manual' ELSE 'rule' END"
+def recorded(spark, sf_dir):
+    pick = lambda c: F.get(F.array(*(F.lit(r[c]).cast("string") for r in RECORDS)), (F.col("item_id") % len(RECORDS)).cast("int"))
+    return items(spark, sf_dir).withColumns({"source": pick(0), "url": pick(1), "record": pick(2)})
 
 
-@query("case_score_kind", f"SELECT event_id, {KINDS} AS kind FROM events")
+@query("case_score_kind", RECORDS_SQL + f"SELECT item_id, score_kind AS kind FROM items JOIN records ON i = item_id % {len(RECORDS)}")
 def case_score_kind(spark, sf_dir):
-    k = F.try_variant_get(F.parse_json("props"), "$.k", "int")
-    return table(spark, sf_dir, "events").select("event_id", F.when(k >= 50, "model").when(F.col("event_type") == "error", "manual").otherwise("rule").alias("kind"))
+    return recorded(spark, sf_dir).select("item_id", rules.score_kind(F.col("title"), F.col("source"), F.col("record")).alias("kind"))
 
 
-@query("case_text_kind", f"SELECT {KINDS} AS kind, count(*) AS n FROM events GROUP BY 1")
+@query("case_text_kind", RECORDS_SQL + f"SELECT item_id, text_kind AS kind FROM items JOIN records ON i = item_id % {len(RECORDS)}")
 def case_text_kind(spark, sf_dir):
-    return case_score_kind(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
+    return recorded(spark, sf_dir).select("item_id", rules.text_kind(F.col("source"), F.col("url"), F.col("record")).alias("kind"))
 
 
 @query("case_guidance_strength", I + "SELECT item_id, CASE source WHEN 'error' THEN 0.9 WHEN 'view' THEN 0.5 WHEN 'click' THEN 0.2 ELSE 0.5 END::DOUBLE AS strength FROM items")

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numerics import clamp, round_up, six
 from tidemark.functions.text import basis_points, guidance_sentences, sentences
-from tidemark.operators import changepoint, dedup, drift, network, reaction, regression, scoring
+from tidemark.operators import changepoint, dedup, drift, network, reaction, regression, rules, scoring
 from tidemark.operators.alerts import evaluate
 from tidemark.plans.base import AS_OF, AS_OF_SQL, CALENDAR_SQL, ITEMS_SQL, SERIES_SQL, calendar, items, query, scored, series, with_sql
-from tidemark.plans.basics import R3, top_rows
+from tidemark.plans.basics import PLACES, PLACES_SQL, R3, published, top_rows
 from tidemark.plans.windows import BASE, DAILY, MEANS, SPANS, baselines, cycles, daily, placed
 from tidemark.session import table
 
@@ -573,11 +573,15 @@ def classify_member(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.when(m.rlike("^(AUTO|MACH)"), "board").when(m.rlike("BUILD"), "governor").otherwise(F.regexp_extract("c_name", "^([A-Za-z]+)", 1)).alias("class"))
 
 
-@query("dom_official_selection", with_sql(ITEMS_SQL, CALENDAR_SQL) + f"SELECT bank, meeting, min_by(item_id, ((source <> 'error')::INT, item_id)) AS item_id FROM items JOIN calendar USING (bank) WHERE item_date = meeting AND meeting < {AS_OF_SQL} GROUP BY ALL")
+@query("dom_official_selection", with_sql(ITEMS_SQL, CALENDAR_SQL, PLACES_SQL) + f"""SELECT bank, item_date AS meeting, min_by(item_id, (NOT (bank = 'ECB' AND contains(url, 'monetary-policy-statement')), item_id)) AS item_id FROM items JOIN places ON i = item_id % {len(PLACES)} JOIN calendar c USING (bank)
+  WHERE item_date = c.meeting AND c.meeting < {AS_OF_SQL} AND NOT is_statistical AND official = bank GROUP BY ALL""")
 def official_selection(spark, sf_dir):
-    m = calendar(spark).where(F.col("meeting") < F.lit(AS_OF)).select("bank", F.col("meeting").alias("item_date"))
-    first = F.min(F.struct((F.col("source") != "error").alias("o"), "item_id"))["item_id"]
-    return items(spark, sf_dir).join(F.broadcast(m), ["bank", "item_date"]).groupBy("bank", F.col("item_date").alias("meeting")).agg(first.alias("item_id"))
+    """One statement a past meeting: the opening statement where there is one, else the first; addresses that differ by a closing slash are one."""
+    meetings = calendar(spark).where(F.col("meeting") < F.lit(AS_OF)).select("bank", F.col("meeting").alias("item_date"))
+    test = rules.is_statement(F.col("bank"), F.col("url"), F.col("title"), F.col("source"), F.col("is_statistical"))
+    found = published(spark, sf_dir).join(F.broadcast(meetings), ["bank", "item_date"]).where(test)
+    opening = (F.col("bank") == "ECB") & F.contains("url", F.lit(rules.OPENING))
+    return found.groupBy("bank", F.col("item_date").alias("meeting")).agg(F.min(F.struct((~opening).alias("other"), "item_id"))["item_id"].alias("item_id"))
 
 
 @query("dom_repair_zero_docs", I + "SELECT item_id, 0.25::DOUBLE AS rescored FROM items WHERE source = 'error' AND abs(net_score) <= 0.3 AND k % 2 = 0 ORDER BY item_date DESC, item_id LIMIT 8")

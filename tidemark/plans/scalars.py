@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import numerics as N
+from tidemark.functions import objects
 from tidemark.functions import text as T
 from tidemark.functions.numerics import round_up, six
 from tidemark.operators import scoring
@@ -204,12 +205,13 @@ def json_path_cast(spark, sf_dir):
     return items(spark, sf_dir).select("item_id", F.variant_get(F.parse_json(j), "$.a.b.c", "double").alias("v"))
 
 
-@query("json_merge", I + "SELECT item_id, '{\"label\":\"' || source || '\",\"legacy\":{\"k\":' || k || '}}' AS v FROM items")
+@query("json_merge", I + """SELECT item_id, '{"extra":{"deep":[1,' || k || ']},' || CASE WHEN k % 3 = 0 THEN '' ELSE '"kept":' || k || ',' END || '"label":"' || source || '","legacy":{"k":' || k || ',"old":true}}' AS v FROM items""")
 def json_merge(spark, sf_dir):
-    """Drop a key, move another below ``legacy``, add a new one."""
-    old = items(spark, sf_dir).withColumn("s", F.struct(F.lit(1).alias("drop"), F.col("k").alias("k")))
-    new = F.to_json(F.struct(F.col("source").alias("label"), F.col("s").dropFields("drop").alias("legacy")))
-    return old.select("item_id", new.alias("v"))
+    """A record whose keys nobody knows, merged with another one: a key moves below ``legacy``, a null takes one out, the rest stays."""
+    k = F.col("k").cast("string")
+    old = F.concat(F.lit('{"extra":{"deep":[1,'), k, F.lit(']},"k":'), k, F.lit(',"kept":'), k, F.lit(',"legacy":{"old":true}}'))
+    new = F.concat(F.lit('{"label":"'), F.col("source"), F.lit('"'), F.when(F.col("k") % 3 == 0, ',"kept":null').otherwise(""), F.lit("}"))
+    return items(spark, sf_dir).select("item_id", objects.move(objects.merge(old, new), ("k",), "legacy").alias("v"))
 
 
 @query("json_all_dims_valid", I + "SELECT item_id, k % 5 <> 0 AND source IN ('click', 'view', 'error') AS v FROM items")
