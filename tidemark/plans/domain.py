@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numerics import clamp, round_up, six
-from tidemark.functions.text import basis_points, guidance_sentences, sentences
-from tidemark.operators import changepoint, dedup, drift, network, reaction, regression, rules, scoring
+from tidemark.functions.text import basis_points, canonical_url, guidance_sentences, sentences
+from tidemark.operators import changepoint, dedup, drift, evidence, network, reaction, regression, rules, scoring
 from tidemark.operators.alerts import evaluate
 from tidemark.plans.base import AS_OF, AS_OF_SQL, CALENDAR_SQL, ITEMS_SQL, SERIES_SQL, calendar, items, query, scored, series, with_sql
 from tidemark.plans.basics import PLACES, PLACES_SQL, R3, published, top_rows
@@ -233,11 +233,32 @@ def prune_cross_source(spark, sf_dir):
     return top_rows(items(spark, sf_dir), ["bank", "item_date", "speaker"], [(F.abs("net_score") > 0.001).desc(), tier, F.desc("word_count"), "item_id"], 1).select("item_id")
 
 
-@query("dom_group_evidence", I + "SELECT bank, item_date, title, count(*) AS copies, min_by(item_id, ((source <> 'error')::INT, item_id)) AS main, max(word_count) AS longest FROM items GROUP BY ALL")
+#: Copies of speeches: the speaker and words of a title vary in marks and case, the address is a bank's own for one in four.
+COPIES_SQL = """copied AS (SELECT item_id, bank, item_date, CASE WHEN k % 10 = 0 THEN 'Minutes' ELSE 'Member Speech' END AS source, speaker, k, k % 4 = 0 AS own,
+    CASE WHEN k % 10 > 0 AND NOT is_statistical AND k % 9 > 0 THEN 'S ' || bank || ' ' || item_date || ' ' || speaker || ' ' || k % 3 END AS a, CASE WHEN k % 9 > 0 THEN 'U ' || bank || ' ' || (user_id * 31 + k * 7 + day(item_date)) % 1500 END AS b FROM items)"""
+
+
+@query("dom_group_evidence", "WITH RECURSIVE " + ITEMS_SQL + ", " + COPIES_SQL + """, keyed AS (SELECT item_id AS id, a AS key FROM copied WHERE a IS NOT NULL UNION ALL SELECT item_id, b FROM copied WHERE b IS NOT NULL),
+  heads AS (SELECT key, min(id) AS head FROM keyed GROUP BY key),
+  pairs AS (SELECT DISTINCT id AS x, head AS y FROM keyed JOIN heads USING (key) WHERE id <> head UNION SELECT DISTINCT head, id FROM keyed JOIN heads USING (key) WHERE id <> head),
+  closure AS (SELECT item_id AS x, item_id AS least FROM copied UNION SELECT p.y, c.least FROM closure c JOIN pairs p ON p.x = c.x WHERE c.least < p.y),
+  grouped AS (SELECT x AS item_id, min(least) AS "group" FROM closure GROUP BY x)
+  SELECT "group", count(*) AS copies, coalesce(min(item_id) FILTER (own), min(item_id)) AS "primary", bool_or(own) AS is_original FROM grouped JOIN copied USING (item_id) GROUP BY 1""")
 def group_evidence(spark, sf_dir):
-    """Copies are counted, not listed: a group may be large."""
-    first = F.min(F.struct((F.col("source") != "error").alias("o"), "item_id"))["item_id"]
-    return items(spark, sf_dir).groupBy("bank", "item_date", "title").agg(F.count("*").alias("copies"), first.alias("main"), F.max("word_count").alias("longest"))
+    """By speech or by address, and by what these link; the bank's own copy is shown."""
+    k = F.col("k")
+    named = F.concat(F.lit("Dr. S-"), F.col("speaker").cast("string"), F.when(k % 2 == 0, ": On  Rates, part ").otherwise(" : ON rates - PART "), (k % 3).cast("string"))
+    title = F.when(k % 9 > 0, named).otherwise("No speaker here")
+    source = F.when(k % 10 == 0, "Minutes").otherwise("Member Speech")
+    day = F.dayofmonth("item_date")
+    page = F.concat(F.lit("/x"), ((F.col("user_id") * 31 + k * 7 + day) % 1500).cast("string"), F.when(k % 2 == 0, "/").otherwise("?q=1"))
+    host = F.when(k % 4 != 0, "https://www.bis.org").when(F.col("bank") == "FED", "https://www.federalreserve.gov").otherwise("https://www.ecb.europa.eu")
+    rows = items(spark, sf_dir).withColumns({"title": title, "source": source, "url": F.concat(host, page)})
+    speech = evidence.speech_of(F.col("bank"), F.col("item_date"), F.col("source"), F.col("title"), F.col("is_statistical"))
+    address = F.when(k % 9 > 0, F.concat(F.lit("U "), F.col("bank"), F.regexp_extract(canonical_url(F.col("url")), "(/.*)$", 1)))
+    rows = rows.withColumn("keys", F.array(speech, address))
+    found = rows.join(evidence.groups(rows, "item_id", "keys"), "item_id")
+    return evidence.with_primary(found, "group", "item_id", evidence.is_original(F.col("bank"), F.col("url")))
 
 
 STAT = "st AS (SELECT item_id, bank, k % 10 AS metric, k AS v, item_date, stat_weight, net_score, strftime(item_date, '%Y-%m') AS month FROM items WHERE is_statistical)"

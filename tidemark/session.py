@@ -39,3 +39,9 @@ def fresh_folder(spark: SparkSession, what: str) -> str:
     if not folder and context.master != "local" and not context.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{(folder or f'file://{tempfile.gettempdir()}/tidemark').rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that a job has written, in whatever store it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -137,6 +137,16 @@ def speech_key(*parts: Column) -> Column:
     return run(F.concat_ws("|", *parts))
 
 
+def folded(text: Column) -> Column:
+    """Compatibility forms folded: the one step of a key that is no SQL function."""
+
+    @F.pandas_udf("string")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.str.normalize("NFKC")
+
+    return run(text)
+
+
 _NO_ALNUM, _ALNUM = re.compile(r"[\W_]+"), re.compile(r"[^\W_]")
 
 
