@@ -86,7 +86,7 @@ def word_count(text: Column) -> Column:
 def sentences(text: Column, least_words: int = 6) -> Column:
     """Sentences end at . ! or ? before white space and a capital, quote or bracket."""
     flat = F.trim(F.regexp_replace(F.replace(text, F.lit("­"), F.lit("")), r"\s+", " "))
-    parts = F.split(flat, r"(?<=[.!?]) (?=[A-Z\"(])")
+    parts = F.split(flat, r"(?<=[.!?]) (?=[A-Z\"“(])")
     return F.filter(parts, lambda s: F.size(F.split(s, " ")) >= least_words)
 
 

@@ -39,6 +39,15 @@ def calendar(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MEETINGS, "bank string, meeting date, bps int")
 
 
+#: Meetings by month of every order priority as a bank, moved to end near AS_OF; under the calendar's name.
+MEETINGS_SQL = "calendar AS (SELECT o_orderpriority AS bank, min(o_orderdate)::DATE + 8248 AS meeting, ((count(*) % 3 - 1) * 25)::INT AS bps FROM orders GROUP BY o_orderpriority, date_trunc('month', o_orderdate))"
+
+
+def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("bank"), F.trunc("o_orderdate", "MM").alias("month"))
+    return by.agg(F.date_add(F.to_date(F.min("o_orderdate")), 8248).alias("meeting"), ((F.count("*") % 3 - 1) * 25).cast("int").alias("bps")).drop("month")
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored items of two banks and two channels, from the events."""
     e = table(spark, sf_dir, "events")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numerics import round_up, six
 from tidemark.operators import index, weights
-from tidemark.plans.base import AS_OF, AS_OF_SQL, CALENDAR_SQL, CHAIR, ITEMS_SQL, calendar, items, query, scored, with_sql
+from tidemark.plans.base import AS_OF, AS_OF_SQL, CALENDAR_SQL, CHAIR, ITEMS_SQL, MEETINGS_SQL, calendar, items, meetings, query, scored, with_sql
 
 HALF_SQL = f"""half AS (
   SELECT bank, CASE WHEN min(gap) FILTER (gap >= 0) <= 5 THEN 7.0 WHEN min(gap) FILTER (gap >= 0) <= 14 THEN 10.0
@@ -46,9 +46,9 @@ def ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.weighted(scored(items(spark, sf_dir)), calendar(spark), AS_OF, RULES)
 
 
-@query("dom_dynamic_half_life", with_sql(CALENDAR_SQL, HALF_SQL) + "SELECT * FROM half")
+@query("dom_dynamic_half_life", with_sql(MEETINGS_SQL, HALF_SQL) + "SELECT * FROM half")
 def dynamic_half_life(spark, sf_dir):
-    return weights.half_lives(calendar(spark), AS_OF)
+    return weights.half_lives(meetings(spark, sf_dir), AS_OF)
 
 
 @query("dom_item_weight", BASE_SQL + "SELECT item_id, tier, age, round(weight, 6) AS weight FROM weighted")
@@ -85,9 +85,9 @@ ANCHOR_SQL = f"""anchors AS (
   FROM calendar WHERE {AS_OF_SQL} - meeting BETWEEN 0 AND 180 GROUP BY bank)"""
 
 
-@query("dom_action_anchor", with_sql(CALENDAR_SQL, ANCHOR_SQL) + "SELECT * FROM anchors")
+@query("dom_action_anchor", with_sql(MEETINGS_SQL, ANCHOR_SQL) + "SELECT * FROM anchors")
 def action_anchor(spark, sf_dir):
-    return index.anchors(calendar(spark), AS_OF)
+    return index.anchors(meetings(spark, sf_dir), AS_OF)
 
 
 INDEX_SQL = (
@@ -181,9 +181,9 @@ def index_history(spark, sf_dir):
     return index.history(monthly_index(spark, sf_dir), "FED", "ECB")
 
 
-@query("dom_current_rate", with_sql(CALENDAR_SQL) + f"SELECT bank, round(5.25::DOUBLE + sum(bps) / 100.0::DOUBLE, 2) AS rate FROM calendar WHERE meeting <= {AS_OF_SQL} GROUP BY bank")
+@query("dom_current_rate", with_sql(MEETINGS_SQL) + f"SELECT bank, round(5.25::DOUBLE + sum(bps) / 100.0::DOUBLE, 2) AS rate FROM calendar WHERE meeting <= {AS_OF_SQL} GROUP BY bank")
 def current_rate(spark, sf_dir):
-    return calendar(spark).where(F.col("meeting") <= F.lit(AS_OF)).groupBy("bank").agg(F.round(5.25 + F.sum("bps") / 100.0, 2).alias("rate"))
+    return meetings(spark, sf_dir).where(F.col("meeting") <= F.lit(AS_OF)).groupBy("bank").agg(F.round(5.25 + F.sum("bps") / 100.0, 2).alias("rate"))
 
 
 @query("agg_freshest_age", with_sql(ITEMS_SQL) + f"SELECT bank, is_statistical, min(greatest({AS_OF_SQL} - item_date, 0)) AS age FROM items GROUP BY ALL")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import by_president, byline
 from tidemark.operators import alerts
-from tidemark.plans.base import CALENDAR_SQL, ITEMS_SQL, calendar, items, query, with_sql
+from tidemark.plans.base import ITEMS_SQL, items, query, with_sql
 from tidemark.session import fresh_folder, table
 from tidemark.sources import documents, feeds, sinks
 from tidemark.sources.versioned import DELETED, VersionedTable
@@ -163,16 +163,25 @@ def str_attributed_sentences(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", got.alias("got")).select("doc_id", F.size("got").alias("n"), F.md5(F.array_join("got", "|")).alias("md5"))
 
 
-@query("str_byline", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Jane Roe' END AS v FROM documents")
+#: The first two words of each document, as a name.
+NAMED_SQL = "named AS (SELECT doc_id, upper(w[1][1]) || w[1][2:] || ' ' || upper(w[2][1]) || w[2][2:] AS name FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{2,}') AS w FROM documents))"
+
+
+def named(spark, sf_dir):
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0)), 1, 2)
+    return table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).select("doc_id", F.when(F.size("w") == 2, F.initcap(F.array_join("w", " "))).alias("name"))
+
+
+@query("str_byline", f"WITH {NAMED_SQL} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN name END AS v FROM named")
 def str_byline(spark, sf_dir):
-    line = F.when(F.col("doc_id") % 2 == 0, "Speech by Ms Jane Roe, Member of the Board").otherwise("No name here")
-    return table(spark, sf_dir, "documents").select("doc_id", byline(line).alias("v"))
+    line = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Speech by Ms "), "name", F.lit(", Member of the Board"))).otherwise(F.concat(F.lit("On "), "name"))
+    return named(spark, sf_dir).select("doc_id", byline(line).alias("v"))
 
 
-@query("str_by_president", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Roe' END AS v FROM documents")
+@query("str_by_president", f"WITH {NAMED_SQL} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN split_part(name, ' ', 1) END AS v FROM named")
 def str_by_president(spark, sf_dir):
-    line = F.when(F.col("doc_id") % 3 == 0, "Remarks by President Roe").otherwise("President of the board")
-    return table(spark, sf_dir, "documents").select("doc_id", by_president(line).alias("v"))
+    line = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Remarks by President "), "name")).otherwise(F.concat("name", F.lit(", President of the board")))
+    return named(spark, sf_dir).select("doc_id", by_president(line).alias("v"))
 
 
 @query("sink_upsert_items", I + "SELECT bank, source, title, item_date, max(item_id) AS item_id FROM items GROUP BY ALL")
@@ -198,10 +207,17 @@ def update_where(spark, sf_dir):
     return sinks.update_where(items(spark, sf_dir), F.col("k") < 10, {"net_score": F.abs("net_score")}).select("item_id", "net_score")
 
 
-@query("scan_calendar_pages", with_sql(CALENDAR_SQL) + "SELECT 'https://' || lower(bank) || '.org/' || strftime(meeting, '%Y%m%d') AS url FROM calendar WHERE meeting BETWEEN DATE '2024-01-10' AND DATE '2024-01-31'")
+@query("scan_calendar_pages", """WITH p AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'fed' ELSE 'ecb' END AS bank, DATE '2024-01-01' + (page_id % 45)::INT AS day, CASE WHEN page_id % 7 = 0 THEN 'Page not found ' ELSE '' END || trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages)
+  SELECT page_id, 'https://' || bank || '.org/' || strftime(day, '%Y%m%d') AS url, length(text) AS size FROM p WHERE day BETWEEN DATE '2024-01-10' AND DATE '2024-01-31' AND length(text) >= 300 AND NOT contains(text, 'not found')""")
 def scan_calendar_pages(spark, sf_dir):
-    url = F.concat(F.lit("https://"), F.lower("bank"), F.lit(".org/"), F.date_format("meeting", "yyyyMMdd"))
-    return calendar(spark).where("meeting BETWEEN DATE '2024-01-10' AND DATE '2024-01-31'").select(url.alias("url"))
+    """Pages at addresses made of dates, within a range; short ones and those that aren't found are dropped."""
+    text = F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"\s+", " "))
+    p = table(spark, sf_dir, "pages").select(
+        "page_id", F.when(F.col("page_id") % 2 == 0, "fed").otherwise("ecb").alias("bank"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 45).cast("int")).alias("day"),
+        F.concat(F.when(F.col("page_id") % 7 == 0, "Page not found ").otherwise(""), text).alias("text"),
+    )
+    kept = p.where("day BETWEEN DATE '2024-01-10' AND DATE '2024-01-31' AND length(text) >= 300").where(~F.col("text").rlike("(?i)not found"))
+    return kept.select("page_id", F.concat(F.lit("https://"), "bank", F.lit(".org/"), F.date_format("day", "yyyyMMdd")).alias("url"), F.length("text").cast("long").alias("size"))
 
 
 @query("scan_member_sources", I + "SELECT source, item_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY item_date DESC, item_id) AS rn FROM items WHERE k % 4 = 1 AND word_count > 100) WHERE rn <= 10")

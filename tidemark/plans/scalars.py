@@ -9,7 +9,7 @@ from tidemark.functions import objects
 from tidemark.functions import text as T
 from tidemark.functions.numerics import round_up, six
 from tidemark.operators import scoring
-from tidemark.plans.base import AS_OF, AS_OF_SQL, CALENDAR_SQL, ITEMS_SQL, calendar, items, query, with_sql
+from tidemark.plans.base import AS_OF, AS_OF_SQL, ITEMS_SQL, MEETINGS_SQL, items, meetings, query, with_sql
 from tidemark.session import table
 
 I = with_sql(ITEMS_SQL)  # noqa: E741
@@ -97,7 +97,7 @@ _pages("date_from_link", "try_cast(nullif(regexp_extract(url || '/2024-01-' || l
 
 _docs("str_word_count", r"length(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'))", lambda: T.word_count(F.col("text")))
 _docs("str_sha256_prefix", "sha256(text)[:16]", lambda: T.fingerprint(F.col("text")))
-_docs("str_split_sentences", """length(list_filter(string_split(regexp_replace(trim(regexp_replace(replace(text, chr(173), ''), '\\s+', ' ', 'g')), '([.!?]) ([A-Z"(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: length(string_split(s, ' ')) >= 6))""", lambda: F.size(T.sentences(F.col("text"))))
+_docs("str_split_sentences", """length(list_filter(string_split(regexp_replace(trim(regexp_replace(replace(text, chr(173), ''), '\\s+', ' ', 'g')), '([.!?]) ([A-Z"“(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: length(string_split(s, ' ')) >= 6))""", lambda: F.size(T.sentences(F.col("text"))))
 _docs("str_split_guidance", """length(list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: length(s) > 15))""", lambda: F.size(T.guidance_sentences(F.col("text"))))
 _docs("str_sample_bme", "CASE WHEN length(text) <= 900 THEN text ELSE concat_ws(' ... ', substr(text, 1, 300), substr(text, (length(text) // 2 - 150 + 1)::INT, 300), right(text, 300)) END", lambda: T.sample_ends(F.col("text"), 900))
 _docs("str_quote_context", "CASE WHEN strpos(text, ' the ') > 0 THEN substr(text, greatest(strpos(text, ' the ') - 350, 1)::INT, 700) END", lambda: F.when(F.instr("text", " the ") > 0, F.substring("text", F.greatest(F.instr("text", " the ") - 350, F.lit(1)), F.lit(700))))
@@ -143,10 +143,10 @@ def date_month_spine(spark, sf_dir):
     return ends.select(F.explode(F.sequence(F.trunc("a", "MM"), F.trunc("b", "MM"), F.expr("interval 1 month"))).alias("month"))
 
 
-@query("date_days_to_meeting", with_sql(CALENDAR_SQL) + f"SELECT bank, coalesce(min(meeting - {AS_OF_SQL}) FILTER (meeting >= {AS_OF_SQL}), 999) AS days FROM calendar GROUP BY bank")
+@query("date_days_to_meeting", with_sql(MEETINGS_SQL) + f"SELECT bank, coalesce(min(meeting - {AS_OF_SQL}) FILTER (meeting >= {AS_OF_SQL}), 999) AS days FROM calendar GROUP BY bank")
 def date_days_to_meeting(spark, sf_dir):
     gap = F.datediff("meeting", F.lit(AS_OF))
-    return calendar(spark).groupBy("bank").agg(F.coalesce(F.min(F.when(gap >= 0, gap)), F.lit(999)).alias("days"))
+    return meetings(spark, sf_dir).groupBy("bank").agg(F.coalesce(F.min(F.when(gap >= 0, gap)), F.lit(999)).alias("days"))
 
 
 D = "::DOUBLE"
