@@ -7,7 +7,8 @@ in front of half a hash of itself, so keys of anchors are ordered as their inner
 key, each with the place of its first occurrence (all, if there are fewer), as text: key and place in hexadecimal.
 
 Only inner runs of small hash can make small keys: the inner hashes below the one that about ``LOW`` of a text are expected below are taken as candidates, and the runs that have
-one at an edge tested. Where these give less than ``SIZE`` anchors, all inner runs are candidates, so the result is exact. The work
+one at an edge tested. Where these give less than ``SIZE`` anchors, as in a text that is half repetition, eight times as many are taken, and then all
+of them, so the result is exact. The work
 is done piece by piece, pieces overlapping by K - 1 code points, which gives the same anchors as the whole, on UTF-32 bytes, as those are cut in
 constant time.
 
@@ -63,16 +64,11 @@ def piece_anchors(letters: Column, start: Column, k: int, s: int, size: int, low
         whole = F.filter(both, lambda i: (i >= 0) & (i + far < F.size(h)))
         return first_places(F.array_compact(F.transform(whole, lambda i: anchor(h, i))), size)
 
-    def every(h: Column) -> Column:
-        """All anchors, each distinct run being tested once."""
-        runs = F.transform(F.sequence(F.lit(1), F.octet_length(letters) - 4 * k + 1, F.lit(4)), lambda p: F.xxhash64(F.substring(letters, p, F.lit(4 * k))))
-        once = let(runs, lambda r: F.transform(F.array_distinct(r), lambda x: (F.array_position(r, x) - 1).cast("int")))
-        return first_places(F.array_compact(F.transform(once, lambda i: anchor(h, i))), size)
-
     def least(h: Column) -> Column:
         n = F.size(h)
-        limit = F.when(n > 4 * low, ((low * 2.0 / n - 1) * 2.0**63).cast("long"))
-        return let(let(limit, lambda x: near(h, x)), lambda a: F.when(F.size(a) >= size, a).otherwise(every(h)))
+        limit = lambda c: F.when(n > 4 * c, ((c * 2.0 / n - 1) * 2.0**63).cast("long").bitwiseOR(0xFFFFFFFF)).otherwise(F.lit(2**63 - 1))
+        more = lambda have, c: F.when(F.size(have) >= size, have).otherwise(let(limit(c), lambda x: near(h, x)))
+        return F.aggregate(F.array(F.lit(low), F.lit(8 * low), F.lit(2**28)), F.array().cast("array<struct<h:bigint,at:int>>"), more)
 
     return let(inner, least)
 
