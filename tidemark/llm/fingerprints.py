@@ -7,8 +7,7 @@ in front of half a hash of itself, so keys of anchors are ordered as their inner
 key, each with the place of its first occurrence (all, if there are fewer), as text: key and place in hexadecimal.
 
 Only inner runs of small hash can make small keys: the inner hashes below the one that about ``LOW`` of a text are expected below are taken as candidates, and the runs that have
-one at an edge tested. Where these give less than ``SIZE`` anchors, as in a text that is half repetition, eight times as many are taken, and then all
-of them, so the result is exact. The work
+one at an edge tested. Where these give less than ``SIZE`` anchors, all inner runs are candidates, so the result is exact. The work
 is done piece by piece, pieces overlapping by K - 1 code points, which gives the same anchors as the whole, on UTF-32 bytes, as those are cut in
 constant time.
 
@@ -66,9 +65,9 @@ def piece_anchors(letters: Column, start: Column, k: int, s: int, size: int, low
 
     def least(h: Column) -> Column:
         n = F.size(h)
-        limit = lambda c: F.when(n > 4 * c, ((c * 2.0 / n - 1) * 2.0**63).cast("long").bitwiseOR(0xFFFFFFFF)).otherwise(F.lit(2**63 - 1))
-        more = lambda have, c: F.when(F.size(have) >= size, have).otherwise(let(limit(c), lambda x: near(h, x)))
-        return F.aggregate(F.array(F.lit(low), F.lit(8 * low), F.lit(2**28)), F.array().cast("array<struct<h:bigint,at:int>>"), more)
+        limit = F.when(n > 4 * low, ((low * 2.0 / n - 1) * 2.0**63).cast("long").bitwiseOR(0xFFFFFFFF))
+        every = F.array_compact(F.transform(F.sequence(F.lit(0), n - far - 1), lambda i: anchor(h, i)))
+        return let(let(limit, lambda x: near(h, x)), lambda a: F.when(F.size(a) >= size, a).otherwise(first_places(every, size)))
 
     return let(inner, least)
 
@@ -89,8 +88,7 @@ def anchors(text: Column, k: int = K, s: int = S, size: int = SIZE, low: int = L
     def by_pieces(letters: Column) -> Column:
         starts = F.sequence(F.lit(0), F.floor(F.octet_length(letters) / 4).cast("int") - k, F.lit(piece))
         part = lambda at: F.substring(letters, 4 * at + 1, F.lit(4 * (piece + k - 1)))
-        parts = F.transform(starts, lambda at: let(part(at), lambda p: piece_anchors(p, at, k, s, size, low)))
-        return let(parts, lambda x: F.when(F.size(x) == 1, x[0]).otherwise(first_places(F.flatten(x), size)))
+        return first_places(F.flatten(F.transform(starts, lambda at: let(part(at), lambda p: piece_anchors(p, at, k, s, size, low)))), size)
 
     of = lambda t: F.when(t == "", none).when(F.length(t) < k, whole(t)).otherwise(let(F.encode(t, "UTF-32"), by_pieces))
     return let(F.coalesce(text, F.lit("")), of)
