@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.numerics import log_or_minus
+
 #: What features() reads of each key and month; all but the first seven may be missing.
 NEEDED = ("policy_rate", "prices", "unemployment", "short_rate", "long_rate", "oil")
 OPTIONAL = ("natural_rate", "equity", "credit_spread", "hy_spread", "vix", "fci")
@@ -58,7 +60,7 @@ def features(series: DataFrame, *key: str) -> DataFrame:
     for c in (*NEEDED, "policy_rate_lag", "__oil", "__prices"):
         whole = whole & F.col(c).isNotNull()
     whole = whole & (F.col("__oil") != 0) & (F.col("__prices") != 0)
-    fall = F.when((F.col("__equity") > 0) & F.col("equity").isNotNull(), F.greatest(F.ln("__equity") - F.ln("equity"), F.lit(0.0)))
+    fall = F.when((F.col("__equity") > 0) & F.col("equity").isNotNull(), F.greatest(F.ln("__equity") - log_or_minus("equity"), F.lit(0.0)))
     base = {
         "policy_rate": F.col("policy_rate"), "policy_rate_lag": F.col("policy_rate_lag"), "inflation_gap": (F.col("prices") / F.col("__prices") - 1) * 100 - TARGET, "unemployment_gap": F.col("__natural") - F.col("unemployment"),
         "y2y": F.col("short_rate"), "slope": F.col("long_rate") - F.col("short_rate"), "oil_log_change": F.ln("oil") - F.ln("__oil"), "r_neg_equity": F.coalesce(fall, F.lit(0.0)),

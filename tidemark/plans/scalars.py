@@ -157,7 +157,7 @@ _items("math_tanh_squash", "round(CASE WHEN k % 2 = 0 THEN -1 ELSE 1 END * tanh(
 _items("math_band_score", "round(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN abs((value - 50) / 40.0::DOUBLE) > 1 THEN sign(value - 50) * (1 - 0.05::DOUBLE / abs((value - 50) / 40.0::DOUBLE)) ELSE (value - 50) / 40.0::DOUBLE END)), 6) + 0.0", lambda: six(N.band_score(F.col("value"), F.lit(30.0), F.lit(70.0))))
 _items("math_market_weight", "CASE WHEN k >= 30 THEN 0.25::DOUBLE WHEN k <= 3 THEN 0.75::DOUBLE ELSE floor((0.75::DOUBLE - (k - 3) / 27.0::DOUBLE * 0.5::DOUBLE) * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE END", lambda: N.market_weight("k"))
 _items("math_renormalise3", "floor((k % 7) / nullif((k % 7 + k % 5 + k % 3)::DOUBLE, 0) * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE", lambda: round_up(F.col("k") % 7 / F.nullif((F.col("k") % 7 + F.col("k") % 5 + F.col("k") % 3).cast("double"), F.lit(0.0)), 2))
-_items("math_log_return_neg", "round(greatest(-(ln(value) - ln(k + 1.0::DOUBLE)), 0), 6)", lambda: six(F.greatest(-(F.ln("value") - F.ln(F.col("k") + 1.0)), F.lit(0.0))))
+_items("math_log_return_neg", "round(greatest(-(ln(value) - ln(k + 1.0::DOUBLE)), 0), 6)", lambda: six(F.greatest(-(N.log_or_minus("value") - F.ln(F.col("k") + 1.0)), F.lit(0.0))))
 _items("math_sigma_guard", "coalesce(nullif(stat_weight, 0), 0.1)::DOUBLE", lambda: F.coalesce(F.nullif(F.col("stat_weight"), F.lit(0)).cast("double"), F.lit(0.1)))
 _items("math_extract_percent", "CASE WHEN k % 3 = 0 THEN -1 WHEN k % 3 = 1 THEN 1 ELSE 1 END * (k / 10.0)::DOUBLE + 0.0", lambda: T.percent(F.concat(F.when(F.col("k") % 3 == 0, "Prices fell by ").when(F.col("k") % 3 == 1, "Prices fell to ").otherwise("Prices rose "), F.format_string("%.1f", F.col("k") / 10.0), F.lit("% in June"))))
 #: Moves in every form, and what each is worth.
