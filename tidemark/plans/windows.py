@@ -115,9 +115,10 @@ def short_series(spark, sf_dir):
 
 @query("win_rolling_weighted", with_sql(ITEMS_SQL, SHORT) + """SELECT a.bank, a.item_date, round(sum(b.mean * b.n) / sum(b.n), 6) AS smooth FROM e a JOIN e b ON b.bank = a.bank AND b.i <= a.i AND b.i > a.i - least(5, a.days // 3) GROUP BY a.bank, a.item_date""")
 def win_rolling_weighted(spark, sf_dir):
-    """The last min(5, n // 3) days, n being the days of the series: one frame for each of the five widths, chosen by n."""
+    """The last min(5, n // 3) days, n being the days of the series: one frame for each of the five widths, chosen by n. Days are added
+    newest first, as the SQL does: in the other order means that lie between two sixth places fall to the other side."""
     total, n = F.col("mean") * F.col("n"), F.col("n")
-    frame = lambda k: W("bank").orderBy("item_date").rowsBetween(1 - k, 0)
+    frame = lambda k: W("bank").orderBy(F.desc("item_date")).rowsBetween(0, k - 1)
     width = F.least(F.lit(5), F.floor(F.col("days") / 3))
     smooth = F.lit(None).cast("double")
     for k in range(1, 6):
