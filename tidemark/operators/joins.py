@@ -59,16 +59,17 @@ def similar_sets(rows: DataFrame, id_column: str, set_column: str, threshold: fl
 
 def without_similar(rows: DataFrame, other: DataFrame, by: list[str], id_column: str, day: str, words: str, days: int = 7, threshold: float = 0.8) -> DataFrame:
     """``rows`` but for those that ``other`` has on the same keys, within ``days``, with a set of words (an array) of
-    Jaccard similarity ``threshold`` or more. Days are met by periods of ``days`` days, words by the
-    first size - ceil(threshold * size) + 1 in an order by hash, of which similar sets share one."""
-    period = F.floor(F.unix_date(day) / days)
-    order = F.array_sort(F.transform(F.array_distinct(words), lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w"))))
-    n = F.size(F.array_distinct(words))
-    first = F.explode(F.slice(order["w"], 1, n - F.ceil(n * threshold - 1e-9).cast("int") + 1))
-    mine = rows.select(F.col(id_column).alias("id"), *by, F.col(day).alias("d"), F.col(words).alias("w"), period.alias("t"), first.alias("x"))
-    theirs = other.select(*by, F.col(day).alias("e"), F.col(words).alias("v"), F.explode(F.array(period - 1, period, period + 1)).alias("t"), order.alias("__o"))
-    theirs = theirs.withColumn("x", F.explode(F.slice(F.col("__o")["w"], 1, F.size("__o") - F.ceil(F.size("__o") * threshold - 1e-9).cast("int") + 1))).drop("__o").distinct()
-    both = F.size(F.array_intersect("w", "v"))
-    alike = both >= threshold * F.size(F.array_union("w", "v")) - 1e-9
-    found = mine.join(theirs, [*by, "t", "x"]).where((F.abs(F.datediff("d", "e")) <= days) & alike).select(F.col("id").alias(id_column)).distinct()
-    return rows.join(found, id_column, "left_anti")
+    Jaccard similarity ``threshold`` or more. Distinct sets are compared once, however many rows have them; then the
+    days on which a key has a set, or one like it, are put in order, and a row needs the nearest on either side only."""
+    own = rows.withColumn("__set", F.array_sort(F.array_distinct(words)))
+    theirs = other.select(*by, F.col(day).alias("__day"), F.array_sort(F.array_distinct(words)).alias("__set")).where(F.size("__set") > 0).distinct()
+    mine = own.select(*by, F.col(day).alias("__day"), "__set").where(F.size("__set") > 0).distinct()
+    sets = mine.select("__set").unionByName(theirs.select("__set")).distinct()
+    # a set stands for itself as an identifier, so two of one hash stay apart
+    pairs = similar_sets(sets.withColumn("__id", F.col("__set")), "__id", "__set", threshold)
+    alike = pairs.select(F.col("a").alias("__set"), F.col("b").alias("__to")).unionByName(pairs.select(F.col("b").alias("__set"), F.col("a").alias("__to"))).unionByName(sets.select("__set", F.col("__set").alias("__to")))
+    there = theirs.join(alike, "__set").select(*by, "__day", F.col("__to").alias("__set")).distinct()
+    both = mine.withColumn("__mine", F.lit(True)).unionByName(there.withColumn("__mine", F.lit(False)))
+    order = Window.partitionBy(*by, "__set").orderBy(F.unix_date("__day")).rangeBetween(-days, days)
+    gone = both.withColumn("__met", F.bool_or(~F.col("__mine")).over(order)).where("__mine AND __met").select(*by, F.col("__day").alias(day), "__set")
+    return own.join(gone, [*by, day, "__set"], "left_anti").select(*rows.columns)
