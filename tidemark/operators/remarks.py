@@ -54,17 +54,21 @@ def resolve(remarks: DataFrame, pages: DataFrame, found: DataFrame, as_of: Colum
 
     First the remark's own address is tried, if it is one. Where that doesn't verify and the remark is 88 days old at most, the candidates of a search
     ``found`` (name, seen, merit, address) are, those seen up to ``days`` days from the remark: distinct addresses, best merit first, three of
-    them. Texts are in ``pages`` (address, text). The first address that verifies is the answer; else the reason of the last one tried. Candidates are limited
-    per remark before texts are joined, and a text is read once for all remarks that ask it the same."""
+    them. These are the same for all remarks of a name and day, so they are found once for each, of the best three of every day seen: an address that is
+    among the best of several days is so on the day of its highest merit. A text is read once for all remarks that ask it the same."""
     base = remarks.where("name IS NOT NULL AND name <> ''")
     nameless = remarks.where("name IS NULL OR name = ''").select("id", F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("url"), F.lit("no speaker").alias("reason"))
     own = base.where(F.col("url").rlike("^https?://")).select("id", "name", "keywords", F.col("url").alias("address"), F.lit(0).alias("rank"))
     recent = base.where(F.datediff(as_of, "day") <= WINDOW_DAYS).select("id", "day", "name", "keywords")
-    near = recent.join(found, "name").where(F.abs(F.datediff("seen", "day")) <= days)
-    distinct = near.groupBy("id", "name", "address").agg(F.max("merit").alias("merit"), F.first("keywords").alias("keywords"))
-    ranked = distinct.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("merit"), "address"))).where(F.col("rank") <= TRIED)
-    tried = own.unionByName(ranked.drop("merit"))
-    asked = tried.select("address", "name", "keywords").distinct().join(pages, "address", "left")
+    best_of = lambda *key: F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("merit"), "address"))
+    daily = found.groupBy("name", F.to_date("seen").alias("seen"), "address").agg(F.max("merit").alias("merit")).withColumn("rank", best_of("name", "seen")).where(F.col("rank") <= TRIED).drop("rank")
+    asking = recent.select("name", "day").distinct().withColumn("seen", F.explode(F.transform(F.sequence(F.lit(-days), F.lit(days)), lambda d: F.date_add("day", d))))
+    near = asking.join(daily, ["name", "seen"]).groupBy("name", "day", "address").agg(F.max("merit").alias("merit"))
+    ranked = near.withColumn("rank", best_of("name", "day")).where(F.col("rank") <= TRIED).select("name", "day", "address", "rank")
+    tried = own.unionByName(recent.join(ranked, ["name", "day"]).select("id", "name", "keywords", "address", "rank"))
+    questions = tried.select("address", "name", "keywords").distinct()
+    # the texts stay where they are, only those that are asked for go on
+    asked = questions.join(pages.join(questions.select("address").distinct(), "address", "left_semi"), "address", "left")
     told = verified(asked, relevant, goes_on).withColumn("reason", F.when(F.col("text").isNull(), "page could not be read").otherwise(F.col("reason")))
     read = tried.join(told.select("address", "name", "keywords", "reason"), ["address", "name", "keywords"])
     best = read.groupBy("id").agg(F.min(F.when(F.col("reason") == "verified", F.struct("rank", "address"))).alias("best"), F.max(F.struct("rank", "reason"))["reason"].alias("last"), F.max("rank").alias("most"))
