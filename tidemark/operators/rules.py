@@ -8,6 +8,7 @@ part of a body, and precedence between fields is the order of the rules. Null fi
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -25,9 +26,24 @@ class Rule:
     only: tuple[tuple[str, str], ...] = ()
 
 
+def openings(patterns: tuple[str, ...]) -> str:
+    """The letters that matches of ``patterns`` begin with; empty unless all their alternatives begin with one plain letter."""
+    letters = set()
+    for pattern in patterns:
+        flat = re.sub(r"\\.|\[[^]]*\]", "_", pattern)
+        while (inner := re.sub(r"\([^()]*\)", "_", flat)) != flat:
+            flat = inner
+        for alternative in flat.split("|"):
+            if not re.match(r"[a-z](?![?*{])", alternative):
+                return ""
+            letters.add(alternative[0])
+    return "".join(sorted(letters))
+
+
 def found(field: Column, patterns: tuple[str, ...]) -> Column:
-    """Whether one of ``patterns`` is found; an empty tuple is found anywhere."""
-    return F.coalesce(field, F.lit("")).rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(True)
+    """Whether one of ``patterns`` is found; an empty tuple is found anywhere. They are only tried where a letter stands that one begins with."""
+    first = f"(?=[{letters}])" if (letters := openings(patterns)) else ""
+    return F.coalesce(field, F.lit("")).rlike(f"(?i){first}(?:" + "|".join(f"(?:{p})" for p in patterns) + ")") if patterns else F.lit(True)
 
 
 def classify(rules: list[Rule], fields: dict[str, Column], default: tuple[str, str] = ("", "")) -> Column:
