@@ -43,15 +43,18 @@ def with_frequency(members: DataFrame, column: str) -> DataFrame:
 
 def similar_sets(rows: DataFrame, id_column: str, set_column: str, threshold: float) -> DataFrame:
     """Pairs (a, b) of rows whose sets have a Jaccard similarity of ``threshold`` or more. Sets that
-    similar share one of their rarest members: the first size - ceil(threshold * size) + 1."""
+    similar share one of their rarest members: the first size - ceil(threshold * size) + 1. The first one that they share
+    stands so early in both that what is behind it suffices, so only such places make candidates."""
     one = rows.where(F.size(set_column) > 0).select(F.col(id_column).alias("id"), F.col(set_column).alias("set"))
     members = one.select("id", F.size("set").alias("n"), F.explode("set").alias("x"))
     order = Window.partitionBy("id").orderBy("df", "x")
     ranked = with_frequency(members, "x").withColumn("rank", F.row_number().over(order))
-    prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("id", "n", "x")
-    other = prefix.select(F.col("id").alias("b"), F.col("n").alias("m"), "x")
+    prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("id", "n", "x", "rank")
+    other = prefix.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("rank").alias("place"), "x")
     sizes = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
-    pairs = prefix.withColumnRenamed("id", "a").join(other, "x").where((F.col("a") < F.col("b")) & sizes).select("a", "b").distinct()
+    left = 1 + F.least(F.col("n") - F.col("rank"), F.col("m") - F.col("place"))
+    enough = left >= threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-9
+    pairs = prefix.withColumnRenamed("id", "a").join(other, "x").where((F.col("a") < F.col("b")) & sizes & enough).select("a", "b").distinct()
     full = pairs.join(one.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(one.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return full.where(both >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b")
