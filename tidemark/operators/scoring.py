@@ -41,13 +41,13 @@ def phrases(lexicon: DataFrame) -> DataFrame:
 def phrase_hits(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(doc_id, pos, at, size, role, sign, hawk, dove, dim): phrases in sentences (doc_id, pos, words array), ``at`` being the first of ``size`` words.
     Of one role a match inside a longer one doesn't count. Each word is looked up once by its first letters, with the next words at hand, and only
-    matches are shuffled, so neither phrases nor long sentences multiply rows."""
-    runs = F.transform("words", lambda w, i: F.slice("words", i + 1, LONGEST))
-    begun = sentences.select("doc_id", "pos", F.posexplode(runs).alias("at", "run")).withColumn("__key", F.left(F.element_at("run", 1), F.lit(KEY)))
+    matches are shuffled, by document, so neither phrases nor long sentences multiply rows. The next words are read only where the first one fits."""
+    begun = sentences.select("doc_id", "pos", "words", F.posexplode("words").alias("at", "word")).withColumn("__key", F.left("word", F.lit(KEY)))
     fits = lambda part, word: F.when(part.endswith("*"), F.startswith(word, F.rtrim(part, F.lit("*")))).otherwise(part == word)
-    found = begun.join(F.broadcast(phrases(lexicon)), "__key")
-    found = found.where((F.size("parts") <= F.size("run")) & F.forall(F.zip_with("parts", F.slice("run", F.lit(1), F.size("parts")), fits), lambda x: x))
-    found = found.select("doc_id", "pos", "at", F.size("parts").alias("size"), "role", "sign", "hawk", "dove", "dim").repartition("doc_id", "pos")
+    size = F.size("parts")
+    found = begun.join(F.broadcast(phrases(lexicon)), "__key").where(fits(F.element_at("parts", 1), F.col("word")))
+    found = found.where((size == 1) | (F.col("at") + size <= F.size("words")) & F.forall(F.zip_with("parts", F.slice("words", F.col("at") + 1, size), fits), lambda x: x))
+    found = found.select("doc_id", "pos", "at", size.alias("size"), "role", "sign", "hawk", "dove", "dim").repartition("doc_id")
     end = F.col("at") + F.col("size")
     same = Window.partitionBy("doc_id", "pos", "role").orderBy("at")
     inside = (F.max(end).over(same.rangeBetween(1 - LONGEST, -1)) >= end) | (F.max(end).over(same.rangeBetween(0, 0)) > end)
@@ -62,15 +62,16 @@ def lexicon_points(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
     hits = phrase_hits(sentences, lexicon)
     turned = F.max(F.col("role") == "negation").over(order.rangeBetween(-NEGATION, -1))
     hits = hits.withColumn("turn", F.when(F.coalesce(turned, F.lit(False)), -F.col("sign")).otherwise(F.col("sign")))
-    near = F.collect_list(F.when(F.col("role") == "direction", F.struct("at", "turn"))).over(order.rangeBetween(-REACH, REACH))
-    closed = F.array_contains(F.collect_set(F.when(F.col("role") == "closes", F.col("dim"))).over(order.rangeBetween(1, GAP)), F.col("dim"))
-    hits = hits.withColumn("near", near).withColumn("closed", F.coalesce(closed, F.lit(False)))
+    # directions of both signs within reach, less those at the same place
+    pointing = lambda test: F.coalesce(F.sum(F.when((F.col("role") == "direction") & test, 1)).over(order.rangeBetween(-REACH, REACH)), F.lit(0)) - F.coalesce(F.sum(F.when((F.col("role") == "direction") & test, 1)).over(order.rangeBetween(0, 0)), F.lit(0))
+    closes = F.max(F.col("role") == "closes").over(Window.partitionBy("doc_id", "pos", "dim").orderBy("at").rangeBetween(1, GAP))
+    hits = hits.withColumns({"up": pointing(F.col("turn") > 0), "down": pointing(F.col("turn") < 0)}).where(F.col("role").isin("target", "points", "opens", "closes"))
+    hits = hits.withColumn("closed", F.coalesce(closes & F.col("dim").isNotNull(), F.lit(False)))
     target = F.col("role") == "target"
     own = (F.col("role") == "points") | (F.col("role") == "opens") & F.col("closed")
-    values = F.transform(F.filter("near", lambda d: target & (d["at"] != F.col("at"))), lambda d: d["turn"] * F.col("sign"))
-    rows = hits.where(target | own).select("doc_id", "pos", "dim", values.alias("values"), *(F.when(own, F.col(c)).otherwise(0).alias(c) for c in ("hawk", "dove")))
-    total = lambda c, test: (F.sum(c) + F.sum(F.size(F.filter("values", test)))).alias(c)
-    return rows.groupBy("doc_id", "pos", "dim").agg(total("hawk", lambda x: x > 0), total("dove", lambda x: x < 0))
+    met = lambda same, other: F.when(target & (F.col("sign") > 0), F.col(same)).when(target & (F.col("sign") < 0), F.col(other)).otherwise(0)
+    total = lambda c, n: F.sum(F.when(own, F.col(c)).otherwise(0) + n).alias(c)
+    return hits.where(target | own).groupBy("doc_id", "pos", "dim").agg(total("hawk", met("up", "down")), total("dove", met("down", "up")))
 
 
 @dataclass(frozen=True)
@@ -91,12 +92,15 @@ def linear_probabilities(sentences: DataFrame, vocabulary: DataFrame, intercept:
     """(doc_id, pos, p_dove, p_hawk, p_neutral) of every sentence (doc_id, pos, words array): softmax of a linear model over runs of one to ``longest`` words. ``vocabulary``
     (term, idf, dove, hawk, neutral) is the model's own table, of fixed size. Term frequencies are sublinear, and vectors have length 1. A
     sentence without a known term has the intercepts' probabilities."""
-    grams = F.flatten(F.transform("words", lambda w, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("words") - i)), lambda n: F.array_join(F.slice("words", i + 1, n), " "))))
     # every sentence also says the empty term, which counts nothing, so that it has a row
-    said = sentences.select("doc_id", "pos", F.explode(F.concat(F.array(F.lit("")), grams)).alias("term"))
+    said = sentences.select("doc_id", "pos", "words", F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("at", "word"))
     blank = vocabulary.sparkSession.range(1).select(F.lit("").alias("term"), *(F.lit(0.0).alias(c) for c in ("idf", "dove", "hawk", "neutral")))
     known = vocabulary.select("term", "idf", "dove", "hawk", "neutral").where("term <> ''").unionByName(blank)
-    counted = said.join(F.broadcast(known), "term").groupBy("doc_id", "pos", "term", "idf", "dove", "hawk", "neutral").agg(F.count("*").alias("n"))
+    parts = known.select("term", F.split("term", " ").alias("parts")).select("term", F.element_at("parts", 1).alias("word"), F.slice("parts", 2, longest).alias("rest")).where(F.size("rest") < longest)
+    size = F.size("rest")
+    fits = (size == 0) | (F.col("at") + size <= F.size("words")) & (F.slice("words", F.col("at") + 1, size) == F.col("rest"))
+    # a word is looked up once; matches are shuffled once, by document, which all that follows keeps to
+    counted = said.join(F.broadcast(parts), "word").where(fits).select("doc_id", "pos", "term").repartition("doc_id").groupBy("doc_id", "pos", "term").agg(F.count("*").alias("n")).join(F.broadcast(known), "term")
     x = (1 + F.ln("n")) * F.col("idf")
     length = F.coalesce(F.nullif(F.sqrt(F.sum(x * x)), F.lit(0.0)), F.lit(1.0))
     names = ("dove", "hawk", "neutral")
@@ -130,24 +134,25 @@ def document_scores(values: DataFrame, norm: Norm) -> DataFrame:
     gap, n = F.col("gap"), F.col("n")
     dovish = F.transform(F.slice(F.array_sort(F.collect_list(F.when(gap < -0.2, F.struct(gap.alias("o"), (-F.col("pos")).alias("back"))))), 1, 3), lambda x: -x["back"])
     hawkish = F.transform(F.slice(F.array_sort(F.collect_list(F.when(gap > 0.2, F.struct((-gap).alias("o"), F.col("pos").alias("at"))))), 1, 3), lambda x: x["at"])
-    whole = values.groupBy("doc_id").agg(
+    # values are read once: each sentence has a row of no dimension, and one for each that it is about
+    leans = F.array_append(F.coalesce("leans", F.array().cast("array<struct<dim:string,lean:int>>")), F.struct(F.lit(None).cast("string").alias("dim"), F.lit(None).cast("int").alias("lean")))
+    rows = values.select("doc_id", "pos", "lex", "gap", "agrees", F.inline(leans)).withColumn("sentence", F.col("lean").isNull()).withColumn("v", 0.5 * F.col("lean") + 0.5 * F.col("gap"))
+    strongest = lambda sign: F.min(F.when(F.signum("v") == sign, F.struct((-F.abs("v")).alias("o"), F.col("pos").alias("at"))))
+    parts = rows.groupBy("doc_id", "sentence", "dim").agg(
         F.count("*").alias("n"), F.sum("lex").cast("double").alias("a"), F.sum("gap").alias("b"), F.avg("agrees").alias("agreement"), hawkish.alias("hawkish"), dovish.alias("dovish"),
+        F.sum("v").alias("v"), strongest(1.0).alias("up"), strongest(-1.0).alias("down"),
     )
-    shrunk = lambda c, m: ((F.col(c) + norm.k * m[0]) / (n + norm.k) - m[0]) / m[1]
-    whole = whole.withColumn("z", (shrunk("a", norm.lex) + shrunk("b", norm.lin)) / 2).withColumn("net", clamp(F.col("z") / norm.z_to_net))
-
-    about = values.select("doc_id", "pos", "gap", F.inline("leans")).withColumn("v", 0.5 * F.col("lean") + 0.5 * F.col("gap"))
-    strongest = lambda sign: F.min(F.when(F.signum("v") == sign, F.struct((-F.abs("v")).alias("o"), F.col("pos").alias("at"))))
-    dims = about.groupBy("doc_id", "dim").agg(F.count("*").alias("n"), F.sum("v").alias("v"), strongest(1.0).alias("up"), strongest(-1.0).alias("down"))
     best = F.when(F.col("v") > 0, F.col("up")).when(F.col("v") < 0, F.col("down"))
     score = round_up(clamp(F.col("v") / (n + norm.dim_k) / norm.dim_scale))
-    dims = dims.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("dim", "n", score.alias("score"), F.when(best["o"] < -0.2, best["at"]).alias("evidence")))).alias("dims"))
+    dim = F.struct("dim", "n", score.alias("score"), F.when(best["o"] < -0.2, best["at"]).alias("evidence"))
+    whole = parts.groupBy("doc_id").agg(F.max(F.when(F.col("sentence"), F.struct("n", "a", "b", "agreement", "hawkish", "dovish"))).alias("w"), F.array_sort(F.collect_list(F.when(~F.col("sentence"), dim))).alias("dims")).select("doc_id", "w.*", "dims")
+    shrunk = lambda c, m: ((F.col(c) + norm.k * m[0]) / (n + norm.k) - m[0]) / m[1]
+    whole = whole.withColumn("z", (shrunk("a", norm.lex) + shrunk("b", norm.lin)) / 2).withColumn("net", clamp(F.col("z") / norm.z_to_net))
 
-    none = F.array().cast("array<struct<dim:string,n:bigint,score:double,evidence:int>>")
     label = F.when(F.col("net") > norm.band, "hawkish").when(F.col("net") < -norm.band, "dovish").otherwise("neutral")
-    return whole.join(dims, "doc_id", "left").select(
+    return whole.select(
         "doc_id", "n", round_up("net").alias("score"), label.alias("label"), round_up("z").alias("z"), round_up(F.col("a") / n).alias("lexicon_measure"), round_up(F.col("b") / n).alias("linear_measure"),
-        round_up("agreement").alias("agreement"), "hawkish", "dovish", F.coalesce("dims", none).alias("dims"),
+        round_up("agreement").alias("agreement"), "hawkish", "dovish", "dims",
     )
 
 
