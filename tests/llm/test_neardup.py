@@ -130,3 +130,26 @@ def test_contraction(spark):
         root[find(a)] = find(b)
     pairs = {(find(x), got[x]) for x in got}
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+@pytest.mark.parametrize("most", [1024, 1 << 24])
+def test_texts_are_sifted_before_they_are_shuffled(spark, monkeypatch, most):
+    """Of texts that no candidate has few are shuffled, whatever their number; none of a candidate is lost."""
+    monkeypatch.setattr(support, "SIEVE", most)
+    rows = spark.range(20_000).selectExpr("IF(id % 7 = 0, NULL, id) AS id", "id * 3 AS mark", "repeat('x', 9) AS text")
+    wanted = spark.range(0, 20_000, 50).selectExpr("id", "id * 3 AS mark")
+    got = support.sift(rows, wanted, ["id", "mark"])
+    kept = {x.id for x in got.collect()}
+    assert got.columns == rows.columns and kept >= {i for i in range(0, 20_000, 50) if i % 7} and len(kept) < (10_000 if most == 1024 else 2_500)
+    plan = got.join(wanted, ["id", "mark"])._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert next(i for i, x in enumerate(plan) if "Join" in x) < next(i for i, x in enumerate(plan) if "__word" in x and "Join" in x)  # the exact join is outside
+    assert support.sift(rows, wanted.limit(0), ["id", "mark"]).count() == 0
+
+
+def test_near_dedup_sifts_texts(spark, monkeypatch):
+    calls = []
+    real = support.sift
+    monkeypatch.setattr(neardup, "sift", lambda *a: calls.append(1) or real(*a))
+    rows = [(i, " ".join(f"w{(i // 2 * 100 + j)}" for j in range(40))) for i in range(60)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert calls and {x.doc_id: x.component_id for x in got} == {i: i - i % 2 for i in range(60)}
