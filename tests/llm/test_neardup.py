@@ -153,3 +153,14 @@ def test_near_dedup_sifts_texts(spark, monkeypatch):
     rows = [(i, " ".join(f"w{(i // 2 * 100 + j)}" for j in range(40))) for i in range(60)]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert calls and {x.doc_id: x.component_id for x in got} == {i: i - i % 2 for i in range(60)}
+
+
+def test_pairs_meet_nodes_with_candidates_only(spark, monkeypatch):
+    met = []
+    real = neardup._two
+    monkeypatch.setattr(neardup, "_two", lambda nodes, *a, **b: met.append({x.node for x in nodes.select("node").collect()}) or real(nodes, *a, **b))
+    same = " ".join(f"s{j}" for j in range(40))
+    rows = [(i, " ".join(f"w{i * 100 + j}" for j in range(40))) for i in range(60)] + [(60, same), (61, f"{same} end"), (62, same.upper())]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert met and all(x == {60, 61} for x in met)
+    assert {x.doc_id: x.component_id for x in got} == {i: min(i, 60) for i in range(63)}
