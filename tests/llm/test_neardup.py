@@ -155,6 +155,19 @@ def test_near_dedup_sifts_texts(spark, monkeypatch):
     assert calls and {x.doc_id: x.component_id for x in got} == {i: i - i % 2 for i in range(60)}
 
 
+def test_small_tables_are_dealt_anew(spark):
+    """Each partition of what is cut has a task of its own, which gives its memory back; a coalesced one would go through several."""
+
+    def task(batches):
+        from pyspark import TaskContext
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"task": pa.array([TaskContext.get().partitionId()], pa.int64())})
+
+    got = support.cut_small(spark.range(0, 40, 1, 40).mapInArrow(task, "task long"))
+    assert sorted(x.task for x in got.collect()) == list(range(40)) and len(got.inputFiles()) <= 8
+
+
 def test_pairs_meet_nodes_with_candidates_only(spark, monkeypatch):
     met = []
     real = neardup._two

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import shutil
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ from tokenizers import Tokenizer
 from collisions import thue_morse
 from tidemark.llm import bpe, packing, token_files
 from tidemark.llm.support import new_folder, text_bytes
-from tidemark.llm.tokens import PieceEncoder, pretoken_starts
+from tidemark.llm.tokens import PieceEncoder, piece_encoder, pretoken_starts
 
 RANKS, JSON = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json")
 BITS = [*"abst ,.''''sdmlrev 12\n\t  é中!\x85 ", "'s", "'re", " '", "ll", "  \n"]
@@ -190,3 +191,16 @@ def test_packing_is_gapless_and_whole(spark):
 def test_packing_nothing(spark):
     pieces = packing.cut_documents(frame(spark, []), JSON, 0, 64)
     assert packing.pack(pieces, 64).count() == 0
+
+
+def test_workers_give_the_store_back(spark, tmp_path):
+    """Python workers outlive a stage, and what they keep counts against the stages behind it."""
+    path = shutil.copy(JSON, tmp_path)
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(400)], "doc_id long, text string").repartition(8)
+    assert packing.cut_documents(docs, path, end_id=0, capacity=2048).count() == 400
+
+    def kept(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(piece_encoder(path).place)], pa.int64())})
+
+    assert {x.n for x in spark.range(0, 32, 1, 32).mapInArrow(kept, "n long").collect()} == {0}
