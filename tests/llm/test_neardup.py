@@ -1,12 +1,14 @@
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from collisions import thue_morse
-from tidemark.llm import graph, neardup, support
+from tidemark.llm import graph, neardup, support, toxicity
 
 
 def brute(rows, n=3, percent=85):
@@ -168,6 +170,28 @@ def test_small_tables_are_dealt_anew(spark):
     assert sorted(x.task for x in got.collect()) == list(range(40)) and len(got.inputFiles()) <= 8
 
 
+def test_small_tables_have_few_files(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 211)
+    try:
+        got = support.cut_small(spark.range(0, 1000, 1, 40))
+        assert len(got.inputFiles()) <= 8 and got.count() == 1000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_texts_are_handled_in_small_slices():
+    """The memory of a worker that tags 4 MB of texts; all of them are tagged."""
+    batch = pa.RecordBatch.from_pydict({"text": ["some Plain words, and a few more. " * 60] * 2000})
+    lexicon = toxicity.Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    model = toxicity.Model(lexicon, np.zeros(sum(lexicon.blocks())), (0.0, 0.0, 0.0))
+    tracemalloc.start()
+    tagged = sum(len(model.tag(*support.text_bytes(part.column("text")))[3]) for part in support.slices(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tagged == 2000 * 60 * 7 and most < 110e6
+
+
 def test_pairs_meet_nodes_with_candidates_only(spark, monkeypatch):
     met = []
     real = neardup._two
